@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webweft.llm import simhash
+from webweft.llm import bpe, packing, simhash
 
-MODULES = (simhash,)
+MODULES = (simhash, bpe, packing)
 
 
 def queries() -> dict:
