@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webweft.llm import bpe, packing, simhash
+from webweft.llm import bpe, packing, quality, simhash
 
-MODULES = (simhash, bpe, packing)
+MODULES = (simhash, bpe, packing, quality)
 
 
 def queries() -> dict:
