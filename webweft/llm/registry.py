@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webweft.llm import bpe, packing, quality, simhash
+from webweft.llm import bpe, deleted_lm, packing, quality, simhash
 
-MODULES = (simhash, bpe, packing, quality)
+MODULES = (simhash, bpe, packing, quality, deleted_lm)
 
 
 def queries() -> dict:
