@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webweft.llm import bpe, deleted_lm, packing, quality, simhash
+from webweft.llm import bpe, deleted_lm, packing, quality, simhash, suffix_dedup
 
-MODULES = (simhash, bpe, packing, quality, deleted_lm)
+MODULES = (simhash, suffix_dedup, bpe, packing, quality, deleted_lm)
 
 
 def queries() -> dict:
