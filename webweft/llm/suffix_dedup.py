@@ -32,8 +32,8 @@ PIECE = 36
 #: Bytes of a symbol in the merge; divides LENGTH.
 STRIDE = 4
 #: Bytes of text that a worker takes at once, and anchors that it combines before it sends them.
-BYTES = 4_000_000
-COMBINE = 1_000_000
+BYTES = 256_000
+COMBINE = 300_000
 #: Contexts that are merged at once.
 CONTEXTS = 8_192
 
