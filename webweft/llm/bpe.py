@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.llm import bytebpe, transducer
-from webweft.llm.common import keyed_text, read, shared_dir
+from webweft.llm.common import Stored, keyed_text, read, shared_dir
 
 #: Words in the lexicon; bounds what the driver collects and the automaton's size.
 LEXICON_WORDS = 65_536
@@ -48,29 +48,34 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut, seen = bytebpe.pretokens(), Counter()
-
-    def rows(least: int):
-        own = [(w, n) for w, n in seen.items() if n >= least]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], names=["word", "n"])
-
+    seen: Counter = Counter()
     for _, texts in slices(batches):
-        for t in texts:
-            seen.update(cut(t))
-        if len(seen) > COUNT_WORDS:
-            for least in (2, 4, 8, 16, 32, 64, 1 << 40):
-                seen = Counter({w: n for w, n in seen.items() if n >= least})
-                if len(seen) <= COUNT_WORDS // 2:
-                    break
-    yield rows(2)
+        coded = bytebpe.cut(texts)[0].dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        often = n > 1
+        seen.update(dict(zip(coded.dictionary.filter(pa.array(often)).to_pylist(), n[often].tolist())))
+        least = 2
+        while len(seen) > COUNT_WORDS:
+            least *= 2
+            seen = Counter({w: n for w, n in seen.items() if n >= least})
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
 def build_lexicon(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Name of the shipped automaton file (SparkFiles) for the most frequent words of all docs."""
     spark = docs.sparkSession
-    n = F.sum("n").alias("n")
-    top = keyed_text(docs, id_col, text_col).mapInArrow(_count, "word string, n long").groupBy("word").agg(n).orderBy(F.desc("n"), "word").limit(words).collect()
-    raw = [r.word.encode() for r in top]
+    counts = keyed_text(docs, id_col, text_col).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = Stored(counts, "words")
+    # the least count that at most `words` words reach, by a histogram of quarter powers of two
+    level = F.floor(4 * F.log2("n")).cast("int").alias("level")
+    room, least = words, 1 << 62
+    for r in counts.df.groupBy(level).count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    raw = sorted(bytes(r.word) for r in counts.df.where(level >= least).select("word").collect())
+    counts.drop()
     data = transducer.build(raw, bytebpe.load(path).merge_many(raw))
     jvm, name = spark._jvm, f"lexicon-{uuid.uuid4().hex}.bin"
     at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
@@ -88,9 +93,8 @@ def encoder(path: str, lexicon: str | None = None) -> bytebpe.Encoder:
     return bytebpe.Encoder(bytebpe.load(path), lookup)
 
 
-def _ints(chunks: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0] + [len(c) // 4 for c in chunks]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(chunks), "<i4")))
+def id_lists(flat: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def _round_trip(path: str, lexicon: str | None, decode: bool):
@@ -98,11 +102,11 @@ def _round_trip(path: str, lexicon: str | None, decode: bool):
         enc = encoder(path, lexicon)
         piece = enc.bpe.token_bytes.__getitem__
         for keys, texts in slices(batches):
-            ids = _ints(enc.encode(texts))
-            arrays, names = [keys, ids], ["doc_id", "ids"]
+            flat, begins = enc.encode(texts)
+            arrays, names = [keys, id_lists(flat, begins)], ["doc_id", "ids"]
             if decode:
-                flat, ends = ids.values.to_pylist(), ids.offsets.to_pylist()
-                back = [b"".join(map(piece, flat[a:b])).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+                ids, at = flat.tolist(), begins.tolist()
+                back = [b"".join(map(piece, ids[a:b])).decode("utf-8", "replace") for a, b in zip(at, at[1:])]
                 arrays, names = [*arrays, pa.array(back, pa.string())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

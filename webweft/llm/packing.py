@@ -150,9 +150,10 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], with_ids: bool):
 
         for keys, texts in slices(batches):
             windows: list[tuple[int, list]] = []
-            for key, raw in zip(keys.to_pylist(), enc.encode(texts)):
-                held[doc] = (key, raw + end)
-                windows += packer.add(doc, len(raw) // 4 + 1)
+            flat, begins = enc.encode(texts)
+            for key, a, b in zip(keys.to_pylist(), begins.tolist(), begins[1:].tolist()):
+                held[doc] = (key, flat[a:b].tobytes() + end)
+                windows += packer.add(doc, b - a + 1)
                 doc += 1
             if packer.n >= WAITING:
                 windows += packer.full()
