@@ -101,34 +101,42 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int
     return at, h[at], context, lo, hi
 
 
-_ROW = "kind int, h long, c long, doc long, rid long, at int, lo int, hi int"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+#: An anchor on its way: place holds where it starts, how far its context reaches and, as the last bit,
+#: that the context is known to repeat an earlier one.
+_ANCHOR = "h long, c long, doc long, rid long, place long"
+_ROW = "kind int, h long, doc long, rid long, lo int, hi int"
 
 
-def _batch(kind, h, c, doc, rid, at, lo, hi) -> pa.RecordBatch:
-    n = len(doc)
-    fill = lambda x, t: pa.array(np.full(n, x, dtype=t) if np.isscalar(x) else np.asarray(x).astype(t))
-    return pa.RecordBatch.from_arrays([fill(kind, np.int32), fill(h, np.int64), fill(c, np.int64), fill(doc, np.int64), fill(rid, np.int64), fill(at, np.int32), fill(lo, np.int32), fill(hi, np.int32)], names=_NAMES)
+def _batch(schema: str, *cols) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    n = max(len(c) for c in cols if not np.isscalar(c))
+    kind = {"int": np.int32, "long": np.int64}
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, c, kind[t]) if np.isscalar(c) else np.asarray(c).astype(kind[t])) for c, (_, t) in zip(cols, fields)], names=[k for k, _ in fields])
+
+
+def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the context of a place."""
+    at = place >> 9
+    return np.maximum(at + PIECE - LENGTH, 0), at + (place >> 1 & 255)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors (kind 0), and as kind 1 the contexts that repeat an earlier one of the same task."""
+    """Anchors; contexts that repeat an earlier one of the same task are marked and spread evenly."""
     held: list[tuple] = []
     size = 0
 
     def combine() -> Iterator[pa.RecordBatch]:
-        h, c, doc, rid, at, lo, hi = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, rid, doc, c, h))
-        h, c, doc, rid, at, lo, hi = (x[order] for x in (h, c, doc, rid, at, lo, hi))
-        again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])) if len(h) else np.zeros(0, bool)
+        h, c, doc, rid, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, rid, doc, c, h))
+        h, c, doc, rid, place = (x[order] for x in (h, c, doc, rid, place))
+        again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))[: len(h)]
         # a text that is there twice under one id is one document
-        twin = np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (at[1:] == at[:-1])) if len(h) else again
-        for k in range(0, len(h), 200_000):
-            x = slice(k, k + 200_000)
-            a = again[x]
-            yield _batch(0, h[x][~a], c[x][~a], doc[x][~a], rid[x][~a], at[x][~a], lo[x][~a], hi[x][~a])
-            a = a & ~twin[x]
-            yield _batch(1, 0, 0, doc[x][a], rid[x][a], 0, lo[x][a], hi[x][a])
+        twin = np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))[: len(h)] & again
+        h = np.where(again, _mix((doc ^ place << 20).view(np.uint64)).view(np.int64), h)
+        c, place = np.where(again, 0, c), place | again
+        for k in range(0, len(h), 100_000):
+            keep = ~twin[k : k + 100_000]
+            yield _batch(_ANCHOR, *(x[k : k + 100_000][keep] for x in (h, c, doc, rid, place)))
 
     def take(raw: list[bytes], docs: list[int], rids: list[int]) -> None:
         nonlocal size
@@ -137,7 +145,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, h, c, lo, hi = anchors(data, ends)
         of = np.searchsorted(ends, at, side="right")
         start = ends[of] - np.array([len(r) for r in raw])[of]
-        held.append((h.view(np.int64), c.view(np.int64), np.array(docs, np.int64)[of], np.array(rids, np.int64)[of], at - start, lo - start, hi - start))
+        held.append((h.view(np.int64), c.view(np.int64), np.array(docs, np.int64)[of], np.array(rids, np.int64)[of], (at - start) << 9 | (hi - at) << 1))
         size += len(at)
 
     for b in batches:
@@ -160,45 +168,52 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors sorted by (h, c, doc, rid, at): repeats of a context (kind 1), and the first of each
-    context (kind 0) of anchors that have several. Nothing of a group is held but its last row."""
+    """From anchors sorted by all their columns: repeats of a context (kind 1), and the first of each context
+    (kind 0) of anchors that have several. Nothing of a group is held but its last row and its first context."""
     last = None  # the row before
     pending = None  # the first context of an anchor, until another is seen
     several = False  # the row before's anchor has several contexts
+
+    def rows(kind: int, h, doc, rid, place) -> pa.RecordBatch:
+        return _batch(_ROW, kind, h, doc, rid, *_span(place))
+
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(1, 8)]
+        cols = [b.column(i).to_numpy() for i in range(5)]
+        known = cols[4] & 1 == 1
+        if known.any():
+            h, _, doc, rid, place = (x[known] for x in cols)
+            yield rows(1, h, doc, rid, place)
+            cols = [x[~known] for x in cols]
         if not len(cols[0]):
             continue
         if last is not None:
             cols = [np.append(x, y) for x, y in zip(last, cols)]
-        h, c, doc, rid, at, lo, hi = cols
+        h, c, doc, rid, place = cols
         own = np.ones(len(h), bool)
         own[0] = last is None
         same_h = np.append(False, h[1:] == h[:-1])
         same_c = same_h & np.append(False, c[1:] == c[:-1])
-        twin = same_c & np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (at[1:] == at[:-1]))
+        twin = same_c & np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))
         r = same_c & ~twin & own
         if r.any():
-            yield _batch(1, 0, 0, doc[r], rid[r], 0, lo[r], hi[r])
-        # of each anchor, in this batch: its first row's index, and whether it shows a second context
+            yield rows(1, h[r], doc[r], rid[r], place[r])
+        # of each anchor, in this batch: its first row, and whether it shows a second context
         first = np.flatnonzero(~same_h)
         new_c = same_h & ~same_c
         group = np.cumsum(~same_h) - 1
         shows = np.bincount(group[new_c], minlength=len(first)) > 0
         shows[0] |= several and last is not None
-        send = np.zeros(len(h), bool)
-        send |= new_c & own
-        send |= ~same_h & shows[group] & own
         if last is not None and shows[0] and pending is not None:
-            yield _batch(0, *(np.array([x]) for x in pending))
+            ph, _, pdoc, prid, pplace = (np.array([x]) for x in pending)
+            yield rows(0, ph, pdoc, prid, pplace)
             pending = None
+        send = (new_c | (~same_h & shows[group])) & own
         if send.any():
-            yield _batch(0, h[send], c[send], doc[send], rid[send], at[send], lo[send], hi[send])
+            yield rows(0, h[send], doc[send], rid[send], place[send])
         g = group[-1]
         if g > 0 or last is None:
             several = bool(shows[g])
-            f = first[g]
-            pending = None if several else tuple(x[f] for x in cols)
+            pending = None if several else tuple(x[first[g]] for x in cols)
         else:
             several = bool(shows[0])
         last = tuple(x[-1:] for x in cols)
@@ -272,7 +287,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(h, doc, rid, lo, ctx) -> pa.RecordBatch:
         seg, a, b = repeated_spans(ctx, doc, rid, lo)
-        return _batch(1, 0, 0, doc[seg], rid[seg], 0, a, b)
+        return _batch(_ROW, 1, 0, doc[seg], rid[seg], a, b)
 
     h = doc = rid = np.zeros(0, np.int64)
     lo, ctx = np.zeros(0, np.int32), []
@@ -312,17 +327,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc, rid, text) and (doc, rid, spans array<struct<lo, hi>>): bytes of each document to remove, unmerged."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
-    found = Stored(rows.select("doc", "rid", "text").mapInArrow(_find, _ROW), "anchors")
-    met = found.df.where("kind = 0").repartition("h").sortWithinPartitions("h", "c", "doc", "rid", "at").mapInArrow(_meet, _ROW)
-    met = Stored(met, "met")
+    found = rows.select("doc", "rid", "text").mapInArrow(_find, _ANCHOR)
+    met = Stored(found.repartition("h").sortWithinPartitions("h", "c", "doc", "rid", "place").mapInArrow(_meet, _ROW), "met")
     release_shuffles(spark)
     places = met.df.where("kind = 0").groupBy("doc", "rid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places"))
     contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(_cut_contexts, "h long, doc long, rid long, lo int, context binary")
     spans = Stored(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, _ROW), "spans")
     release_shuffles(spark)
-    marks = found.df.where("kind = 1").union(met.df.where("kind = 1")).union(spans.df).select("doc", "rid", F.struct("lo", "hi").alias("span"))
+    marks = met.df.where("kind = 1").union(spans.df).select("doc", "rid", F.struct("lo", "hi").alias("span"))
     marks = Stored(marks.groupBy("doc", "rid").agg(F.collect_set("span").alias("spans")), "marks")
-    for t in (found, met, spans):
+    for t in (met, spans):
         t.drop()
     release_shuffles(spark)
     return rows, marks.df
