@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webweft.llm import ann, bpe, deleted_lm, packing, quality, simhash, suffix_dedup
+from webweft.llm import ann, bpe, deleted_lm, imatch, packing, quality, simhash, suffix_dedup
 
-MODULES = (simhash, suffix_dedup, bpe, packing, quality, deleted_lm, ann)
+MODULES = (simhash, suffix_dedup, bpe, packing, quality, deleted_lm, ann, imatch)
 
 
 def queries() -> dict:
