@@ -30,16 +30,7 @@ _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash over shingles of lower-cased (A-Z) words, repeats included; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        words, shingle = [b" ".join(words)], 1
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, zip(*(words[i:] for i in range(shingle))))), dtype=">u8", count=len(words) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 16384):
-        ones += np.unpackbits(h[i : i + 16384].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+    return simhash(shingle_hashes(text, shingle))
 
 
 def _fingerprints(shingle: int):
@@ -219,6 +210,187 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.df.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bands of two minima each: texts of Jaccard similarity 0.8 share one with probability 1 - 0.36**12.
+BANDS = 12
+#: Bits by which SimHashes of such texts differ at most, save for a share below 0.001.
+NEAR_BITS = 20
+_rng = np.random.default_rng(8)
+_MULTIPLY = _rng.integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of lower-cased (A-Z) words, repeats included; fewer words are one shingle, none gives none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    if len(words) < shingle:
+        words, shingle = [b" ".join(words)], 1
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, zip(*(words[i:] for i in range(shingle))))), dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def simhash(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
+    h = h.astype(">u8")
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 16384):
+        ones += np.unpackbits(h[i : i + 16384].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+
+
+def _sketch(shingle: int):
+    """Of each text: a digest of its words, its SimHash, and a key for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest, fps, keys = [], [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_hashes(t, shingle)
+                digest.append(xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())))
+                fps.append(simhash(h))
+                if len(h):
+                    h = h ^ (h >> np.uint64(31))
+                    least = [(h * m).min() for m in _MULTIPLY]
+                    keys.append([int(least[2 * k] ^ (least[2 * k + 1] >> np.uint64(1))) for k in range(BANDS)])
+                else:
+                    keys.append([])
+            lists = pa.array([np.array(k, dtype=np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["doc_id", "node", "fp", "keys"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The columns of batches sorted by their first, cut where it changes; a run is never parted."""
+    held = None
+    for b in batches:
+        cols = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns]
+        cols = cols if held is None else [x + y if isinstance(x, list) else np.append(x, y) for x, y in zip(held, cols)]
+        cut = np.flatnonzero(cols[0] != cols[0][-1]) if b.num_rows else []
+        at = int(cut[-1]) + 1 if len(cut) else 0
+        if at:
+            yield [c[:at] for c in cols]
+        held = [c[at:] for c in cols]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _close(radius: int):
+    """Bucket members that a bucket-mate's SimHash is close to: (bucket, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp in _runs(batches):
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            a, b = links_in_runs(fp.view(np.uint64), starts, radius)
+            at = np.unique(np.concatenate([a, b]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.array(fp[at])], names=["bucket", "node", "fp"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, sets = [], []
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) == n & 0xFFFFFFFFFFFFFFFF:
+                    node.append(n)
+                    sets.append(np.unique(shingle_hashes(t, shingle)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def jaccard(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of the sets a[i] and b[i], by bit sets over the elements that several sets share."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    of = np.repeat(np.arange(len(sets)), size)
+    keep = shared[element]
+    bit, of = number[element[keep]], of[keep]
+    bits = np.zeros((len(sets), shared.sum() // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (of, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    both = np.empty(len(a), dtype=np.int64)
+    step = max(1, 2_000_000 // bits.shape[1])
+    for i in range(0, len(a), step):
+        both[i : i + step] = np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1, dtype=np.int64)
+    return both / np.maximum(size[a] + size[b] - both, 1)
+
+
+def _verified(radius: int, similarity: float):
+    """Links of texts in a bucket, close by SimHash and similar by their shingles, as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp, raw in _runs(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in raw]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            a, b = links_in_runs(fp.view(np.uint64), starts, radius)
+            # one bucket's sets at a time
+            run_of = np.searchsorted(starts, a, side="right") - 1
+            good = np.zeros(len(a), dtype=bool)
+            for r in np.unique(run_of):
+                own = run_of == r
+                lo = starts[r]
+                hi = starts[r + 1] if r + 1 < len(starts) else len(key)
+                good[own] = jaccard(sets[lo:hi], a[own] - lo, b[own] - lo) >= similarity - 1e-12
+            root = local_roots(len(node), a[good], b[good])
+            off = np.flatnonzero(root != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(node[root[off]])], names=["u", "v"])
+
+    return run
+
+
+def near_duplicate_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups of texts whose sets of shingles have at least this Jaccard similarity.
+
+    Texts of equal words are one node. Nodes that share a band of two shingle minima are compared bit-sliced
+    by SimHash; those within radius are held against each other's shingles. A bucket of more than cap
+    texts is dealt out as a grid of its parts, so that each pair still meets once.
+    component_id is the smallest doc_id reachable; texts without words form one group. Repeated rows
+    stay repeated. A null id takes part but is never the smallest. Empty in, empty out.
+    """
+    rows = keyed_text(docs, id_col, text_col)
+    own = Stored(rows.mapInArrow(_sketch(shingle), "doc_id long, node long, fp long, keys array<long>"), "sketches")
+    first = own.df.groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = own.df.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("first")).where("first is not null")
+    member = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "fp")
+    buckets = Stored(member, "bands")
+    many = buckets.df.groupBy("bucket").count().where("count > 1")
+    hot = many.where(F.col("count") > cap).select("bucket", F.ceil(F.col("count") * 2 / cap).cast("int").alias("parts"))
+    member = buckets.df.join(many.select("bucket"), "bucket", "left_semi")
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64("node"), "parts").cast("int")
+        grid = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.xxhash64(F.least(x, mine), F.greatest(x, mine))))
+        member = member.join(hot, "bucket", "left").withColumn("cell", F.explode(grid)).select(F.xxhash64("bucket", "cell").alias("bucket"), "node", "fp")
+    close = Stored(member.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_close(radius), "bucket long, node long, fp long"), "close")
+    wanted = close.df.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first").alias("doc_id"))
+    sets = rows.join(wanted, "doc_id").select("text", "node").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
+    links = close.df.join(sets, "node").select("bucket", "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(radius, similarity), "u long, v long")
+    roots = components(links)
+    label = Stored(first.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "groups").df
+    group = label.groupBy("root").agg(F.min("first").alias("component_id"))
+    for t in (buckets, close):
+        t.drop()
+    return own.df.select("doc_id", "node").join(label.join(group, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, in all their columns, that stand for their group: those of its smallest id.
+
+    Rows with a null id stay. Where ids repeat, rows of equal id and text are one first, and of rows
+    with equal id all stay that are in the group they stand for.
+    """
+    ids = docs.select(F.col(id_col).alias("__id"))
+    if not ids.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates([id_col, text_col])
+    groups = near_duplicate_texts(docs, id_col=id_col, text_col=text_col, **how)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -378,6 +379,41 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.select("doc", "text", "spans", "n").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
 
 
+def whole_characters(text: str, cut: list[tuple[int, int]]) -> str:
+    """text without the byte spans, each narrowed to the characters that lie wholly in it."""
+    raw = text.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    for lo, hi in cut:
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        out.append(raw[at:lo])
+        at = hi
+    out.append(raw[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+    """docs in all their columns, text without its repeats and count_col, where there is one, renewed.
+
+    Characters that a repeat covers in part stay. Rows without repeats are as they were.
+    """
+    rows, marks = repeated(docs, id_col, text_col)
+    clash = not rows.where("rid <> 0").isEmpty()
+
+    @F.pandas_udf("string")
+    def cleaned(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None else whole_characters(t, merged(list(zip(a.tolist(), z.tolist())))) for t, a, z in zip(text, lo, hi)], dtype=object)
+
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("__m.doc"), (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if clash else F.lit(0)) == F.col("__m.rid")]
+    marks = marks.select(F.struct("doc", "rid", F.transform("spans", lambda s: s["lo"]).alias("lo"), F.transform("spans", lambda s: s["hi"]).alias("hi")).alias("__m"))
+    out = docs.join(marks, key[0] & key[1] if clash else key[0], "left")
+    new = F.when(F.col("__m").isNull(), F.col(text_col)).otherwise(cleaned(F.coalesce(F.col(text_col), F.lit("")), F.col("__m.lo"), F.col("__m.hi")))
+    out = out.withColumn(text_col, new).drop("__m")
+    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col in docs.columns else out
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
