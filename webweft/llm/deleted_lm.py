@@ -89,9 +89,23 @@ class Block:
 
 
 def _slices(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which hashes are sent, and each slice's end in it."""
+    """The order in which hashes are sent, ascending, and each slice's end in it."""
     s = (h >> np.uint64(64 - bits)).astype(np.int64)
-    return np.argsort(s, kind="stable"), np.cumsum(np.bincount(s, minlength=1 << bits))
+    return np.argsort(h), np.cumsum(np.bincount(s, minlength=1 << bits))
+
+
+def _pack(h: np.ndarray, c: np.ndarray) -> bytes:
+    """Ascending hashes of a slice and their counts. The first byte of a hash is the slice's; the others go byte by
+    byte, so that those that change slowly lie together."""
+    counts = _narrow(c)
+    return counts[:1] + np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 6::-1].T).tobytes() + counts[1:]
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(data) - 1) // (7 + data[0])
+    h = np.zeros((n, 8), dtype=np.uint8)
+    h[:, 6::-1] = np.frombuffer(data, np.uint8, 7 * n, 1).reshape(7, n).T
+    return h.view("<u8").reshape(-1), _wide(data[:1] + data[7 * n + 1 :])
 
 
 def _store():
@@ -137,11 +151,11 @@ def _requests(bits: int):
                 out: list[tuple] = []
                 for kind, (h, c) in enumerate(zip((block.words, block.pair_hashes()), block.counts())):
                     order, ends = _slices(h, bits)
-                    h, c = h[order], c[order].astype("<u4")
+                    h, c = h[order], c[order]
                     lo = 0
                     for s, hi in enumerate(ends.tolist()):
                         if hi > lo:
-                            out.append((row["block"], kind, s, h[lo:hi].tobytes() + c[lo:hi].tobytes()))
+                            out.append((row["block"], kind, s, _pack(h[lo:hi], c[lo:hi])))
                         lo = hi
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["block", "kind", "slice", "data"])
@@ -153,9 +167,10 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Corpus counts for each request, in its order; as block -1, a slice's number of words and of tokens."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        size = [len(r[3]) // 12 for r in rows]
-        h = np.concatenate([np.frombuffer(r[3], np.uint64, n) for r, n in zip(rows, size)])
-        c = np.concatenate([np.frombuffer(r[3], "<u4", n, 8 * n) for r, n in zip(rows, size)])
+        parts = [_unpack(r[3]) for r in rows]
+        size = [len(h) for h, _ in parts]
+        h = np.concatenate([h for h, _ in parts])
+        c = np.concatenate([c for _, c in parts])
         _, at = np.unique(h, return_inverse=True)
         total = np.bincount(at, weights=c).astype(np.int64)
         back = total[at].astype("<i8")
@@ -306,7 +321,7 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 1000)), 6, 16))
+    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 1000)), 8, 16))
     blocks = Stored(rows.mapInArrow(_store(), _BLOCK), "lm-blocks")
     asked = blocks.df.mapInArrow(_requests(bits), _PART)
     answers = Stored(asked.repartition("kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_add_up, _PART), "lm-answers")
