@@ -2,53 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="webweft-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-class Stored:
-    """A table written once to the shared folder, so that no later step recomputes it.
-
-    It survives lost executors and cuts the lineage. drop() deletes its files, once no
-    unread DataFrame depends on them.
-    """
-
-    def __init__(self, df: DataFrame, tag: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.schema = df.schema
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now rather than at the next driver GC."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+from webweft.stored import Stored, release_shuffles, shared_dir  # noqa: F401
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +20,3 @@ def fold(id_col: str | Column, n: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def cores(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
