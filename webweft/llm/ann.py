@@ -26,6 +26,8 @@ PILOT = 2_048
 MOST_LISTS = 1_024
 #: Share of the lists that a query probes, and their least number.
 PROBE, LEAST_PROBES = 0.6, 16
+#: Lists that a query probes first; what they hold sets the threshold for the rest.
+FIRST_LISTS = 4
 #: Most candidates and queries of a list that meet in one task.
 GROUP_VECTORS, GROUP_QUERIES = 8_192, 4_096
 #: Columns of a block, candidates that are scanned together, and the test's confidence.
@@ -116,9 +118,15 @@ def _probe(index: Index, k: int):
                 q, ids = _matrix(part.column(1), index.dim), part.column(0).to_numpy()
                 score = _pilot_scores(index, q, ids)
                 bound = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(q), -np.inf)
-                lists = nearest(index.turn(q), index.centroids, index.probes)
-                many = index.probes
-                yield _rows(lists.reshape(-1), 1, np.repeat(ids, many), np.repeat(q, many, axis=0), np.repeat(bound, many))
+                turned = index.turn(q)
+                lists = nearest(turned, index.centroids, index.probes)
+                # kind 1 for the nearest lists, 2 for the others
+                far = (index.centroids * index.centroids).sum(1) - 2 * turned @ index.centroids.T
+                lists = np.take_along_axis(lists, np.argsort(np.take_along_axis(far, lists, 1), axis=1, kind="stable"), 1)
+                for kind, part_of in ((1, lists[:, :FIRST_LISTS]), (2, lists[:, FIRST_LISTS:])):
+                    many = part_of.shape[1]
+                    if many:
+                        yield _rows(part_of.reshape(-1), kind, np.repeat(ids, many), np.repeat(q, many, axis=0), np.repeat(bound, many))
 
     return run
 
@@ -199,7 +207,7 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.
 def _search(index: Index, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(kind, ids, x, bound):
-            v, q = kind == 0, kind == 1
+            v, q = kind == 0, kind > 0
             if not v.any() or not q.any():
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c) for c in scan(index, ids[v], x[v], ids[q], x[q], bound[q], k)], names=["query_id", "vec_id", "score"])
@@ -223,6 +231,27 @@ def _search(index: Index, k: int):
     return run
 
 
+def _meet(lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of lists and of the queries that probe them, by a key at which both meet, sorted.
+
+    Long lists, and lists with many queries, are met in parts: each part of the one with each of the other.
+    """
+    spark = lists.sparkSession
+    # a row for each of at most MOST_LISTS lists
+    size = {r["list"]: [r.n, 0] for r in lists.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect():
+        size.setdefault(r["list"], [0, 0])[1] = r.n
+    parts = [(at, max(1, -(-v // GROUP_VECTORS)), max(1, -(-q // GROUP_QUERIES))) for at, (v, q) in size.items() if v and q]
+    parts = F.broadcast(spark.createDataFrame(parts, "list int, v int, q int"))
+    candidate = F.col("kind") == 0
+    own = F.pmod(F.xxhash64("id"), F.when(candidate, F.col("v")).otherwise(F.col("q"))).cast("int")
+    met = lists.union(asked).join(parts, "list").withColumn("own", own)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(candidate, F.col("q")).otherwise(F.col("v")) - 1)))
+    by_v, by_q = F.when(candidate, F.col("own")).otherwise(F.col("other")), F.when(candidate, F.col("other")).otherwise(F.col("own"))
+    met = met.select(F.xxhash64("list", by_v, by_q).alias("key"), "kind", "id", "x", "bound")
+    return met.repartition("key").sortWithinPartitions("key", "kind", "id")
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, x): rows with an id and a finite vector that is not zero, of the dimension that most have; one for each id."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
@@ -251,18 +280,14 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 20, id_col: s
     index = fit(np.array([r.x for r in sample]), np.array([r.id for r in sample]), stats.length, stats.n, probe, least_probes)
     lists = Stored(rows.mapInArrow(_assign(index), _SCHEMA), "lists")
     asked = Stored(rows.where(query).mapInArrow(_probe(index, k), _SCHEMA), "probes")
-    # long lists, and lists with many queries, are met in parts; a row for each of at most MOST_LISTS lists
-    size = {r["list"]: [r.n, 0] for r in lists.df.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    for r in asked.df.groupBy("list").agg(F.count("*").alias("n")).collect():
-        size.setdefault(r["list"], [0, 0])[1] = r.n
-    parts = [(k_, max(1, -(-v // GROUP_VECTORS)), max(1, -(-q // GROUP_QUERIES))) for k_, (v, q) in size.items()]
-    parts = F.broadcast(spark.createDataFrame(parts, "list int, v int, q int"))
-    own, other = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 0, F.col("v")).otherwise(F.col("q"))), F.when(F.col("kind") == 0, F.col("q")).otherwise(F.col("v"))
-    met = lists.df.union(asked.df).join(parts, "list").withColumn("own", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
-    by_v, by_q = F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own"))
-    met = met.select(F.xxhash64("list", by_v, by_q).alias("key"), "kind", "id", "x", "bound")
-    found = met.repartition("key").sortWithinPartitions("key", "kind", "id").mapInArrow(_search(index, k), "query_id long, vec_id long, score double")
-    found = Stored(found.union(rows.where(query).mapInArrow(_pilot(index, k), "query_id long, vec_id long, score double")), "found").df
+    of = "query_id long, vec_id long, score double"
+    near = _meet(lists.df, asked.df.where("kind = 1")).mapInArrow(_search(index, k), of)
+    near = Stored(near.union(rows.where(query).mapInArrow(_pilot(index, k), of)), "found").df
+    # at most k rows a list and query so far, so the k-th best is taken from a bounded array
+    kth = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("id"), F.get("s", F.lit(k - 1)).alias("kth"))
+    rest = asked.df.where("kind = 2").join(kth, "id", "left").withColumn("bound", F.greatest("bound", "kth")).select("list", "kind", "id", "x", "bound")
+    far = _meet(lists.df, rest).mapInArrow(_search(index, k), of)
+    found = Stored(near.union(far), "found").df
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
