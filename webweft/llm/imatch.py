@@ -77,18 +77,18 @@ def fingerprint(text: Column, bits: Column) -> Column:
         return F.getbit(word, t.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def digest(hs: Column) -> Column:
-        return F.when(F.size(hs) == 0, F.lit(0)).otherwise(F.xxhash64(hs).bitwiseAND(F.lit(0xFFFFFF)).cast("int"))
+        # the hash of nothing is its seed, 42; written so that hs is evaluated once
+        return F.xxhash64(hs).bitwiseXOR(F.lit(42).cast("long")).bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("int")
 
-    own = F.sort_array(terms(text))
-    both = F.struct(own.alias("all"), F.filter(own, kept).alias("lex"))
-    subsets = F.array(*[F.lit(m) for m in masks()[1:]])
+    subsets = F.array(*[F.lit(m).cast("long") for m in masks()[1:]])
 
-    def of(x: Column) -> Column:
-        whole = F.when(F.size(x["lex"]) > 0, x["lex"]).otherwise(x["all"])
-        rest = F.transform(subsets, lambda m: digest(F.filter(x["lex"], lambda h: h.bitwiseAND(m) == m)))
-        return F.concat(F.array(digest(whole)), rest)
+    def of(every: Column, lex: Column) -> Column:
+        whole = digest(F.when(F.size(lex) > 0, lex).otherwise(every))
+        return F.concat(F.array(whole), F.transform(subsets, lambda m: digest(F.filter(lex, lambda h: h.bitwiseAND(m) == m))))
 
-    return F.transform(F.array(both), of)[0]
+    # one-element arrays name a value, so that it is evaluated once
+    named = F.transform(F.array(F.sort_array(terms(text))), lambda every: F.transform(F.array(F.filter(every, kept)), lambda lex: of(every, lex))[0])
+    return named[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
