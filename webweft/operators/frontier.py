@@ -8,20 +8,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webweft.functions import urls
 from webweft.stored import Stored
 
-LEVEL = "node string, depth int, rank long"
+#: Up to this budget a level is taken as a top-k, which needs neither a sampled sort nor a cut afterwards.
+SMALL = 100_000
 
 
 def _ranked(rows: DataFrame, budget: int, depth: int) -> tuple[Stored, int]:
     """Distinct nodes of (node, parent, pos) in order, at most budget of them, numbered in that order."""
     first = rows.groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at")).orderBy("at", "node")
-    level = Stored(first.select("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank")), "level")
-    n = level.df.count()
+    seen = Observation()
+    columns = ("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"))
+    if budget <= SMALL:
+        level = Stored(first.limit(budget).select(*columns).observe(seen, F.count(F.lit(1)).alias("n")), "level")
+        return level, seen.get["n"]
+    level = Stored(first.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")), "level")
+    n = seen.get["n"]
     if n > budget:  # only the last level is cut
         cut = Stored(level.df.orderBy("rank").limit(budget), "level")
         level.drop()
