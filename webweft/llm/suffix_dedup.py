@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from webweft.llm.common import Stored, keyed_text, read, release_shuffles
 
 LENGTH = 100
-#: Bytes of an anchor.
-PIECE = 36
+#: Bytes of an anchor. Contexts of an anchor that has more than MANY go by longer anchors within them; with the last,
+#: an anchor is a whole string, so that equal contexts are all there is and nothing is left to merge.
+PIECES = (36, 84, 100)
+MANY = 4_096
 #: Bytes of a symbol in the merge; divides LENGTH.
 STRIDE = 4
 #: Bytes of text that a worker takes at once, and anchors that it combines before it sends them.
@@ -73,10 +75,10 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     while span * 2 <= width:
         x = best(x[:-span], x[span:])
         span *= 2
-    return best(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
+    return best(x[: len(x) - (width - span)], x[width - span :]) if width > span else x.copy()
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int = PIECES[0]) -> tuple[np.ndarray, ...]:
     """(at, anchor hash, context hash, context start, context end) in texts laid end to end, each up to its end."""
     n, w = len(data), length - piece + 1
     none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
@@ -102,8 +104,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int
     return at, h[at], context, lo, hi
 
 
-#: An anchor on its way: place holds where it starts, how far its context reaches and, as the last bit,
-#: that the context is known to repeat an earlier one.
+#: An anchor on its way: place holds where it starts, how far its context reaches to the left and right and, as the
+#: last bit, that the context is known to repeat an earlier one.
 _ANCHOR = "h long, c long, doc long, rid long, place long"
 _ROW = "kind int, h long, doc long, rid long, lo int, hi int"
 
@@ -117,12 +119,21 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
 
 def _span(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the context of a place."""
-    at = place >> 9
-    return np.maximum(at + PIECE - LENGTH, 0), at + (place >> 1 & 255)
+    at = place >> 15
+    return at - (place >> 8 & 127), at + (place >> 1 & 127)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors; contexts that repeat an earlier one of the same task are marked and spread evenly."""
+def _find(piece: int):
+    """Anchors in texts (doc, rid, lo, text or bytes), lo being where the text starts in its document; contexts that
+    repeat an earlier one of the same task are marked and spread evenly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _find_in(batches, piece)
+
+    return run
+
+
+def _find_in(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
 
@@ -133,34 +144,35 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))[: len(h)]
         # a text that is there twice under one id is one document
         twin = np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))[: len(h)] & again
-        h = np.where(again, _mix((doc ^ place << 20).view(np.uint64)).view(np.int64), h)
+        h = np.where(again, _mix((doc ^ place << 5).view(np.uint64)).view(np.int64), h)
         c, place = np.where(again, 0, c), place | again
         for k in range(0, len(h), 100_000):
             keep = ~twin[k : k + 100_000]
             yield _batch(_ANCHOR, *(x[k : k + 100_000][keep] for x in (h, c, doc, rid, place)))
 
-    def take(raw: list[bytes], docs: list[int], rids: list[int]) -> None:
+    def take(raw: list[bytes], docs: list[int], rids: list[int], los: list[int]) -> None:
         nonlocal size
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(r) for r in raw])
-        at, h, c, lo, hi = anchors(data, ends)
+        at, h, c, lo, hi = anchors(data, ends, piece=piece)
         of = np.searchsorted(ends, at, side="right")
-        start = ends[of] - np.array([len(r) for r in raw])[of]
-        held.append((h.view(np.int64), c.view(np.int64), np.array(docs, np.int64)[of], np.array(rids, np.int64)[of], (at - start) << 9 | (hi - at) << 1))
+        start = (ends - np.array([len(r) for r in raw]) - np.array(los))[of]
+        place = (at - start) << 15 | (at - lo) << 8 | (hi - at) << 1
+        held.append((h.view(np.int64), c.view(np.int64), np.array(docs, np.int64)[of], np.array(rids, np.int64)[of], place))
         size += len(at)
 
     for b in batches:
-        raw, docs, rids, n = [], [], [], 0
-        for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            raw.append(t.encode("utf-8", "surrogatepass"))
-            docs.append(d)
-            rids.append(r)
-            n += len(raw[-1])
+        part: list[tuple] = []
+        n = 0
+        for d, r, lo, t in zip(*(c.to_pylist() for c in b.columns)):
+            raw = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t
+            part.append((raw, d, r, lo))
+            n += len(raw)
             if n >= BYTES:
-                take(raw, docs, rids)
-                raw, docs, rids, n = [], [], [], 0
-        if raw:
-            take(raw, docs, rids)
+                take(*map(list, zip(*part)))
+                part, n = [], 0
+        if part:
+            take(*map(list, zip(*part)))
         if size >= COMBINE:
             yield from combine()
             held, size = [], 0
@@ -220,15 +232,32 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(x[-1:] for x in cols)
 
 
+_CONTEXT = "h long, doc long, rid long, lo int, context binary"
+_CONTEXT_NAMES = [x.split()[0] for x in _CONTEXT.split(", ")]
+
+
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
         for doc, rid, text, places in zip(*(c.to_pylist() for c in b.columns)):
             raw = text.encode("utf-8", "surrogatepass")
             out += [(p["h"], doc, rid, p["lo"], raw[p["lo"] : p["hi"]]) for p in places]
-        for k in range(0, len(out), 20_000):
-            cols = list(zip(*out[k : k + 20_000]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["h", "doc", "rid", "lo", "context"])
+        yield from _contexts(out)
+
+
+def _contexts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), 20_000):
+        cols = list(zip(*rows[k : k + 20_000]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=_CONTEXT_NAMES)
+
+
+def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of longer anchors, cut out of the contexts (lo, context) that they lie in."""
+    for b in batches:
+        out = []
+        for h, doc, rid, lo, hi, base, context in zip(*(c.to_pylist() for c in b.columns)):
+            out.append((h, doc, rid, lo, context[lo - base : hi - base]))
+        yield from _contexts(out)
 
 
 def refine(sym: np.ndarray, order: np.ndarray, steps: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,26 +353,66 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), (F.xxhash64("text") if clash else F.lit(0).cast("long")).alias("rid"), "text")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _anchored(rows: DataFrame, piece: int) -> Stored:
+    """Anchors of rows (doc, rid, lo, text) that meet: repeats (kind 1), and first contexts that differ (kind 0)."""
+    found = rows.select("doc", "rid", "lo", "text").mapInArrow(_find(piece), _ANCHOR)
+    met = found.repartition("h").sortWithinPartitions("h", "c", "doc", "rid", "place").mapInArrow(_meet, _ROW)
+    met = Stored(met, "met")
+    release_shuffles(rows.sparkSession)
+    return met
+
+
+def _crowded(met: Stored, many: int) -> DataFrame:
+    return met.df.where("kind = 0").groupBy("h").count().where(F.col("count") > many).select("h")
+
+
+def _merged(contexts: DataFrame) -> Stored:
+    return Stored(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, _ROW), "spans")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """(doc, rid, text) and (doc, rid, spans array<struct<lo, hi>>): bytes of each document to remove, unmerged."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
-    found = rows.select("doc", "rid", "text").mapInArrow(_find, _ANCHOR)
-    met = Stored(found.repartition("h").sortWithinPartitions("h", "c", "doc", "rid", "place").mapInArrow(_meet, _ROW), "met")
-    release_shuffles(spark)
+    met = _anchored(rows.withColumn("lo", F.lit(0)), PIECES[0])
+    crowded = _crowded(met, many)
     places = met.df.where("kind = 0").groupBy("doc", "rid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places"))
-    contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(_cut_contexts, "h long, doc long, rid long, lo int, context binary")
-    spans = Stored(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, _ROW), "spans")
+    contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(_cut_contexts, _CONTEXT)
+    done = [met]
+    if crowded.isEmpty():
+        done.append(_merged(contexts))
+    else:
+        contexts = Stored(contexts, "contexts")
+        done.append(_merged(contexts.df.join(crowded, "h", "left_anti").select(*_CONTEXT_NAMES)))
+        inner = contexts.df.join(crowded, "h", "left_semi").select(*_CONTEXT_NAMES)
+        for piece in PIECES[1:]:
+            # the same again within the crowded contexts, by longer anchors
+            inner = Stored(inner, "crowded")
+            met = _anchored(inner.df.withColumnRenamed("context", "text"), piece)
+            done.append(met)
+            firsts = met.df.where("kind = 0")
+            if piece == PIECES[-1] or firsts.isEmpty():
+                break
+            # a shorter context lies in each context of its place that covers it; one of them will do
+            own = firsts.alias("f").join(inner.df.select("doc", "rid", F.col("lo").alias("base"), "context").alias("i"), ["doc", "rid"]).where((F.col("f.lo") >= F.col("i.base")) & (F.col("f.hi") <= F.col("i.base") + F.length("i.context")))
+            own = own.groupBy("f.h", "doc", "rid", "f.lo", "f.hi").agg(F.min(F.struct("i.base", "i.context")).alias("of"))
+            cut = Stored(own.select("h", "doc", "rid", "lo", "hi", "of.base", "of.context").mapInArrow(_shorter, _CONTEXT), "contexts")
+            crowded = _crowded(met, many)
+            done.append(_merged(cut.df.join(crowded, "h", "left_anti").select(*_CONTEXT_NAMES)))
+            inner = cut.df.join(crowded, "h", "left_semi").select(*_CONTEXT_NAMES)
     release_shuffles(spark)
-    marks = met.df.where("kind = 1").union(spans.df).select("doc", "rid", F.struct("lo", "hi").alias("span"))
+    marks = None
+    for t in done:
+        own = t.df.where("kind = 1").select("doc", "rid", F.struct("lo", "hi").alias("span"))
+        marks = own if marks is None else marks.union(own)
     marks = Stored(marks.groupBy("doc", "rid").agg(F.collect_set("span").alias("spans")), "marks")
-    for t in (met, spans):
+    for t in done:
         t.drop()
     release_shuffles(spark)
     return rows, marks.df
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, removed array<struct<lo, hi>>, kept binary): one row per input row.
 
     Byte spans, maximal and in order, that are covered by strings of LENGTH bytes which also start
@@ -351,7 +420,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that share an id are taken in the order of a hash of their texts; of equal ones all but
     one lose every byte, if they have LENGTH. A null id comes before all others. Empty in, empty out.
     """
-    rows, marks = repeated(docs, id_col, text_col)
+    rows, marks = repeated(docs, id_col, text_col, many)
     joined = rows.join(marks, ["doc", "rid"], "left")
     if not rows.where("rid <> 0").isEmpty():
         from pyspark.sql import Window
