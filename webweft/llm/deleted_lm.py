@@ -10,6 +10,7 @@ counts that predict it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from webweft.llm.common import Stored, fold, read, release_shuffles
 
 #: Characters of text in a block.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_500_000
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, and so on.
 BUCKETS = 40
 #: Half powers of two that probabilities are binned by for the weights; 0 has a bin of its own.
@@ -51,7 +52,7 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Token stream of some documents: tokens are numbers of the block's words, sorted by hash.
+    """Token stream of some documents: tokens are numbers of the block's words, the most frequent first.
 
     A pair is a token and the one before it in the stream; the one before a text's first is END.
     """
@@ -73,7 +74,7 @@ class Block:
             sizes.append(len(w) + 1)
         coded = pa.array(stream, pa.binary()).dictionary_encode()
         words = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-        order = np.argsort(words)
+        order = np.argsort(-np.bincount(coded.indices.to_numpy(), minlength=len(words)), kind="stable")
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         return cls(ids, np.array(sizes, dtype=np.int64), learn, rank[coded.indices.to_numpy()], words[order])
@@ -128,17 +129,31 @@ def _store():
         for n, block in enumerate(blocks(batches)):
             null = np.array([i is None for i in block.ids])
             ids = np.array([i or 0 for i in block.ids], dtype=np.int64)
-            row = [ids, null, block.sizes, block.learn, block.tokens, block.words]
-            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+            row = [ids.tobytes(), null.tobytes(), block.sizes.tobytes(), block.learn.tobytes(), _squeeze(block.tokens), block.words.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     return run
 
 
+def _squeeze(tokens: np.ndarray) -> bytes:
+    """Token numbers byte by byte, compressed: small numbers are frequent."""
+    return zlib.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 1) if tokens.max(initial=0) < 1 << 24 else b"\0" + tokens.astype("<u4").tobytes()
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    if data[:1] == b"\0":
+        return np.frombuffer(data, "<u4", offset=1).astype(np.int32)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1)
+    out = np.zeros((planes.shape[1], 4), dtype=np.uint8)
+    out[:, :3] = planes.T
+    return out.view("<i4").reshape(-1)
+
+
 def _block(row: dict) -> Block:
     get = lambda k, t: np.frombuffer(row[k], t)
     null = get("null_ids", bool)
     ids = [None if x else i for i, x in zip(get("ids", np.int64).tolist(), null.tolist())]
-    return Block(ids, get("sizes", np.int64), get("learn", bool), get("tokens", np.int32), get("words", np.uint64))
+    return Block(ids, get("sizes", np.int64), get("learn", bool), _unsqueeze(row["tokens"]), get("words", np.uint64))
 
 
 def _requests(bits: int):
