@@ -102,3 +102,45 @@ def test_html_report_escapes():
     page = report.to_html({"total_pages": 1, "errors": {"<b>x</b>": 1}, "status_codes": {"200": 8, "404": 1}, "top_domains": [{"domain": "a&b", "pages": 2}]})
     assert "<b>x</b>" not in page and "&lt;b&gt;x" in page and "a&amp;b" in page
     assert report.bar_width(1, 800) == 2 and report.bar_width(8, 8) == 100
+
+
+def test_fetch_and_parse(spark, site):
+    from webweft.operators import fetch
+
+    urls = spark.createDataFrame([(B + "/a",), (B + "/missing",), (B + "/a",)], "url string")
+    got = {r.url.removeprefix(B): r for r in fetch.fetch_and_parse(urls, site).collect()}
+    assert set(got) == {"/a", "/missing"} and got["/a"].page.errors == [] and len(got["/a"].page.links) == 3
+    assert got["/missing"].page.errors == ["fetch: no answer"] and got["/missing"].page.links == [] and got["/missing"].kind == "NetworkError"
+    assert [r.url for r in fetch.fetched(urls, site).collect()] == [B + "/a"]
+
+
+def test_progress_lines():
+    import time
+
+    from webweft.plans import progress
+
+    assert progress.line(8, 20, 4.0, 3, 1) == "[########------------]  40% 8/20 | 2.0/s | left 6 s | active 3 | failed 1"
+    assert "left -" in progress.line(0, 10, 0.0) and "100%" in progress.line(5, 5, 1.0)
+    seen = []
+    with progress.Monitor(lambda: {"done": 1, "total": 2, "elapsed": 1.0}, 0.01, seen.append):
+        time.sleep(0.05)
+    assert len(seen) >= 2
+
+
+def test_batch_progress(spark, tmp_path):
+    from webweft.plans import progress
+    from webweft.streaming import events
+
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    seen = []
+    listener = progress.BatchProgress(10, seen.append)
+    spark.streams.addListener(listener)
+    events.run_available(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), "append")
+    for _ in range(50):
+        if seen:
+            break
+        import time
+
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert listener.done == 10 and "10/10" in seen[-1]

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webweft.functions import errors, html_native, html_tree, monitor, robots, sitemap, urls
-from webweft.operators import breaker, frontier, politeness, retry, stats, store
-from webweft.sources import readers, sinks
+from webweft.operators import breaker, fetch, frontier, politeness, retry, stats, store
+from webweft.sources import readers, sinks, sitemaps
 from webweft.stored import shared_dir
 from webweft.streaming import events as streaming
 
@@ -532,6 +532,49 @@ def monitor_format(spark, d):
     return spark.range(5000).select("id", monitor.format_duration(i.cast("double")).alias("duration"), monitor.estimate_eta(i, F.lit(4000), F.lit(10.0)).alias("eta"), F.regexp_extract(bar, r"^\[(#*)", 1).alias("filled"))
 
 
+# --- fetching ---
+
+
+def _asked(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Page URLs and as many that the snapshot lacks; the snapshot with some errors."""
+    p = pages(spark, d)
+    u = urls.normalize_url(F.col("url"))
+    asked = p.select(u.alias("url")).union(p.select(F.concat(u, F.lit("~lost"))))
+    status = F.when(F.col("page_id") % 5 == 0, 404).when(F.col("page_id") % 7 == 0, 503)
+    return asked, p.groupBy(u.alias("url")).agg(F.max_by("html", "page_id").alias("html"), F.max_by(status, "page_id").alias("status_code"))
+
+
+ASKED = f"s AS (SELECT {NORM} AS url, max(page_id) AS i FROM pages GROUP BY 1), a AS (SELECT url, CASE WHEN i % 5 = 0 THEN 404 WHEN i % 7 = 0 THEN 503 ELSE 200 END AS status_code FROM s UNION ALL SELECT url || '~lost', NULL FROM s)"
+
+
+@query(f"WITH {ASKED} SELECT url, status_code, CASE status_code WHEN 404 THEN 'PermanentError' WHEN 503 THEN 'TransientError' WHEN 200 THEN NULL ELSE 'NetworkError' END AS kind FROM a")
+def fetch_snapshot(spark, d):
+    return fetch.fetch(*_asked(spark, d)).select("url", "status_code", "kind")
+
+
+@query(f"WITH {ASKED} SELECT CASE WHEN status_code IS NULL THEN 'NetworkError' WHEN status_code = 404 THEN 'PermanentError' ELSE 'TransientError' END AS kind, count(*) AS urls, count(DISTINCT status_code) AS statuses FROM a WHERE status_code IS NULL OR status_code >= 400 GROUP BY 1")
+def fetch_error_stats(spark, d):
+    return fetch.error_stats(fetch.fetch(*_asked(spark, d)))
+
+
+@query(f"WITH {ASKED} SELECT url, CASE WHEN status_code IS NULL THEN 'fetch: no answer' WHEN status_code >= 400 THEN 'fetch: HTTP ' || status_code ELSE '' END AS errors FROM a")
+def fetch_and_parse(spark, d):
+    return fetch.fetch_and_parse(*_asked(spark, d)).select("url", F.array_join("page.errors", "; ").alias("errors"))
+
+
+@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id % 3 = 0)")
+def sitemap_tree(spark, d):
+    """An index of two sitemaps that overlap, a broken one, one that is lacking and itself."""
+    u = pages(spark, d).where("page_id % 3 = 0").select(urls.normalize_url(F.col("url")).alias("url"), "page_id")
+    xml = lambda c: F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(F.concat(F.lit("<url><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    b = "http://maps.test"
+    one, two = (u.where(w).agg(F.lit(f"{b}/{n}.xml").alias("url"), F.encode(xml(F.col("url")), "utf-8").alias("payload")) for n, w in (("a", "page_id % 2 = 0"), ("b", "page_id % 2 = 1 or page_id % 4 = 0")))
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{b}/{n}.xml</loc></sitemap>" for n in ("a", "b", "broken", "lost", "index")) + "</sitemapindex>"
+    rest = spark.createDataFrame([(f"{b}/index.xml", index.encode()), (f"{b}/broken.xml", b"<urlset>")], "url string, payload binary")
+    found, _ = sitemaps.sitemap_tree(one.union(two).union(rest), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"))
+    return found.select("url", F.length("url").cast("long").alias("n"))
+
+
 # --- streaming ---
 
 
