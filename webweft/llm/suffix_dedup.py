@@ -16,7 +16,6 @@ common prefix reaches `length` are the repeated intervals. Suffixes are never so
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
