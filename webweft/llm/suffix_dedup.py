@@ -30,7 +30,7 @@ LENGTH = 100
 #: Bytes of an anchor. Contexts of an anchor that has more than MANY go by longer anchors within them; with the last,
 #: an anchor is a whole string, so that equal contexts are all there is and nothing is left to merge.
 PIECES = (36, 84, 100)
-MANY = 4_096
+MANY = 32_768
 #: Bytes of a symbol in the merge; divides LENGTH.
 STRIDE = 4
 #: Bytes of text that a worker takes at once, and anchors that it combines before it sends them.
@@ -250,15 +250,6 @@ def _contexts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=_CONTEXT_NAMES)
 
 
-def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of longer anchors, cut out of the contexts (lo, context) that they lie in."""
-    for b in batches:
-        out = []
-        for h, doc, rid, lo, hi, base, context in zip(*(c.to_pylist() for c in b.columns)):
-            out.append((h, doc, rid, lo, context[lo - base : hi - base]))
-        yield from _contexts(out)
-
-
 def refine(sym: np.ndarray, order: np.ndarray, steps: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement: positions and blocks of those whose next steps * stride bytes occur again.
 
@@ -373,32 +364,24 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """(doc, rid, text) and (doc, rid, spans array<struct<lo, hi>>): bytes of each document to remove, unmerged."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
-    met = _anchored(rows.withColumn("lo", F.lit(0)), PIECES[0])
-    crowded = _crowded(met, many)
-    places = met.df.where("kind = 0").groupBy("doc", "rid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places"))
-    contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(_cut_contexts, _CONTEXT)
-    done = [met]
-    if crowded.isEmpty():
-        done.append(_merged(contexts))
-    else:
+    found = rows.withColumn("lo", F.lit(0))
+    done = []
+    for piece in PIECES:
+        met = _anchored(found, piece)
+        done.append(met)
+        if piece == PIECES[-1]:
+            break
+        crowded = _crowded(met, many)
+        places = met.df.where("kind = 0").groupBy("doc", "rid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places"))
+        contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(_cut_contexts, _CONTEXT)
+        if crowded.isEmpty():
+            done.append(_merged(contexts))
+            break
+        # crowded anchors: the same again within their contexts, by longer anchors
         contexts = Stored(contexts, "contexts")
         done.append(_merged(contexts.df.join(crowded, "h", "left_anti").select(*_CONTEXT_NAMES)))
-        inner = contexts.df.join(crowded, "h", "left_semi").select(*_CONTEXT_NAMES)
-        for piece in PIECES[1:]:
-            # the same again within the crowded contexts, by longer anchors
-            inner = Stored(inner, "crowded")
-            met = _anchored(inner.df.withColumnRenamed("context", "text"), piece)
-            done.append(met)
-            firsts = met.df.where("kind = 0")
-            if piece == PIECES[-1] or firsts.isEmpty():
-                break
-            # a shorter context lies in each context of its place that covers it; one of them will do
-            own = firsts.alias("f").join(inner.df.select("doc", "rid", F.col("lo").alias("base"), "context").alias("i"), ["doc", "rid"]).where((F.col("f.lo") >= F.col("i.base")) & (F.col("f.hi") <= F.col("i.base") + F.length("i.context")))
-            own = own.groupBy("f.h", "doc", "rid", "f.lo", "f.hi").agg(F.min(F.struct("i.base", "i.context")).alias("of"))
-            cut = Stored(own.select("h", "doc", "rid", "lo", "hi", "of.base", "of.context").mapInArrow(_shorter, _CONTEXT), "contexts")
-            crowded = _crowded(met, many)
-            done.append(_merged(cut.df.join(crowded, "h", "left_anti").select(*_CONTEXT_NAMES)))
-            inner = cut.df.join(crowded, "h", "left_semi").select(*_CONTEXT_NAMES)
+        found = Stored(contexts.df.join(crowded, "h", "left_semi").select("doc", "rid", "lo", F.col("context").alias("text")), "crowded").df
+        contexts.drop()
     release_shuffles(spark)
     marks = None
     for t in done:
