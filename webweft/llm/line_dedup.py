@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import keyed_text, read
+from webweft.llm.common import Stored, keyed_text, read
 
 #: Units with fewer words than this are left alone.
 LEAST_WORDS = 5
@@ -84,6 +84,8 @@ def line_dedup(docs: DataFrame, by: str = "line", least_words: int = LEAST_WORDS
     own = rows.select("doc", "rid", "text").mapInArrow(_units(by, least_words), _UNIT)
     place = F.struct("doc", "rid", "unit")
     first = own.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # stored, so that the join stands on its own shuffle and a line that very many share may be split there
+    first = Stored(first, "firsts").df
     late = own.join(first, "digest").where(place > F.col("first"))
     gone = late.groupBy("doc", "rid").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     return rows.join(gone, ["doc", "rid"], "left").select("doc_id", "text", "gone").mapInArrow(_cut(by), "doc_id long, n_units long, removed array<struct<start:int,end:int>>, kept string")
