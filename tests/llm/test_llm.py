@@ -564,3 +564,17 @@ def test_pipeline(spark, sf, tok):
     check = packing.pack(docs).collect()
     assert check_pieces(check, tok, {r.doc_id: r.text for r in docs.collect()}) == 0
     assert c.run(spark, sf).count() > 0
+
+
+def test_pipeline_edges(spark, sf, edge, empty):
+    import corpus_pipeline as c
+
+    for docs in (edge, empty):
+        for name, stage in c.STAGES:
+            out = stage(spark, docs, sf)
+            n = out.count()
+            assert n <= docs.count() or name == "packing"
+            assert name == "packing" or out.columns == docs.columns
+    # what is clean stays: a text that nothing else shares
+    kept = {r.doc_id for r in c.STAGES[1][1](spark, edge, sf).collect()}
+    assert {6, 8, 9} <= kept
