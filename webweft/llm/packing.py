@@ -66,11 +66,11 @@ class Packer:
         return None
 
     def full(self) -> Iterator[tuple[int, list]]:
-        """Windows packed full from what waits. At most one window's worth of pieces waits on in each tier."""
+        """Windows packed full from what waits. A tier's pieces wait on where all that is left can't fill a window."""
         for k, tier in enumerate(self.tiers):
-            while self.wait[tier]:
-                if sum(x[0] for t in self.tiers[k:] for x in self.wait[t][-tier:]) < tier:
-                    break
+            left = sum(x[0] for t in self.tiers[k:] for x in self.wait[t])
+            while self.wait[tier] and left >= tier:
+                left -= tier
                 length, doc, start = self.wait[tier].pop()
                 self.n -= 1
                 window, gap = [(doc, start, length)], tier - length
