@@ -152,6 +152,22 @@ def test_near_duplicate_texts(spark, cap):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_with_heavily_repeated_lines(spark):
+    """A line that one copy repeats often adds few distinct shingles; the copies stay similar and are found."""
+    rng = random.Random(6)
+    data, pairs = [], []
+    for n, line, often, rarely in [(300, 10, 100, 2), (60, 5, 20, 1), (100, 10, 10, 1)]:
+        for _ in range(20):
+            body, line_words = ([f"w{rng.randrange(10**6)}" for _ in range(k)] for k in (n, line))
+            a, b = (" ".join(body + line_words * k) for k in (often, rarely))
+            sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b)]
+            assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+            pairs.append(len(data))
+            data += [(len(data), a), (len(data) + 1, b)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [i for i in pairs if got[i + 1] != i] == []
+
+
 def test_simhash_edges(edge, empty):
     got = simhash.near_duplicates(edge).collect()
     assert len(got) == edge.count() and {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}

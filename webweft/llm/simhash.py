@@ -212,8 +212,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bands of two minima each: texts of Jaccard similarity 0.8 share one with probability 1 - 0.36**12.
 BANDS = 12
-#: Bits by which SimHashes of such texts differ at most, save for a share below 0.001.
-NEAR_BITS = 20
+#: Bits by which SimHashes of such sets differ at most, save for a share below that: a bit differs with
+#: probability 3/16 at most (four shingles of five), and more than 28 of 64 do with 1.1e-6.
+NEAR_BITS = 28
 _rng = np.random.default_rng(8)
 _MULTIPLY = _rng.integers(1, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 
@@ -239,13 +240,14 @@ def simhash(h: np.ndarray) -> int:
 
 
 def _sketch(shingle: int):
-    """Of each text: a digest of its words, its SimHash, and a key for each band."""
+    """Of each text: a digest of its words, the SimHash of its set of shingles, and a key for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digest, fps, keys = [], [], []
             for t in b.column(1).to_pylist():
-                h = shingle_hashes(t, shingle)
+                # the set that similarity is measured on: a repeated line must not outvote the rest
+                h = np.unique(shingle_hashes(t, shingle))
                 digest.append(xxhash.xxh3_64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())))
                 fps.append(simhash(h))
                 if len(h):
