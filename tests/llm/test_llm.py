@@ -178,6 +178,11 @@ def test_simhash_edges(edge, empty):
     assert [x for x in left if x[0] == 1] and not [x for x in left if x[0] in (4, 5)] and [x for x in left if x[0] == 6] and not [x for x in left if x[0] == 7]
 
 
+def test_one_of_each_keeps_other_texts_of_an_id(edge):
+    got = sorted(r.text for r in simhash.one_of_each(edge).where("doc_id = 2").collect())
+    assert got == ["another text under the same id"]
+
+
 # --- suffix dedup ---
 
 

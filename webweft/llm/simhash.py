@@ -257,7 +257,7 @@ def _sketch(shingle: int):
                 else:
                     keys.append([])
             lists = pa.array([np.array(k, dtype=np.uint64).view(np.int64) for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["doc_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], names=["doc_id", "text_hash", "node", "fp", "keys"])
 
     return run
 
@@ -354,8 +354,12 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = 5, similarity: float =
     component_id is the smallest doc_id reachable; texts without words form one group. Repeated rows
     stay repeated. A null id takes part but is never the smallest. Empty in, empty out.
     """
-    rows = keyed_text(docs, id_col, text_col)
-    own = Stored(rows.mapInArrow(_sketch(shingle), "doc_id long, node long, fp long, keys array<long>"), "sketches")
+    return _grouped(keyed_text(docs, id_col, text_col), shingle, similarity, radius, cap).select("doc_id", "component_id")
+
+
+def _grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, cap: int = CAP) -> DataFrame:
+    """near_duplicate_texts() of rows (doc_id, text), with the hash of each row's text: (doc_id, text_hash, component_id)."""
+    own = Stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(shingle), "doc_id long, text_hash long, node long, fp long, keys array<long>"), "sketches")
     first = own.df.groupBy("node").agg(F.min("doc_id").alias("first"))
     nodes = own.df.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("first")).where("first is not null")
     member = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "fp")
@@ -376,7 +380,7 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = 5, similarity: float =
     group = label.groupBy("root").agg(F.min("first").alias("component_id"))
     for t in (buckets, close):
         t.drop()
-    return own.df.select("doc_id", "node").join(label.join(group, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return own.df.select("doc_id", "text_hash", "node").join(label.join(group, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -388,9 +392,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = docs.select(F.col(id_col).alias("__id"))
     if not ids.where("__id is not null").groupBy("__id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates([id_col, text_col])
-    groups = near_duplicate_texts(docs, id_col=id_col, text_col=text_col, **how)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    groups = _grouped(keyed_text(docs, id_col, text_col), **how)
+    # by text as well: another text under the same id may stand for a group of its own
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("__gone")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__text")), "left_anti")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
