@@ -558,6 +558,50 @@ def test_license_scan(spark, edge, empty):
     assert license_scan.license_scan(edge).count() == 0 and license_scan.license_scan(empty).count() == 0
 
 
+def slow_runs(text):
+    """The runs of words that license_spans() should find, from all runs there are."""
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    b = list(zip(w, w[1:]))
+    found = []
+    for name, notice in license_scan.TEMPLATES:
+        t = {tuple(x.split()) for x in license_scan.template_bigrams(notice)}
+        for lo in range(len(b)):
+            own = set()
+            for hi in range(lo, len(b)):
+                own.add(b[hi])
+                if len(own) > 1.5 * len(t):
+                    break
+                dice = 2 * len(own & t) / (len(own) + len(t))
+                if dice >= 0.8:
+                    found.append((-dice, -len(own & t), name, hi - lo, lo, hi))
+    kept = []
+    for x in sorted(found):
+        if all(x[5] + 1 < y[4] or y[5] + 1 < x[4] for y in kept):
+            kept.append(x)
+    return sorted((x[4], x[3] + 2, x[2], round(-x[0], 9)) for x in kept)
+
+
+def test_license_spans(spark, edge, empty):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "license", "under", "work", "is", "a", "cat", "runs", "in"]) for _ in range(n))
+    texts = []
+    for name, notice in license_scan.TEMPLATES:
+        w = notice.split()
+        wrapped = "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+        dealt = [x for x in w if rng.random() > 0.04]
+        texts += [f"{prose(150)}\n{wrapped}\n{prose(150)}", f"{prose(30)} {notice} {prose(30)}", f"{prose(9)} {' '.join(dealt)} {prose(9)}"]
+    mit = license_scan.TEMPLATES[18][1]
+    texts += [" ".join([mit] * 9), f"{mit}\n{prose(400)}\nAll rights reserved. x {mit}", prose(300), "", "license"]
+    rows = list(enumerate(texts))
+    got = {}
+    for r in license_scan.license_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.n_words, r.license, round(r.dice, 9)))
+    want = {i: slow_runs(t) for i, t in rows}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert all(license_scan.TEMPLATES[i // 3][0] in {x[2] for x in got[i]} for i in range(3 * len(license_scan.TEMPLATES)) if i % 3 < 2)
+    assert license_scan.license_spans(edge).count() == 0 and license_scan.license_spans(empty).count() == 0
+
+
 # --- all of it ---
 
 

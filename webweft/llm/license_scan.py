@@ -52,9 +52,12 @@ def words(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
 
 
+def pairs(w: Column) -> Column:
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(w: Column) -> Column:
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(pairs)
+    return F.array_distinct(pairs(w))
 
 
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,6 +95,51 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start_word, n_words, license, dice): runs of consecutive words, anywhere in a text and over its lines, that
+    reach `least` with a template; of runs that overlap the likest, then the one with more of its template, then by name and place.
+
+    No run is left out by its length. One that reaches `least` still does without a first or last bigram that is not the
+    template's or that recurs in it, so those from a bigram of the template, before it recurs, to the first of another
+    are all there are to try. Words count from 0 after normalisation. Repeated rows stay repeated. Empty in, empty out.
+    """
+    known = [(name, template_bigrams(text)) for name, text in templates]
+    shape = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for name, b in known if b])
+    every = F.array(*map(F.lit, sorted({x for _, b in known for x in b})))
+    share = least / (2 - least)
+    rows = keyed_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    # explode of one element: a generator's output is not evaluated again by what stands on it
+    got = rows.select("row", "doc_id", F.explode(F.array(words(F.col("text")))).alias("w")).select("row", "doc_id", F.explode(F.array(pairs(F.col("w")))).alias("b"))
+    got = got.select("row", "doc_id", "b", F.explode(F.array(F.array_intersect("b", every))).alias("present")).where(F.size("present") > 0)
+    near = F.filter(shape, lambda t: F.size(F.array_intersect("present", t["bigrams"])) >= t["n"] * share - 1e-9)
+    got = got.select("row", "doc_id", "b", F.explode(near).alias("t"))
+    hits = F.filter(F.transform("b", lambda x, i: F.struct((i + 1).alias("at"), F.array_position("t.bigrams", x).alias("code"))), lambda h: h["code"] > 0)
+    got = got.select("row", "doc_id", "b", "t", F.explode(F.array(hits)).alias("hits"))
+    got = got.select("row", "doc_id", "b", "t", "hits", F.posexplode("hits").alias("k", "from"))
+    again = F.array_position(F.transform(F.slice("hits", F.col("k") + 2, F.size("hits")), lambda h: h["code"]), F.col("from.code"))
+    reach = F.slice("hits", F.col("k") + 1, F.when(again > 0, again.cast("int")).otherwise(F.size("hits")))
+    got = got.select("row", "doc_id", "b", "t", "from", F.explode(F.array(reach)).alias("reach"))
+    codes = F.transform("reach", lambda h: h["code"])
+    ends = F.transform(F.filter(F.transform("reach", lambda h, i: F.struct(h["at"].alias("at"), (F.array_position(codes, h["code"]) == i + 1).alias("new"))), lambda h: h["new"]), lambda h: h["at"])
+    got = got.select("row", "doc_id", "b", "t", "from", F.explode(F.array(ends)).alias("ends"))
+    size = lambda end: F.size(F.array_distinct(F.slice("b", F.col("from.at"), end - F.col("from.at") + 1)))
+    fewest = F.ceil(F.col("t.n") * share - 1e-9).cast("int")
+    got = got.where(F.size("ends") >= fewest)
+    # sets only grow with the end: one that is too large at the first end that can do rules its start out
+    got = got.where(size(F.element_at("ends", fewest)) <= F.col("t.n") / share + 1e-9)
+    runs = F.transform("ends", lambda end, i: F.when(i + 1 >= fewest, F.struct((-2.0 * (i + 1) / (size(end) + F.col("t.n"))).alias("minus"), (-(i + 1)).alias("fewer"), F.col("t.license").alias("license"), F.col("from.at").alias("lo"), end.alias("hi"))))
+    got = got.select("row", "doc_id", F.explode(F.array(F.array_min(runs))).alias("run")).where(F.col("run.minus") <= F.lit(-least))
+    ranked = got.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    # words lo to hi + 1 of each
+    apart = lambda kept, x: ~F.exists(kept, lambda y: (y["lo"] <= x["hi"] + 1) & (x["lo"] <= y["hi"] + 1))
+    kept = F.aggregate("runs", F.slice("runs", 1, 0), lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return ranked.select("doc_id", F.explode(kept).alias("r")).select("doc_id", (F.col("r.lo") - 1).alias("start_word"), (F.col("r.hi") - F.col("r.lo") + 2).cast("int").alias("n_words"), "r.license", (-F.col("r.minus")).alias("dice"))
+
+
+def op10_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans(read(spark, sf_dir, "documents"))
+
+
 def _oracle() -> str:
     values = ",\n".join("({}, [{}])".format("'" + name + "'", ", ".join(f"'{x}'" for x in template_bigrams(text))) for name, text in TEMPLATES)
     longest = max(len(text) for _, text in TEMPLATES) * 4
@@ -114,5 +162,5 @@ WHERE k = 1
 """
 
 
-QUERIES = {"op10_license_scan": op10_license_scan}
+QUERIES = {"op10_license_scan": op10_license_scan, "op10_license_spans": op10_license_spans}
 ORACLE = {"op10_license_scan": _oracle()}
