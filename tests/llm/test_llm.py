@@ -558,6 +558,24 @@ def test_license_scan(spark, edge, empty):
     assert license_scan.license_scan(edge).count() == 0 and license_scan.license_scan(empty).count() == 0
 
 
+def test_line_dedup_all(spark, sf, rows):
+    got = {r.doc_id: r for r in line_dedup.op3_line_dedup_all(spark, sf).collect()}
+    seen, short = set(), 0
+    for i, t in sorted(rows):
+        spans, kept, at = [], [], 0
+        for line in (t or "").split("\n"):
+            words = tuple(line.lower().split())
+            if words and words in seen:
+                spans.append(f"{at}-{at + len(line)}")
+                short += len(words) < 5
+            else:
+                kept.append(line)
+            seen.add(words)
+            at += len(line) + 1
+        assert (got[i].n_removed, got[i].removed_spans, got[i].kept_sha256) == (len(spans), ",".join(spans), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    assert short > 0
+
+
 def slow_runs(text):
     """The runs of words that license_spans() should find, from all runs there are."""
     w = re.sub("[^a-z0-9]+", " ", text.lower()).split()

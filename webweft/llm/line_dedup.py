@@ -91,14 +91,22 @@ def line_dedup(docs: DataFrame, by: str = "line", least_words: int = LEAST_WORDS
     return rows.join(gone, ["doc", "rid"], "left").select("doc_id", "text", "gone").mapInArrow(_cut(by), "doc_id long, n_units long, removed array<struct<start:int,end:int>>, kept string")
 
 
-def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup(read(spark, sf_dir, "documents"))
+def _in_figures(done: DataFrame) -> DataFrame:
     chars = F.aggregate("removed", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
     places = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return done.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), places.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_figures(line_dedup(read(spark, sf_dir, "documents")))
+
+
+def op3_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of all lines but blank ones, however short."""
+    return _in_figures(line_dedup(read(spark, sf_dir, "documents"), least_words=1))
+
+
+QUERIES = {"op3_line_dedup": op3_line_dedup, "op3_line_dedup_all": op3_line_dedup_all}
 ORACLE = {
     "op3_line_dedup": """
 WITH l AS (
@@ -117,3 +125,4 @@ SELECT doc_id, count(*) AS n_units, count(*) FILTER (k > 1) AS n_removed,
 FROM r GROUP BY doc_id
 """
 }
+ORACLE["op3_line_dedup_all"] = ORACLE["op3_line_dedup"].replace("len(string_split(norm, ' ')) >= 5", "norm <> ''")
