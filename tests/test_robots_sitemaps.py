@@ -91,3 +91,26 @@ def test_table_function(spark):
     sitemap.SitemapLocations.register(spark)
     got = spark.sql("SELECT loc FROM sitemap_locations(CAST('<urlset><url><loc>http://a/x</loc></url></urlset>' AS BINARY), 'http://a/')").collect()
     assert [r.loc for r in got] == ["http://a/x"]
+
+
+def test_sitemap_tree_without_a_limit(spark):
+    n = sitemap.MOST_URLS + 1
+    text = "\n".join(f"http://a.test/{i}" for i in range(n)).encode()
+    files = spark.createDataFrame([("http://a.test/s.txt", text)], "url string, payload binary")
+    roots = spark.createDataFrame([("http://a.test/s.txt", 0)], "url string, pos int")
+    assert sitemap_tree(files, roots)[0].count() == n - 1 and sitemap_tree(files, roots, max_urls=None)[0].count() == n
+
+
+def test_queries_over_all_ids(spark, sf, tmp_path):
+    from webweft.plans import catalog
+
+    ids = [*range(40), 20_001, 100_000_000, 100_000_001]
+    spark.createDataFrame([(i, f"https://a.test/{i}", "") for i in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = {f"https://a.test/{i}" for i in ids}
+    assert {r.url for r in catalog.QUERIES["url_prefix_pushdown_all"](spark, str(tmp_path)).collect()} == want
+    got = catalog.QUERIES["sitemap_tree_all"](spark, str(tmp_path)).collect()
+    assert {r.url for r in got} == want and len(got) == len(ids)
+    log = catalog.request_log(spark, sf)
+    calls = sum(-(-r["count"] // 4) for r in log.groupBy("domain").count().collect())
+    assert catalog.QUERIES["retry_stats_all"](spark, sf).collect()[0].calls == calls
+    assert catalog.QUERIES["retry_attempts_all"](spark, sf).select("url").distinct().count() == calls

@@ -86,6 +86,11 @@ def url_prefix_pushdown(spark, d):
     return pages(spark, d).where(F.col("url").startswith("https://") & (F.col("page_id") < 100000000)).select("page_id", "url")
 
 
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')")
+def url_prefix_pushdown_all(spark, d):
+    return pages(spark, d).where(F.col("url").startswith("https://")).select("page_id", "url")
+
+
 @query("SELECT page_id, ['a/1', 'b/2', 'c/3'][page_id % 3 + 1] AS agent FROM pages")
 def ua_rotation(spark, d):
     return pages(spark, d).select("page_id", urls.user_agent(AGENTS, F.col("page_id")).alias("agent"))
@@ -268,24 +273,36 @@ def retry_backoff(spark, d):
     return e.select(F.col("event_id").alias("id"), errors.backoff(n, status).alias("delay"), errors.timeout(n).alias("timeout"))
 
 
-def _outcomes(spark, d) -> DataFrame:
+def _outcomes(spark, d, which: str = "true") -> DataFrame:
     """Each user's first four events of a day-long session as tries of one URL; the fifth kind of event ends it."""
-    log = request_log(spark, d).where("status <> 404 or id % 2 = 0")
+    log = request_log(spark, d).where(which)
     n = F.row_number().over(Window.partitionBy("domain").orderBy("us", "id")) - 1
     return log.withColumn("k", n).select(F.concat("domain", F.lit("/"), F.floor(F.col("k") / 4).cast("string")).alias("url"), (F.col("k") % 4).alias("n"), "kind", "status", F.lit(None).cast("double").alias("retry_after"))
 
 
+#: The requests that retry_attempts and retry_stats are about; the queries _all take every one.
+HALF_LOST = "status <> 404 or id % 2 = 0"
 OUTCOMES = f"x AS ({LOG}), y AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY us, id) - 1 AS k FROM x WHERE status <> 404 OR id % 2 = 0), o AS (SELECT domain || '/' || (k // 4) AS url, CAST(k % 4 AS INTEGER) AS n, kind, status FROM y)"
 MADE = f"{OUTCOMES}, a AS (SELECT *, coalesce(kind = 'TransientError' AND n < 3, false) AS again FROM o), s AS (SELECT url, min(n) FILTER (NOT again) AS stop FROM a GROUP BY 1), m AS (SELECT a.*, CASE WHEN again THEN least(30.0, pow(2.0, n)) END AS delay FROM a JOIN s USING (url) WHERE stop IS NULL OR n <= stop)"
 
 
 @query(f"WITH {MADE} SELECT url, n, kind, status, NOT again AS last, delay FROM m")
 def retry_attempts(spark, d):
-    return retry.attempt_log(_outcomes(spark, d))
+    return retry.attempt_log(_outcomes(spark, d, HALF_LOST))
 
 
 @query(f"WITH {MADE}, u AS (SELECT url, count(kind) AS e, count(delay) AS r, sum(delay) AS w, bool_or(NOT again AND kind IS NULL) AS ok, bool_or(NOT again AND coalesce(kind = 'PermanentError', false)) AS p FROM m GROUP BY 1) SELECT count(*) AS calls, CAST(sum(e) AS BIGINT) AS total_errors, CAST(sum(r) AS BIGINT) AS retries, count(*) FILTER (ok AND r > 0) AS successful_retries, count(*) FILTER (NOT ok AND r > 0) AS failed_after_retries, sum(w) / sum(r) AS avg_retry_delay, count(*) FILTER (p) AS permanent_urls FROM u")
 def retry_stats(spark, d):
+    return retry.retry_stats(retry.attempt_log(_outcomes(spark, d, HALF_LOST)))
+
+
+@query(ORACLE["retry_attempts"].replace(" WHERE status <> 404 OR id % 2 = 0", ""))
+def retry_attempts_all(spark, d):
+    return retry.attempt_log(_outcomes(spark, d))
+
+
+@query(ORACLE["retry_stats"].replace(" WHERE status <> 404 OR id % 2 = 0", ""))
+def retry_stats_all(spark, d):
     return retry.retry_stats(retry.attempt_log(_outcomes(spark, d)))
 
 
@@ -564,14 +581,32 @@ def fetch_and_parse(spark, d):
 
 @query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id % 3 = 0)")
 def sitemap_tree(spark, d):
-    """An index of two sitemaps that overlap, a broken one, one that is lacking and itself."""
-    u = pages(spark, d).where("page_id % 3 = 0").select(urls.normalize_url(F.col("url")).alias("url"), "page_id")
+    return _sitemap_urls(spark, pages(spark, d).where("page_id % 3 = 0"))
+
+
+@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
+def sitemap_tree_all(spark, d):
+    return _sitemap_urls(spark, pages(spark, d))
+
+
+#: Page ids of a sitemap; the protocol allows 50,000 URLs.
+SITEMAP_IDS = 20_000
+
+
+def _sitemap_urls(spark, p: DataFrame) -> DataFrame:
+    """URLs by an index of two series of sitemaps that overlap, a broken one, one that is lacking and itself."""
+    u = p.select(urls.normalize_url(F.col("url")).alias("url"), "page_id")
     xml = lambda c: F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(F.concat(F.lit("<url><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
     b = "http://maps.test"
-    one, two = (u.where(w).agg(F.lit(f"{b}/{n}.xml").alias("url"), F.encode(xml(F.col("url")), "utf-8").alias("payload")) for n, w in (("a", "page_id % 2 = 0"), ("b", "page_id % 2 = 1 or page_id % 4 = 0")))
-    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{b}/{n}.xml</loc></sitemap>" for n in ("a", "b", "broken", "lost", "index")) + "</sitemapindex>"
-    rest = spark.createDataFrame([(f"{b}/index.xml", index.encode()), (f"{b}/broken.xml", b"<urlset>")], "url string, payload binary")
-    found, _ = sitemaps.sitemap_tree(one.union(two).union(rest), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"))
+    named = lambda n: F.concat(F.lit(f"{b}/{n}"), F.floor(F.col("page_id") / SITEMAP_IDS).cast("string"), F.lit(".xml"))
+    one, two = (u.where(w).select(named(n).alias("file"), "url") for n, w in (("a", "page_id % 2 = 0"), ("b", "page_id % 2 <> 0 or page_id % 4 = 0")))
+    dealt = one.union(two)
+    files = dealt.groupBy(F.col("file").alias("url")).agg(F.encode(xml(F.col("url")), "utf-8").alias("payload"))
+    listed = F.array_union(F.array_sort(F.collect_set("file")), F.array(*[F.lit(f"{b}/{n}.xml") for n in ("broken", "lost", "index")]))
+    entries = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))), "")
+    index = dealt.agg(F.lit(f"{b}/index.xml").alias("url"), F.encode(F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")), "utf-8").alias("payload"))
+    broken = spark.createDataFrame([(f"{b}/broken.xml", b"<urlset>")], "url string, payload binary")
+    found, _ = sitemaps.sitemap_tree(files.union(index).union(broken), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"), max_urls=None)
     return found.select("url", F.length("url").cast("long").alias("n"))
 
 

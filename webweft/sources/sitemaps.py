@@ -9,11 +9,12 @@ from webweft.functions.sitemap import MOST_DEPTH, MOST_URLS, parsed
 from webweft.stored import Stored
 
 
-def sitemap_tree(files: DataFrame, roots: DataFrame, max_depth: int = MOST_DEPTH, max_urls: int = MOST_URLS) -> tuple[DataFrame, DataFrame]:
+def sitemap_tree(files: DataFrame, roots: DataFrame, max_depth: int = MOST_DEPTH, max_urls: int | None = MOST_URLS) -> tuple[DataFrame, DataFrame]:
     """(url, depth, parent, pos) of distinct page URLs, and (sitemap_url, error).
 
     files: (url, payload). roots: (url, pos). A file that is missing or can't be read is an error and does
     not stop the rest. Order is by level, then the parent's place, then the place in the file.
+    max_urls: the first so many URLs by that order; None for all.
     """
     level = roots.select("url", F.col("pos").cast("long").alias("parent")).groupBy("url").agg(F.min("parent").alias("parent"))
     seen = level.select("url")
@@ -35,7 +36,8 @@ def sitemap_tree(files: DataFrame, roots: DataFrame, max_depth: int = MOST_DEPTH
             break
         seen = seen.union(level.select("url"))
     first = found.groupBy("url").agg(F.min(F.struct("depth", "parent", "pos")).alias("at"))
-    return first.orderBy("at").limit(max_urls).select("url", "at.*"), errors
+    first = first if max_urls is None else first.orderBy("at").limit(max_urls)
+    return first.select("url", "at.*"), errors
 
 
 def sitemaps_of(robots: DataFrame) -> DataFrame:
