@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,6 +361,23 @@ def test_step_groups_are_even(docs):
     assert max(r.n for r in got) <= packing.STEP_TOKENS
 
 
+def test_step_groups_of_many_batches(monkeypatch):
+    """Groups that close between batches: their numbers are not given again, and open ones are filled."""
+    monkeypatch.setattr(packing, "WAITING", 20)
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 1})()))
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "word", "of", "tokens"]) for _ in range(rng.choice([100, 250, 500, 700, 1020, 1500, 2040]))) for _ in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 30), pa.int64()), pa.array(texts[i : i + 30])], names=["doc_id", "text"]) for i in range(0, 3000, 30)]
+    size, group = {}, {}
+    for b in packing._pack(packing.default_path(), 1, packing.TIERS, False)(iter(batches)):
+        for r in b.to_pylist():
+            size[r["sequence_id"]], group[r["sequence_id"]] = r["window"], r["step_group"]
+    total = Counter()
+    for s, n in size.items():
+        total[group[s]] += n
+    assert len(total) > 20 and max(total.values()) <= packing.STEP_TOKENS
+
+
 # --- quality ---
 
 

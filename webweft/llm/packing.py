@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -111,31 +112,30 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], with_ids: bool):
         base = TaskContext.get().partitionId() << 36
         end = int(end_id).to_bytes(4, "little")
         held: dict[int, tuple[int | None, bytes]] = {}
-        seq = doc = 0
-        groups = [[base, 0]]  # of steps: number, tokens
+        seq = doc = made = 0
+        groups: list[tuple[int, int]] = []  # open ones, of steps, as a heap: tokens, number
 
         def rows(windows: list[tuple[int, list]]) -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, made
             out: list[tuple] = []
             ids: list[bytes] = []
             # long windows first, each to the emptiest open group; a full group closes
             for size, window in sorted(windows, key=lambda w: -w[0]):
-                g = min((x for x in groups if x[1] + size <= STEP_TOKENS), key=lambda x: x[1], default=None)
-                if g is None:
-                    g = [max(x[0] for x in groups) + 1, 0]
-                    groups.append(g)
-                g[1] += size
+                if groups and groups[0][0] + size <= STEP_TOKENS:
+                    tokens, g = heappop(groups)
+                else:
+                    tokens, g, made = 0, base + made, made + 1
+                if tokens + size < STEP_TOKENS:
+                    heappush(groups, (tokens + size, g))
                 at = 0
                 for d, s, n in window:
                     key, raw = held[d]
                     part = raw[4 * s : 4 * (s + n)]
-                    out.append((key, s, n, zlib.crc32(part), len(raw) // 4, base + seq, at, size, g[0]))
+                    out.append((key, s, n, zlib.crc32(part), len(raw) // 4, base + seq, at, size, g))
                     at += n
                     if with_ids:
                         ids.append(part)
                 seq += 1
-            top = max(x[0] for x in groups)
-            groups[:] = [x for x in groups if x[1] < STEP_TOKENS][-8:] or [[top + 1, 0]]
             cols = [pa.array(c, pa.int64()) for c in zip(*out)]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             if with_ids:
