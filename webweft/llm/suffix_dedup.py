@@ -1,4 +1,4 @@
-"""Removal of repeated long strings, by merging shard Burrows-Wheeler transforms.
+"""Removal of repeated long strings, by anchors and radix passes over the windows around them.
 
 A string of `length` bytes is covered by windows; in each, the k-byte piece with the least hash is
 its anchor, which depends on the string alone. So equal strings have equal anchors, and only
@@ -6,12 +6,12 @@ occurrences of an anchor that is there more than once need be compared (no hash
 says which pieces meet). Around an anchor lies its context: all strings that hold it.
 
 Contexts that are equal (128 bits of two independent hashes) need no sorting: all but the first
-are repeats throughout. What remains are anchors in differing contexts. Those are the shards:
-texts whose transforms are merged by interleave refinement. In each round every position of the
-interleave yields the symbol before it, and a stable distribution by that symbol orders the
-suffixes by one symbol more (Holt and McMillan 2014). A boundary that a round draws between
-neighbours is their common prefix; blocks of one suffix drop out; blocks that are left when the
-common prefix reaches `length` are the repeated intervals. Suffixes are never sorted anew.
+are repeats throughout. What remains are anchors in differing contexts. All their windows of
+`length` bytes are grouped by radix passes from the last symbol to the first: in each, a stable
+sort by the symbol before orders them by one symbol more, and blocks of one window drop out.
+The blocks that are left after the last pass are the repeated strings. This stands in for a merge
+of the shards' Burrows-Wheeler transforms (Holt and McMillan 2014), whose rounds distribute
+likewise: no transform is built here, since equality of strings of one length needs no suffix order.
 """
 
 from __future__ import annotations
@@ -251,9 +251,9 @@ def _contexts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def refine(sym: np.ndarray, order: np.ndarray, steps: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave refinement: positions and blocks of those whose next steps * stride bytes occur again.
+    """Radix passes: positions and blocks of those whose next steps * stride bytes occur again.
 
-    order: the interleave at common prefix 0, places at which a string of steps symbols ends.
+    order: places at which a string of steps symbols ends.
     sym: the symbol that starts at each place of the texts. Blocks of one suffix drop out.
     """
     block = np.zeros(len(order), dtype=np.int64)
