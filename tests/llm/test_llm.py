@@ -564,11 +564,56 @@ def test_line_dedup_edges(spark, edge, empty):
     df = spark.createDataFrame([(2, "One two three four FIVE\nshort\n x  one two three four five"), (1, "one two  three four five\nshort\nother words to be kept here"), (3, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
     assert rows[1].removed == [] and [(s.start, s.end) for s in rows[2].removed] == [(0, 23)] and rows[2].kept == "short\n x  one two three four five"
-    assert rows[3].n_units == 1 and rows[3].kept == ""
+    assert rows[3].n_units == 1 and rows[3].kept == "" and rows[2].n_removed == 1
     para = spark.createDataFrame([(1, "a b c d e\nf\n\nsame words in this one"), (2, "same words\nin this one\n\nz")], "doc_id long, text string")
     assert [r.kept for r in line_dedup.line_dedup(para, by="paragraph").orderBy("doc_id").collect()] == ["a b c d e\nf\n\nsame words in this one", "z"]
 
 
+def slow_passages(rows, least=25):
+    """Sentences of each text that lie in a passage which stands earlier, by the words of all passages there are."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        at, gone = line_dedup.units(t or "", "passage"), set()
+        words = [re.findall("[^\x20\x09-\x0d]+", t[a:z].lower()) for a, z in at]
+        runs = set()
+        for lo in range(len(at)):
+            enough = [hi for hi in range(lo, len(at)) if sum(map(len, words[lo : hi + 1])) >= least]
+            if enough:
+                runs.add((lo, enough[0]))
+                if sum(map(len, words[lo + 1 :])) < least:
+                    runs.add((lo, len(at) - 1))
+        for lo, hi in sorted(runs):
+            key = " ".join(x for w in words[lo : hi + 1] for x in w)
+            if seen.setdefault(key, (i, lo)) != (i, lo):
+                gone.update(range(lo, hi + 1))
+        out[i] = (gone, "".join(t[a:z] for k, (a, z) in enumerate(at) if k not in gone))
+    return out
+
+
+def test_passages(spark, sf, rows):
+    want = slow_passages(rows)
+    got = {r.doc_id: r for r in line_dedup.op3_line_dedup(spark, sf).collect()}
+    assert {i: (r.n_removed, r.kept_sha256) for i, r in got.items()} == {i: (len(gone), hashlib.sha256(kept.encode()).hexdigest()) for i, (gone, kept) in want.items()}
+    assert sum(len(gone) > 0 for gone, _ in want.values()) > 10
+
+
+def test_passages_hard_cases(spark, edge, empty):
+    passage = "This one. " + " ".join(f"Sentence {i} of a passage!" for i in range(8)) + " Its end."
+    apart = [f"Sentence {i} of a passage!" for i in range(8)]
+    texts = [passage, f"Words before it {passage.upper()} and after.", "\n".join(apart[:4]), "one two " * 40, "one two " * 40, "", None, "x. " * 60, passage.replace(" ", "\n \t"), " " + passage + " "]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), "passage").collect()}
+    want = slow_passages([(i, t or "") for i, t in rows])
+    assert {i: (r.n_removed, r.kept) for i, r in got.items()} == {i: (len(gone), kept) for i, (gone, kept) in want.items()}
+    assert got[1].kept == "WORDS BEFORE IT THIS ONE. ".replace("WORDS BEFORE IT", "Words before it") + "ITS END. and after." and got[2].n_removed == 0 and got[4].kept == "" and got[7].kept == "x. "
+    for r in got.values():
+        t = texts[r.doc_id] or ""
+        assert r.kept == "".join(t[a:z] for a, z in zip([0, *(s.end for s in r.removed)], [*(s.start for s in r.removed), len(t)]))
+    assert line_dedup.line_dedup(edge, "passage").count() == edge.count() and line_dedup.line_dedup(empty, "passage").count() == 0
+    twice = {(r.doc_id, r.kept == "") for r in line_dedup.line_dedup(edge, "passage").where("doc_id in (6, 7)").collect()}
+    assert twice == {(6, False), (7, False)}
+
+
 def test_license_scan(spark, edge, empty):
     rows = [(1, "text\nReleased under the MIT license\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Licensed to drive a car under the bridge"), (4, "this work IS   licensed under the GNU general public license version 2")]
     got = {r.doc_id: (r.unit, r.license) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("unit >= 0").collect()}
