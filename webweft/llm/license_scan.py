@@ -1,8 +1,9 @@
-"""Licence notices by Dice coefficient of word bigrams, in DataFrame expressions alone.
+"""Licence notices and texts by Dice coefficient of word bigrams, in DataFrame expressions alone.
 
-Each line, and each short text as a whole, is normalised to words and compared with the templates as a
-set of word bigrams. With sets of a and b bigrams, a coefficient of t needs a between b t / (2 - t)
-and b (2 - t) / t, so sizes alone rule most templates out before bigrams are compared.
+A text is normalised to words, and its runs of words are compared with the templates as sets of word
+bigrams. With sets of a and b bigrams, a coefficient of t needs a between b t / (2 - t) and b (2 - t) / t,
+and as many of the template's: so the number of a template's bigrams that a text has at all rules most
+templates out, and a run's size most runs, before sets are compared.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from webweft.llm.common import keyed_text, read
 LEAST = 0.8
 
 #: Notices by which works name their licence. A name may have several.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
@@ -43,6 +44,22 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Whole licences that are short enough to be copied into works.
+_PERMISSION = NOTICES[18][1]
+_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
+TEXTS: tuple[tuple[str, str], ...] = (
+    ("BSD-2-Clause", f"{_CLAUSES[0]} {_CLAUSES[2]}"),
+    ("BSD-3-Clause", " ".join(_CLAUSES)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", f"{_PERMISSION} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+)
+TEMPLATES = NOTICES + TEXTS
+
+
 def template_bigrams(text: str) -> list[str]:
     words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
@@ -56,52 +73,15 @@ def pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def bigrams(w: Column) -> Column:
-    return F.array_distinct(pairs(w))
-
-
 def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, unit, license, dice): each line (unit from 0), or whole text of several lines (unit -1), that reaches
-    `least` with a template, with its likest licence; ties go to the name that is first in order.
-
-    Null and empty texts and units of fewer than two words match nothing. Repeated rows stay repeated.
-    A null id stays null. templates is a fixed list, part of the plan. Empty in, empty out.
-    """
-    known = [(name, template_bigrams(text)) for name, text in templates]
-    known = [(name, b) for name, b in known if b]
-    shape = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for name, b in known])
-    every = sorted({x for _, b in known for x in b})
-    low, high = min(len(b) for _, b in known) * least / (2 - least), max(len(b) for _, b in known) * (2 - least) / least
-    rows = keyed_text(docs, id_col, text_col)
-    lines = F.split("text", "\n")
-    # a unit of few characters a bigram can be a match; a whole text is only tried if its length allows one
-    longest = max(len(text) for _, text in templates) * 4
-    whole = F.when((F.size(lines) > 1) & (F.length("text") <= longest), F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("line")))).otherwise(F.array().cast("array<struct<unit:int,line:string>>"))
-    each = F.transform(lines, lambda x, i: F.struct(i.alias("unit"), x.alias("line")))
-    unit = F.transform(F.concat(each, whole), lambda u: F.struct(u["unit"].alias("unit"), words(u["line"]).alias("w")))
-    # a generator's output is not evaluated again by what stands on it
-    got = rows.select("doc_id", F.explode(unit).alias("u")).select("doc_id", "u.unit", "u.w").where(F.size("w") - 1 >= F.lit(low))
-    # a coefficient of t needs a share of t / (2 - t) of the unit's bigrams to be in some template
-    shared = F.transform(F.array(bigrams(F.col("w"))), lambda b: F.struct(b.alias("b"), F.size(b).alias("size"), F.size(F.filter(b, lambda x: x.isin(every))).alias("shared")))
-    got = got.select("doc_id", "unit", F.explode(shared).alias("s")).select("doc_id", "unit", "s.b", "s.size", "s.shared")
-    got = got.where((F.col("size") >= F.lit(low)) & (F.col("size") <= F.lit(high)) & (F.col("shared") >= F.col("size") * (least / (2 - least)) - 1e-9))
-    # sizes rule templates out; the rest are compared
-    near = F.filter(shape, lambda t: (F.col("size") >= t["n"] * (least / (2 - least)) - 1e-9) & (F.col("size") <= t["n"] * ((2 - least) / least) + 1e-9))
-    dice = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect("b", t["bigrams"])) / (F.col("size") + t["n"])).alias("minus"), t["license"].alias("license")))
-    return got.select("doc_id", "unit", F.explode(F.array(F.array_min(dice))).alias("best")).where(F.col("best.minus") <= F.lit(-least)).select("doc_id", "unit", "best.license", (-F.col("best.minus")).alias("dice"))
-
-
-def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(read(spark, sf_dir, "documents"))
-
-
-def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, n_words, license, dice): runs of consecutive words, anywhere in a text and over its lines, that
     reach `least` with a template; of runs that overlap the likest, then the one with more of its template, then by name and place.
 
     No run is left out by its length. One that reaches `least` still does without a first or last bigram that is not the
     template's or that recurs in it, so those from a bigram of the template, before it recurs, to the first of another
-    are all there are to try. Words count from 0 after normalisation. Repeated rows stay repeated. Empty in, empty out.
+    are all there are to try; of those that start alike the likest counts. Words count from 0 after normalisation. Null
+    and empty texts match nothing. Repeated rows stay repeated, a null id stays null. templates is a fixed list, part of
+    the plan. Empty in, empty out.
     """
     known = [(name, template_bigrams(text)) for name, text in templates]
     shape = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams"), F.lit(len(b)).alias("n")) for name, b in known if b])
@@ -136,31 +116,42 @@ def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     return ranked.select("doc_id", F.explode(kept).alias("r")).select("doc_id", (F.col("r.lo") - 1).alias("start_word"), (F.col("r.hi") - F.col("r.lo") + 2).cast("int").alias("n_words"), "r.license", (-F.col("r.minus")).alias("dice"))
 
 
-def op10_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_spans(read(spark, sf_dir, "documents"))
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
-    values = ",\n".join("({}, [{}])".format("'" + name + "'", ", ".join(f"'{x}'" for x in template_bigrams(text))) for name, text in TEMPLATES)
-    longest = max(len(text) for _, text in TEMPLATES) * 4
+    values = ",\n".join("('{}', [{}])".format(name, ", ".join(f"'{x}'" for x in template_bigrams(text))) for name, text in TEMPLATES)
+    share = LEAST / (2 - LEAST)
     return f"""
-WITH t(license, tb) AS (VALUES {values}),
-d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-u AS (
-  SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS unit, unnest(l) AS line FROM d
-  UNION ALL SELECT doc_id, -1, text FROM d WHERE len(l) > 1 AND length(text) <= {longest}),
-w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
+WITH RECURSIVE t(license, tb) AS (VALUES {values}),
+g AS (SELECT row_number() OVER () AS tid, license, len(tb) AS n, unnest(tb) AS g FROM t),
 b AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM w WHERE len(w) > 1),
+  SELECT r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM (
+    SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)),
+p AS (SELECT r, unnest(b) AS g, generate_subscripts(b, 1) AS pos FROM b),
+h AS (  -- bigrams of a template, and where each stands before and again
+  SELECT r, tid, license, n, g, pos, lag(pos) OVER (PARTITION BY r, tid, g ORDER BY pos) AS before, lead(pos) OVER (PARTITION BY r, tid, g ORDER BY pos) AS again
+  FROM p JOIN g USING (g)),
+few AS (SELECT r, tid FROM h GROUP BY r, tid, n HAVING count(DISTINCT g) >= n * {share} - 1e-9),
+e AS (
+  SELECT a.r, a.tid, a.license, a.n, a.pos AS lo, z.pos AS hi, row_number() OVER (PARTITION BY a.r, a.tid, a.pos ORDER BY z.pos) AS k
+  FROM h a SEMI JOIN few ON a.r = few.r AND a.tid = few.tid
+  JOIN h z ON a.r = z.r AND a.tid = z.tid AND z.pos >= a.pos AND z.pos < coalesce(a.again, z.pos + 1) AND coalesce(z.before, 0) < a.pos),
 s AS (
-  SELECT doc_id, unit, license, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b, t
-  WHERE list_has_any(b, tb))
-SELECT doc_id, unit, license, CAST(dice AS DOUBLE) AS dice FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS k FROM s WHERE dice >= {LEAST})
-WHERE k = 1
+  SELECT e.*, doc_id, 2.0 * k / (len(list_distinct(b[lo:hi])) + n) AS dice FROM e JOIN b USING (r) WHERE k >= n * {share} - 1e-9),
+runs AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, k DESC, license, lo, hi) AS rk FROM s WHERE dice >= {LEAST}
+  QUALIFY row_number() OVER (PARTITION BY r, tid, lo ORDER BY dice DESC, k DESC, hi) = 1),
+kept AS (  -- in each round the likest of each text, and what does not overlap it goes on
+  SELECT r, doc_id, rk, lo, hi, license, dice, first_value(rk) OVER w AS top, first_value(lo) OVER w AS a, first_value(hi) OVER w AS z
+  FROM runs WINDOW w AS (PARTITION BY r ORDER BY rk)
+  UNION ALL
+  SELECT r, doc_id, rk, lo, hi, license, dice, first_value(rk) OVER w, first_value(lo) OVER w, first_value(hi) OVER w
+  FROM kept WHERE lo > z + 1 OR a > hi + 1 WINDOW w AS (PARTITION BY r ORDER BY rk))
+SELECT doc_id, CAST(lo - 1 AS INTEGER) AS start_word, CAST(hi - lo + 2 AS INTEGER) AS n_words, license, CAST(dice AS DOUBLE) AS dice FROM kept WHERE rk = top
 """
 
 
-QUERIES = {"op10_license_scan": op10_license_scan, "op10_license_spans": op10_license_spans}
+QUERIES = {"op10_license_scan": op10_license_scan}
 ORACLE = {"op10_license_scan": _oracle()}
