@@ -3,9 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from webweft.functions import errors, monitor, urls
+from webweft.functions import errors, monitor
 from webweft.operators import breaker, politeness, retry, stats
-from webweft.streaming import events as streaming
 
 
 def values(spark, rows, schema, *cols):
@@ -75,6 +74,40 @@ def test_slots_and_pushback(spark):
         politeness.pause_us(0)
 
 
+@pytest.mark.parametrize("lanes", [1, 2, 5])
+def test_caps_know_durations(spark, lanes):
+    rng = random.Random(lanes)
+    rows = [(i, f"d{rng.randrange(3)}", rng.randrange(10_000), rng.choice([0, 5, 400, 3_000, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, domain string, us long, took long")
+    got = {r.id: r for r in politeness.admitted(df, lanes, duration="took").collect()}
+    free = {}
+    for i, d, us, took in sorted(rows, key=lambda r: (r[2], r[0])):
+        at = free.setdefault(d, [0] * lanes)
+        start = max(us, min(at))
+        at[at.index(min(at))] = start + (took or 0)
+        assert (got[i].start_us, got[i].wait_us) == (start, start - us) and 0 <= got[i].lane < lanes
+    # never more than the cap at once, and a lane holds one request at a time
+    ends = {r[0]: got[r[0]].start_us + (r[3] or 0) for r in rows}
+    busy = sorted((d, got[i].lane, got[i].start_us, ends[i]) for i, d, _, took in rows if took)
+    assert all(a[3] <= b[2] for a, b in zip(busy, busy[1:]) if a[:2] == b[:2])
+    with pytest.raises(ValueError):
+        politeness.admitted(df, 0)
+
+
+def test_peak_over_all_domains(spark):
+    rng = random.Random(9)
+    rows = [(f"d{i % 4}", s, s + rng.randrange(1, 90_000)) for i in range(2_000) for s in [rng.randrange(10**6)]]
+    df = spark.createDataFrame(rows, "domain string, start_us long, end_us long")
+    edges = sorted([(s, 1) for _, s, _ in rows] + [(e, -1) for _, _, e in rows])
+    most = now = 0
+    for k, (at, step) in enumerate(edges):
+        now += step
+        if k + 1 == len(edges) or edges[k + 1][0] != at:
+            most = max(most, now)
+    assert politeness.concurrency(df, key=None).first().peak == most
+    assert politeness.concurrency(df.limit(0), key=None).first().peak is None and politeness.concurrency(df.limit(0)).count() == 0
+
+
 def model(b, rows):
     st, res, op, opened, rejected = "closed", [], 0, 0, 0
     for us, ok in rows:
@@ -95,36 +128,57 @@ def model(b, rows):
     return st, opened, rejected, res.count(False) / len(res) if res else 0.0
 
 
-def test_breaker_fold_and_stream_against_model(spark):
+def test_breaker_against_a_model(spark):
     rows, df = log_of(spark, 1500, 4, 7)
     for b in (breaker.Breaker(recovery_us=3_000_000), breaker.Breaker(0.3, 2, 4, 200_000)):
         by = {}
         for i, d, us, ok, _ in sorted(rows, key=lambda r: (r[2], r[0])):
             by.setdefault(d, []).append((us, ok))
-        got = {r.domain: (r.state, r.opened_times, r.rejected, r.failure_rate) for r in breaker.breaker_states(df, b).collect()}
+        states = breaker.breaker_states(df, b)
+        got = {r.domain: (r.state, r.opened_times, r.rejected, r.failure_rate) for r in states.collect()}
         assert got == {d: model(b, x) for d, x in by.items()}
-        for d, x in by.items():
-            st, res, _, opened, rejected = streaming.fold(b, ("closed", [], 0, 0, 0), x)
-            assert (st, opened, rejected) == got[d][:3]
+        verdicts = breaker.breaker_verdicts(df, b)
+        turned = {r.domain: r.n for r in verdicts.where("not allowed").groupBy("domain").agg(F.count("*").alias("n")).collect()}
+        assert turned == {d: g[2] for d, g in got.items() if g[2]} and verdicts.count() == len(rows)
+        assert verdicts.where("allowed = (retry_after_us is not null)").count() == 0
+        t = breaker.totals(states).first()
+        assert (t.domains, t.opened, t.rejected) == (4, sum(g[1] for g in got.values()), sum(g[2] for g in got.values()))
     with pytest.raises(ValueError):
         breaker.Breaker(min_calls=11)
 
 
-def test_breaker_cases(spark):
-    b = breaker.Breaker(0.5, 3, 4, 30_000_000)
-    run = lambda rows: breaker.breaker_states(spark.createDataFrame([("d", i, us, ok) for i, (us, ok) in enumerate(rows)], "domain string, id int, us long, ok boolean"), b).first()
-    assert run([(1, False), (2, False), (3, False), (4, True)])[1:4] == ("open", 1, 1)
-    assert run([(1, False), (2, False), (3, False), (31_000_004, True)]).state == "closed"
-    ok = breaker.outcome(F.col("ok"), F.col("k"), F.col("s"))
-    assert [r[0] for r in values(spark, [(False, "PermanentError", 404), (False, "TransientError", 503), (False, "ParseError", None), (True, None, 200)], "ok boolean, k string, s int", ok)] == [True, False, None, True]
+def test_probes_that_are_under_way(spark):
+    """Of requests that come while a probe is under way, no more than half_open_calls may go; a neutral end frees the place."""
+    fails = [(k, k, False, k) for k in range(5)]
+    probes = [(5, 1_000, None, 1_900), (6, 1_100, True, 1_500), (7, 1_200, True, 1_300), (8, 1_600, True, 1_700), (9, 2_000, True, 2_000), (10, 2_001, True, 2_001)]
+    log = spark.createDataFrame([("d", *r) for r in fails + probes], "domain string, id int, us long, ok boolean, done long")
+    run = lambda n: {r.id: (r.allowed, r.retry_after_us) for r in breaker.breaker_verdicts(log, breaker.Breaker(0.5, 5, 5, 500, n), end="done").collect()}
+    one, two = run(1), run(2)
+    assert [one[k][0] for k in range(5, 11)] == [True, False, False, False, True, True] and one[6] == (False, 0)
+    assert [two[k][0] for k in range(5, 11)] == [True, True, False, True, True, True]
+
 
+def test_folds_with_nulls_and_nothing(spark):
+    rows, df = log_of(spark, 50)
+    odd = df.union(spark.createDataFrame([(900, None, 5, False, 0), (901, "d0", None, False, 0), (902, None, 6, None, None)], df.schema)).withColumn("extra", F.lit("state")).withColumn("state", F.lit(1))
+    assert {r.domain for r in breaker.breaker_states(odd).collect()} == {"d0", "d1", "d2", None}
+    assert {r.id for r in politeness.slots_with_pushback(odd, push="push").collect()} == {*range(50), 900, 902}
+    assert politeness.admitted(odd, 2).count() == 52
+    for none in (breaker.breaker_states(df.limit(0)), breaker.breaker_verdicts(df.limit(0)), politeness.slots_with_pushback(df.limit(0), push="push"), politeness.admitted(df.limit(0), 1), politeness.limiter_slots(df.limit(0), 5)):
+        assert none.count() == 0
 
-def test_agents(spark):
-    got = [r[0] for r in spark.range(4).orderBy("id").select(urls.user_agent(["a", "b"], F.col("id"))).collect()]
-    assert got == ["a", "b", "a", "b"]
-    for bad in ([], [" "], [1]):
-        with pytest.raises(ValueError):
-            urls.user_agent(bad, F.lit(0))
+
+def test_politeness_stats(spark):
+    log = spark.createDataFrame([("a", 1, 0), ("a", 2, 10), ("b", 3, 0)], "domain string, id int, us long")
+    s = politeness.politeness_stats(politeness.limiter_slots(log, 100)).first()
+    assert (s.requests, s.avg_gap_us, s.avg_wait_us, s.blocked, s.retries) == (3, 100.0, 30.0, 0, 0)
+    allowed = spark.createDataFrame([(True,), (False,), (False,)], "allowed boolean")
+    assert politeness.politeness_stats(politeness.limiter_slots(log, 100), allowed).first().blocked == 2
+
+
+def test_outcomes(spark):
+    ok = breaker.outcome(F.col("ok"), F.col("k"), F.col("s"))
+    assert [r[0] for r in values(spark, [(False, "PermanentError", 404), (False, "TransientError", 503), (False, "ParseError", None), (True, None, 200)], "ok boolean, k string, s int", ok)] == [True, False, None, True]
 
 
 def test_stats(spark):
@@ -137,6 +191,16 @@ def test_stats(spark):
     assert empty["total_pages"] == 0 and empty["success_rate"] == 0 and empty["top_domains"] == []
 
 
+def test_error_stats(spark):
+    rows = [("/a", 0, "TransientError", 503, False, 1.0), ("/a", 1, None, 200, True, None), ("/b", 0, "PermanentError", 404, True, None)]
+    log = spark.createDataFrame(rows, "url string, n int, kind string, status int, last boolean, delay double")
+    failed = spark.createDataFrame([("/b", "PermanentError", "HTTP 404", 404)], "url string, kind string, error string, status_code int")
+    states = spark.createDataFrame([("d", "open", 2, 1, 0.5), ("e", "closed", 0, 0, 0.0)], "domain string, state string, opened_times int, rejected int, failure_rate double")
+    s = stats.error_stats(log, failed, states)
+    assert s["errors_by_type"] == {"PermanentError": 1, "TransientError": 1} and s["retry"]["successful_retries"] == 1
+    assert s["failed"] == {"/b": "HTTP 404"} and s["n_failed_urls"] == 1 and s["permanent"] == ["/b"] and s["breaker"] == [{"domain": "d", "state": "open", "opened_times": 2}]
+
+
 def test_monitor(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
     assert [f(monitor.format_duration(F.lit(x).cast("double"))) for x in (5, 65, 3700, None)] == ["5с", "1м 05с", "1ч 01м", "—"]

@@ -1,96 +1,108 @@
+"""robots.txt against the standard library itself, sitemap trees and payloads, over files of our own."""
+
 import gzip
+from urllib.robotparser import RobotFileParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from webweft.functions import robots, sitemap
-from webweft.sources.sitemaps import sitemap_tree, sitemaps_of
-
-ROBOTS = """User-agent: *
-Allow: /private/open
-Disallow: /private/
-Disallow: /admin
-Crawl-delay: 1
-
-User-agent: BadBot
-Disallow: /
-
-Sitemap: http://example.test/sitemap.xml
-"""
-
-
-def table(spark, rows):
-    return robots.robots_table(spark.createDataFrame(rows, "origin string, status int, body string"))
-
-
-def allowed(spark, t, agent, *paths):
-    pages = spark.createDataFrame([(f"http://e.test{p}",) for p in paths], "url string")
-    got = {r.url: r.allowed for r in robots.can_fetch(pages, t, agent).collect()}
-    return [got[f"http://e.test{p}"] for p in paths]
-
-
-def test_rules(spark):
-    t = table(spark, [("http://e.test", 200, ROBOTS)])
-    assert allowed(spark, t, "*", "/a", "/private/x", "/private/open/page", "/admin/panel") == [True, False, True, False]
-    assert allowed(spark, t, "BadBot/1.0", "/a") == [False]
-    assert allowed(spark, t, "GoodBot/1.0", "/a") == [True]
-    assert [r.crawl_delay for r in t.select(robots.crawl_delay(F.col("parsed")).alias("crawl_delay")).collect()] == [1.0]
-    assert [r[0] for r in t.select(robots.crawl_delay(F.col("parsed"), "BadBot")).collect()] == [0.0]
-    assert robots.describe(t).first().sitemaps == ["http://example.test/sitemap.xml"]
-    assert [r.url for r in sitemaps_of(t).collect()] == ["http://example.test/sitemap.xml"]
-
-
-def test_states(spark):
-    for status, want in ((404, True), (500, False), (429, False), (None, False)):
-        t = table(spark, [("http://e.test", status, ROBOTS)])
-        assert allowed(spark, t, "*", "/a") == [want]
-    assert allowed(spark, table(spark, [("http://other.test", 200, "")]), "*", "/a") == [False]
-
-
-def test_against_the_standard_library():
-    from urllib.robotparser import RobotFileParser
-
-    texts = [ROBOTS, "User-agent: a\nUser-agent: b\nDisallow: /x\n\nUser-agent: *\nDisallow:\n", "Disallow: /lost\nUser-agent: c\nCrawl-delay: 3\nDisallow: /y y\n", "User-agent: *\nDisallow: /*.pdf\nAllow: /\n"]
-    for text in texts:
-        p = RobotFileParser()
-        p.parse(text.splitlines())
-        own = robots.parse_robots(text)
-        for agent in ("a", "b/2", "c", "BadBot", "zz"):
-            groups = [r for r in own["rules"] if "*" not in r["agents"] and any(x in agent.split("/")[0].lower() for x in r["agents"])] or [r for r in own["rules"] if "*" in r["agents"]]
-            for path in ("/", "/x/1", "/y%20y", "/private/z", "/a.pdf", "/admin"):
-                first = next((r["allow"] for r in groups if r["grp"] == groups[0]["grp"] and (r["prefix"] == "*" or path.startswith(r["prefix"]))), True)
-                assert first == p.can_fetch(agent, f"http://h{path}"), (text, agent, path)
-
-
-def xml(kind, *locs):
+from webweft.sources.sitemaps import payloads_of, sitemap_stats, sitemap_tree, sitemaps_of
+
+SITE = "http://r.example"
+FILES = {
+    "queries and signs": "User-agent: *\nDisallow: /find?q=\nDisallow: /café\nDisallow: /a%2Fb\nAllow: /c d/open\nDisallow: /c d/\nDisallow: /%7Ejoe\nDisallow: /p;x\n",
+    "two agents": "User-agent: Alpha\nUser-agent: beta\nDisallow: /one\n\nUser-agent: *\nDisallow: /two\nCrawl-delay: 4\n",
+    "order decides": "User-agent: *\nDisallow: /x\nAllow: /x/y\nAllow: /z/y\nDisallow: /z\n",
+    "no agent first": "Disallow: /lost\nAllow: /\n\nUser-agent: gamma\nCrawl-delay: 3\nDisallow: /t\nCrawl-delay: 1.5\n",
+    "wild": "User-agent: *\nDisallow: /*.pdf\nDisallow: *\n",
+    "empty rule": "User-agent: beta\nDisallow:\n\nUser-agent: *\nDisallow: /\n",
+    "nothing": "",
+    "comments": "# all\nUser-agent: * # any\nDisallow: /one # and below\nSitemap: /rel.xml\nSitemap: http://r.example/m.xml\n",
+    "star and name": "User-agent: *\nUser-agent: alpha\nDisallow: /s\n\nUser-agent: alphabet\nAllow: /s\n",
+}
+AGENTS = ("*", "alpha", "Beta/2.1", "gamma/1", "alphabet soup", "none")
+PATHS = ("", "/", "/find", "/find?q=1", "/find?p=1&q=", "/café/1", "/caf%C3%A9", "/a%2Fb/c", "/a/b", "/a%252Fb", "/c%20d/x", "/c d/open/1", "/%7ejoe/", "/~joe", "/one/1", "/two?x#y", "/x/y", "/z/y", "/z", "/t", "/lost", "/doc.pdf", "/*.pdf", "/p;x=1", "/s/1", "?q=1", "/%zz", "/é?ü=ö")
+
+
+def test_every_file_against_the_library(spark):
+    rows = [(f"http://h{i}.example", 200, body) for i, body in enumerate(FILES.values())]
+    table = robots.robots_table(spark.createDataFrame(rows, "origin string, status int, body string"))
+    pages = spark.createDataFrame([(i, f"http://h{i}.example{p}") for i in range(len(FILES)) for p in PATHS], "i int, url string").repartition(4)
+    wrong = []
+    for agent in AGENTS:
+        parsers = []
+        for body in FILES.values():
+            p = RobotFileParser()
+            p.parse(body.splitlines())
+            parsers.append(p)
+        got = robots.can_fetch(pages, table, agent).collect()
+        assert len(got) == len(FILES) * len(PATHS)
+        wrong += [(agent, r.url, r.allowed) for r in got if r.allowed != parsers[r.i].can_fetch(agent, r.url)]
+        delays = {r.origin: r.d for r in table.select("origin", robots.crawl_delay(F.col("parsed"), agent).alias("d")).collect()}
+        wrong += [(agent, o, d) for (o, _, _), p in zip(rows, parsers) if (d := delays[o]) != float(p.crawl_delay(agent) or 0)]
+    assert wrong == []
+
+
+def test_states_unknown_origins_and_nulls(spark):
+    pages = spark.createDataFrame([(SITE + "/one",), (None,), ("http://[x/one",), (SITE + "/one",)], "url string")
+    answers = {}
+    for status in (200, 301, 404, 410, 429, 500, None):
+        table = robots.robots_table(spark.createDataFrame([(SITE, status, FILES["comments"])], "origin string, status int, body string"))
+        got = robots.can_fetch(pages, table).collect()
+        assert len(got) == 4 and not any(r.allowed for r in got if r.url is None or "[" in r.url)
+        answers[status] = {r.allowed for r in got if r.url == SITE + "/one"}
+        if status == 200:
+            assert robots.describe(table).first().sitemaps == ["/rel.xml", "http://r.example/m.xml"] and robots.describe(table).first().url == SITE + "/robots.txt"
+    assert answers == {200: {False}, 301: {False}, 404: {True}, 410: {True}, 429: {False}, 500: {False}, None: {False}}
+    assert robots.can_fetch(pages.limit(0), table).count() == 0
+    assert [r.allowed for r in robots.can_fetch(pages.limit(1), table.limit(0)).collect()] == [False]
+
+
+def xml(kind, *locs, ns=' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'):
     item = "sitemap" if kind == "sitemapindex" else "url"
-    return (f'<?xml version="1.0"?><{kind} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' + "".join(f"<{item}><loc>{x}</loc></{item}>" for x in locs) + f"</{kind}>").encode()
+    return (f"<?xml version='1.0'?><{kind}{ns}>" + "".join(f"<{item}><loc> {x} </loc><lastmod>2026</lastmod></{item}>" for x in locs) + f"</{kind}>").encode()
 
 
 def test_sitemap_tree(spark):
-    b = "http://e.test"
     files = [
-        (f"{b}/index.xml", xml("sitemapindex", "/s1.xml", "/s2.xml.gz", "/broken.xml", "/missing.xml", "/index.xml")),
-        (f"{b}/s1.xml", xml("urlset", "/a", "/b")),
-        (f"{b}/s2.xml.gz", gzip.compress(xml("urlset", "/b", "/c"))),
-        (f"{b}/broken.xml", b"<urlset><url>"),
+        (f"{SITE}/top.xml", xml("sitemapindex", "/left.xml", "right.xml.gz", "/bad.xml", "/gone.xml", "/top.xml", "/deep.xml")),
+        (f"{SITE}/left.xml", xml("urlset", "/l1", "/both")),
+        (f"{SITE}/right.xml.gz", gzip.compress(xml("urlset", "/both", "https://far.example/r", "mailto:x", ns=""))),
+        (f"{SITE}/bad.xml", b"<urlset><url>"),
+        (f"{SITE}/deep.xml", xml("sitemapindex", "/list.txt", "/left.xml")),
+        (f"{SITE}/list.txt", b"\xef\xbb\xbf/t1\n# none\n\nhttp://far.example/t2\n"),
     ]
-    found, errors = sitemap_tree(spark.createDataFrame(files, "url string, payload binary"), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"))
-    assert [r.url for r in found.orderBy("depth", "parent", "pos").collect()] == [f"{b}/a", f"{b}/b", f"{b}/c"]
-    assert {r.sitemap_url for r in errors.collect()} == {f"{b}/broken.xml", f"{b}/missing.xml"}
+    table = spark.createDataFrame(files, "url string, payload binary")
+    roots = spark.createDataFrame([(f"{SITE}/top.xml", 0), (None, 1)], "url string, pos int")
+    found, read = sitemap_tree(table, roots)
+    assert [r.url for r in found.orderBy("depth", "parent", "pos").collect()] == [f"{SITE}/l1", f"{SITE}/both", "https://far.example/r", f"{SITE}/t1", "http://far.example/t2"]
+    assert {r.sitemap_url.removeprefix(SITE) for r in read.where("error is not null").collect()} == {"/bad.xml", "/gone.xml"}
+    assert sitemap_stats(read).first().asDict() == {"fetched": 5, "failed": 2}
+    shallow, read = sitemap_tree(payloads_of(table), roots, max_depth=1)
+    assert shallow.count() == 3 and {r.sitemap_url.removeprefix(SITE) for r in read.where("error like 'more than%'").collect()} == {"/deep.xml"}
+    assert sitemap_tree(table, roots.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("data", [b'<!DOCTYPE x [<!ENTITY a "b">]><urlset/>', b"<html/>", b"\x1f\x8bnope", None, b"<urlset"])
+def test_payloads_that_are_refused(data):
+    got = sitemap.parse_sitemap(data, SITE)
+    assert got["error"] and got["locs"] == [] and got["kind"] is None
 
 
-def test_payloads():
-    bomb = b'<!DOCTYPE x [<!ENTITY a "b">]><urlset/>'
-    assert sitemap.parse_sitemap(bomb, "http://e/")["error"]
-    assert sitemap.parse_sitemap(b"/x\n# no\nmailto:a\nhttp://o/y\n", "http://e/s.txt")["locs"] == ["http://e/x", "http://o/y"]
-    assert sitemap.parse_sitemap(b"<html/>", "http://e/")["error"]
-    assert sitemap.parse_sitemap(b"\x1f\x8bnope", "http://e/")["error"]
+def test_gunzip_is_bounded():
+    assert sitemap.unpack(gzip.compress(b"x" * 1000), 1000) == b"x" * 1000
+    with pytest.raises(ValueError):
+        sitemap.unpack(gzip.compress(b"x" * 1001), 1000)
 
 
-def test_table_function(spark):
+def test_table_functions(spark):
     sitemap.SitemapLocations.register(spark)
-    got = spark.sql("SELECT loc FROM sitemap_locations(CAST('<urlset><url><loc>http://a/x</loc></url></urlset>' AS BINARY), 'http://a/')").collect()
-    assert [r.loc for r in got] == ["http://a/x"]
+    got = spark.sql("SELECT loc, error FROM sitemap_locations(CAST('<urlset><url><loc>/x</loc></url></urlset>' AS BINARY), 'http://a/')").collect()
+    assert [tuple(r) for r in got] == [("http://a/x", None)]
+    robots.RobotsRules.register(spark)
+    got = spark.sql("SELECT agent, allow, prefix FROM robots_rules('User-agent: a\nUser-agent: b\nDisallow: /x y\n')").collect()
+    assert [tuple(r) for r in got] == [("a", False, "/x%20y"), ("b", False, "/x%20y")]
 
 
 def test_sitemap_tree_without_a_limit(spark):
@@ -101,16 +113,22 @@ def test_sitemap_tree_without_a_limit(spark):
     assert sitemap_tree(files, roots)[0].count() == n - 1 and sitemap_tree(files, roots, max_urls=None)[0].count() == n
 
 
+def test_discovery(spark):
+    table = robots.robots_table(spark.createDataFrame([(SITE, 200, FILES["comments"]), ("http://n.example", 404, None)], "origin string, status int, body string"))
+    assert {(r.origin, r.url) for r in sitemaps_of(table).collect()} == {(SITE, "/rel.xml"), (SITE, "http://r.example/m.xml"), ("http://n.example", "http://n.example/sitemap.xml")}
+
+
 def test_queries_over_all_ids(spark, sf, tmp_path):
     from webweft.plans import catalog
 
     ids = [*range(40), 20_001, 100_000_000, 100_000_001]
     spark.createDataFrame([(i, f"https://a.test/{i}", "") for i in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     want = {f"https://a.test/{i}" for i in ids}
-    assert {r.url for r in catalog.QUERIES["url_prefix_pushdown_all"](spark, str(tmp_path)).collect()} == want
-    got = catalog.QUERIES["sitemap_tree_all"](spark, str(tmp_path)).collect()
+    assert {r.url for r in catalog.QUERIES["url_prefix_pushdown"](spark, str(tmp_path)).collect()} == want
+    got = catalog.QUERIES["sitemap_tree"](spark, str(tmp_path)).collect()
     assert {r.url for r in got} == want and len(got) == len(ids)
     log = catalog.request_log(spark, sf)
     calls = sum(-(-r["count"] // 4) for r in log.groupBy("domain").count().collect())
-    assert catalog.QUERIES["retry_stats_all"](spark, sf).collect()[0].calls == calls
-    assert catalog.QUERIES["retry_attempts_all"](spark, sf).select("url").distinct().count() == calls
+    assert catalog.QUERIES["retry_stats"](spark, sf).collect()[0].calls == calls
+    assert catalog.QUERIES["retry_attempts"](spark, sf).select("url").distinct().count() == calls
+    assert all(n in catalog.ORACLE for n in catalog.QUERIES)

@@ -21,26 +21,42 @@ def as_rows(df):
     return sorted(tuple(map(str, r)) for r in df.select(*store.FIELDS).collect())
 
 
-def test_upsert_find_and_counts(spark, tmp_path):
-    s = store.PageStore(spark, str(tmp_path / "s"))
+@pytest.mark.parametrize("most_deltas", [1, 16])
+def test_upsert_find_and_counts(spark, tmp_path, most_deltas):
+    s = store.PageStore(spark, str(tmp_path / "s"), most_deltas)
     assert s.read().count() == 0
     assert s.save(records(spark, 10)) == 10
+    first = {r.url: r.id for r in s.read().collect()}
     new = records(spark, 4).where("url like '%/3'").withColumn("title", F.lit("Новый"))
     other = records(spark, 3).withColumn("url", F.replace("url", F.lit("example"), F.lit("other"))).withColumn("status_code", F.when(F.col("url").endswith("0"), 200).otherwise(404))
-    assert s.save(new) == 10
-    assert s.save(other) == 13
+    assert s.save(new) == 1
+    assert s.save(other.union(other)) == 3
+    assert s.save(other.limit(0)) == 0
     p = s.read()
+    assert p.count() == 13
     assert {r.domain: r.n for r in store.stats_by_domain(p).collect()} == {"example.test": 10, "other.test": 3}
     assert {r.status_code: r.n for r in store.stats_by_status(p).collect()} == {200: 11, 404: 2}
     assert store.find(p, domain="OTHER.test").count() == 3 and store.find(p, status_code=404).count() == 2
     assert store.find(p, title_contains="Новый").count() == 1 and store.find(p, limit=4).count() == 4
     assert store.get(p, "http://example.test/3").first().title == "Новый"
     ids = {r.url: r.id for r in p.collect()}
-    assert len(set(ids.values())) == 13 and max(v for k, v in ids.items() if "example" in k) < min(v for k, v in ids.items() if "other" in k)
+    assert {u: i for u, i in ids.items() if u in first} == first and max(first.values()) < min(v for k, v in ids.items() if "other" in k)
+    before = as_rows(p)
+    s.compact()
+    s.compact()
+    assert as_rows(s.read()) == before and {r.url: r.id for r in s.read().collect()} == ids
     with pytest.raises(ValueError):
         store.find(p, limit=-1)
 
 
+def test_a_search_by_domain_reaches_the_files(spark, tmp_path):
+    s = store.PageStore(spark, str(tmp_path / "s"))
+    s.save(records(spark, 3))
+    s.save(records(spark, 2))
+    plan = store.find(s.read(), domain="example.test")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(domain,example.test)" in plan
+
+
 def test_like_wildcards_and_ascii_case(spark):
     p = spark.createDataFrame([(1, "http://a/", "ABC def"), (2, "http://a/2", "Жук"), (3, "http://a/3", "a_c")], "id int, url string, title string")
     find = lambda t: [r.id for r in store.find(p, title_contains=t).collect()]
@@ -97,70 +113,233 @@ def test_records_and_validation(spark):
     assert (good.count(), bad.count()) == (2, 1)
 
 
+def test_wrong_types_and_metadata(spark):
+    with pytest.raises(ValueError, match="status_code is string"):
+        store.validate(records(spark, 1).withColumn("status_code", F.lit("200")))
+    odd = records(spark, 3).withColumn("metadata", F.when(F.col("url").endswith("0"), "[1]").when(F.col("url").endswith("1"), "{").otherwise(F.col("metadata")))
+    good, bad = store.validate(odd)
+    assert (good.count(), bad.count()) == (1, 2)
+    assert store.decoded(records(spark, 1)).select(F.expr("variant_get(metadata, '$.номер', 'int')")).first()[0] == 0
+
+
 def test_save_retries(spark):
     sink = sinks.MemorySink(fail_times=2)
     assert sinks.save(sink, records(spark, 3), retries=3, delay=0.01) == {"saved": 3, "failed": 0, "retries": 2, "error": None}
     got = sinks.save(sinks.MemorySink(fail_times=9), records(spark, 3), retries=1, delay=0.01)
-    assert (got["saved"], got["failed"], got["retries"]) == (0, 3, 1)
+    assert (got["saved"], got["failed"], got["retries"], got["error"]) == (0, 3, 1, "failure asked for")
 
 
-class _Answer:
-    status = 200
+def test_a_spark_write_that_fails_is_tried_again(spark, tmp_path):
+    (tmp_path / "file").write_text("in the way")
+    pauses = []
+    for sink in (sinks.JsonLinesSink(f"file://{tmp_path}/file/x"), sinks.CsvSink(f"file://{tmp_path}/file/x"), sinks.StoreSink(spark, f"file://{tmp_path}/file/x"), sinks.SingleFileSink(f"{tmp_path}/file/x")):
+        saver = sinks.Saver(sink, retries=2, delay=0.01, sleep=pauses.append)
+        saver.save(records(spark, 2))
+        s = saver.stats()
+        assert (s["saved"], s["failed"], s["retries"], len(s["errors"])) == (0, 2, 2, 3)
+    assert pauses == [0.01, 0.02] * 4
 
-    class headers:
-        get_content_charset = staticmethod(lambda: "utf-8")
-        get_content_type = staticmethod(lambda: "text/html")
 
-    def __enter__(self):
-        return self
+def test_saver_accounts_and_recovers(spark):
+    sink = sinks.MemorySink(fail_times=2)
+    with sinks.Saver(sink, retries=0, every=2, sleep=lambda s: None) as saver:
+        saver.save(records(spark, 2))
+        assert saver.stats()["pending"] == 1 and sink.rows == []
+        saver.save(records(spark, 1))  # two are written together, and fail
+        assert saver.stats() | {"errors": 0} == {"saved": 0, "failed": 3, "retries": 0, "pending": 0, "errors": 0}
+        sink.fail_times = 0
+        saver.save(records(spark, 4))
+    assert saver.stats()["saved"] == 7 == len(sink.rows) and saver.stats()["failed"] == 0 and sink.closed
 
-    def __exit__(self, *a):
-        return False
 
-    def read(self):
-        return b"ok"
+def test_sinks_evaluate_their_input_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
 
+    def count(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
 
-def test_live_fetch_retries():
-    from urllib.error import HTTPError, URLError
+    r = records(spark, 5).coalesce(1)
+    r = r.mapInArrow(count, r.schema)
+    assert sinks.JsonLinesSink(str(tmp_path / "j")).write(r) == 5 and runs.value == 5
 
-    def opener(codes):
-        it = iter(codes)
 
-        def run(req, timeout):
-            c = next(it)
-            if c == 200:
-                return _Answer()
-            raise URLError("gone") if c is None else HTTPError(req.full_url, c, "no", {}, None)
+class _Answer:
+    def __init__(self, body=b"ok", status=200, headers=None):
+        from email.message import Message
 
-        return run
+        self.body, self.status, self.headers = body, status, Message()
+        for k, v in ({"Content-Type": "text/html; charset=utf-8"} | (headers or {})).items():
+            self.headers[k] = v
 
-    waits = []
-    row = live.fetch("http://a/", "x", opener=opener([503, 503, 200]), sleep=waits.append)
-    assert row[1:3] == ("ok", 200) and row[6] == 3 and waits == [1.0, 2.0]
-    assert live.fetch("http://a/", "x", opener=opener([404]), sleep=waits.append)[4:7:2] == ("PermanentError", 1)
-    assert live.fetch("http://a/", "x", retries=0, opener=opener([500] * 3), sleep=waits.append)[6] == 3
-    assert live.fetch("http://a/", "x", retries=1, opener=opener([None] * 2), sleep=waits.append)[4] == "NetworkError"
+    def __enter__(self):
+        return self
 
+    def __exit__(self, *a):
+        return False
 
-def test_live_source(spark):
-    from http.server import BaseHTTPRequestHandler, HTTPServer
+    def read(self, most):
+        return self.body[:most]
+
+
+class Time:
+    """A clock that sleeping moves."""
+
+    def __init__(self):
+        self.now, self.slept = 1_000_000.0, []
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, s):
+        self.slept.append(round(s, 6))
+        self.now += s
+
+
+def fetcher(answers, **manners):
+    """answers: what each request gets, a status, an exception or an answer; (status, header) has a Retry-After."""
+    from email.message import Message
+    from urllib.error import HTTPError
+
+    t, asked, it = Time(), [], iter(answers)
+
+    def opener(request, connect, read):
+        asked.append((request.full_url, request.get_header("User-agent"), connect, read, t.now))
+        a = next(it)
+        if isinstance(a, Exception):
+            raise a
+        if isinstance(a, _Answer):
+            return a
+        code, after = a if isinstance(a, tuple) else (a, None)
+        if code == 200:
+            return _Answer()
+        headers = Message()
+        if after:
+            headers["Retry-After"] = after
+        raise HTTPError(request.full_url, code, "no", headers, None)
+
+    return live.Fetcher(live.Manners(**manners), t, t.sleep, opener, lambda: 0.5), t, asked
+
+
+def test_live_retries():
+    from urllib.error import URLError
+
+    f, t, asked = fetcher([503, 503, 200], breaker=None)
+    row = f.fetch("http://a/")
+    assert row[1:4] == ("ok", b"ok", 200) and row[7] == 3 and t.slept == [1.0, 2.0] and [a[3] for a in asked] == [10.0, 15.0, 22.5]
+    f, t, _ = fetcher([404])
+    assert f.fetch("http://a/")[5:8:2] == ("PermanentError", 1)
+    f, t, _ = fetcher([500] * 3, retries=0)
+    assert f.fetch("http://a/")[7] == 3
+    f, t, _ = fetcher([URLError("gone")] * 2, retries=1)
+    assert f.fetch("http://a/")[5] == "NetworkError"
+    f, t, _ = fetcher([TimeoutError()] * 2, retries=1)
+    assert f.fetch("http://a/")[5] == "TransientError"
+    f, t, _ = fetcher([(429, "7"), (429, "Mon, 12 Jan 1970 13:47:00 GMT"), (429, "soon"), 200], retries=3)
+    assert f.fetch("http://a/")[3] == 200 and t.slept == [7.0, 13.0, 12.0]
+    f, t, _ = fetcher([(503, "500"), 200], most_delay=30.0)
+    assert f.fetch("http://a/")[3] == 200 and t.slept == [30.0]
+    f, _, _ = fetcher([_Answer("é".encode("latin-1"), headers={}), _Answer(b"x" * 9)])
+    assert f.fetch("http://a/")[1] == "\ufffd"
+
+
+def test_live_manners():
+    f, t, asked = fetcher([200] * 4, agents=("one", "two"), rps=0.5, jitter=1.0)
+    for u in ("http://a/1", "http://a/2", "http://b/1", "http://a/3"):
+        f.fetch(u, 5.0 if u.endswith("3") else 0.0)
+    assert [a[1] for a in asked] == ["one", "two", "one", "two"]
+    times = {a[0]: a[4] - 1_000_000 for a in asked}
+    assert times["http://a/1"] == 2.0 and times["http://a/2"] == 4.5 and times["http://a/3"] - times["http://a/2"] >= 2.5
+    f, t, asked = fetcher([503] * 20, retries=0, breaker=live.Breaker(0.5, 3, 4, 1_000_000_000))
+    kinds = [f.fetch(f"http://a/{i}")[5] for i in range(5)]
+    assert kinds == ["TransientError"] * 3 + ["CircuitOpenError"] * 2 and len(asked) == 3
+    told = []
+    f, t, _ = fetcher([503, 200])
+    f.on_retry = lambda *a: told.append(a)
+    f.fetch("http://a/")
+    assert told == [("http://a/", 1, "TransientError", 1.0)]
+
+
+def test_live_caps():
+    import threading
+    import time
+
+    now, most, by, lock = [0], [0], {}, threading.Lock()
+
+    def opener(request, connect, read):
+        d = live.domain_of(request.full_url)
+        with lock:
+            now[0] += 1
+            by[d] = by.get(d, [0, 0])
+            by[d][0] += 1
+            by[d][1] = max(by[d])
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+            by[d][0] -= 1
+        return _Answer()
+
+    f = live.Fetcher(live.Manners(max_concurrent=6, max_per_domain=2), opener=opener)
+    asked = [(f"http://d{0 if i < 40 else i % 5}/{i}", 0.0) for i in range(80)]
+    rows = list(f.all(iter(asked)))
+    assert sorted(r[0] for r in rows) == sorted(u for u, _ in asked) and most[0] <= 6 and max(x[1] for x in by.values()) <= 2 and f.peak == most[0] > 2
+
+
+@pytest.fixture(scope="module")
+def server():
+    """A site of three pages with a robots.txt and a sitemap, and one page that fails once."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
     from threading import Thread
 
     class H(BaseHTTPRequestHandler):
+        seen: list = []
+
         def do_GET(self):
-            self.send_response(200 if self.path != "/x" else 404)
+            H.seen.append(self.path)
+            pages = {"/": "<a href='/a'>a</a><a href='/hidden'>h</a>", "/a": "<a href='/lost'>x</a><title>A</title>", "/robots.txt": "User-agent: *\nDisallow: /hidden\n", "/m.xml": "<urlset><url><loc>/late</loc></url></urlset>", "/late": "late"}
+            ok = self.path in pages and not (self.path == "/late" and H.seen.count("/late") == 1)
+            self.send_response(200 if ok else 503 if self.path == "/late" else 404)
             self.send_header("Content-Type", "text/html")
+            self.send_header("Retry-After", "0")
             self.end_headers()
-            self.wfile.write(b"<p>hi</p>")
+            self.wfile.write(pages.get(self.path, "").encode())
 
         def log_message(self, *a):
             pass
 
-    server = HTTPServer(("127.0.0.1", 0), H)
-    Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}"
+    s = ThreadingHTTPServer(("127.0.0.1", 0), H)
+    Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", H.seen
+    s.shutdown()
+
+
+def test_live_source(spark, server):
+    base, _ = server
     spark.dataSource.register(live.HttpSource)
     got = spark.read.format("webweft_http").option("urls", json.dumps([base + "/a", base + "/x", base + "/a"])).option("rps", "50").load().collect()
-    server.shutdown()
     assert {(r.url.removeprefix(base), r.status_code, r.kind) for r in got} == {("/a", 200, None), ("/x", 404, "PermanentError")}
+
+
+def test_live_job(spark, server):
+    from webweft.plans.job import BARRED, CrawlJob
+
+    base, seen = server
+    seen.clear()
+    cfg = {"start_urls": [base + "/"], "sitemaps": [base + "/m.xml"], "crawler": {"max_depth": 3, "respect_robots": True, "same_domain_only": True}}
+    with CrawlJob(spark, cfg).run() as got:
+        rows = {r.url.removeprefix(base): r for r in got.visited.collect()}
+        assert {u for u, r in rows.items() if r.ok} == {"/", "/a", "/late"} and rows["/a"].page.title == "A"
+        assert (rows["/hidden"].error, rows["/lost"].status_code, rows["/lost"].kind) == (BARRED, 404, "PermanentError")
+        assert got.stats()["sitemaps"] == {"fetched": 1, "failed": 0}
+    # nothing is asked for twice, save for what failed once; what is forbidden is not asked for
+    assert sorted(seen) == ["/", "/a", "/late", "/late", "/lost", "/m.xml", "/robots.txt"]
+
+
+def test_live_edges(spark):
+    none = spark.createDataFrame([(None,)], "url string")
+    assert live.fetch_live(none).count() == 0 and live.fetch_live(none.limit(0)).count() == 0
+    bad = spark.createDataFrame([("nonsense",), ("http://[x/",), ("ftp://127.0.0.1:9/x",)], "url string")
+    got = live.fetch_live(bad, live.Manners(retries=0)).collect()
+    assert len(got) == 3 and all(r.kind in ("PermanentError", "NetworkError") and r.html is None for r in got)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from webweft.functions import urls
 
-HREF = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"'
+#: The value of an anchor's href: quoted either way, or bare. Other attributes and their values are stepped over.
+HREF = r"""(?is)<a(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TAG = r"(?s)<!--.*?-->|<[^>]*>"
 
 
@@ -52,12 +53,17 @@ def inside(html: Column, tag: str, between: str) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"), F.lit(1)), lambda x: F.array_join(pieces(x), between))
 
 
+def visible(html: Column) -> Column:
+    """html without comments and scripts, whose anchors are none."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+
+
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(F.regexp_extract_all(visible(html), F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, link): distinct valid links of each page in order of their first place."""
+    """(key, pos, link): distinct valid links of each page in order of their first place. Null pages have none."""
     rows = pages.select(key, "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href")).where(~urls.skipped_href(F.col("href")))
     rows = rows.withColumn("link", urls.resolve(F.col("url"), unescape(F.col("href")))).where(urls.is_valid(F.col("link")))
     return rows.groupBy(key, "link").agg(F.min("pos").alias("pos"))

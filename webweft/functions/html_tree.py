@@ -11,8 +11,11 @@ from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from webweft.functions.urls import SKIPPED
 
 #: Elements without an end tag, and those whose start tag ends an open one.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,12 +68,14 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#root")
 
     def _leave(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-        n = self.at
+        """Ends the outermost open element of these within scope: a new row ends the cell and the row that are open."""
+        n, last = self.at, None
         while n.parent is not None and n.tag not in scope:
             if n.tag in tags:
-                self.at = n.parent
-                return
+                last = n
             n = n.parent
+        if last is not None:
+            self.at = last.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES:
@@ -122,7 +127,7 @@ def links(root: Node, url: str, same_domain_only: bool = False) -> list[str]:
     out: dict[str, None] = {}
     for a in root.all("a"):
         href = a.attrs.get("href")
-        if href is None or href.strip().startswith(("#", "mailto:", "javascript:", "tel:")):
+        if href is None or href.strip().startswith(SKIPPED):
             continue
         full = urldefrag(urljoin(url, href.strip()))[0]
         if valid(full) and (not same_domain_only or urlsplit(full).netloc == urlsplit(url).netloc):
@@ -202,11 +207,19 @@ FIELDS: dict[str, tuple[Callable, Callable]] = {
 
 
 def parse_page(html: str | None, url: str, fields: dict | None = None) -> dict:
-    """The page's fields; a field that raises has its default, and its name and error in errors."""
+    """The page's fields; a field that raises has its default, and its name and error in errors.
+
+    A page that the tokenizer itself can't read has every default, and one error. A null page is empty.
+    """
     errors: list[str] = []
-    root = tree(html)
+    fields = FIELDS if fields is None else fields
     out: dict = {"url": url}
-    for name, (take, default) in (fields or FIELDS).items():
+    try:
+        root = tree(html)
+    except Exception as e:
+        out |= {name: default() for name, (_, default) in fields.items()}
+        return out | {"title": "", "errors": [f"parse: {type(e).__name__}: {e}"]}
+    for name, (take, default) in fields.items():
         try:
             out[name] = take(root, url)
         except Exception as e:
@@ -244,3 +257,14 @@ def _as_struct(schema: str) -> str:
 def page_summary(page: Column) -> list[Column]:
     """Lengths and counts of a parsed page."""
     return [F.length(page["text"]).alias("text_chars"), *(F.size(page[k]).alias(f"n_{k}") for k in ("links", "images", "tables", "lists")), F.size(page["headings"]["h1"]).alias("n_h1")]
+
+
+class PageLinks:
+    """Table function: a row for each link of a page, in order. register() names it for SQL."""
+
+    @classmethod
+    def register(cls, spark: SparkSession, name: str = "page_links") -> None:
+        spark.udtf.register(name, udtf(cls, returnType="pos int, link string"))
+
+    def eval(self, html: str, url: str) -> Iterator[tuple]:
+        yield from enumerate(parse_page(html, url)["links"])

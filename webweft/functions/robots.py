@@ -1,16 +1,19 @@
 """robots.txt as relations: a rules table by origin, and first-match decisions by an equi-join on it.
 
-The first matching rule of a group, in the file's order, decides; a prefix is literal. Numbers of
-Crawl-delay that are not whole are ignored. That is what the standard library does on Python 3.13.
+The first matching rule of a group, in the file's order, decides; a prefix is literal, and both it and
+the page's path are compared unescaped and escaped anew. Numbers of Crawl-delay that are not whole
+are ignored. That is what the standard library does on Python 3.13.
 """
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote
+from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlparse, urlunparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from webweft.functions import urls
 
@@ -21,8 +24,24 @@ RULES = "array<struct<grp:int,agents:array<string>,ord:int,allow:boolean,prefix:
 PARSED = f"struct<rules:{RULES},delays:array<struct<grp:int,agents:array<string>,delay:double>>,sitemaps:array<string>>"
 
 
+#: Paths that escaping leaves as they are; longer ones than this table of signs go through Python.
+PLAIN = r"^/[A-Za-z0-9_.\-~/]*$"
+
+
 def clean_prefix(path: str) -> str:
-    return quote(unquote(path))
+    """What a rule's path is compared as."""
+    return quote(urlunparse(urlparse(unquote(path))))
+
+
+def clean_path(url: str | None) -> str | None:
+    """What a page's URL is compared as: all behind its authority, unescaped and escaped anew."""
+    if url is None:
+        return None
+    try:
+        parts = urlparse(unquote(url))
+    except ValueError:
+        return None
+    return quote(urlunparse(("", "", parts.path, parts.params, parts.query, parts.fragment))) or "/"
 
 
 def parse_robots(body: str | None) -> dict:
@@ -97,22 +116,44 @@ def _group(rules: Column, agent: str) -> Column:
 
 
 def path_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)
-    return F.when(rest == "", F.lit("/")).when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
+    """clean_path() of URLs. Plain paths, which are most, are native; only the others are handed to Python."""
+
+    @F.pandas_udf("string")
+    def cleaned(url: pd.Series) -> pd.Series:
+        return url.map(clean_path, na_action="ignore")
+
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$", 1)
+    easy = F.when(rest == "", F.lit("/")).when(rest.rlike(PLAIN), rest)
+    return F.coalesce(easy, cleaned(F.when(easy.isNull(), url)))
 
 
 def can_fetch(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """pages with allowed: the first rule of the agent's group whose prefix starts the path, else true.
 
-    Origins without a row are not allowed: their rules are unknown.
+    Origins without a row are not allowed: their rules are unknown; nor are URLs that are null or malformed.
+    robots has one row an origin, so the join keeps the rows of pages, null URLs and repeated ones among them.
     """
     own = robots.select(F.col("origin").alias("__origin"), F.col("state").alias("__state"), F.filter("parsed.rules", lambda r: r["grp"] == _group(F.col("parsed.rules"), agent)).alias("__rules"))
-    joined = pages.join(own, urls.origin(F.col(url)) == F.col("__origin"), "left")
-    path = path_of(F.col(url))
+    joined = pages.withColumn("__path", path_of(F.col(url))).join(own, urls.origin(F.col(url)) == F.col("__origin"), "left")
+    path = F.col("__path")
     hit = F.filter("__rules", lambda r: (r["prefix"] == "") | path.startswith(r["prefix"]) | (r["prefix"] == "*"))
     first = F.array_min(F.transform(hit, lambda r: F.struct(r["ord"].alias("ord"), r["allow"].alias("allow"))))
-    allowed = F.when(F.col("__state") == "allow_all", F.lit(True)).when(F.col("__state") == "rules", F.coalesce(first["allow"], F.lit(True))).otherwise(F.lit(False))
-    return joined.withColumn("allowed", allowed).drop("__origin", "__state", "__rules")
+    ruled = F.col("__path").isNotNull() & F.coalesce(first["allow"], F.lit(True))
+    allowed = F.when(F.col("__state") == "allow_all", F.lit(True)).when(F.col("__state") == "rules", ruled).otherwise(F.lit(False))
+    return joined.withColumn("allowed", allowed).drop("__origin", "__state", "__rules", "__path")
+
+
+class RobotsRules:
+    """Table function: a row for each rule of a robots.txt, in order. register() names it for SQL."""
+
+    @classmethod
+    def register(cls, spark: SparkSession, name: str = "robots_rules") -> None:
+        spark.udtf.register(name, udtf(cls, returnType="grp int, agent string, ord int, allow boolean, prefix string"))
+
+    def eval(self, body: str) -> Iterator[tuple]:
+        for r in parse_robots(body)["rules"]:
+            for agent in r["agents"]:
+                yield r["grp"], agent, r["ord"], r["allow"], r["prefix"]
 
 
 def crawl_delay(parsed: Column, agent: str = "*") -> Column:

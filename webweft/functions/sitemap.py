@@ -51,7 +51,7 @@ def parse_sitemap(data: bytes | None, url: str) -> dict:
         data = unpack(bytes(data))
         head = data[:4096].lower()
         if not head.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"<"):
-            return {"kind": "urls", "locs": clean(data.decode("utf-8", "replace").splitlines(), url), "error": None}
+            return {"kind": "urls", "locs": clean(data.decode("utf-8-sig", "replace").splitlines(), url), "error": None}
         if b"<!doctype" in head or b"<!entity" in head:
             raise ValueError("document types and entities are not read")
         try:

@@ -1,4 +1,4 @@
-"""URL functions on columns. All are native expressions but resolve_any(), which needs RFC 3986 in full."""
+"""URL functions on columns. All are native expressions; resolve_any() is the standard library's twin of resolve()."""
 
 from __future__ import annotations
 
@@ -77,11 +77,53 @@ def skipped_href(href: Column) -> Column:
     return out
 
 
+def _stripped(href: Column) -> Column:
+    """A reference without white space and control signs around it, line breaks and tabs in it, and its fragment."""
+    h = F.regexp_replace(href, r"^[\s\x00-\x20]+|[\s\x00-\x20]+$|[\t\r\n]", "")
+    return F.regexp_replace(h, r"(?s)#.*$", "")
+
+
+def _without_dots(segments: Column) -> Column:
+    """A path of segments, . and .. resolved; it starts with /."""
+    none = F.array().cast("array<string>")
+    left = F.aggregate(segments, none, lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.array_append(kept, s)))
+    last = F.element_at(segments, -1)
+    path = F.concat(F.array_join(left, "/"), F.when(last.isin(".", "..") & (F.size(left) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute URL of a reference that is absolute or starts with /, without fragment; null for other forms."""
-    h = F.regexp_replace(F.trim(href), "#.*$", "")
-    root = F.concat(F.lower(_part(base, 1)), F.lit("://"), _part(base, 2))
-    return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h).when(h.startswith("//"), F.concat(F.lower(_part(base, 1)), F.lit(":"), h)).when(h.startswith("/") & ~h.contains("/."), F.concat(root, h))
+    """Absolute URL of any form of reference, without its fragment (RFC 3986, as the standard library joins).
+
+    base is an absolute URL of a site. A reference to another scheme without // stays as it is; null where either is null.
+    """
+    h = _stripped(href)
+    scheme, authority = F.lower(_part(base, 1)), _part(base, 2)
+    own = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    # a reference that names the base's scheme and no authority is a relative one
+    after = F.substring(h, F.length(own) + 2, F.length(h))
+    rest = F.when((own == scheme) & ~after.rlike("^//[^/?]"), after).otherwise(h)
+    other = rest.rlike("^//[^/?]")
+    # an authority that is empty is none, nor is a query
+    rest = F.when(other, rest).otherwise(F.regexp_replace(F.regexp_replace(rest, r"^//(?=[/?]|$)", ""), r"^\?$", ""))
+    path, query = F.regexp_extract(rest, r"(?s)^([^?]*)", 1), F.regexp_extract(rest, r"(?s)^[^?]*(\?.+)$", 1)
+    root = F.concat(scheme, F.lit("://"), authority)
+    parent = F.split(F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3)), "/")
+    folder = F.slice(parent, 1, F.greatest(F.size(parent) - 1, F.lit(1)))
+    steps = F.concat(folder, F.split(path, "/"))
+    # empty steps within a joined path are dropped, at its ends they stay
+    steps = F.concat(F.slice(steps, 1, 1), F.filter(F.slice(steps, 2, F.greatest(F.size(steps) - 2, F.lit(0))), lambda x: x != ""), F.slice(steps, -1, 1))
+    whole = F.when(own == scheme, F.concat(own, F.lit(":"), after)).otherwise(h)
+    return (
+        F.when(base.isNull() | href.isNull(), F.lit(None))
+        .when((own != "") & ((own != scheme) | after.rlike("^//[^/?]")), F.when(own == scheme, F.regexp_replace(whole, r"\?$", "")).otherwise(whole))
+        .when(F.regexp_replace(href, r"\s", "").eqNullSafe("") & ~base.contains("#"), base)
+        .when(rest == "", F.regexp_replace(F.concat(root, F.regexp_replace(F.substring(base, F.length(root) + 1, F.length(base)), r"(?s)#.*$", "")), r"\?$", ""))
+        .when(other, F.concat(scheme, F.lit(":"), F.regexp_replace(rest, r"\?$", "")))
+        .when(path == "", F.concat(root, _part(base, 3), query))
+        .when(path.startswith("/"), F.concat(root, _without_dots(F.split(path, "/")), query))
+        .otherwise(F.concat(root, _without_dots(steps), query))
+    )
 
 
 def join_url(base: str | None, href: str | None) -> str | None:
@@ -92,7 +134,7 @@ def join_url(base: str | None, href: str | None) -> str | None:
 
 
 def resolve_any(base: Column, href: Column) -> Column:
-    """resolve() for every form of reference, in Arrow batches; null where the reference is malformed."""
+    """resolve() by the standard library, in Arrow batches; null where the reference is malformed."""
 
     @F.pandas_udf("string")
     def join(base: pd.Series, href: pd.Series) -> pd.Series:

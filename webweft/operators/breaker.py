@@ -1,4 +1,7 @@
-"""Circuit breakers: each domain's outcomes in order, folded through its states."""
+"""Circuit breakers: each domain's requests in order, taken through the states of a breaker.
+
+One machine, Machine, stands behind the batch log, the stream and the live source.
+"""
 
 from __future__ import annotations
 
@@ -7,67 +10,135 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webweft.operators.fold import fold
+
 
 @dataclass(frozen=True)
 class Breaker:
-    """Opens when at least min_calls of the last `window` calls are known and failure_rate of them failed; tries again after recovery_us."""
+    """Opens when at least min_calls of the last `window` calls are known and failure_rate of them failed; tries again
+    after recovery_us, with at most half_open_calls probes at a time."""
 
     failure_rate: float = 0.5
     min_calls: int = 5
     window: int = 10
     recovery_us: int = 30_000_000
+    half_open_calls: int = 1
 
     def __post_init__(self):
-        if not 0 < self.failure_rate <= 1 or not 1 <= self.min_calls <= self.window or self.recovery_us < 0:
-            raise ValueError("failure_rate in (0, 1], 1 <= min_calls <= window, recovery_us >= 0")
-
-
-STATE = "struct<st:string,res:array<boolean>,op:bigint,opened:int,rejected:int>"
-
+        if not 0 < self.failure_rate <= 1 or not 1 <= self.min_calls <= self.window or self.recovery_us < 0 or self.half_open_calls < 1:
+            raise ValueError("failure_rate in (0, 1], 1 <= min_calls <= window, recovery_us >= 0, half_open_calls >= 1")
+
+
+class Machine:
+    """One domain's breaker. Times are microseconds and are given, never taken from a clock."""
+
+    __slots__ = ("rule", "state", "results", "opened_at", "opened", "rejected", "probes", "waiting")
+
+    def __init__(self, rule: Breaker, state: str = "closed", results: list | tuple = (), opened_at: int = 0, opened: int = 0, rejected: int = 0, probes: int = 0):
+        self.rule, self.state, self.results, self.opened_at, self.opened, self.rejected, self.probes = rule, state, list(results), opened_at, opened, rejected, probes
+        self.waiting: list[tuple[int, bool | None]] = []  # requests on their way: when they end, and how
+
+    def values(self) -> tuple:
+        return self.state, self.results, self.opened_at, self.opened, self.rejected, self.probes
+
+    @property
+    def failures(self) -> int:
+        return self.results.count(False)
+
+    @property
+    def rate(self) -> float:
+        return self.failures / len(self.results) if self.results else 0.0
+
+    def shown(self, now: int | None) -> str:
+        return "half_open" if self.state == "open" and now is not None and now - self.opened_at >= self.rule.recovery_us else self.state
+
+    def allow(self, now: int) -> int | None:
+        """Null if a request may go, else the microseconds after which another may be tried."""
+        if self.state == "open":
+            left = self.opened_at + self.rule.recovery_us - now
+            if left > 0:
+                self.rejected += 1
+                return left
+            self.state, self.probes = "half_open", 0
+        if self.state == "half_open":
+            if self.probes >= self.rule.half_open_calls:
+                self.rejected += 1
+                return 0
+            self.probes += 1
+        return None
+
+    def record(self, ok: bool | None, now: int) -> None:
+        """How a request that was let go ended; null says nothing of the site and only frees a probe's place."""
+        if self.state == "half_open":
+            self.probes = max(0, self.probes - 1)
+            if ok is not None:
+                self.state = "closed" if ok else "open"
+                if ok:
+                    self.results = []
+                else:
+                    self._open(now)
+        elif self.state == "closed" and ok is not None:
+            self.results = [*self.results, ok][-self.rule.window :]
+            if not ok and len(self.results) >= self.rule.min_calls and self.rate >= self.rule.failure_rate:
+                self._open(now)
+
+    def _open(self, now: int) -> None:
+        self.state, self.opened_at = "open", now
+        self.opened += 1
+
+    def request(self, us: int, ok: bool | None, end_us: int | None = None) -> int | None:
+        """allow() at us, and record() when the request ends: at once, or when the log comes to that time."""
+        ended = sorted((x for x in self.waiting if x[0] <= us), key=lambda x: x[0])
+        self.waiting = [x for x in self.waiting if x[0] > us]
+        for at, how in ended:
+            self.record(how, at)
+        left = self.allow(us)
+        if left is None:
+            if end_us is None or end_us <= us:
+                self.record(ok, us)
+            else:
+                self.waiting.append((end_us, ok))
+        return left
+
+    def end(self) -> None:
+        for at, how in sorted(self.waiting, key=lambda x: x[0]):
+            self.record(how, at)
+        self.waiting = []
+
+
+def breaker_states(log: DataFrame, breaker: Breaker = Breaker(), key: str = "domain", now_us: int | None = None, end: str | None = None) -> DataFrame:
+    """(key, state, opened_times, rejected, failure_rate) after log (key, us, id, ok), a domain's requests in order.
 
-def start() -> Column:
-    return F.struct(F.lit("closed").alias("st"), F.array().cast("array<boolean>").alias("res"), F.lit(0).cast("long").alias("op"), F.lit(0).alias("opened"), F.lit(0).alias("rejected")).cast(STATE)
+    ok null is an outcome that says nothing of the site. end names a column with the time at which a request ended;
+    without one, each ends before the next. With now_us, an open breaker whose time is over shows as half_open. A
+    null time takes no part; a null domain is one; an empty log gives no rows.
+    """
+    kind = log.schema[key].dataType.simpleString()
 
+    def finish(m: Machine, name) -> tuple:
+        m.end()
+        return name, m.shown(now_us), m.opened, m.rejected, m.rate
 
-def step(b: Breaker):
-    """One request (us, ok); ok null is an outcome that says nothing of the site."""
+    def step(m: Machine, name, us, i, ok, *ended) -> None:
+        m.request(us, ok, *ended)
 
-    def run(a: Column, x: Column) -> Column:
-        waiting = (a["st"] == "open") & (a["op"] + b.recovery_us - x["us"] > 0)
-        probe = (a["st"] != "closed") & ~waiting
-        res = F.slice(F.array_append(a["res"], x["ok"]), F.greatest(F.lit(1), F.size(a["res"]) + 2 - b.window), b.window)
-        failed = F.size(F.filter(res, lambda r: ~r))
-        trips = ~x["ok"] & (F.size(res) >= b.min_calls) & (failed / F.size(res) >= b.failure_rate)
+    return fold(_timed(log, end), key, ("us", "id"), ("ok", *([end] if end else [])), lambda: Machine(breaker), step, finish, f"{key} {kind}, state string, opened_times int, rejected int, failure_rate double")
 
-        def out(st, res_, op, opened, rejected) -> Column:
-            return F.struct(st.alias("st"), res_.alias("res"), op.alias("op"), opened.alias("opened"), rejected.alias("rejected")).cast(STATE)
 
-        clear = F.array().cast("array<boolean>")
-        return (
-            F.when(waiting, out(a["st"], a["res"], a["op"], a["opened"], a["rejected"] + 1))
-            .when(x["ok"].isNull(), out(F.when(probe, F.lit("half_open")).otherwise(a["st"]), a["res"], a["op"], a["opened"], a["rejected"]))
-            .when(probe & x["ok"], out(F.lit("closed"), clear, a["op"], a["opened"], a["rejected"]))
-            .when(probe, out(F.lit("open"), a["res"], x["us"], a["opened"] + 1, a["rejected"]))
-            .when(trips, out(F.lit("open"), res, x["us"], a["opened"] + 1, a["rejected"]))
-            .otherwise(out(F.lit("closed"), res, a["op"], a["opened"], a["rejected"]))
-        )
+def breaker_verdicts(log: DataFrame, breaker: Breaker = Breaker(), key: str = "domain", end: str | None = None) -> DataFrame:
+    """(key, id, allowed, retry_after_us): what the breaker says to each request; retry_after_us is null if it may go."""
+    kinds = {c: log.schema[c].dataType.simpleString() for c in (key, "id")}
 
-    return run
+    def step(m: Machine, name, us, i, ok, *ended) -> tuple:
+        left = m.request(us, ok, *ended)
+        return name, i, left is None, left
 
+    return fold(_timed(log, end), key, ("us", "id"), ("ok", *([end] if end else [])), lambda: Machine(breaker), step, lambda m, name: None, f"{key} {kinds[key]}, id {kinds['id']}, allowed boolean, retry_after_us long")
 
-def breaker_states(log: DataFrame, breaker: Breaker = Breaker(), key: str = "domain", now_us: int | None = None) -> DataFrame:
-    """(key, state, opened_times, rejected, failure_rate) after log (key, us, id, ok), a domain's requests in order.
 
-    With now_us, an open breaker whose time is over shows as half_open. A domain's log is one array: for
-    domains whose log does not fit in a task, streaming.breaker keeps the state instead.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(F.col("us").cast("long").alias("us"), F.col("id").alias("id"), F.col("ok").alias("ok"))))
-    end = log.groupBy(key).agg(F.aggregate(rows, start(), step(breaker)).alias("s"))
-    state = F.col("s.st")
-    if now_us is not None:
-        state = F.when((state == "open") & (F.lit(now_us) - F.col("s.op") >= breaker.recovery_us), "half_open").otherwise(state)
-    rate = F.coalesce(F.try_divide(F.size(F.filter("s.res", lambda r: ~r)), F.size("s.res")), F.lit(0.0))
-    return end.select(key, state.alias("state"), F.col("s.opened").alias("opened_times"), F.col("s.rejected").alias("rejected"), rate.alias("failure_rate"))
+def _timed(log: DataFrame, end: str | None) -> DataFrame:
+    log = log.where("us is not null").withColumn("us", F.col("us").cast("long"))
+    return log.withColumn(end, F.col(end).cast("long")) if end else log
 
 
 def window_rate(log: DataFrame, window: int = 10, key: str = "domain", order: tuple[str, ...] = ("us", "id")) -> DataFrame:
@@ -76,6 +147,11 @@ def window_rate(log: DataFrame, window: int = 10, key: str = "domain", order: tu
     return log.withColumn("calls", F.count("*").over(w)).withColumn("failure_rate", F.avg((~F.col("ok")).cast("double")).over(w))
 
 
+def totals(states: DataFrame) -> DataFrame:
+    """One row over breaker_states(): domains, those that are open, and how often breakers opened and turned requests away."""
+    return states.agg(F.count("*").alias("domains"), F.count_if(F.col("state") == "open").alias("open"), F.coalesce(F.sum("opened_times"), F.lit(0)).alias("opened"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"))
+
+
 def outcome(ok: Column, kind: Column, status: Column) -> Column:
     """What a request tells of its site: true for an answer, 4xx among them, false for trouble, null for neither."""
     return F.when(ok | ((kind == "PermanentError") & status.isNotNull()), F.lit(True)).when(kind.isin("TransientError", "NetworkError"), F.lit(False))

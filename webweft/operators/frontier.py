@@ -1,96 +1,178 @@
 """Breadth-first traversal, level by level: joins, an anti-join with what is known, and a budget.
 
 Order is that of one worker: by depth, then the parent's rank, then the link's place; the first discovery
-of a node wins. A level is one plan, stored in the shared folder; the driver sees its row count alone.
+of a node wins. With a small budget what is known stays on the driver and is broadcast, a level being one
+top-k; else a level is a table in the shared folder, of which the driver sees the row count alone.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.functions import urls
+from webweft.operators import fetch
 from webweft.stored import Stored
 
-#: Up to this budget a level is taken as a top-k, which needs neither a sampled sort nor a cut afterwards.
-SMALL = 100_000
+log = logging.getLogger("webweft.frontier")
+#: Most nodes that the driver keeps; a larger budget goes by tables.
+SMALL = 20_000
+_LEVEL = "node string, depth int, rank long"
 
 
-def _ranked(rows: DataFrame, budget: int, depth: int) -> tuple[Stored, int]:
-    """Distinct nodes of (node, parent, pos) in order, at most budget of them, numbered in that order."""
-    first = rows.groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at")).orderBy("at", "node")
-    seen = Observation()
-    columns = ("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"))
-    if budget <= SMALL:
-        level = Stored(first.limit(budget).select(*columns).observe(seen, F.count(F.lit(1)).alias("n")), "level")
-        return level, seen.get["n"]
-    level = Stored(first.select(*columns).observe(seen, F.count(F.lit(1)).alias("n")), "level")
-    n = seen.get["n"]
-    if n > budget:  # only the last level is cut
-        cut = Stored(level.df.orderBy("rank").limit(budget), "level")
-        level.drop()
-        return cut, budget
-    return level, n
+class _OnDriver:
+    """Levels of at most SMALL nodes in all."""
 
+    def __init__(self, spark: SparkSession, budget: int):
+        self.spark, self.left, self.rows = spark, budget, []
 
-def traverse(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], max_depth: int = 2, max_nodes: int = 100, allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+    def take(self, found: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        if self.rows:
+            found = unseen(found, F.broadcast(self.all()))
+        got = _in_order(found).limit(self.left).collect()
+        level = [(r["node"], depth, k) for k, r in enumerate(got)]
+        self.rows += level
+        self.left -= len(level)
+        return F.broadcast(self.spark.createDataFrame(level, _LEVEL)), len(level)
+
+    def all(self) -> DataFrame:
+        return self.spark.createDataFrame(self.rows, _LEVEL)
+
+
+class _InTables:
+    """Levels of any size."""
+
+    def __init__(self, spark: SparkSession, budget: int):
+        self.spark, self.left, self.tables = spark, budget, []
+
+    def take(self, found: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        if self.tables:
+            found = unseen(found, self.all())
+        seen = Observation()
+        level = _in_order(found).select("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"))
+        level = Stored(level.observe(seen, F.count(F.lit(1)).alias("n")), "level")
+        n = seen.get["n"]
+        if n > self.left:  # only the last level is cut
+            cut = Stored(level.df.orderBy("rank").limit(self.left), "level")
+            level.drop()
+            level, n = cut, self.left
+        self.tables.append(level)
+        self.left -= n
+        return level.df, n
+
+    def all(self) -> DataFrame:
+        out = self.tables[0].df
+        for t in self.tables[1:]:
+            out = out.union(t.df)
+        return out
+
+
+def unseen(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of found whose node is none of known's; a null node is known to none."""
+    return found.join(known.select("node"), "node", "left_anti")
+
+
+def within(rows: DataFrame, domains: DataFrame, url: str = "node") -> DataFrame:
+    """rows whose URL is of one of the domains (www or not), a table (domain) of any size."""
+    own = domains.select(urls.normalize_domain(F.col("domain")).alias("__domain")).where("__domain <> ''")
+    return rows.join(own, urls.normalize_domain(F.col(url)) == F.col("__domain"), "left_semi")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Distinct nodes of (node, parent, pos), first discovered first."""
+    return rows.groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at")).orderBy("at", "node")
+
+
+def traverse(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], max_depth: int = 2, max_nodes: int = 100, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, depth, rank) of admitted nodes.
 
-    seeds: (node, pos). expand: from a level to (parent long, node, pos), parent being the level's rank.
-    max_nodes counts all that are admitted, seeds and such as turn out to fail among them.
+    seeds: (node, pos). expand: from a level to (parent long, node, pos), parent being the level's rank. allowed:
+    rows with a column node, of which it keeps those that may be visited. max_nodes counts all that are admitted,
+    seeds and such as turn out to fail among them. Null and empty nodes are none; no seeds give no rows.
     """
     if max_nodes < 1 or max_depth < 0:
         raise ValueError("max_nodes must be at least 1, max_depth at least 0")
-    ok = (lambda rows: rows.where(allowed(F.col("node")))) if allowed else (lambda rows: rows)
-    start = seeds.where("node is not null and node <> ''").select("node", F.lit(0).cast("long").alias("parent"), "pos")
-    level, n = _ranked(ok(start), max_nodes, 0)
-    seen, total = level.df, n
+    ok = allowed or (lambda rows: rows)
+    there = "node is not null and node <> ''"
+    known = (_OnDriver if max_nodes <= SMALL else _InTables)(seeds.sparkSession, max_nodes)
+    start = seeds.where(there).select("node", F.lit(0).cast("long").alias("parent"), "pos")
+    level, n = known.take(ok(start), 0)
     for depth in range(1, max_depth + 1):
-        if not n or total >= max_nodes:
+        if not n or not known.left:
             break
-        found = ok(expand(level.df).select("node", "parent", "pos").where("node is not null and node <> ''"))
-        level, n = _ranked(found.join(seen.select("node"), "node", "left_anti"), max_nodes - total, depth)
-        seen, total = seen.union(level.df), total + n
-    return seen
+        level, n = known.take(ok(expand(level).select("node", "parent", "pos").where(there)), depth)
+    return known.all()
 
 
-def traverse_edges(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_nodes: int = 100) -> DataFrame:
-    """traverse() over a table of edges (src, dst, pos)."""
+def traverse_edges(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_nodes: int = 100, stored: bool = True) -> DataFrame:
+    """traverse() over a table of edges (src, dst, pos).
+
+    Edges that are derived are stored once, so that no level derives them again; stored=False leaves out the copy of
+    edges that are read from a table as they are.
+    """
+    edges = edges.select("src", "dst", "pos")
+    kept = Stored(edges, "edges") if stored else None
+    table = kept.df if kept else edges
 
     def expand(level: DataFrame) -> DataFrame:
-        return level.join(edges, level.node == edges.src).select(F.col("rank").alias("parent"), F.col("dst").alias("node"), "pos")
+        return table.join(level, table.src == level.node).select(F.col("rank").alias("parent"), F.col("dst").alias("node"), "pos")
 
-    return traverse(seeds, expand, max_depth, max_nodes)
+    out = traverse(seeds, expand, max_depth, max_nodes)
+    if kept:
+        kept.drop()
+    return out
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, parse: Callable[[DataFrame], DataFrame], max_pages: int = 100, max_depth: int = 2, same_domain_only: bool = False, allowed_domains: list[str] | None = None, exclude: list[str] | None = None, include: list[str] | None = None) -> DataFrame:
-    """(url, depth, rank, ok, status): the pages that a crawl over a snapshot visits.
+def crawl(answer: Callable[[DataFrame], DataFrame], seeds: DataFrame, max_pages: int = 100, max_depth: int = 2, same_domain_only: bool = False, allowed_domains: list[str] | None = None, exclude: list[str] | None = None, include: list[str] | None = None, page_callback: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(url, depth, rank, ok, status_code, content_type, kind, error, page): the pages that a crawl visits, parsed once.
 
-    pages: (url, html, status_code), the snapshot by normalised URL. seeds: (url, pos). parse: from (url, html)
-    to (url, pos, link). With same_domain_only the domains of the seeds (at most as many as there are
-    seeds) and allowed_domains bound the crawl. A URL that the snapshot lacks, or whose status is 400 or
-    more, fails: it counts, but leads nowhere.
+    answer: from (url) to (url, html, status_code, content_type, kind, error), as fetch.fetch gives it for a snapshot
+    and live.fetch_live for the Web. seeds: (url, pos). With same_domain_only the domains of the seeds and
+    allowed_domains bound the crawl. A URL that is not answered, or with a status of 400 or more, fails: it counts,
+    but leads nowhere. page_callback is handed each level's rows, which are stored by then.
     """
-    domains = list(allowed_domains or [])
+    spark = seeds.sparkSession
+    visits: list[DataFrame] = []
+    own = None
     if same_domain_only:
-        domains += [r.d for r in seeds.select(urls.normalize_domain(F.col("url")).alias("d")).distinct().collect()]
-
-    def allowed(node: Column) -> Column:
-        return urls.url_filter(node, domains or None, exclude, include)
-
-    good = pages.where(F.coalesce(F.col("status_code"), F.lit(200)) < 400)
+        own = seeds.select(F.col("url").alias("domain"))
+        if allowed_domains:
+            own = own.union(spark.createDataFrame([(d,) for d in allowed_domains], "domain string"))
+        own = Stored(own.distinct(), "domains").df
+
+    def allowed(rows: DataFrame) -> DataFrame:
+        rows = rows.where(urls.url_filter(F.col("node"), None if same_domain_only else allowed_domains, exclude, include))
+        return rows if own is None else within(rows, own)
+
+    def visit(level: DataFrame) -> DataFrame:
+        asked = level.select(F.col("node").alias("url"), "depth", "rank")
+        got = answer(asked.select("url")).select("url", "html", "status_code", "content_type", "kind", "error").join(asked, "url")
+        parsed = fetch.parse_answers(got, ("depth", "rank", "status_code", "content_type"))
+        done = Stored(parsed.select("url", "depth", "rank", F.col("kind").isNull().alias("ok"), "status_code", "content_type", "kind", "error", "page"), "visits").df
+        visits.append(done)
+        if page_callback:
+            try:
+                page_callback(done)
+            except Exception:  # what a listener does is no reason to stop a crawl
+                log.exception("page_callback failed")
+        return done
 
     def expand(level: DataFrame) -> DataFrame:
-        links = parse(level.join(good, level.node == good.url).select("url", "html", "rank"))
-        return links.select(F.col("rank").alias("parent"), urls.normalize_url(F.col("link")).alias("node"), "pos")
+        links = visit(level).where("ok").select(F.col("rank").alias("parent"), F.posexplode("page.links").alias("pos", "link"))
+        return links.select("parent", urls.normalize_url(F.col("link")).alias("node"), "pos")
 
     start = seeds.select(urls.normalize_url(F.col("url")).alias("node"), "pos")
     seen = traverse(start, expand, max_depth, max_pages, allowed)
-    status = pages.select(F.col("url").alias("__url"), F.coalesce("status_code", F.lit(200)).alias("status"))
-    out = seen.join(status, seen.node == status["__url"], "left")
-    return out.select(F.col("node").alias("url"), "depth", "rank", F.coalesce(F.col("status") < 400, F.lit(False)).alias("ok"), "status")
+    # the last level was admitted, but nothing asked for its links
+    last = seen.where(F.col("depth") == len(visits))
+    visit(last)
+    out = visits[0]
+    for v in visits[1:]:
+        out = out.union(v)
+    return out
 
 
 def seed_union(*parts: DataFrame) -> DataFrame:

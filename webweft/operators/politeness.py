@@ -1,14 +1,19 @@
-"""Politeness of a request log: rate-limit slots, gaps, rates and concurrency, all as windows.
+"""Politeness of a request log: rate-limit slots, gaps, rates and concurrency.
 
 With pauses that do not depend on earlier slots, the slot of a key's i-th request is the running
-maximum of (arrival - pauses before) plus the pauses before it: one window, no state.
+maximum of (arrival - pauses before) plus the pauses before it: one window, no state. Where a request
+may hold back its domain, or waits for another to end, a fold takes a key's requests in order.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webweft.operators.fold import fold
+
 
 def _order(key: str, order: list[str]) -> Window:
     return Window.partitionBy(key).orderBy(*order)
@@ -37,22 +42,21 @@ def pause_us(rps: float = 1.0, min_delay: float = 0.0, crawl_delay: Column | Non
 
 
 def slots_with_pushback(log: DataFrame, rps: float = 1.0, key: str = "domain", at: str = "us", push: str = "push_us", jitter: str | None = None) -> DataFrame:
-    """(key, id, slot_us): slots where a request may also hold back its domain: no later slot before at + push.
+    """(key, id, slot_us): slots where a request may also hold back its domain: no later slot before its own + push.
 
-    A fold over each domain's ordered requests, as the held-back time depends on the slots before.
+    jitter names a column that is added to the pause after a request. Null push and jitter are 0; a request without a
+    time takes no part; a null domain is one.
     """
     gap = int(round(1_000_000 / rps))
-    extra = F.col(jitter) if jitter else F.lit(0).cast("long")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("us"), F.col("id").cast("long").alias("id"), F.coalesce(F.col(push), F.lit(0)).cast("long").alias("push"), extra.cast("long").alias("extra"))))
-    start = F.struct(F.lit(None).cast("long").alias("next"), F.array().cast("array<struct<id:bigint,slot:bigint>>").alias("out"))
+    kinds = {c: log.schema[c].dataType.simpleString() for c in (key, "id")}
+    rows = log.where(F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias("us"), "id", F.coalesce(F.col(push), F.lit(0)).cast("long").alias("push"), F.coalesce(F.col(jitter) if jitter else F.lit(0), F.lit(0)).cast("long").alias("extra"))
 
-    def step(a: Column, r: Column) -> Column:
-        slot = F.coalesce(F.greatest(r["us"], a["next"]), r["us"])
-        held = F.when(r["push"] > 0, F.greatest(slot + gap + r["extra"], slot + r["push"])).otherwise(slot + gap + r["extra"])
-        return F.struct(held.alias("next"), F.array_append(a["out"], F.struct(r["id"].alias("id"), slot.alias("slot"))).alias("out"))
+    def step(free: list, name, us: int, i, push: int, extra: int) -> tuple:
+        slot = max(us, free[0]) if free else us
+        free[:] = [max(slot + gap + extra, slot + push)]
+        return name, i, slot
 
-    got = log.groupBy(key).agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return got.select(key, F.explode("out").alias("r")).select(key, F.col("r.id").alias("id"), F.col("r.slot").alias("slot_us"))
+    return fold(rows, key, ("us", "id"), ("push", "extra"), list, step, lambda s, name: None, f"{key} {kinds[key]}, id {kinds['id']}, slot_us long")
 
 
 def limiter_gaps(slots: DataFrame, key: str = "domain") -> DataFrame:
@@ -75,10 +79,64 @@ def concurrency(log: DataFrame, key: str | None = "domain", start: str = "start_
     edges = log.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("us"), F.lit(1).alias("d")), F.struct(F.col(end).alias("us"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.us", "e.d")
     # one row for each moment first, so that the sweep sees moments, not requests
     moments = edges.groupBy(*keys, "us").agg(F.sum("d").alias("d"))
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    if not key:
+        return _peak_of_all(moments)
+    w = Window.partitionBy(key).orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
     return moments.withColumn("active", F.sum("d").over(w)).groupBy(*keys).agg(F.max("active").alias("peak"))
 
 
-def admitted(log: DataFrame, per_domain: int, key: str = "domain", order: tuple[str, ...] = ("us", "id")) -> DataFrame:
-    """log with lane: which of a domain's per_domain slots a request takes in turn."""
-    return log.withColumn("lane", F.pmod(F.row_number().over(_order(key, list(order))) - 1, F.lit(per_domain)))
+#: Spans of time that the sweep over all domains is cut into.
+SPANS = 1_024
+
+
+def _peak_of_all(moments: DataFrame) -> DataFrame:
+    """The sweep over all domains, span by span: each starts with the sum of those before it."""
+    lo, hi = moments.agg(F.min("us"), F.max("us")).first()
+    if lo is None:
+        return moments.agg(F.max("d").alias("peak"))
+    width = max(1, -(-(hi - lo + 1) // SPANS))
+    cut = moments.withColumn("span", F.floor((F.col("us") - lo) / width))
+    # at most SPANS rows
+    base = cut.groupBy("span").agg(F.sum("d").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("span").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+    active = cut.join(F.broadcast(base.select("span", "before")), "span").withColumn("active", F.col("before") + F.sum("d").over(w))
+    return active.agg(F.max("active").alias("peak"))
+
+
+def admitted(log: DataFrame, per_domain: int, key: str = "domain", at: str = "us", duration: str | int = 0) -> DataFrame:
+    """(key, id, lane, start_us, wait_us): requests of a domain, at most per_domain at once, first come first served.
+
+    duration is a column of microseconds, or one number for all. A request starts when it arrives or when the first of
+    its domain's lanes is free; of free lanes it takes the one that was used least lately. For a cap over all domains
+    let key be a constant. A request without a time takes no part, a null duration is 0.
+    """
+    if per_domain < 1:
+        raise ValueError("per_domain must be at least 1")
+    kinds = {c: log.schema[c].dataType.simpleString() for c in (key, "id")}
+    took = F.lit(duration) if isinstance(duration, int) else F.coalesce(F.col(duration), F.lit(0))
+    rows = log.where(F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias("us"), "id", took.cast("long").alias("took"))
+
+    def step(lanes: list, name, us: int, i, took: int) -> tuple:
+        if len(lanes) < per_domain:
+            free, lane = us, len(lanes)
+        else:
+            free, lane = heapq.heappop(lanes)
+        start = max(us, free)
+        heapq.heappush(lanes, (start + took, lane))
+        return name, i, lane, start, start - us
+
+    return fold(rows, key, ("us", "id"), ("took",), list, step, lambda s, name: None, f"{key} {kinds[key]}, id {kinds['id']}, lane int, start_us long, wait_us long")
+
+
+def politeness_stats(slots: DataFrame, allowed: DataFrame | None = None, attempts: DataFrame | None = None) -> DataFrame:
+    """One row: requests, avg_gap_us and avg_wait_us over all domains of limiter_slots(), blocked of robots.can_fetch(),
+    retries of retry.attempt_log()."""
+    w = Window.partitionBy("domain").orderBy("slot_us", "id")
+    out = slots.withColumn("gap", F.col("slot_us") - F.lag("slot_us").over(w)).agg(F.count("*").alias("requests"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("avg_gap_us"), F.coalesce(F.avg("wait_us"), F.lit(0.0)).alias("avg_wait_us"))
+    one = lambda df, c, name: df.agg(c.alias(name))
+    blocked = one(allowed, F.count_if(~F.col("allowed")), "blocked") if allowed is not None else None
+    retries = one(attempts, F.count("delay"), "retries") if attempts is not None else None
+    # single rows, put side by side
+    for name, part in (("blocked", blocked), ("retries", retries)):
+        out = out.join(F.broadcast(part)) if part is not None else out.withColumn(name, F.lit(0).cast("long"))
+    return out

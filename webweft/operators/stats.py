@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webweft.functions import urls
+from webweft.operators import retry
 
 EVENT = "url string, ok boolean, status int, error string, size long, ts timestamp"
 
@@ -50,9 +51,36 @@ def storage_stats(records: DataFrame, saved: DataFrame) -> DataFrame:
     return left.agg(F.count_if(F.col("there").isNotNull()).alias("saved"), F.count_if(F.col("there").isNull()).alias("failed"))
 
 
-def crawl_stats(visited: DataFrame) -> DataFrame:
-    """One row of counts from frontier.crawl()."""
-    return visited.agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+def crawl_stats(visited: DataFrame, elapsed: float | None = None, queued: int = 0, in_progress: int = 0) -> DataFrame:
+    """One row of counts and the rate from frontier.crawl(). A crawl that has ended has nothing queued or in progress."""
+    rate = F.try_divide(F.count("*").cast("double"), F.lit(elapsed)) if elapsed else F.lit(0.0)
+    return visited.agg(
+        F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"), F.lit(queued).cast("long").alias("queued"), F.lit(in_progress).cast("long").alias("in_progress"),
+        F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), F.lit(elapsed or 0.0).alias("elapsed_seconds"), F.coalesce(rate, F.lit(0.0)).alias("pages_per_second"),
+    )
+
+
+#: Failed URLs that a report names.
+MOST_NAMED = 1_000
+
+
+def error_stats(attempts: DataFrame, failed: DataFrame, breakers: DataFrame | None = None) -> dict:
+    """Errors by class, retries, failed URLs with their reasons (MOST_NAMED at most, the first by URL; n_failed_urls counts
+    all) and breakers, for the report.
+
+    attempts: retry.attempt_log(). failed: fetch.failed_urls(). breakers: breaker.breaker_states(); those that ever
+    opened are named.
+    """
+    named = failed.orderBy("url").limit(MOST_NAMED).collect()
+    opened = breakers.where("opened_times > 0").orderBy(F.desc("opened_times"), F.col(breakers.columns[0])).limit(MOST_NAMED).collect() if breakers is not None else []
+    return {
+        "errors_by_type": {r.kind: r.n for r in retry.errors_by_type(attempts).orderBy(F.desc("n"), "kind").collect()},
+        "retry": retry.retry_stats(attempts).first().asDict(),
+        "permanent": [r.url for r in retry.permanent_urls(attempts).orderBy("url").limit(MOST_NAMED).collect()],
+        "n_failed_urls": failed.count(),
+        "failed": {r.url: r.error or r.kind for r in named},
+        "breaker": [{"domain": r[0], "state": r.state, "opened_times": r.opened_times} for r in opened],
+    }
 
 
 def as_dict(events: DataFrame, top_n: int = 10, elapsed: Column | None = None) -> dict:

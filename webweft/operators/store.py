@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webweft.functions import urls
-from webweft.stored import Stored
 
 RECORD = "url string, title string, text string, links array<string>, metadata string, crawled_at timestamp, status_code int, content_type string"
 FIELDS = tuple(x.split()[0] for x in RECORD.split(", "))
 MOST_FOUND = 100
+#: What the store keeps.
+STORED = f"id long, seq long, domain string, {RECORD}"
 
 
 def make_record(pages: DataFrame, crawled_at: Column | None = None, status_code: str = "status_code", content_type: str = "content_type") -> DataFrame:
@@ -30,14 +32,26 @@ def make_record(pages: DataFrame, crawled_at: Column | None = None, status_code:
 
 
 def validate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): bad rows lack a url, links or metadata; missing columns raise."""
-    lost = [c for c in FIELDS if c not in records.columns]
-    if lost:
+    """(good, bad): bad rows lack a url, links or metadata, or hold metadata that is no JSON object.
+
+    Columns that are missing, or of another type than a record's, raise.
+    """
+    types = {f.name: f.dataType.simpleString() for f in records.schema}
+    want = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(RECORD)}
+    if lost := [c for c in FIELDS if c not in types]:
         raise ValueError(f"records lack {', '.join(lost)}")
-    ok = F.coalesce(F.col("url") != "", F.lit(False)) & F.col("links").isNotNull() & F.col("metadata").isNotNull()
+    if wrong := [f"{c} is {types[c]}, not {want[c]}" for c in FIELDS if types[c] not in (want[c], "void")]:
+        raise ValueError("; ".join(wrong))
+    object_ = F.coalesce(F.get_json_object("metadata", "$").startswith("{"), F.lit(False))
+    ok = F.coalesce(F.col("url") != "", F.lit(False)) & F.col("links").isNotNull() & object_
     return records.where(ok), records.where(~ok)
 
 
+def decoded(records: DataFrame) -> DataFrame:
+    """records with metadata as a variant instead of JSON text; null where it is no JSON."""
+    return records.withColumn("metadata", F.try_parse_json("metadata"))
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str = "url", seq: str = "seq") -> DataFrame:
     """The table after new rows: of each key the row with the highest seq, and id, the lowest seq it ever had.
 
@@ -65,7 +79,9 @@ def find(pages: DataFrame, domain: str | None = None, status_code: int | None =
         raise ValueError("limit must be a number not under 0")
     out = pages
     if domain is not None:
-        out = out.where(urls.domain(F.col("url")) == domain.lower())
+        # the store keeps the domain as a column, so that its files' statistics rule row groups out
+        of = F.col("domain") if "domain" in out.columns else urls.domain(F.col("url"))
+        out = out.where(of == domain.lower())
     if status_code is not None:
         out = out.where(F.col("status_code") == status_code)
     if title_contains is not None:
@@ -83,47 +99,78 @@ def stats_by_status(pages: DataFrame) -> DataFrame:
 
 
 class PageStore:
-    """A Parquet table of records under a path, one folder a version; the newest complete one is the table.
+    """Records under a path, kept as a base and the deltas that were saved since; a read merges them, latest first.
 
-    A write makes a new version and then names it, so that readers never see half of one and a lost
-    executor's tasks can run again.
+    A save writes the new rows alone, as a folder that counts once it is complete: readers never see half of one, and a
+    lost executor's tasks can run again. After MOST_DELTAS saves, base and deltas become a new base, sorted by domain
+    and URL over its files, so that a search by domain reads few row groups and a large domain is many files. One writer
+    at a time; a reader's snapshot holds until the second compaction after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    MOST_DELTAS = 16
+
+    def __init__(self, spark: SparkSession, path: str, most_deltas: int = MOST_DELTAS):
+        self.spark, self.path, self.most_deltas = spark, path.rstrip("/"), most_deltas
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
 
-    def _versions(self) -> list[int]:
+    def _folders(self) -> list[tuple[int, str]]:
+        """(number, kind) of complete folders, base or delta, in order."""
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
         names = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(n.getName()[2:]) for n in names if n.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+        done = [n.getName() for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+        return sorted((int(n.split("=")[1]), n.split("=")[0]) for n in done if n.startswith(("base=", "delta=")))
+
+    def _current(self) -> list[tuple[int, str]]:
+        all_ = self._folders()
+        base = max((k for k, kind in all_ if kind == "base"), default=0)
+        return [(k, kind) for k, kind in all_ if k >= base]
+
+    def _parts(self, folders: list[tuple[int, str]]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(*[f"{self.path}/{kind}={k}" for k, kind in folders])
 
     def read(self) -> DataFrame:
-        v = self._versions()
-        if not v:
-            return self.spark.createDataFrame([], "id long, seq long, " + RECORD)
-        return self.spark.read.parquet(f"{self.path}/v={v[-1]}")
+        """(id, domain, seq and the record's columns): of each URL its latest row, and id, the first seq it had.
+
+        Filters on url and domain reach the files, as rows are grouped by both.
+        """
+        folders = self._current()
+        rows = self._parts(folders)
+        if len(folders) < 2:
+            return rows
+        rest = [c for c in rows.columns if c not in ("url", "domain", "id")]
+        got = rows.groupBy("url", "domain").agg(F.min("id").alias("id"), F.max_by(F.struct(*rest), "seq").alias("r"))
+        return got.select("url", "domain", "id", "r.*").select(*rows.columns)
 
     def save(self, records: DataFrame) -> int:
-        """Upserts records; rows that are not valid stay out. Gives the number of rows of the table."""
+        """Upserts records and gives the number of rows written; rows that are not valid stay out. Of rows with one URL
+        in the same save, one counts."""
         good, _ = validate(records)
-        old = self.read()
-        last = old.agg(F.max("seq")).first()[0]
-        seq = F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1)
-        new = Stored(good.select(*FIELDS).withColumn("seq", seq), "new")
-        versions = self._versions()
-        ids = old.select("url", F.col("id").alias("was"))
-        merged = upsert(old.select("seq", *FIELDS), new.df.select("seq", *FIELDS)).join(ids, "url", "left").select(F.coalesce("was", "id").alias("id"), "seq", *FIELDS)
-        v = (versions[-1] if versions else 0) + 1
-        # rows of one domain lie together, so that a search by domain reads few row groups
-        merged.repartitionByRange(urls.domain(F.col("url"))).sortWithinPartitions("url").write.mode("overwrite").parquet(f"{self.path}/v={v}")
-        new.drop()
-        for x in versions[:-1]:
-            fs, p = self._fs(f"{self.path}/v={x}")
+        folders = self._current()
+        last = max((k for k, _ in folders), default=0)
+        # numbers of a save lie above all those of the saves before it; within one, rows of other URLs may share one
+        seq = F.lit((last + 1) << 44).cast("long") + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 44))
+        one = good.select(*FIELDS).withColumn("seq", seq).groupBy("url").agg(F.max_by(F.struct(*FIELDS[1:], "seq"), "seq").alias("r"))
+        seen = Observation()
+        rows = one.select(F.col("r.seq").alias("id"), "r.seq", urls.domain(F.col("url")).alias("domain"), "url", *[f"r.{c}" for c in FIELDS[1:]])
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/delta={last + 1}")
+        if len(folders) >= self.most_deltas:
+            self.compact()
+        return seen.get["n"]
+
+    def compact(self) -> None:
+        """Makes one base of what there is; folders that an earlier base already replaced go."""
+        now = self._current()
+        if len(now) < 2:
+            return
+        old = [(k, kind) for k, kind in self._folders() if (k, kind) not in now]
+        self.read().repartitionByRange("domain", "url").sortWithinPartitions("domain", "url").write.mode("overwrite").parquet(f"{self.path}/base={now[-1][0] + 1}")
+        for k, kind in old:
+            fs, p = self._fs(f"{self.path}/{kind}={k}")
             fs.delete(p, True)
-        return self.read().count()

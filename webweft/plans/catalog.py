@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from webweft.functions import errors, html_native, html_tree, monitor, robots, sitemap, urls
 from webweft.operators import breaker, fetch, frontier, politeness, retry, stats, store
 from webweft.sources import readers, sinks, sitemaps
-from webweft.stored import shared_dir
+from webweft.stored import Stored, shared_dir
 from webweft.streaming import events as streaming
 
 #: Scheme, authority, path, query, fragment; as in functions.urls.
@@ -81,13 +81,8 @@ def url_filter(spark, d):
     return pages(spark, d).where(urls.url_filter(F.col("url"), None, ["ref="], ["/en/", "/fr/"])).select("page_id", "url")
 
 
-@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://') AND page_id < 100000000")
-def url_prefix_pushdown(spark, d):
-    return pages(spark, d).where(F.col("url").startswith("https://") & (F.col("page_id") < 100000000)).select("page_id", "url")
-
-
 @query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')")
-def url_prefix_pushdown_all(spark, d):
+def url_prefix_pushdown(spark, d):
     return pages(spark, d).where(F.col("url").startswith("https://")).select("page_id", "url")
 
 
@@ -103,12 +98,19 @@ PIECES = lambda x: f"list_filter(list_transform(regexp_split_to_array({x}, '(?s)
 BODY = "regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(html, '(?i)<body[ >]') THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(</body\\s*>|$)', 1) ELSE html END, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?is)<noscript\\b.*?</noscript\\s*>', '', 'g')"
 TEXT = f"array_to_string({PIECES(BODY)}, ' ')"
 INSIDE = lambda tag, sep: f"list_transform(regexp_extract_all(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>', 1), lambda h: array_to_string({PIECES('h')}, '{sep}'))"
+HREFS = "regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g'), '" + html_native.HREF.replace("'", "''") + "', 1)"
+#: Links by the forms of references: another site, another host, a query, a path from the root, a path from the page's folder.
 LINKS = f"""
-h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1)) AS href,
-             generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1), 1) - 1 AS pos FROM pages),
-k AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, lower({g(1)}) || '://' || {g(2)} || regexp_replace(trim({UNESC('href')}), '#.*$', '') AS link
-      FROM h WHERE starts_with(trim(href), '/') AND NOT starts_with(trim(href), '//') AND NOT contains(href, '/.')),
-l AS (SELECT page_id, link, min(pos) AS pos FROM k GROUP BY ALL)"""
+h AS (SELECT page_id, url, unnest({HREFS}) AS quoted, generate_subscripts({HREFS}, 1) - 1 AS pos FROM pages),
+r AS (SELECT page_id, url, pos, regexp_replace(trim({UNESC('trim(quoted, chr(34) || chr(39))')}), '#.*$', '') AS ref FROM h
+      WHERE NOT regexp_matches(trim(trim(quoted, chr(34) || chr(39))), '^(#|mailto:|javascript:|tel:)')),
+k AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE
+        WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ref
+        WHEN starts_with(ref, '//') THEN lower({g(1)}) || ':' || ref
+        WHEN ref = '' THEN regexp_replace(url, '#.*$', '')
+        ELSE lower({g(1)}) || '://' || {g(2)} || CASE WHEN starts_with(ref, '/') THEN ref WHEN starts_with(ref, '?') THEN {g(3)} || ref ELSE regexp_replace(CASE WHEN {g(3)} = '' THEN '/' ELSE {g(3)} END, '[^/]*$', '') || ref END
+      END AS link FROM r),
+l AS (SELECT page_id, link, min(pos) AS pos FROM k WHERE regexp_matches(link, '(?i)^https?://[^/?#]+') GROUP BY ALL)"""
 
 
 @query(f"WITH {LINKS} SELECT page_id, link, pos FROM l")
@@ -154,11 +156,68 @@ def page_parse_summary(spark, d):
     return got.select("page_id", F.size(s["links"]).cast("long").alias("n_links"), F.size("page.headings.h1").alias("n_h1"), *(F.size(s[c]).alias(f"n_{c}") for c in ("images", "tables", "errors")))
 
 
-@query(None)
+FLAT = lambda tag, sep: f"coalesce(array_to_string({INSIDE(tag, sep)}, '|'), '')"
+UL = f"array_to_string(list_transform(regexp_extract_all(html, '(?is)<ul(?:\\s[^>]*)?>(.*?)</ul\\s*>', 1), lambda u: 'ul:' || array_to_string(list_transform(regexp_extract_all(u, '(?is)<li(?:\\s[^>]*)?>(.*?)</li\\s*>', 1), lambda h: array_to_string({PIECES('h')}, ' ')), '|')), ';')"
+
+
+@query(f"WITH {LINKS}, x AS (SELECT page_id, string_agg(link, ' ' ORDER BY pos) AS links FROM l GROUP BY 1) SELECT p.page_id, p.url, array_to_string({PIECES(chr(39).join(['regexp_extract(html, ', '(?is)<title\\b[^>]*>(.*?)</title', ', 1)']))}, '') AS title, CAST(length({TEXT}) AS INTEGER) AS text_chars, coalesce(x.links, '') AS links, {UL} AS lists, {FLAT('h1', '')} AS h1, {FLAT('h2', '')} AS h2, {FLAT('h3', '')} AS h3 FROM pages p LEFT JOIN x USING (page_id)")
 def page_parse(spark, d):
     """All eight fields of each page by the tree parser; flat digests of them."""
     p = html_tree.parse_pages(pages(spark, d), keep=("page_id",))
-    return p.select("page_id", "page.url", "page.title", F.length("page.text").alias("text_chars"), F.array_join("page.links", " ").alias("links"), F.to_json("page.lists").alias("lists"), F.to_json("page.headings").alias("headings"))
+    lists = F.array_join(F.transform("page.lists", lambda x: F.concat(x["type"], F.lit(":"), F.array_join(x["items"], "|"))), ";")
+    return p.select("page_id", "page.url", "page.title", F.length("page.text").alias("text_chars"), F.array_join("page.links", " ").alias("links"), lists.alias("lists"), *(F.array_join(f"page.headings.{h}", "|").alias(h) for h in ("h1", "h2", "h3")))
+
+
+def _made(spark, d) -> DataFrame:
+    """Pages with what the tables' own lack: images, tables, descriptions, and every fifth one malformed."""
+    i = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<html><head><title>T'), i, F.lit('</title><meta name="description" content=" d'), i, F.lit(' "><meta name=keywords content=a,b></head><body>'))
+    images = F.concat(F.lit('<img src="/i'), i, F.lit('.png" alt=" A "><img src=b.gif><img src="data:x"><img alt=none>'))
+    table = F.concat(F.lit("<table><tr><th>k<th>v<tr><td>"), i, F.lit("<td><b>x</b>y<tr></table><table></table>"))
+    lists = F.lit("<ol><li>one<ul><li>in</ul><li>two</ol><ul></ul>")
+    broken = F.when(F.col("page_id") % 5 == 0, F.lit("<![foo[x]]>")).otherwise(F.lit(""))
+    return pages(spark, d).select("page_id", "url", F.concat(head, images, table, lists, broken, F.lit("</body></html>")).alias("html"))
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'T' || page_id END AS title, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'd' || page_id END AS description, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'a,b' END AS keywords, CASE WHEN page_id % 5 = 0 THEN '' ELSE lower({g(1)}) || '://' || {g(2)} || '/i' || page_id || '.png A|' || lower({g(1)}) || '://' || {g(2)} || regexp_replace(CASE WHEN {g(3)} = '' THEN '/' ELSE {g(3)} END, '[^/]*$', '') || 'b.gif ' END AS images, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'k,v;' || page_id || ',x y' END AS tables, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'ol:one in|two;ul:in' END AS lists, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS n_errors FROM pages")
+def page_fields(spark, d):
+    """Metadata, images, tables and nested lists; a page that the tokenizer can't read is empty and says so."""
+    p = html_tree.parse_pages(_made(spark, d), keep=("page_id",))
+    of = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: c), ",")), ";")
+    return p.select(
+        "page_id", "page.title", "page.metadata.description", "page.metadata.keywords", F.array_join(F.transform("page.images", lambda x: F.concat(x["src"], F.lit(" "), x["alt"])), "|").alias("images"),
+        F.array_join(F.transform("page.tables", of), "/").alias("tables"), F.array_join(F.transform("page.lists", lambda x: F.concat(x["type"], F.lit(":"), F.array_join(x["items"], "|"))), ";").alias("lists"), F.size("page.errors").alias("n_errors"),
+    )
+
+
+#: References in every form, with what each leads to: r the root, d the page's folder, u the page without query and fragment.
+FORMS = (
+    ("'/q{i}'", "r || '/q' || i"), ("page{i}.html", "d || 'page' || i || '.html'"), ('"./s"', "d || 's'"), ("'../up'", "regexp_replace(d, '([^/])/[^/]+/$', '\\1/') || 'up'"),
+    ('"?a=1&amp;b={i}"', "u || '?a=1&b=' || i"), ("//other.test/x{i}#top", "s || '://other.test/x' || i"), ('"https://abs.test/{i}"', "'https://abs.test/' || i"), ("'/a/./b/../c'", "r || '/a/c'"),
+    ('"mailto:a@b.c"', None), ("'#top'", None), ("javascript:x()", None), ("/q{i}", None), ("ftp://f.test/x", None),
+)
+
+
+def _formed(spark, d) -> DataFrame:
+    anchors = [F.concat(F.lit("<a class='x' href="), F.replace(F.lit(form), F.lit("{i}"), F.col("page_id").cast("string")), F.lit(">t</a>")) for form, _ in FORMS]
+    return pages(spark, d).select("page_id", "url", F.concat(*anchors, F.lit("<!-- <a href='/no'>x</a> --><script>'<a href=\"/no\">'</script>")).alias("html"))
+
+
+FORMED = f"b AS (SELECT page_id AS i, lower({g(1)}) AS s, lower({g(1)}) || '://' || {g(2)} AS r, lower({g(1)}) || '://' || {g(2)} || {g(3)} AS u, lower({g(1)}) || '://' || {g(2)} || regexp_replace(CASE WHEN {g(3)} = '' THEN '/' ELSE {g(3)} END, '[^/]*$', '') AS d FROM pages), f AS (" + " UNION ALL ".join(f"SELECT i AS page_id, {want} AS link, {k} AS pos FROM b" for k, (_, want) in enumerate(FORMS) if want) + ")"
+
+
+@query(f"WITH {FORMED} SELECT page_id, link, CAST(min(pos) AS INTEGER) AS pos FROM f GROUP BY ALL")
+def html_link_forms(spark, d):
+    """Links of every form of reference, by native expressions."""
+    return html_native.links(_formed(spark, d))
+
+
+@query(f"WITH {FORMED} SELECT page_id, link FROM f GROUP BY ALL")
+def page_link_forms(spark, d):
+    """The same links by the table function on the tree parser."""
+    html_tree.PageLinks.register(spark)
+    _formed(spark, d).createOrReplaceTempView("formed_pages")
+    return spark.sql("SELECT page_id, link FROM formed_pages, LATERAL page_links(html, url)")
 
 
 # --- store ---
@@ -273,40 +332,28 @@ def retry_backoff(spark, d):
     return e.select(F.col("event_id").alias("id"), errors.backoff(n, status).alias("delay"), errors.timeout(n).alias("timeout"))
 
 
-def _outcomes(spark, d, which: str = "true") -> DataFrame:
-    """Each user's first four events of a day-long session as tries of one URL; the fifth kind of event ends it."""
-    log = request_log(spark, d).where(which)
+def _outcomes(spark, d) -> DataFrame:
+    """Each domain's requests in order, four by four, as the tries of one URL."""
+    log = request_log(spark, d)
     n = F.row_number().over(Window.partitionBy("domain").orderBy("us", "id")) - 1
     return log.withColumn("k", n).select(F.concat("domain", F.lit("/"), F.floor(F.col("k") / 4).cast("string")).alias("url"), (F.col("k") % 4).alias("n"), "kind", "status", F.lit(None).cast("double").alias("retry_after"))
 
 
-#: The requests that retry_attempts and retry_stats are about; the queries _all take every one.
-HALF_LOST = "status <> 404 or id % 2 = 0"
-OUTCOMES = f"x AS ({LOG}), y AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY us, id) - 1 AS k FROM x WHERE status <> 404 OR id % 2 = 0), o AS (SELECT domain || '/' || (k // 4) AS url, CAST(k % 4 AS INTEGER) AS n, kind, status FROM y)"
+OUTCOMES = f"x AS ({LOG}), y AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY us, id) - 1 AS k FROM x), o AS (SELECT domain || '/' || (k // 4) AS url, CAST(k % 4 AS INTEGER) AS n, kind, status FROM y)"
 MADE = f"{OUTCOMES}, a AS (SELECT *, coalesce(kind = 'TransientError' AND n < 3, false) AS again FROM o), s AS (SELECT url, min(n) FILTER (NOT again) AS stop FROM a GROUP BY 1), m AS (SELECT a.*, CASE WHEN again THEN least(30.0, pow(2.0, n)) END AS delay FROM a JOIN s USING (url) WHERE stop IS NULL OR n <= stop)"
 
 
 @query(f"WITH {MADE} SELECT url, n, kind, status, NOT again AS last, delay FROM m")
 def retry_attempts(spark, d):
-    return retry.attempt_log(_outcomes(spark, d, HALF_LOST))
+    return retry.attempt_log(_outcomes(spark, d))
 
 
 @query(f"WITH {MADE}, u AS (SELECT url, count(kind) AS e, count(delay) AS r, sum(delay) AS w, bool_or(NOT again AND kind IS NULL) AS ok, bool_or(NOT again AND coalesce(kind = 'PermanentError', false)) AS p FROM m GROUP BY 1) SELECT count(*) AS calls, CAST(sum(e) AS BIGINT) AS total_errors, CAST(sum(r) AS BIGINT) AS retries, count(*) FILTER (ok AND r > 0) AS successful_retries, count(*) FILTER (NOT ok AND r > 0) AS failed_after_retries, sum(w) / sum(r) AS avg_retry_delay, count(*) FILTER (p) AS permanent_urls FROM u")
 def retry_stats(spark, d):
-    return retry.retry_stats(retry.attempt_log(_outcomes(spark, d, HALF_LOST)))
-
-
-@query(ORACLE["retry_attempts"].replace(" WHERE status <> 404 OR id % 2 = 0", ""))
-def retry_attempts_all(spark, d):
-    return retry.attempt_log(_outcomes(spark, d))
-
-
-@query(ORACLE["retry_stats"].replace(" WHERE status <> 404 OR id % 2 = 0", ""))
-def retry_stats_all(spark, d):
     return retry.retry_stats(retry.attempt_log(_outcomes(spark, d)))
 
 
-@query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN event_id % 100 + 0.0 WHEN event_type = 'view' THEN 60.0 WHEN event_type = 'click' THEN 0.0 END AS seconds FROM events")
+@query("SELECT event_id AS id, CAST(CASE WHEN event_type = 'error' THEN event_id % 100 WHEN event_type = 'view' THEN 60 WHEN event_type = 'click' THEN 0 END AS DOUBLE) AS seconds FROM events")
 def retry_after_header(spark, d):
     e = _t(spark, d, "events")
     kind = F.col("event_type")
@@ -338,18 +385,48 @@ def concurrency_peak(spark, d):
     return politeness.concurrency(log)
 
 
-@query(f"SELECT id, CAST((row_number() OVER (PARTITION BY domain ORDER BY us, id) - 1) % 3 AS INTEGER) AS lane FROM ({LOG})")
+@query(f"WITH x AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY us, id) - 1 AS i FROM ({LOG})), l AS (SELECT *, i % 3 AS lane, i // 3 AS k FROM x) SELECT id, CAST(lane AS INTEGER) AS lane, max(us - k * {HOUR_US}) OVER w + k * {HOUR_US} - us AS wait_us FROM l WINDOW w AS (PARTITION BY domain, lane ORDER BY us, id ROWS UNBOUNDED PRECEDING)")
 def concurrency_lanes(spark, d):
-    return politeness.admitted(request_log(spark, d), 3).select("id", "lane")
+    """At most three requests of a domain at once, each an hour long."""
+    return politeness.admitted(request_log(spark, d), 3, duration=HOUR_US).select("id", "lane", "wait_us")
+
+
+@query(f"WITH e AS (SELECT us, 1 AS d FROM ({LOG}) UNION ALL SELECT us + {HOUR_US}, -1 FROM ({LOG})), m AS (SELECT us, sum(d) AS d FROM e GROUP BY 1) SELECT CAST(max(n) AS BIGINT) AS peak FROM (SELECT sum(d) OVER (ORDER BY us ROWS UNBOUNDED PRECEDING) AS n FROM m)")
+def concurrency_peak_of_all(spark, d):
+    log = request_log(spark, d).select(F.col("us").alias("start_us"), (F.col("us") + HOUR_US).alias("end_us"))
+    return politeness.concurrency(log, key=None)
 
 
-@query(None)
+PUSHED = f"""
+WITH RECURSIVE x AS (SELECT domain, id, us, CASE WHEN status = 503 THEN {HOUR_US} ELSE 0 END AS push, row_number() OVER (PARTITION BY domain ORDER BY us, id) AS i FROM ({LOG})),
+s(domain, i, id, slot, free) AS (
+  SELECT domain, i, id, us, us + greatest(600000000, push) FROM x WHERE i = 1
+  UNION ALL
+  SELECT x.domain, x.i, x.id, greatest(x.us, free), greatest(x.us, free) + greatest(600000000, x.push) FROM s JOIN x ON x.domain = s.domain AND x.i = s.i + 1)
+SELECT domain, id, slot AS slot_us FROM s"""
+
+
+@query(PUSHED)
 def limiter_pushback(spark, d):
-    """Slots where a 503 holds back its domain for an hour; held against a sequential model in the tests."""
+    """Slots where a 503 holds back its domain for an hour."""
     log = request_log(spark, d).withColumn("push_us", F.when(F.col("status") == 503, F.lit(HOUR_US)))
     return politeness.slots_with_pushback(log, rps=1 / 600).select("domain", "id", "slot_us")
 
 
+@query(f"SELECT id, 5000000::BIGINT AS pause_us FROM ({LOG}) WHERE id % 2 = 0 UNION ALL SELECT id, 2000000 FROM ({LOG}) WHERE id % 2 = 1")
+def limiter_interval(spark, d):
+    """A domain's pause: the longest of its rate's, the least delay and its Crawl-delay."""
+    delay = F.when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise(F.lit(0.5))
+    return request_log(spark, d).select("id", politeness.pause_us(rps=0.5, min_delay=1.0, crawl_delay=delay).alias("pause_us"))
+
+
+@query(f"WITH x AS (SELECT *, row_number() OVER w - 1 AS i FROM ({LOG}) WINDOW w AS (PARTITION BY domain ORDER BY us, id)), sl AS (SELECT *, max(us - i * {HOUR_US}) OVER (PARTITION BY domain ORDER BY us, id ROWS UNBOUNDED PRECEDING) + i * {HOUR_US} AS slot FROM x), q AS (SELECT *, slot - lag(slot) OVER (PARTITION BY domain ORDER BY slot, id) AS gap FROM sl), {MADE.replace('x AS (' + LOG + '), ', '')} SELECT (SELECT count(*) FROM q) AS requests, (SELECT avg(gap) FROM q) AS avg_gap_us, (SELECT avg(slot - us) FROM q) AS avg_wait_us, (SELECT count(*) FROM pages WHERE NOT ({{allowed}})) AS blocked, (SELECT count(delay) FROM m) AS retries")
+def politeness_stats(spark, d):
+    slots = politeness.limiter_slots(request_log(spark, d), HOUR_US)
+    allowed = robots.can_fetch(pages(spark, d).select("page_id", "url"), _robots(spark, d), "GoodBot/1.0")
+    return politeness.politeness_stats(slots, allowed, retry.attempt_log(_outcomes(spark, d)))
+
+
 # --- breakers ---
 
 
@@ -358,20 +435,21 @@ def breaker_window_rate(spark, d):
     return breaker.window_rate(request_log(spark, d)).select("id", "calls", "failure_rate")
 
 
-BREAKER = f"""
-WITH RECURSIVE x AS (SELECT domain, us, ok, row_number() OVER (PARTITION BY domain ORDER BY us, id) AS i FROM ({LOG})),
-s(domain, i, st, res, op, opened, rejected) AS (
-  SELECT domain, 0::BIGINT, 'closed', []::BOOLEAN[], 0::BIGINT, 0, 0 FROM (SELECT DISTINCT domain FROM x)
+STEPS = f"""
+WITH RECURSIVE x AS (SELECT domain, id, us, ok, row_number() OVER (PARTITION BY domain ORDER BY us, id) AS i FROM ({LOG})),
+s(domain, i, id, left_us, st, res, op, opened, rejected) AS (
+  SELECT domain, 0::BIGINT, 0::BIGINT, 0::BIGINT, 'closed', []::BOOLEAN[], 0::BIGINT, 0, 0 FROM (SELECT DISTINCT domain FROM x)
   UNION ALL
-  SELECT domain, i, CASE WHEN waiting THEN st WHEN half THEN CASE WHEN ok THEN 'closed' ELSE 'open' END WHEN trip THEN 'open' ELSE st END,
+  SELECT domain, i, id, CASE WHEN waiting THEN op + {HOUR_US} - us END, CASE WHEN waiting THEN st WHEN half THEN CASE WHEN ok THEN 'closed' ELSE 'open' END WHEN trip THEN 'open' ELSE st END,
          CASE WHEN waiting THEN res WHEN half THEN CASE WHEN ok THEN [] ELSE res END ELSE nres END,
          CASE WHEN NOT waiting AND ((half AND NOT ok) OR trip) THEN us ELSE op END,
          opened + CASE WHEN NOT waiting AND ((half AND NOT ok) OR trip) THEN 1 ELSE 0 END,
          rejected + CASE WHEN waiting THEN 1 ELSE 0 END
   FROM (SELECT *, NOT half AND NOT waiting AND NOT ok AND len(nres) >= 5 AND len(list_filter(nres, lambda r: NOT r)) / len(nres) >= 0.5 AS trip
-        FROM (SELECT x.domain, x.i, x.us, x.ok, st, res, op, opened, rejected, list_append(res, x.ok)[-10:] AS nres,
+        FROM (SELECT x.domain, x.i, x.id, x.us, x.ok, st, res, op, opened, rejected, list_append(res, x.ok)[-10:] AS nres,
                      st = 'open' AND op + {HOUR_US} - x.us > 0 AS waiting, st <> 'closed' AND NOT (op + {HOUR_US} - x.us > 0) AS half
-              FROM s JOIN x ON x.domain = s.domain AND x.i = s.i + 1)))
+              FROM s JOIN x ON x.domain = s.domain AND x.i = s.i + 1)))"""
+BREAKER = f"""{STEPS}
 SELECT domain, arg_max(st, i) AS state, arg_max(opened, i) AS opened_times, arg_max(rejected, i) AS rejected,
        arg_max(CASE WHEN len(res) = 0 THEN 0.0 ELSE len(list_filter(res, lambda r: NOT r)) / len(res) END, i) AS failure_rate
 FROM s GROUP BY 1"""
@@ -382,6 +460,23 @@ def breaker_fsm(spark, d):
     return breaker.breaker_states(request_log(spark, d), breaker.Breaker(recovery_us=HOUR_US))
 
 
+@query(f"{STEPS} SELECT domain, id, left_us IS NULL AS allowed, left_us AS retry_after_us FROM s WHERE i > 0")
+def breaker_verdicts(spark, d):
+    """What the breaker says to each request."""
+    return breaker.breaker_verdicts(request_log(spark, d), breaker.Breaker(recovery_us=HOUR_US))
+
+
+@query(f"SELECT count(*) AS domains, count(*) FILTER (state = 'open') AS open, CAST(sum(opened_times) AS BIGINT) AS opened, CAST(sum(rejected) AS BIGINT) AS rejected FROM ({BREAKER})")
+def breaker_totals(spark, d):
+    return breaker.totals(breaker.breaker_states(request_log(spark, d), breaker.Breaker(recovery_us=HOUR_US)))
+
+
+@query(f"SELECT id, CASE WHEN ok OR kind = 'PermanentError' THEN true WHEN kind = 'TransientError' THEN false END AS outcome FROM ({LOG})")
+def breaker_outcome(spark, d):
+    """4xx answers say that a site works."""
+    return request_log(spark, d).select("id", breaker.outcome(F.col("ok"), F.col("kind"), F.col("status")).alias("outcome"))
+
+
 # --- traversal ---
 
 
@@ -390,7 +485,7 @@ def frontier_tree(spark, d):
     n = spark.range(1000)
     edges = n.select(F.concat(F.lit("/p/"), "id").alias("src"), F.posexplode(F.array(*[F.concat(F.lit("/p/"), F.col("id") * 3 + k) for k in (1, 2, 3)])).alias("pos", "dst"), F.col("id")).where((F.col("id") * 3 + F.col("pos") + 1) < 1000)
     seeds = spark.createDataFrame([("/p/0", 0)], "node string, pos int")
-    return frontier.traverse_edges(edges.select("src", "dst", "pos"), seeds, max_depth=20, max_nodes=1000).select("node", "depth")
+    return frontier.traverse_edges(edges.select("src", "dst", "pos"), seeds, max_depth=20, max_nodes=1000, stored=False).select("node", "depth")
 
 
 def _page_graph(spark, d) -> DataFrame:
@@ -429,18 +524,68 @@ def queue_stats(spark, d):
     return frontier.queue_stats(u.select(state.alias("state"), (F.col("n") + 1).alias("offers")))
 
 
+@query("SELECT o_orderkey AS item, CAST(o_custkey % 7 AS INTEGER) AS priority, row_number() OVER (ORDER BY o_custkey % 7 DESC, o_orderkey) AS place FROM orders ORDER BY 3 LIMIT 1000")
+def queue_order(spark, d):
+    """The first thousand that a priority queue gives out; every item is offered twice, the second time with another priority."""
+    o = _t(spark, d, "orders")
+    offers = o.select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 7).cast("int").alias("priority"), (F.col("o_orderkey") * 2).alias("seq"))
+    again = offers.select("item", F.lit(9).alias("priority"), (F.col("seq") + 1).alias("seq"))
+    first = frontier.pop_order(offers.union(again)).limit(1000)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "seq")).cast("long")).select("item", "priority", "place")
+
+
+#: A site of sixty pages: each links to two further on, every seventh is lost, every eleventh answers 503.
+SITE_PAGES = 60
+
+
+def _site(spark) -> DataFrame:
+    n = F.col("id")
+    link = lambda k: F.concat(F.lit("<a href='/n"), (n * 2 + k).cast("string"), F.lit("'>x</a>"))
+    body = F.concat(link(1), link(2), F.lit("<a href='/n0'>home</a><a href='http://else.test/'>else</a>"))
+    status = F.when(n % 11 == 10, 503).otherwise(200)
+    return spark.range(SITE_PAGES).where(n % 7 != 6).select(F.concat(F.lit("http://site.test/n"), n).alias("url"), body.alias("html"), status.alias("status_code"))
+
+
+WALK = f"WITH RECURSIVE w(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 2 * n + k, depth + 1 FROM w, (VALUES (1), (2)) v(k) WHERE n < {SITE_PAGES} AND n % 7 <> 6 AND n % 11 <> 10 AND depth < 4), c AS (SELECT *, CASE WHEN n >= {SITE_PAGES} OR n % 7 = 6 THEN NULL WHEN n % 11 = 10 THEN 503 ELSE 200 END AS status FROM w)"
+
+
+@query(f"{WALK} SELECT 'http://site.test/n' || n AS url, depth, coalesce(status = 200, false) AS ok, status AS status_code, CASE WHEN status IS NULL THEN 'NetworkError' WHEN status = 503 THEN 'TransientError' END AS kind FROM c")
+def crawl_site(spark, d):
+    """A whole crawl within one domain, with pages that are lost and pages that fail."""
+    return _crawled(spark).visited.select("url", "depth", "ok", "status_code", "kind")
+
+
+def _crawled(spark):
+    from webweft.plans.job import CrawlJob
+
+    cfg = {"start_urls": ["http://site.test/n0"], "crawler": {"max_depth": 4, "max_pages": 500, "same_domain_only": True}}
+    return CrawlJob(spark, cfg).run(_site(spark))
+
+
+@query(f"{WALK} SELECT count(*) FILTER (status = 200) AS processed, count(*) FILTER (status IS NULL OR status <> 200) AS failed, 0::BIGINT AS queued, 0::BIGINT AS in_progress, CAST(max(depth) AS INTEGER) AS depth FROM c")
+def crawl_stats(spark, d):
+    return stats.crawl_stats(_crawled(spark).visited).drop("elapsed_seconds", "pages_per_second")
+
+
+@query(f"{WALK} SELECT 'http://site.test/n' || n AS url, CASE WHEN status = 503 THEN 'TransientError' ELSE 'NetworkError' END AS kind, CASE WHEN status = 503 THEN 'HTTP 503' ELSE 'no answer' END AS error FROM c WHERE status IS NULL OR status = 503")
+def crawl_failed_urls(spark, d):
+    return _crawled(spark).failed().select("url", "kind", "error")
+
+
 # --- robots and sitemaps ---
 
-ROBOTS = "User-agent: *\nAllow: /en/1\nDisallow: /en/\nDisallow: /fr/\nCrawl-delay: 2\n\nUser-agent: BadBot\nDisallow: /\n"
+ROBOTS = "User-agent: *\nAllow: /en/1\nDisallow: /en/\nDisallow: /fr/\nDisallow: /find?q=\nDisallow: /caf\u00e9\nDisallow: /a%2Fb\nDisallow: /sp ace\nCrawl-delay: 2\n\nUser-agent: BadBot\nDisallow: /\n"
 PATH = f"CASE WHEN {g(3)} = '' THEN '/' ELSE {g(3)} END"
+ALLOWED = f"NOT (starts_with({PATH}, '/fr/') OR (starts_with({PATH}, '/en/') AND NOT starts_with({PATH}, '/en/1')))"
+ORACLE["politeness_stats"] = ORACLE["politeness_stats"].replace("{allowed}", ALLOWED)
 
 
-def _robots(spark, d) -> DataFrame:
+def _robots(spark, d, status=200) -> DataFrame:
     origins = pages(spark, d).select(urls.origin(F.col("url")).alias("origin")).distinct()
-    return robots.robots_table(origins.select("origin", F.lit(200).alias("status"), F.lit(ROBOTS).alias("body")))
+    return robots.robots_table(origins.select("origin", F.lit(status).cast("int").alias("status"), F.lit(ROBOTS).alias("body")))
 
 
-@query(f"SELECT page_id, NOT (starts_with({PATH}, '/fr/') OR (starts_with({PATH}, '/en/') AND NOT starts_with({PATH}, '/en/1'))) AS allowed, false AS bad_bot FROM pages")
+@query(f"SELECT page_id, {ALLOWED} AS allowed, false AS bad_bot FROM pages")
 def robots_can_fetch(spark, d):
     table = _robots(spark, d)
     first = robots.can_fetch(pages(spark, d).select("page_id", "url"), table, "GoodBot/1.0")
@@ -448,6 +593,43 @@ def robots_can_fetch(spark, d):
     return bad.select("page_id", F.col("good").alias("allowed"), F.col("allowed").alias("bad_bot"))
 
 
+#: Paths as pages write them, and whether the rules let them through.
+ESCAPED = (("/find?q=1", False), ("/find?p=1", True), ("/caf\u00e9/1", False), ("/caf%C3%A9", False), ("/a%2Fb/c", False), ("/a/b", False), ("/a", True), ("/sp%20ace", False), ("/sp", True), ("/en/1x#top", True), ("/en%2F2", False))
+
+
+@query("SELECT page_id, suffix, allowed FROM pages, (VALUES " + ", ".join(f"('{p}', {str(ok).lower()})" for p, ok in ESCAPED) + ") v(suffix, allowed)")
+def robots_escapes(spark, d):
+    """Rules and paths with queries, escapes and other signs than ASCII."""
+    rows = pages(spark, d).select("page_id", urls.origin(F.col("url")).alias("origin"), F.explode(F.array(*[F.lit(p) for p, _ in ESCAPED])).alias("suffix"))
+    got = robots.can_fetch(rows.withColumn("url", F.concat("origin", "suffix")), _robots(spark, d), "GoodBot/1.0")
+    return got.select("page_id", "suffix", "allowed")
+
+
+@query("SELECT page_id, status, allowed, ttl FROM pages, (VALUES (404, true, 3600.0::DOUBLE), (403, true, 3600.0), (429, false, 60.0), (500, false, 60.0), (NULL, false, 60.0)) v(status, allowed, ttl)")
+def robots_states(spark, d):
+    """What a robots.txt that was not read stands for, and for how long."""
+    rows = pages(spark, d).select("page_id", "url")
+    out = None
+    for status in (404, 403, 429, 500, None):
+        table = _robots(spark, d, status)
+        got = robots.can_fetch(rows, table, "*").select("page_id", F.lit(status).cast("int").alias("status"), "allowed", robots.ttl(F.lit(status).cast("int")).alias("ttl"))
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query("SELECT DISTINCT " + f"lower({g(1)}) || '://' || {DOMAIN} AS origin, ord, prefix FROM pages, (VALUES (0, '/en/1'), (1, '/en/'), (2, '/fr/'), (3, '/find%3Fq%3D'), (4, '/caf%C3%A9'), (5, '/a/b'), (6, '/sp%20ace')) v(ord, prefix)")
+def robots_rules(spark, d):
+    """The rules of each site's robots.txt by the table function."""
+    robots.RobotsRules.register(spark)
+    pages(spark, d).select(urls.origin(F.col("url")).alias("origin"), F.lit(ROBOTS).alias("body")).distinct().createOrReplaceTempView("robots_files")
+    return spark.sql("SELECT origin, ord, prefix FROM robots_files, LATERAL robots_rules(body) WHERE grp = 0 AND prefix LIKE '/%'")
+
+
+@query(f"SELECT DISTINCT lower({g(1)}) || '://' || {DOMAIN} AS origin, lower({g(1)}) || '://' || {DOMAIN} || '/sitemap.xml' AS url FROM pages")
+def sitemap_discovery(spark, d):
+    return sitemaps.sitemaps_of(_robots(spark, d)).select("origin", "url")
+
+
 @query(f"SELECT DISTINCT lower({g(1)}) || '://' || {DOMAIN} || '/robots.txt' AS url, 'rules' AS state, 2.0::DOUBLE AS crawl_delay FROM pages")
 def robots_describe(spark, d):
     return robots.describe(_robots(spark, d)).select("url", "state", "crawl_delay")
@@ -465,30 +647,30 @@ def sitemap_locs(spark, d):
 # --- the relational forms that the above are made of ---
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("WITH {ASKED} SELECT url FROM a WHERE status_code IS NULL")
 def join_anti(spark, d):
-    o = _t(spark, d, "orders")
-    c = _t(spark, d, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    """Nodes that a traversal does not know yet."""
+    asked, snapshot = _asked(spark, d)
+    return frontier.unseen(asked.select(F.col("url").alias("node")).distinct(), snapshot.select(F.col("url").alias("node"))).select(F.col("node").alias("url"))
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+@query(f"SELECT page_id, url FROM pages WHERE {SITE} IN (SELECT {SITE} FROM pages WHERE starts_with(url, 'http://'))")
 def join_semi(spark, d):
-    o = _t(spark, d, "orders").where("o_totalprice > 100000")
-    c = _t(spark, d, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
+    """Pages on sites that have pages without TLS, too."""
+    p = pages(spark, d)
+    return frontier.within(p, p.where(F.col("url").startswith("http://")).select(F.col("url").alias("domain")), "url").select("page_id", "url")
 
 
-@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'")
+@query("WITH {ASKED} SELECT url, status_code, status_code IS NULL AS lost FROM a")
 def join_outer(spark, d):
-    o = _t(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
-    c = _t(spark, d, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "o_orderkey")
+    """Every URL that was asked for, with its answer or without."""
+    return fetch.fetch(*_asked(spark, d)).select("url", "status_code", F.col("status_code").isNull().alias("lost"))
 
 
-@query("SELECT DISTINCT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+@query("WITH {ASKED} SELECT url FROM a EXCEPT SELECT url FROM a WHERE status_code IS NULL OR status_code >= 400")
 def set_except(spark, d):
-    return _t(spark, d, "orders").select(F.col("o_custkey").alias("key")).distinct().subtract(_t(spark, d, "customer").where("c_acctbal < 0").select("c_custkey"))
+    """URLs that were asked for, without those that failed."""
+    return fetch.fetched(*_asked(spark, d)).select("url")
 
 
 # --- sources and sinks ---
@@ -503,7 +685,7 @@ def _records(spark, d) -> DataFrame:
     )
 
 
-ROUND = f"SELECT {NORM} AS url, CAST(max(page_id) + 1700000000 AS BIGINT) AS at, arg_max({TEXT}, page_id) AS text, CAST(arg_max(len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"', 1)), page_id) AS INTEGER) AS n_links, 200 AS status_code FROM pages GROUP BY 1"
+ROUND = f"SELECT {NORM} AS url, CAST(max(page_id) + 1700000000 AS BIGINT) AS at, arg_max({TEXT}, page_id) AS text, CAST(arg_max(len({HREFS}), page_id) AS INTEGER) AS n_links, 200 AS status_code FROM pages GROUP BY 1"
 
 
 def _back(rows: DataFrame) -> DataFrame:
@@ -539,6 +721,29 @@ def sink_store_upsert(spark, d):
     return _back(s.read())
 
 
+@query("WITH {ASKED}, f AS (SELECT count(*) FILTER (status_code = 200) AS saved, count(*) FILTER (status_code IS NULL OR status_code >= 400) AS failed FROM a) SELECT saved, failed FROM f")
+def storage_stats(spark, d):
+    """Records that are in the store, and those that were asked for and are not."""
+    got = fetch.fetch(*_asked(spark, d))
+    s = store.PageStore(spark, _at(spark, "saved"))
+    kept = _records(spark, d).join(got.where("kind is null").select("url"), "url", "left_semi")
+    s.save(kept.select(*store.FIELDS))
+    return stats.storage_stats(got, s.read())
+
+
+@query("SELECT CASE WHEN i % 4 = 0 THEN 'empty url' WHEN i % 4 = 1 THEN 'no links' WHEN i % 4 = 2 THEN 'bad metadata' END AS why, count(*) AS n FROM (SELECT page_id AS i FROM pages) WHERE i % 4 < 3 GROUP BY 1")
+def record_validate(spark, d):
+    """Records that a sink refuses, by what is wrong with them."""
+    k = F.pmod(F.col("page_id"), F.lit(4))
+    rows = pages(spark, d).select(
+        F.when(k == 0, F.lit("")).otherwise(F.col("url")).alias("url"), F.lit("t").alias("title"), F.lit("x").alias("text"), F.when(k != 1, F.array(F.col("url"))).alias("links"),
+        F.when(k == 2, F.lit("[1]")).otherwise(F.lit("{}")).alias("metadata"), F.timestamp_seconds(F.lit(0)).alias("crawled_at"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"),
+    )
+    _, bad = store.validate(rows)
+    why = F.when(F.col("url") == "", "empty url").when(F.col("links").isNull(), "no links").otherwise("bad metadata")
+    return bad.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+
+
 # --- monitoring ---
 
 
@@ -579,35 +784,38 @@ def fetch_and_parse(spark, d):
     return fetch.fetch_and_parse(*_asked(spark, d)).select("url", F.array_join("page.errors", "; ").alias("errors"))
 
 
-@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages WHERE page_id % 3 = 0)")
+@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
 def sitemap_tree(spark, d):
-    return _sitemap_urls(spark, pages(spark, d).where("page_id % 3 = 0"))
+    found, _ = _sitemap_tree(spark, d)
+    return found.select("url", F.length("url").cast("long").alias("n"))
 
 
-@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
-def sitemap_tree_all(spark, d):
-    return _sitemap_urls(spark, pages(spark, d))
+@query("SELECT 2 * count(DISTINCT page_id // 20000) + 1 AS fetched, 2::BIGINT AS failed FROM pages")
+def sitemap_stats(spark, d):
+    return sitemaps.sitemap_stats(_sitemap_tree(spark, d)[1])
 
 
 #: Page ids of a sitemap; the protocol allows 50,000 URLs.
 SITEMAP_IDS = 20_000
 
 
-def _sitemap_urls(spark, p: DataFrame) -> DataFrame:
-    """URLs by an index of two series of sitemaps that overlap, a broken one, one that is lacking and itself."""
-    u = p.select(urls.normalize_url(F.col("url")).alias("url"), "page_id")
+def _sitemap_tree(spark, d) -> tuple[DataFrame, DataFrame]:
+    """An index of two series of sitemaps that overlap, a broken one, one that is lacking and itself.
+
+    The index is one file by nature; it has a line for each SITEMAP_IDS pages.
+    """
+    u = pages(spark, d).select(urls.normalize_url(F.col("url")).alias("url"), "page_id")
     xml = lambda c: F.concat(F.lit("<urlset>"), F.array_join(F.collect_set(F.concat(F.lit("<url><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
     b = "http://maps.test"
     named = lambda n: F.concat(F.lit(f"{b}/{n}"), F.floor(F.col("page_id") / SITEMAP_IDS).cast("string"), F.lit(".xml"))
     one, two = (u.where(w).select(named(n).alias("file"), "url") for n, w in (("a", "page_id % 2 = 0"), ("b", "page_id % 2 <> 0 or page_id % 4 = 0")))
-    dealt = one.union(two)
-    files = dealt.groupBy(F.col("file").alias("url")).agg(F.encode(xml(F.col("url")), "utf-8").alias("payload"))
-    listed = F.array_union(F.array_sort(F.collect_set("file")), F.array(*[F.lit(f"{b}/{n}.xml") for n in ("broken", "lost", "index")]))
+    files = one.union(two).groupBy(F.col("file").alias("url")).agg(F.encode(xml(F.col("url")), "utf-8").alias("payload"))
+    files = Stored(files, "sitemap-files").df
+    listed = F.array_union(F.array_sort(F.collect_set("url")), F.array(*[F.lit(f"{b}/{n}.xml") for n in ("broken", "lost", "index")]))
     entries = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))), "")
-    index = dealt.agg(F.lit(f"{b}/index.xml").alias("url"), F.encode(F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")), "utf-8").alias("payload"))
+    index = files.agg(F.encode(F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")), "utf-8").alias("payload")).select(F.lit(f"{b}/index.xml").alias("url"), "payload")
     broken = spark.createDataFrame([(f"{b}/broken.xml", b"<urlset>")], "url string, payload binary")
-    found, _ = sitemaps.sitemap_tree(files.union(index).union(broken), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"), max_urls=None)
-    return found.select("url", F.length("url").cast("long").alias("n"))
+    return sitemaps.sitemap_tree(files.union(index).union(broken), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"), max_urls=None)
 
 
 # --- streaming ---
@@ -631,6 +839,10 @@ def stream_breaker(spark, d):
     return streaming.latest(got, "domain").select("domain", "state", "opened_times", "rejected")
 
 
+for _name in ("join_anti", "join_outer", "set_except", "storage_stats"):
+    ORACLE[_name] = ORACLE[_name].replace("{ASKED}", ASKED)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Link targets of all pages by domain, and how many of the pages' own requests failed there."""
     return html_native.link_count_by_domain(pages(spark, d)).orderBy(F.desc("links"), "domain")

@@ -1,4 +1,4 @@
-"""spark-submit entry: webweft.plans.cli --config FILE --snapshot PATH [overrides]. Exit 0, 2 for wrong settings, 130 when interrupted."""
+"""spark-submit entry: webweft.plans.cli URL... [--config FILE] [--snapshot PATH] [overrides]. Exit 0, 2 for wrong settings, 130 when interrupted."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from logging.handlers import RotatingFileHandler
 from pyspark.sql import SparkSession
 
 from webweft.functions.urls import format_of_path
-from webweft.plans import config
+from webweft.operators.stats import error_stats
+from webweft.plans import config, report
 from webweft.plans.job import CrawlJob
 
 
@@ -37,33 +38,37 @@ def close_logging() -> None:
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
+    """The schema's flags, and what is no setting: files, and tables of what was fetched."""
     p = argparse.ArgumentParser(prog="webweft")
     p.add_argument("urls", nargs="*")
     p.add_argument("--config")
-    p.add_argument("--snapshot", required=True, help="Parquet table of url, html[, status_code, content_type]")
-    p.add_argument("--max-pages", type=int)
-    p.add_argument("--max-depth", type=int)
-    p.add_argument("--same-domain", action="store_true", default=None)
-    p.add_argument("--respect-robots", action="store_true", default=None)
     p.add_argument("--output")
-    p.add_argument("--report-json")
-    p.add_argument("--report-html")
+    p.add_argument("--snapshot", help="Parquet table of url, html[, status_code, content_type]; without one, pages are fetched live")
+    p.add_argument("--robots-files", help="Parquet table of origin, status, body")
+    p.add_argument("--sitemap-files", help="Parquet table of url, payload")
+    p.add_argument("--errors", help="text file for the error report")
+    p.add_argument("--sitemap", action="append", default=[], help="sitemap URL, once for each")
+    for name, field in config.SCHEMA.items():
+        if field.flag:
+            how = {"action": "store_true"} if field.kind is None else {"type": field.kind}
+            p.add_argument(field.flag, dest=name, default=None, **how)
     return p.parse_args(argv)
 
 
 def settings(a: argparse.Namespace) -> dict:
     """The file's settings, with what the command line names in their place."""
-    cfg = config.load(a.config) if a.config else config.from_dict({})
-    crawler = {"max_pages": a.max_pages, "max_depth": a.max_depth, "same_domain_only": a.same_domain, "respect_robots": a.respect_robots}
-    over: dict = {"crawler": {k: v for k, v in crawler.items() if v is not None}}
+    over: dict = {}
+    for name in config.SCHEMA:
+        if (value := getattr(a, name, None)) is not None:
+            section, _, key = name.rpartition(".")
+            over.setdefault(section, {})[key] = value
     if a.urls:
         over["start_urls"] = a.urls
+    if a.sitemap:
+        over["sitemaps"] = a.sitemap
     if a.output:
         over["storage"] = {"type": format_of_path(a.output), "path": a.output}
-    reports = {k: v for k, v in (("json", a.report_json), ("html", a.report_html)) if v}
-    if reports:
-        over["report"] = reports
-    return config.validate(config.merge(over, cfg))
+    return config.settings(config.read_file(a.config) if a.config else {}, over)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -78,11 +83,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     log = setup_logging(cfg["logging"])
     try:
         spark = spark or SparkSession.builder.appName("webweft").getOrCreate()
-        result = CrawlJob(spark, cfg).run(spark.read.parquet(a.snapshot))
-        figures = result.stats()
+        tables = (spark.read.parquet(path) if path else None for path in (a.snapshot, a.sitemap_files, a.robots_files))
+        with CrawlJob(spark, cfg).run(*tables) as result:
+            figures = result.stats()
+            if a.errors:
+                report.save_error_text(a.errors, error_stats(result.attempts(), result.failed()), result.saved)
         log.info("visited %d pages, %d failed", figures["total_pages"], figures["failed"])
         print(f"pages {figures['total_pages']}, ok {figures['successful']}, failed {figures['failed']}")
         return 0
+    except config.ConfigError as e:
+        print(f"settings: {e}", file=sys.stderr)
+        return 2
     except KeyboardInterrupt:
         return 130
     finally:

@@ -1,92 +1,185 @@
-"""A whole crawl over a snapshot: seeds and sitemaps, traversal, parsing, store, statistics, reports."""
+"""A whole crawl, over a snapshot or live: seeds and sitemaps, traversal, parsing, store, statistics, reports."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.functions import html_tree, robots, urls
-from webweft.operators import frontier, stats, store
+from webweft.functions import robots, urls
+from webweft.operators import fetch, frontier, stats, store
 from webweft.plans import config, report
-from webweft.sources import sinks
-from webweft.sources.sitemaps import sitemap_tree
+from webweft.sources import live, sinks
+from webweft.sources.sitemaps import sitemap_stats, sitemap_tree
 from webweft.stored import Stored
 
 
+#: Why a page that robots.txt forbids has failed.
+BARRED = "robots.txt forbids it"
+
+
 @dataclass
 class Result:
-    visited: DataFrame  # url, depth, rank, ok, status
+    visited: DataFrame  # url, depth, rank, ok, status_code, content_type, kind, error, page
     records: DataFrame  # standard records of the pages that were found
     events: DataFrame  # page events
-    sitemap_errors: DataFrame | None
+    sitemap_files: DataFrame | None  # sitemap_url, and the error of those that could not be read
+    blocked: DataFrame | None  # URLs that robots.txt forbids
     saved: dict | None
+    elapsed: float = 0.0
+    tables: list[Stored] = field(default_factory=list)
 
     def stats(self, top_n: int = 10) -> dict:
-        return stats.as_dict(self.events, top_n)
+        """Figures of the pages, the crawl, sitemaps, robots and storage."""
+        out = stats.as_dict(self.events, top_n, F.lit(self.elapsed))
+        out["crawl"] = stats.crawl_stats(self.visited, self.elapsed).first().asDict()
+        out["sitemaps"] = sitemap_stats(self.sitemap_files).first().asDict() if self.sitemap_files is not None else {"fetched": 0, "failed": 0}
+        out["blocked"] = self.blocked.count() if self.blocked is not None else 0
+        out["storage"] = self.saved
+        return out
+
+    def failed(self) -> DataFrame:
+        return fetch.failed_urls(self.visited)
+
+    def attempts(self) -> DataFrame:
+        """Each page's last attempt as retry.attempt_log() has it, for the error report."""
+        return self.visited.select("url", F.lit(0).alias("n"), "kind", F.col("status_code").alias("status"), F.lit(True).alias("last"), F.lit(None).cast("double").alias("delay"))
+
+    def close(self) -> None:
+        """Deletes the run's tables; its DataFrames can't be read any more. A second call does nothing."""
+        for t in self.tables:
+            t.drop()
+        self.tables = []
+
+    def __enter__(self) -> Result:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
 
 class CrawlJob:
-    """Runs settings (plans.config) over a snapshot table (url, html, status_code, content_type)."""
+    """Runs settings (plans.config) over a snapshot table (url, html, status_code, content_type), or live without one.
 
-    def __init__(self, spark: SparkSession, settings: dict | None = None):
-        self.spark = spark
-        self.cfg = config.from_dict(settings or {})
+    sink: another than the settings name. manners: for live fetching, another than the settings give (other retries, a
+    breaker of one's own). page_callback gets each level's pages as a DataFrame, on_retry(url, attempt, kind, pause)
+    each new try of a live request; it runs on the executors.
+    """
+
+    def __init__(self, spark: SparkSession, settings: dict | None = None, sink: sinks.Sink | None = None, manners: live.Manners | None = None, page_callback: Callable[[DataFrame], None] | None = None, on_retry: Callable | None = None):
+        self.spark, self.sink, self.page_callback, self.on_retry = spark, sink, page_callback, on_retry
+        self.cfg = config.settings(settings or {})
+        self.own_manners = manners
 
     @classmethod
-    def from_file(cls, spark: SparkSession, path: str, overrides: dict | None = None) -> CrawlJob:
-        job = cls(spark)
-        job.cfg = config.validate(config.merge(overrides or {}, config.load(path)))
-        return job
+    def from_file(cls, spark: SparkSession, path: str, overrides: dict | None = None, **how) -> CrawlJob:
+        return cls(spark, config.settings(config.read_file(path), overrides or {}), **how)
+
+    @property
+    def manners(self) -> live.Manners:
+        c = self.cfg["crawler"]
+        agents = (c["user_agent"],) if c["user_agent"] else live.Manners().agents
+        return self.own_manners or live.Manners(agents, c["max_concurrent"], c["max_per_domain"], c["rate_limit"], connect_timeout=c["connect_timeout"], read_timeout=c["read_timeout"], retries=c["max_retries"])
 
-    def _sink(self):
+    def _sink(self) -> sinks.Sink | None:
         kind, path = self.cfg["storage"]["type"], self.cfg["storage"]["path"]
-        if kind == "none":
-            return None
+        if self.sink is not None or kind == "none":
+            return self.sink
         if kind in ("sqlite", "parquet"):
             return sinks.StoreSink(self.spark, path)
         return sinks.SingleFileSink(path, kind, lines=path.endswith((".jsonl", ".ndjson")))
 
-    def run(self, snapshot: DataFrame, sitemap_files: DataFrame | None = None, robots_files: DataFrame | None = None) -> Result:
+    def _listed(self, found: list[str]) -> DataFrame:
+        return self.spark.createDataFrame(list(zip(found, range(len(found)))), "url string, pos int")
+
+    def run(self, snapshot: DataFrame | None = None, sitemap_files: DataFrame | None = None, robots_files: DataFrame | None = None) -> Result:
+        """snapshot: (url, html[, status_code, content_type]); sitemap_files: (url, payload); robots_files: (origin, status, body).
+
+        What is None is fetched live. With a snapshot nothing is: settings that need sitemaps or robots then need their
+        tables, too.
+        """
+        began = time.monotonic()
         c, f = self.cfg["crawler"], self.cfg["filters"]
-        has = set(snapshot.columns)
-        pages = snapshot.select(urls.normalize_url(F.col("url")).alias("url"), "html", (F.col("status_code") if "status_code" in has else F.lit(200)).alias("status_code"), (F.col("content_type") if "content_type" in has else F.lit("text/html")).alias("content_type"))
-        if c["respect_robots"] and robots_files is not None:
-            table = robots.robots_table(robots_files)
-            seen = robots.can_fetch(pages, table, c["user_agent"] or "*")
-            # what robots.txt forbids is visited as a failure
-            pages = seen.withColumn("status_code", F.when(F.col("allowed"), F.col("status_code")).otherwise(F.lit(403))).drop("allowed")
-        pages = Stored(pages, "pages").df
-        starts = self.spark.createDataFrame([(u, i) for i, u in enumerate(self.cfg["start_urls"])], "url string, pos int")
-        bad = None
-        parts = [starts]
-        if self.cfg["sitemaps"] and sitemap_files is not None:
-            roots = self.spark.createDataFrame([(u, i) for i, u in enumerate(self.cfg["sitemaps"])], "url string, pos int")
-            found, bad = sitemap_tree(sitemap_files, roots)
+        if snapshot is not None:
+            for needed, table, name in ((c["respect_robots"], robots_files, "robots_files"), (self.cfg["sitemaps"], sitemap_files, "sitemap_files")):
+                if needed and table is None:
+                    raise config.ConfigError(f"over a snapshot these settings need a table of {name}")
+        tables: list[Stored] = []
+
+        def kept(df: DataFrame, tag: str) -> DataFrame:
+            tables.append(Stored(df, tag))
+            return tables[-1].df
+
+        parts, files_read = [self._listed(self.cfg["start_urls"])], None
+        if self.cfg["sitemaps"]:
+            payloads = sitemap_files if sitemap_files is not None else lambda asked: live.fetch_live(asked, self.manners).select("url", "payload")
+            found, files_read = sitemap_tree(payloads, self._listed(self.cfg["sitemaps"]))
             parts.append(found.orderBy("depth", "parent", "pos").select("url", F.monotonically_increasing_id().alias("pos")))
-        seeds = frontier.seed_union(*parts)
-        seeds = seeds.orderBy("part", "pos").select("url", F.monotonically_increasing_id().alias("pos"))
-
-        def links(level: DataFrame) -> DataFrame:
-            got = html_tree.parse_pages(level, keep=("rank",))
-            return got.select("rank", F.posexplode("page.links").alias("pos", "link"))
-
-        visited = frontier.crawl(pages, seeds, links, c["max_pages"], c["max_depth"], c["same_domain_only"], None, f["exclude_patterns"], f["include_patterns"])
-        visited = Stored(visited, "visited").df
-        done = visited.where("ok").select("url").join(pages, "url")
-        parsed = html_tree.parse_pages(done, keep=("status_code", "content_type"))
-        records = Stored(store.make_record(parsed), "records").df
-        size = records.select("url", F.length("text").cast("long").alias("size"), F.col("crawled_at").alias("ts"))
-        kind = F.when(F.col("status").isNull() | (F.col("status") >= 400), "PermanentError")
-        events = visited.join(size, "url", "left").select("url", "ok", F.coalesce("status", F.when(~F.col("ok"), F.lit(404))).alias("status"), F.when(~F.col("ok"), kind).alias("error"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), "ts")
-        sink = self._sink()
-        saved = sinks.save(sink, records) if sink else None
-        result = Result(visited, records, events, bad, saved)
-        if self.cfg["report"]["json"] or self.cfg["report"]["html"]:
+        seeds = kept(frontier.seed_union(*parts).orderBy("part", "pos").select("url", F.monotonically_increasing_id().alias("pos")), "seeds")
+
+        answer = self._answer(snapshot, robots_files, kept)
+        visited = frontier.crawl(answer, seeds, c["max_pages"], c["max_depth"], c["same_domain_only"], None, f["exclude_patterns"], f["include_patterns"], self.page_callback)
+        records = kept(store.make_record(visited.where("ok").select("page", "status_code", "content_type")), "records")
+        size = F.when(F.col("ok"), F.length("page.text")).otherwise(F.lit(0)).cast("long")
+        events = visited.select("url", "ok", F.col("status_code").alias("status"), F.col("kind").alias("error"), size.alias("size"), F.lit(None).cast("timestamp").alias("ts"))
+        sink, saved = self._sink(), None
+        if sink is not None:
+            with sinks.Saver(sink) as saver:
+                saver.save(records)
+            saved = saver.stats()
+        blocked = visited.where(F.col("error") == BARRED).select("url") if c["respect_robots"] else None
+        result = Result(visited, records, events, files_read, blocked, saved, time.monotonic() - began, tables)
+        wanted = self.cfg["report"]
+        if wanted["json"] or wanted["html"]:
             figures = result.stats()
-            if self.cfg["report"]["json"]:
-                report.to_json(figures, self.cfg["report"]["json"])
-            if self.cfg["report"]["html"]:
-                report.save_html(figures, self.cfg["report"]["html"])
+            if wanted["json"]:
+                report.to_json(figures, wanted["json"])
+            if wanted["html"]:
+                report.save_html(figures, wanted["html"])
         return result
+
+    def _answer(self, snapshot: DataFrame | None, robots_files: DataFrame | None, kept: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        """What a level's URLs are answered with: by the snapshot or live, those that robots.txt forbids failing unasked."""
+        c = self.cfg["crawler"]
+        if snapshot is None:
+            ask = lambda asked: live.fetch_live(asked, self.manners, on_retry=self.on_retry)
+        else:
+            has = set(snapshot.columns)
+            status = (F.col("status_code") if "status_code" in has else F.lit(200)).cast("int")
+            kind = F.col("content_type") if "content_type" in has else F.lit("text/html")
+            of = F.struct("html", status.alias("status_code"), kind.alias("content_type"))
+            # one row a URL, so that a level's join makes no copies
+            pages = snapshot.groupBy(urls.normalize_url(F.col("url")).alias("url")).agg(F.max_by(of, F.coalesce("html", F.lit(""))).alias("r")).select("url", "r.*")
+            ask = partial(fetch.fetch, pages=kept(pages, "pages"))
+        if not c["respect_robots"]:
+            return ask
+        agent = c["user_agent"] or "*"
+        known: list[DataFrame] = []
+        given = robots.robots_table(robots_files) if robots_files is not None else None
+
+        def rules(asked: DataFrame) -> DataFrame:
+            if given is not None:
+                return given
+            new = asked.select(urls.origin(F.col("url")).alias("origin")).distinct()
+            for k in known:
+                new = new.join(k, "origin", "left_anti")
+            known.append(kept(robots.robots_table(live.robots_files(new, self.manners)), "robots"))
+            out = known[0]
+            for k in known[1:]:
+                out = out.union(k)
+            return out
+
+        def obedient(asked: DataFrame) -> DataFrame:
+            table = rules(asked)
+            seen = kept(robots.can_fetch(asked.where("url is not null").select("url").distinct(), table, agent), "allowed")
+            delay = table.select(F.col("origin").alias("__origin"), robots.crawl_delay(F.col("parsed"), agent).alias("crawl_delay"))
+            free = seen.where("allowed").join(delay, urls.origin(F.col("url")) == F.col("__origin"), "left").select("url", F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"))
+            none = F.lit(None).cast("string")
+            barred = seen.where("not allowed").select("url", none.alias("html"), F.lit(None).cast("int").alias("status_code"), F.lit("").alias("content_type"), F.lit("PermanentError").alias("kind"), F.lit(BARRED).alias("error"))
+            return ask(free).select(*barred.columns).union(barred)
+
+        return obedient

@@ -39,14 +39,20 @@ def save_html(stats: dict, path: str, title: str = "Crawl report") -> None:
         f.write(to_html(stats, title))
 
 
-def error_text(errors_by_type: dict, retry: dict, permanent: list[str], failed: dict, breaker: list[dict] = ()) -> str:
-    """Error report as text: classes, retries, URLs that failed for good, all failed URLs, breakers."""
-    parts = ["Errors by type", *(f"  {k}: {n}" for k, n in errors_by_type.items()), "Retries", *(f"  {k}: {v}" for k, v in retry.items())]
-    parts += ["Permanent", *(f"  {u}" for u in permanent), "Failed", *(f"  {u}: {why}" for u, why in failed.items())]
-    parts += ["Breakers", *(f"  {b['domain']}: {b['state']}, opened {b['opened_times']}" for b in breaker)]
-    return "\n".join(parts) + "\n"
-
-
-def save_error_text(path: str, *args) -> None:
+def error_text(stats: dict, storage: dict | None = None) -> str:
+    """Error report as text from stats.error_stats(): classes, retries, URLs that failed for good, all failed URLs,
+    storage errors of Saver.stats(), breakers. A part without entries says so."""
+    parts = {
+        "Errors by type": [f"{k}: {n}" for k, n in stats["errors_by_type"].items()],
+        "Retries": [f"{k}: {v}" for k, v in stats["retry"].items()],
+        "Permanent": stats["permanent"],
+        f"Failed ({stats['n_failed_urls']})": [f"{u}: {why}" for u, why in stats["failed"].items()],
+        "Storage": [f"failed rows: {storage['failed']}", *storage["errors"]] if storage and (storage["failed"] or storage["errors"]) else [],
+        "Breakers": [f"{b['domain']}: {b['state']}, opened {b['opened_times']}" for b in stats["breaker"]],
+    }
+    return "\n".join(line for name, rows in parts.items() for line in (name, *(f"  {r}" for r in rows or ["none"]))) + "\n"
+
+
+def save_error_text(path: str, stats: dict, storage: dict | None = None) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        f.write(error_text(*args))
+        f.write(error_text(stats, storage))

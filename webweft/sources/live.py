@@ -1,90 +1,337 @@
-"""Live HTTP as a Python data source: URLs are dealt out by domain, one partition a domain's requests.
+"""Live HTTP: URLs are dealt out by domain, and a task fetches its domains' URLs with manners.
 
-spark.dataSource.register(HttpSource); spark.read.format("webweft_http").option("urls", json list).load()
+In a task, at most max_concurrent requests are under way, max_per_domain of a domain; a domain's requests keep their
+pauses and pass its breaker; failures that another try may mend are tried again. Rows come as they end.
+As a data source: spark.dataSource.register(HttpSource); spark.read.format("webweft_http").option("urls", json list).load()
 """
 
 from __future__ import annotations
 
 import json
+import random
+import threading
 import time
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
+from functools import partial
+from http.client import HTTPConnection, HTTPException, HTTPSConnection
 from urllib.error import HTTPError, URLError
 from urllib.parse import urlsplit
-from urllib.request import Request, urlopen
+from urllib.request import HTTPHandler, HTTPSHandler, Request, build_opener
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "url string, html string, status_code int, content_type string, kind string, error string, attempts int"
-#: Answers that another try may mend, and tries for a server error.
-TRANSIENT = (408, 429, 500, 502, 503, 504)
+from webweft.functions import urls as url_functions
+from webweft.functions.errors import DELAY_BY_STATUS, RETRIES_BY_STATUS, TRANSIENT
+from webweft.operators.breaker import Breaker, Machine
+
+SCHEMA = "url string, html string, payload binary, status_code int, content_type string, kind string, error string, attempts int, fetched_at timestamp"
+#: Bytes of an answer that are read; a longer one is a failure.
+MOST_BYTES = 50 * 1024 * 1024
 
 
 def domain_of(url: str) -> str:
-    return urlsplit(url).netloc.lower()
+    try:
+        return urlsplit(url).netloc.lower()
+    except ValueError:
+        return ""
+
+
+@dataclass(frozen=True)
+class Manners:
+    """How requests are made; times are seconds. rps is a domain's rate, null for no limit."""
+
+    agents: tuple[str, ...] = ("webweft/1.0",)
+    max_concurrent: int = 10
+    max_per_domain: int = 3
+    rps: float | None = None
+    min_delay: float = 0.0
+    jitter: float = 0.0
+    connect_timeout: float = 5.0
+    read_timeout: float = 10.0
+    timeout_growth: float = 1.5
+    most_timeout: float = 60.0
+    retries: int = 2
+    base: float = 1.0
+    factor: float = 2.0
+    most_delay: float = 30.0
+    breaker: Breaker | None = field(default_factory=Breaker)
+
+    @property
+    def gap(self) -> float:
+        return max(1 / self.rps if self.rps else 0.0, self.min_delay)
+
+
+def retry_after(header: str | None, now: float) -> float | None:
+    """Seconds that a Retry-After header asks for, as a number or a date; null if it says neither."""
+    value = (header or "").strip()
+    if value.isdigit():
+        return float(value)
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - now) if value else None
+    except (TypeError, ValueError):
+        return None
+
+
+def pause(m: Manners, retry: int, status: int | None, asked: float | None) -> float:
+    if asked is not None:
+        return min(asked, m.most_delay)
+    return min(m.most_delay, m.base * DELAY_BY_STATUS.get(status, 1.0) * m.factor**retry)
+
+
+class _Opened(HTTPConnection):
+    """Connects within one time and reads within another."""
+
+    def __init__(self, *args, read_timeout: float, **kw):
+        super().__init__(*args, **kw)
+        self.read_timeout = read_timeout
+
+    def connect(self) -> None:
+        super().connect()
+        self.sock.settimeout(self.read_timeout)
+
+
+class _OpenedSafely(_Opened, HTTPSConnection):
+    pass
+
+
+class _Plain(HTTPHandler):
+    read_timeout = 10.0
+
+    def http_open(self, req):
+        return self.do_open(partial(_Opened, read_timeout=self.read_timeout), req)
+
+
+class _Safe(HTTPSHandler):
+    read_timeout = 10.0
+
+    def https_open(self, req):
+        return self.do_open(partial(_OpenedSafely, read_timeout=self.read_timeout), req)
+
+
+def open_url(request: Request, connect_timeout: float, read_timeout: float):
+    handlers = _Plain(), _Safe()
+    for h in handlers:
+        h.read_timeout = read_timeout
+    return build_opener(*handlers).open(request, timeout=connect_timeout)
 
 
-def pause(retry: int, status: int | None, retry_after: str | None, base: float, factor: float, most: float) -> float:
-    if retry_after and retry_after.strip().isdigit():
-        return min(float(retry_after), most)
-    return min(most, base * (3.0 if status == 429 else 1.0) * factor**retry)
+class _Domain:
+    def __init__(self, m: Manners, free: float):
+        self.lock, self.places, self.free = threading.Lock(), threading.Semaphore(m.max_per_domain), free
+        self.breaker = Machine(m.breaker) if m.breaker else None
+        self.floor = 0.0
 
 
-def fetch(url: str, agent: str, timeout: float = 10.0, retries: int = 2, base: float = 1.0, factor: float = 2.0, most: float = 30.0, sleep=time.sleep, opener=urlopen) -> tuple:
-    """A row of SCHEMA: one URL with its retries; a failure is a row too."""
-    n = 0
-    while True:
-        status, kind, why, wait = None, None, None, None
+class Fetcher:
+    """Fetches URLs of one task. Clock, sleep, opener and random numbers can be given, for tests.
+
+    on_retry(url, attempt, kind, pause) is called before each new try.
+    """
+
+    def __init__(self, m: Manners, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep, opener=open_url, rand: Callable[[], float] = random.random, on_retry: Callable | None = None):
+        self.m, self.clock, self.sleep, self.opener, self.rand, self.on_retry = m, clock, sleep, opener, rand, on_retry
+        self.domains: dict[str, _Domain] = {}
+        self.lock, self.turn, self.active, self.peak = threading.Lock(), 0, 0, 0
+
+    def _domain(self, url: str) -> _Domain:
+        with self.lock:
+            # the requests of an earlier job may just have ended, so the first keeps its pause too
+            return self.domains.setdefault(domain_of(url), _Domain(self.m, self.clock() + self.m.gap if self.m.gap else 0.0))
+
+    def _slot(self, d: _Domain) -> None:
+        """Waits for the domain's next slot and takes it."""
+        with d.lock:
+            now = self.clock()
+            start = max(now, d.free)
+            d.free = start + max(self.m.gap, d.floor) + self.m.jitter * self.rand()
+        if start > now:
+            self.sleep(start - now)
+
+    def _attempt(self, url: str, n: int) -> dict:
+        with self.lock:
+            agent = self.m.agents[self.turn % len(self.m.agents)]
+            self.turn += 1
+        grown = min(max(self.m.most_timeout, self.m.read_timeout), self.m.read_timeout * self.m.timeout_growth**n)
         try:
-            with opener(Request(url, headers={"User-Agent": agent}), timeout=min(max(timeout, 60.0), timeout * 1.5**n)) as r:
-                body = r.read()
+            with self.opener(Request(url, headers={"User-Agent": agent}), self.m.connect_timeout, grown) as r:
+                body = r.read(MOST_BYTES + 1)
+                if len(body) > MOST_BYTES:
+                    return {"kind": "PermanentError", "error": f"more than {MOST_BYTES} bytes", "status_code": r.status}
                 charset = r.headers.get_content_charset() or "utf-8"
-                return url, body.decode(charset, "replace"), r.status, r.headers.get_content_type(), None, None, n + 1
+                try:
+                    text = body.decode(charset, "replace")
+                except LookupError:
+                    text = body.decode("utf-8", "replace")
+                return {"html": text, "payload": body, "status_code": r.status, "content_type": r.headers.get_content_type()}
         except HTTPError as e:
-            status, why, wait = e.code, f"HTTP {e.code} {e.reason}", e.headers.get("Retry-After") if e.headers else None
-            kind = "TransientError" if e.code in TRANSIENT else "PermanentError"
+            wait_for = retry_after(e.headers.get("Retry-After") if e.headers else None, self.clock())
+            return {"kind": "TransientError" if e.code in TRANSIENT else "PermanentError", "error": f"HTTP {e.code} {e.reason}", "status_code": e.code, "asked": wait_for}
         except TimeoutError as e:
-            kind, why = "TransientError", str(e) or "timed out"
-        except (URLError, OSError) as e:
-            kind, why = ("TransientError" if isinstance(getattr(e, "reason", None), TimeoutError) else "NetworkError"), str(e)
+            return {"kind": "TransientError", "error": str(e) or "timed out"}
+        except (URLError, OSError, HTTPException) as e:
+            late = isinstance(getattr(e, "reason", None), TimeoutError)
+            return {"kind": "TransientError" if late else "NetworkError", "error": str(e) or type(e).__name__}
         except ValueError as e:
-            kind, why = "PermanentError", str(e)
-        limit = 2 if status == 500 else retries
-        if kind == "PermanentError" or n >= limit:
-            return url, None, status, "", kind, why, n + 1
-        sleep(pause(n, status, wait, base, factor, most))
-        n += 1
+            return {"kind": "PermanentError", "error": str(e)}
+
+    def _try(self, url: str, d: _Domain, n: int) -> dict:
+        """The breaker's gate, the domain's slot, and one request."""
+        us = lambda: int(self.clock() * 1_000_000)
+        if d.breaker is not None:
+            with d.lock:
+                left = d.breaker.allow(us())
+            if left is not None:
+                return {"kind": "CircuitOpenError", "error": f"the breaker of {domain_of(url)} is open for {left / 1e6:.1f} s"}
+        got: dict = {"kind": "NetworkError"}
+        try:
+            self._slot(d)
+            got = self._attempt(url, n)
+        finally:
+            if d.breaker is not None:
+                kind = got.get("kind")
+                ok = True if kind is None or (kind == "PermanentError" and got.get("status_code")) else False if kind in ("TransientError", "NetworkError") else None
+                with d.lock:
+                    d.breaker.record(ok, us())
+        return got
+
+    def fetch(self, url: str, crawl_delay: float = 0.0) -> tuple:
+        """A row of SCHEMA: one URL with its tries; a failure is a row too."""
+        d = self._domain(url)
+        with d.lock:
+            d.floor = max(d.floor, crawl_delay or 0.0)
+        n = 0
+        with d.places:
+            with self.lock:
+                self.active += 1
+                self.peak = max(self.peak, self.active)
+            try:
+                while True:
+                    got = self._try(url, d, n)
+                    kind, status = got.get("kind"), got.get("status_code")
+                    again = kind in ("TransientError", "NetworkError") and n < RETRIES_BY_STATUS.get(status, self.m.retries)
+                    if not again:
+                        break
+                    delay = pause(self.m, n, status, got.get("asked"))
+                    if status in (429, 503):
+                        # the whole domain holds back, not this URL alone
+                        with d.lock:
+                            d.free = max(d.free, self.clock() + delay)
+                    if self.on_retry:
+                        self.on_retry(url, n + 1, kind, delay)
+                    self.sleep(delay)
+                    n += 1
+            finally:
+                with self.lock:
+                    self.active -= 1
+        return url, got.get("html"), got.get("payload"), status, got.get("content_type", ""), kind, got.get("error"), n + 1, datetime.fromtimestamp(self.clock(), UTC)
+
+    def all(self, asked: Iterable[tuple[str, float]]) -> Iterator[tuple]:
+        """Rows of (url, crawl_delay) pairs, in the order in which they end; few more are taken up than are under way.
+
+        A URL whose domain has all its places taken waits behind others, so one slow domain does not fill the pool.
+        """
+        asked, parked = iter(asked), {}
+        running: dict = {}
+        busy: dict[str, int] = {}
+        room = 16 * self.m.max_concurrent  # URLs that wait here for a place of their domain
+        with ThreadPoolExecutor(self.m.max_concurrent) as pool:
+            more, held = True, 0
+
+            def begin(url: str, delay: float) -> None:
+                name = domain_of(url)
+                busy[name] = busy.get(name, 0) + 1
+                running[pool.submit(self.fetch, url, delay)] = name
 
+            while more or running or held:
+                while len(running) < self.m.max_concurrent:
+                    ready = next((d for d, q in parked.items() if q and busy.get(d, 0) < self.m.max_per_domain), None)
+                    if ready is not None:
+                        begin(*parked[ready].popleft())
+                        held -= 1
+                        if not parked[ready]:
+                            del parked[ready]
+                        continue
+                    if not more or held >= room:
+                        break
+                    one = next(asked, None)
+                    if one is None:
+                        more = False
+                    elif busy.get(domain_of(one[0]), 0) < self.m.max_per_domain:
+                        begin(*one)
+                    else:
+                        parked.setdefault(domain_of(one[0]), deque()).append(one)
+                        held += 1
+                if running:
+                    done, _ = wait(running, return_when=FIRST_COMPLETED)
+                    for f in done:
+                        name = running.pop(f)
+                        busy[name] -= 1
+                        if not busy[name]:
+                            del busy[name]
+                        yield f.result()
 
-class _Domains(InputPartition):
+
+_KINDS = (pa.string(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.timestamp("us", tz="UTC"))
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def fetch_live(asked: DataFrame, manners: Manners = Manners(), partitions: int = 8, on_retry: Callable | None = None) -> DataFrame:
+    """Rows of SCHEMA for the distinct URLs of asked (url[, crawl_delay]); null URLs take no part.
+
+    Domains are dealt to partitions, so one task alone keeps a domain's pauses and breaker; a lost task is fetched
+    again from its start. Store the result before it is read twice. on_retry runs on the executors.
+    """
+    delay = F.coalesce(F.max("crawl_delay"), F.lit(0.0)) if "crawl_delay" in asked.columns else F.lit(0.0)
+    rows = asked.where("url is not null").groupBy("url").agg(delay.cast("double").alias("crawl_delay"))
+    rows = rows.repartition(partitions, url_functions.domain(F.col("url")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for row in Fetcher(manners, on_retry=on_retry).all(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], names=_NAMES)
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def robots_files(origins: DataFrame, manners: Manners = Manners(), partitions: int = 8) -> DataFrame:
+    """(origin, status, body, fetched_at) of the distinct origins' robots.txt; no answer is a null status."""
+    asked = origins.select("origin").distinct().withColumn("url", F.concat("origin", F.lit("/robots.txt")))
+    got = fetch_live(asked.select("url"), manners, partitions)
+    return got.select(F.regexp_replace("url", "/robots\\.txt$", "").alias("origin"), F.col("status_code").alias("status"), F.col("html").alias("body"), "fetched_at")
+
+
+class _Part(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.o = options
+        o = dict(options)
+        self.urls, self.n = list(dict.fromkeys(json.loads(o.get("urls", "[]")))), int(o.get("partitions", 8))
+        self.manners = Manners((o.get("agent", "webweft/1.0"),), rps=float(o["rps"]) if "rps" in o else None, read_timeout=float(o.get("timeout", 10)), retries=int(o.get("retries", 2)))
 
     def partitions(self) -> list[InputPartition]:
         by: dict[int, list[str]] = {}
-        n = int(self.o.get("partitions", 8))
-        for u in dict.fromkeys(json.loads(self.o.get("urls", "[]"))):
-            by.setdefault(zlib.crc32(domain_of(u).encode()) % n, []).append(u)
-        return [_Domains(v) for v in by.values()] or [_Domains([])]
-
-    def read(self, partition: _Domains) -> Iterator[tuple]:
-        gap = 1 / float(self.o.get("rps", 1.0))
-        free: dict[str, float] = {}
-        for u in partition.urls:
-            d, now = domain_of(u), time.monotonic()
-            start = max(now, free.get(d, 0.0))
-            free[d] = start + gap
-            time.sleep(max(0.0, start - now))
-            yield fetch(u, self.o.get("agent", "webweft/1.0"), float(self.o.get("timeout", 10)), int(self.o.get("retries", 2)))
+        for u in self.urls:
+            by.setdefault(zlib.crc32(domain_of(u).encode()) % self.n, []).append(u)
+        return [_Part(v) for v in by.values()] or [_Part([])]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        return Fetcher(self.manners).all((u, 0.0) for u in partition.urls)
 
 
 class HttpSource(DataSource):
-    """Options: urls (JSON list), agent, rps (a domain), timeout, retries, partitions."""
+    """Options: urls (JSON list; for long ones use fetch_live), agent, rps (a domain), timeout, retries, partitions."""
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,25 +12,30 @@ from webweft.functions.sitemap import MOST_DEPTH, MOST_URLS, parsed
 from webweft.stored import Stored
 
 
-def sitemap_tree(files: DataFrame, roots: DataFrame, max_depth: int = MOST_DEPTH, max_urls: int | None = MOST_URLS) -> tuple[DataFrame, DataFrame]:
-    """(url, depth, parent, pos) of distinct page URLs, and (sitemap_url, error).
+def payloads_of(files: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """(url, payload) of the asked files (url) in a table of files; payload is null for those that it lacks."""
+    return lambda asked: asked.select("url").join(files.select("url", "payload"), "url", "left")
+
+
+def sitemap_tree(files: DataFrame | Callable[[DataFrame], DataFrame], roots: DataFrame, max_depth: int = MOST_DEPTH, max_urls: int | None = MOST_URLS) -> tuple[DataFrame, DataFrame]:
+    """(url, depth, parent, pos) of distinct page URLs, and (sitemap_url, error) with a null error for files that were read.
 
-    files: (url, payload). roots: (url, pos). A file that is missing or can't be read is an error and does
-    not stop the rest. Order is by level, then the parent's place, then the place in the file.
-    max_urls: the first so many URLs by that order; None for all.
+    files: a table (url, payload), or what answers (url) with (url, payload). roots: (url, pos). A file that is missing
+    or can't be read is an error and does not stop the rest. Order is by level, then the parent's place, then the place
+    in the file. max_urls: the first so many URLs by that order; None for all. Null roots take no part.
     """
-    level = roots.select("url", F.col("pos").cast("long").alias("parent")).groupBy("url").agg(F.min("parent").alias("parent"))
+    answer = files if callable(files) else payloads_of(files)
+    level = roots.where("url is not null").select("url", F.col("pos").cast("long").alias("parent")).groupBy("url").agg(F.min("parent").alias("parent"))
     seen = level.select("url")
-    found, errors = None, None
+    found, files_read = [], []
     for depth in range(max_depth + 1):
-        got = level.join(files.select("url", F.col("payload")), "url", "left").select("url", "parent", parsed(F.col("payload"), F.col("url")).alias("s"))
+        got = level.join(answer(level.select("url")), "url", "left").select("url", "parent", parsed(F.col("payload"), F.col("url")).alias("s"))
         got = Stored(got, "sitemaps").df
-        own = got.where("s.kind = 'urls'").select(F.lit(depth).alias("depth"), "parent", F.posexplode("s.locs").alias("pos", "url"))
-        bad = got.where("s.error is not null").select(F.col("url").alias("sitemap_url"), F.col("s.error").alias("error"))
-        found, errors = (own, bad) if found is None else (found.union(own), errors.union(bad))
+        found.append(got.where("s.kind = 'urls'").select(F.lit(depth).alias("depth"), "parent", F.posexplode("s.locs").alias("pos", "url")))
         children = got.where("s.kind = 'index'")
+        too_deep = F.when(F.col("s.kind") == "index", F.lit(f"more than {max_depth} levels of sitemaps")) if depth == max_depth else F.lit(None)
+        files_read.append(got.select(F.col("url").alias("sitemap_url"), F.coalesce("s.error", too_deep).alias("error")))
         if depth == max_depth:
-            errors = errors.union(children.select("url", F.lit(f"more than {max_depth} levels of sitemaps")))
             break
         inner = children.select(F.col("parent").alias("up"), F.posexplode("s.locs").alias("pos", "url")).join(seen, "url", "left_anti")
         nxt = inner.groupBy("url").agg(F.min(F.struct("up", "pos")).alias("at")).orderBy("at").select("url", F.monotonically_increasing_id().alias("parent"))
@@ -35,9 +43,15 @@ def sitemap_tree(files: DataFrame, roots: DataFrame, max_depth: int = MOST_DEPTH
         if level.isEmpty():
             break
         seen = seen.union(level.select("url"))
-    first = found.groupBy("url").agg(F.min(F.struct("depth", "parent", "pos")).alias("at"))
+    every = reduce(DataFrame.union, found)
+    first = every.groupBy("url").agg(F.min(F.struct("depth", "parent", "pos")).alias("at"))
     first = first if max_urls is None else first.orderBy("at").limit(max_urls)
-    return first.select("url", "at.*"), errors
+    return first.select("url", "at.*"), reduce(DataFrame.union, files_read)
+
+
+def sitemap_stats(files_read: DataFrame) -> DataFrame:
+    """One row: sitemaps that were fetched, and those that failed."""
+    return files_read.agg(F.count_if(F.col("error").isNull()).alias("fetched"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
 def sitemaps_of(robots: DataFrame) -> DataFrame:

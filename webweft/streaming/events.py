@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from webweft.operators.breaker import Breaker
+from webweft.operators.breaker import Breaker, Machine
 from webweft.stored import shared_dir
 
-STATE = "st string, res array<boolean>, op long, opened int, rejected int"
+STATE = "state string, results array<boolean>, opened_at long, opened int, rejected int, probes int"
 OUT = "domain string, state string, opened_times int, rejected int, failures int, calls int"
 
 
@@ -23,36 +23,16 @@ def stats(events: DataFrame, watermark: str = "10 minutes", window: str = "1 day
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window), "status").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.sum("size").alias("size"))
 
 
-def fold(b: Breaker, state: tuple, rows: list[tuple[int, bool | None]]) -> tuple:
-    """A breaker's state after more requests (us, ok) in order."""
-    st, res, op, opened, rejected = state
-    res = list(res)
-    for us, ok in rows:
-        if st == "open" and op + b.recovery_us - us > 0:
-            rejected += 1
-            continue
-        probe = st != "closed"
-        if ok is None:
-            st = "half_open" if probe else st
-        elif probe:
-            st, res, op, opened = ("closed", [], op, opened) if ok else ("open", res, us, opened + 1)
-        else:
-            res = (res + [ok])[-b.window :]
-            if not ok and len(res) >= b.min_calls and res.count(False) / len(res) >= b.failure_rate:
-                st, op, opened = "open", us, opened + 1
-    return st, res, op, opened, rejected
-
-
 def breakers(events: DataFrame, breaker: Breaker = Breaker()) -> DataFrame:
     """OUT rows: each domain's state after each batch, from a stream (domain, us, id, ok). State is a few values a domain."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("closed", [], 0, 0, 0)
+        m = Machine(breaker, *state.get) if state.exists else Machine(breaker)
         rows = pd.concat(parts).sort_values(["us", "id"])
-        now = fold(breaker, now, [(int(u), None if o is None else bool(o)) for u, o in zip(rows["us"], rows["ok"])])
-        state.update(now)
-        st, res, _, opened, rejected = now
-        yield pd.DataFrame([(key[0], st, opened, rejected, list(res).count(False), len(res))], columns=[c.split()[0] for c in OUT.split(", ")])
+        for us, ok in zip(rows["us"], rows["ok"]):
+            m.request(int(us), None if pd.isna(ok) else bool(ok))
+        state.update(m.values())
+        yield pd.DataFrame([(key[0], m.state, m.opened, m.rejected, m.failures, len(m.results))], columns=[c.split()[0] for c in OUT.split(", ")])
 
     return events.groupBy("domain").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
