@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from webweft.llm import ann, bpe, bytebpe, deleted_lm, graph, imatch, license_scan, line_dedup, packing, quality, simhash, suffix_dedup, transducer
+from webweft.llm import ann, bpe, bwt, bytebpe, deleted_lm, graph, imatch, license_scan, line_dedup, packing, quality, simhash, suffix_dedup, transducer
 
 DOCS = "doc_id long, text string, lang string, fp long, score string, doc string, rid string, spans int, component_id int, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30_000))
@@ -234,12 +234,39 @@ def test_suffix_dedup_hard_cases(spark):
     assert removal(spark.createDataFrame(data, "doc_id long, text string").repartition(5), many=1) == slow_removal(data)
 
 
-def test_merge_is_exact():
+@pytest.mark.parametrize("shard", [40, 170, 700, bwt.SHARD])
+def test_merged_transforms(shard):
+    """The transform of a shard by sorted suffixes, and repeated intervals of merged ones by counting strings."""
+    rng = random.Random(shard)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) + rng.choice([b"", b"passage that is there again", b"passage that is there"]) + bytes(rng.choice(b"abcd") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    depth = 5
+    sizes = np.array([len(t) for t in texts])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    start = np.cumsum(sizes) - sizes
+    begin = np.array([a + k for a, t in zip(start, texts) for k in range(len(t) - 4 * depth + 1)])
+    place, block = bwt.repeated(data, sizes, begin, depth, shard)
+    got = {}
+    for p, b in zip(place.tolist(), block.tolist()):
+        got.setdefault(b, set()).add(p)
+    want = {}
+    for p in begin.tolist():
+        want.setdefault(data[p : p + 4 * depth].tobytes(), set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    one = data[: min(len(data), 300)]
+    sym = bwt.symbols(one)
+    t = bwt.transform(sym, 200)
+    suffix = lambda i: tuple(sym[i::4].tolist())
+    assert [suffix(i) for i in t.order] == sorted(map(suffix, range(len(one))))
+    assert all(t.before[k] == sym[i - 4] and t.order[t.back[k]] == i - 4 for k, i in enumerate(t.order) if i >= 4)
+
+
+@pytest.mark.parametrize("shard", [400, 1_700, bwt.SHARD])
+def test_merge_is_exact(shard):
     rng = random.Random(4)
     base = bytes(rng.choice(b"abc") for _ in range(164))
     contexts = [bytes(c if rng.random() > 0.01 else 100 for c in base) for _ in range(30)]
     doc, rid, lo = np.arange(30), np.zeros(30, int), np.zeros(30, int)
-    seg, a, b = suffix_dedup.repeated_spans(contexts, doc, rid, lo)
+    seg, a, b = suffix_dedup.repeated_spans(contexts, doc, rid, lo, shard=shard)
     got = [bytearray(164) for _ in contexts]
     for s, x, y in zip(seg.tolist(), a.tolist(), b.tolist()):
         got[s][x:y] = b"\1" * (y - x)
@@ -253,6 +280,33 @@ def test_merge_is_exact():
         assert g == want
 
 
+def test_anchors_share_out_the_windows():
+    """Each string of 100 bytes is in one context, and equal strings have equal anchors."""
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab") for _ in range(700)), b"a" * 350, b"x" * 99, b"", b"ab" * 90, bytes(rng.randrange(256) for _ in range(1_500)), b"q" * 100]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    for piece in suffix_dedup.PIECES:
+        at, h, c, c2, lo, hi = suffix_dedup.anchors(data, ends, piece=piece)
+        windows = [p for a, z in zip(lo, hi) for p in range(a, z - 99)]
+        assert sorted(windows) == [e - len(t) + k for t, e in zip(texts, ends) for k in range(len(t) - 99)]
+        of = {}
+        for k, (i, a, z) in enumerate(zip(at, lo, hi)):
+            assert a <= i and i + piece <= a + 100 and i >= z - 100 and i - a < 128 and z - i < 128
+            for p in range(a, z - 99):
+                assert of.setdefault(data[p : p + 100].tobytes(), h[k]) == h[k]
+        by = {}
+        for k in range(len(at)):
+            assert by.setdefault((h[k], c[k], c2[k]), data[lo[k] : hi[k]].tobytes()) == data[lo[k] : hi[k]].tobytes()
+
+
+def test_least_id_and_null_are_apart(spark):
+    text = "one text of more than a hundred bytes that stands in several documents, of which some have no id at all and one has the least"
+    df = spark.createDataFrame([(-(1 << 63), text), (None, text), (5, text), (6, "short")], "doc_id long, text string")
+    got = sorted(((r.doc_id is None, r.doc_id, len(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect()), key=str)
+    assert [g[1] for g in got if not g[0]] == [-(1 << 63), 5, 6] and sum(g[2] > 50 for g in got) == 1
+    assert suffix_dedup.without_repeats(df.withColumn("n_chars", F.length("text"))).count() == 4
+
+
 def test_suffix_edges(edge, empty):
     got = suffix_dedup.suffix_dedup(edge).collect()
     assert len(got) == edge.count() and {r.n_bytes for r in got if r.doc_id in (3, 4)} == {0}

@@ -1,17 +1,14 @@
-"""Removal of repeated long strings, by anchors and radix passes over the windows around them.
+"""Removal of repeated long strings, by anchors and merged Burrows-Wheeler transforms of what lies around them.
 
-A string of `length` bytes is covered by windows; in each, the k-byte piece with the least hash is
-its anchor, which depends on the string alone. So equal strings have equal anchors, and only
-occurrences of an anchor that is there more than once need be compared (no hash decides: it only
-says which pieces meet). Around an anchor lies its context: all strings that hold it.
+A string of `length` bytes is a window; the k-byte piece in it with the least hash, the first of equal ones, is
+its anchor, which depends on the string alone. So equal strings have equal anchors, and only occurrences of an
+anchor that is there more than once need be compared (no hash decides: it only says which pieces meet).
+An anchor's context are the windows that it is the anchor of, which lie in a row.
 
 Contexts that are equal (128 bits of two independent hashes) need no sorting: all but the first
-are repeats throughout. What remains are anchors in differing contexts. All their windows of
-`length` bytes are grouped by radix passes from the last symbol to the first: in each, a stable
-sort by the symbol before orders them by one symbol more, and blocks of one window drop out.
-The blocks that are left after the last pass are the repeated strings. This stands in for a merge
-of the shards' Burrows-Wheeler transforms (Holt and McMillan 2014), whose rounds distribute
-likewise: no transform is built here, since equality of strings of one length needs no suffix order.
+are repeats throughout. What remains are anchors in differing contexts. Contexts that meet are dealt
+to shards by document, each shard's Burrows-Wheeler transform is built, and the transforms are merged by
+refining their interleave (see bwt.py): the intervals that are left after `length` bytes are the repeated strings.
 """
 
 from __future__ import annotations
@@ -24,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webweft.llm import bwt
 from webweft.llm.common import Stored, keyed_text, read, release_shuffles
 
 LENGTH = 100
@@ -31,8 +29,6 @@ LENGTH = 100
 #: an anchor is a whole string, so that equal contexts are all there is and nothing is left to merge.
 PIECES = (36, 84, 100)
 MANY = 32_768
-#: Bytes of a symbol in the merge; divides LENGTH.
-STRIDE = 4
 #: Bytes of text that a worker takes at once, and anchors that it combines before it sends them.
 BYTES = 256_000
 COMBINE = 300_000
@@ -78,9 +74,9 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int = PIECES[0]) -> tuple[np.ndarray, ...]:
-    """(at, anchor hash, context hash, context start, context end) in texts laid end to end, each up to its end."""
+    """(at, anchor hash, two context hashes, context start, context end) in texts laid end to end, each up to its end."""
     n, w = len(data), length - piece + 1
-    none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     if n < length:
         return none
     size = np.diff(ends, prepend=0)
@@ -97,15 +93,23 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, piece: int
     at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), w, np.maximum)[: len(h)] == h) & (h != _MAX))
     if not len(at):
         return none
-    lo = np.maximum(at + piece - length, (end - np.repeat(size, size))[at])
-    hi = np.minimum(at + length, end[at])
-    context = _mix((s1[hi] - s1[lo]) * _power(1, n + 1)[1][lo]) ^ _mix(((at - lo) << 20 | (hi - at)).astype(np.uint64))
-    return at, h[at], context, lo, hi
+    # the first window of each: one with a lesser hash takes over when it comes in sight, another when the one before goes out
+    begin = (end - np.repeat(size, size))[at]
+    lesser = np.append(False, h[at[1:]] < h[at[:-1]])
+    start = np.where(lesser, at - w + 1, np.append(0, at[:-1] + 1))
+    start = np.where(np.append(True, begin[1:] != begin[:-1]), begin, np.maximum(start, begin))
+    after = np.append(np.minimum.accumulate(start[::-1])[::-1][1:], n)
+    stop = np.minimum(after, end[at] - length + 1)
+    owns = start < stop
+    at, lo, hi = at[owns], start[owns], stop[owns] - 1 + length
+    shape = _mix(((at - lo) << 20 | (hi - at)).astype(np.uint64))
+    c, c2 = (_mix((s[hi] - s[lo]) * _power(k, n + 1)[1][lo]) ^ shape for k, s in ((1, s1), (0, s0)))
+    return at, h[at], c, c2, lo, hi
 
 
 #: An anchor on its way: place holds where it starts, how far its context reaches to the left and right and, as the
 #: last bit, that the context is known to repeat an earlier one.
-_ANCHOR = "h long, c long, doc long, rid long, place long"
+_ANCHOR = "h long, c long, c2 long, doc long, rid long, place long"
 _ROW = "kind int, h long, doc long, rid long, lo int, hi int"
 
 
@@ -137,27 +141,27 @@ def _find_in(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.Recor
     size = 0
 
     def combine() -> Iterator[pa.RecordBatch]:
-        h, c, doc, rid, place = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((place, rid, doc, c, h))
-        h, c, doc, rid, place = (x[order] for x in (h, c, doc, rid, place))
-        again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]))[: len(h)]
+        h, c, c2, doc, rid, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, rid, doc, c2, c, h))
+        h, c, c2, doc, rid, place = (x[order] for x in (h, c, c2, doc, rid, place))
+        again = np.append(False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (c2[1:] == c2[:-1]))[: len(h)]
         # a text that is there twice under one id is one document
         twin = np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))[: len(h)] & again
         h = np.where(again, _mix((doc ^ place << 5).view(np.uint64)).view(np.int64), h)
-        c, place = np.where(again, 0, c), place | again
+        c, c2, place = np.where(again, 0, c), np.where(again, 0, c2), place | again
         for k in range(0, len(h), 100_000):
             keep = ~twin[k : k + 100_000]
-            yield _batch(_ANCHOR, *(x[k : k + 100_000][keep] for x in (h, c, doc, rid, place)))
+            yield _batch(_ANCHOR, *(x[k : k + 100_000][keep] for x in (h, c, c2, doc, rid, place)))
 
     def take(raw: list[bytes], docs: list[int], rids: list[int], los: list[int]) -> None:
         nonlocal size
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(r) for r in raw])
-        at, h, c, lo, hi = anchors(data, ends, piece=piece)
+        at, h, c, c2, lo, hi = anchors(data, ends, piece=piece)
         of = np.searchsorted(ends, at, side="right")
         start = (ends - np.array([len(r) for r in raw]) - np.array(los))[of]
         place = (at - start) << 15 | (at - lo) << 8 | (hi - at) << 1
-        held.append((h.view(np.int64), c.view(np.int64), np.array(docs, np.int64)[of], np.array(rids, np.int64)[of], place))
+        held.append((h.view(np.int64), c.view(np.int64), c2.view(np.int64), np.array(docs, np.int64)[of], np.array(rids, np.int64)[of], place))
         size += len(at)
 
     for b in batches:
@@ -190,21 +194,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch(_ROW, kind, h, doc, rid, *_span(place))
 
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(5)]
-        known = cols[4] & 1 == 1
+        cols = [b.column(i).to_numpy() for i in range(6)]
+        known = cols[5] & 1 == 1
         if known.any():
-            h, _, doc, rid, place = (x[known] for x in cols)
+            h, _, _, doc, rid, place = (x[known] for x in cols)
             yield rows(1, h, doc, rid, place)
             cols = [x[~known] for x in cols]
         if not len(cols[0]):
             continue
         if last is not None:
             cols = [np.append(x, y) for x, y in zip(last, cols)]
-        h, c, doc, rid, place = cols
+        h, c, c2, doc, rid, place = cols
         own = np.ones(len(h), bool)
         own[0] = last is None
         same_h = np.append(False, h[1:] == h[:-1])
-        same_c = same_h & np.append(False, c[1:] == c[:-1])
+        same_c = same_h & np.append(False, (c[1:] == c[:-1]) & (c2[1:] == c2[:-1]))
         twin = same_c & np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))
         r = same_c & ~twin & own
         if r.any():
@@ -216,7 +220,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shows = np.bincount(group[new_c], minlength=len(first)) > 0
         shows[0] |= several and last is not None
         if last is not None and shows[0] and pending is not None:
-            ph, _, pdoc, prid, pplace = (np.array([x]) for x in pending)
+            ph, _, _, pdoc, prid, pplace = (np.array([x]) for x in pending)
             yield rows(0, ph, pdoc, prid, pplace)
             pending = None
         send = (new_c | (~same_h & shows[group])) & own
@@ -250,45 +254,24 @@ def _contexts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=_CONTEXT_NAMES)
 
 
-def refine(sym: np.ndarray, order: np.ndarray, steps: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Radix passes: positions and blocks of those whose next steps * stride bytes occur again.
-
-    order: places at which a string of steps symbols ends.
-    sym: the symbol that starts at each place of the texts. Blocks of one suffix drop out.
-    """
-    block = np.zeros(len(order), dtype=np.int64)
-    for _ in range(steps):
-        order = order - stride
-        c = sym[order]
-        k = np.argsort(c, kind="stable")
-        order, c, block = order[k], c[k], block[k]
-        border = np.append(True, (c[1:] != c[:-1]) | (block[1:] != block[:-1]))[: len(order)]
-        keep = ~(border & np.append(border[1:], True)[: len(order)])
-        block = np.cumsum(border)[keep]
-        order = order[keep]
-        if not len(order):
-            break
-    return order, block
-
-
-def repeated_spans(contexts: list[bytes], doc: np.ndarray, rid: np.ndarray, lo: np.ndarray, length: int = LENGTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_spans(contexts: list[bytes], doc: np.ndarray, rid: np.ndarray, lo: np.ndarray, length: int = LENGTH, shard: int = bwt.SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index, start, end): spans of the contexts that are covered by strings which start earlier elsewhere among them."""
     size = np.array([len(c) for c in contexts])
-    data = np.frombuffer(b"".join(contexts) + bytes(stride), np.uint8).astype(np.uint32)
-    words = sum(data[i : len(data) - stride + i] << np.uint32(8 * i) for i in range(stride))
-    letters, sym = np.unique(words, return_inverse=True)
-    sym = sym.astype(np.uint16 if len(letters) <= 1 << 16 else np.uint32)
+    # shards are of documents in a row
+    dealt = np.lexsort((lo, rid, doc))
+    data = np.frombuffer(b"".join([contexts[k] for k in dealt.tolist()]), np.uint8)
+    size, doc, rid, lo = size[dealt], doc[dealt], rid[dealt], lo[dealt]
     start = np.cumsum(size) - size
     many = np.maximum(size - length + 1, 0)
-    of = np.repeat(np.arange(len(size)), many)
-    begin = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + start[of]
-    order, block = refine(sym, begin + length, length // stride, stride)
+    begin = np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)
+    order, block = bwt.repeated(data, size, begin, length // bwt.STRIDE, shard)
     empty = np.zeros(0, dtype=np.int64)
     if not len(order):
         return empty, empty, empty
     seg = np.searchsorted(start, order, side="right") - 1
-    rank = np.unique(np.stack([doc, rid], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-    place = rank[seg].astype(np.int64) << 32 | (order - start[seg] + lo[seg])
+    # contexts lie by document, so a number for each document is one that counts up
+    number = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])))
+    place = number[seg].astype(np.int64) << 32 | (order - start[seg] + lo[seg])
     first = np.flatnonzero(np.diff(block, prepend=-1))
     least = np.repeat(np.minimum.reduceat(place, first), np.diff(np.append(first, len(block))))
     late = np.flatnonzero(place > least)
@@ -299,7 +282,7 @@ def repeated_spans(contexts: list[bytes], doc: np.ndarray, rid: np.ndarray, lo:
     new = np.append(True, p[1:] > p[:-1] + length)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(p)) - 1
-    return seg[by[at]], p[at] & 0xFFFFFFFF, (p[last] & 0xFFFFFFFF) + length
+    return dealt[seg[by[at]]], p[at] & 0xFFFFFFFF, (p[last] & 0xFFFFFFFF) + length
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,16 +320,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, rid, text). rid is 0 where ids are unique, else a hash of the text. A null id comes first."""
-    rows = keyed_text(docs, id_col, text_col)
-    clash = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), (F.xxhash64("text") if clash else F.lit(0).cast("long")).alias("rid"), "text")
+    """(doc_id, doc, rid, text). rid is 0 where ids are unique, else a hash of the text. A null id comes first."""
+    rows = keyed_text(docs, id_col, text_col).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    clash = not rows.groupBy("doc").count().where("count > 1").isEmpty()
+    return rows.select("doc_id", "doc", (F.xxhash64("text", F.col("doc_id").isNull()) if clash else F.lit(0).cast("long")).alias("rid"), "text")
 
 
 def _anchored(rows: DataFrame, piece: int) -> Stored:
     """Anchors of rows (doc, rid, lo, text) that meet: repeats (kind 1), and first contexts that differ (kind 0)."""
     found = rows.select("doc", "rid", "lo", "text").mapInArrow(_find(piece), _ANCHOR)
-    met = found.repartition("h").sortWithinPartitions("h", "c", "doc", "rid", "place").mapInArrow(_meet, _ROW)
+    met = found.repartition("h").sortWithinPartitions("h", "c", "c2", "doc", "rid", "place").mapInArrow(_meet, _ROW)
     met = Stored(met, "met")
     release_shuffles(rows.sparkSession)
     return met
@@ -361,7 +344,7 @@ def _merged(contexts: DataFrame) -> Stored:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> tuple[DataFrame, DataFrame]:
-    """(doc, rid, text) and (doc, rid, spans array<struct<lo, hi>>): bytes of each document to remove, unmerged."""
+    """(doc_id, doc, rid, text) and (doc, rid, spans array<struct<lo, hi>>): bytes of each document to remove, unmerged."""
     spark = docs.sparkSession
     rows = _keyed(docs, id_col, text_col)
     found = rows.withColumn("lo", F.lit(0))
@@ -414,20 +397,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sizes, gone, left = [], [], [], []
-            for doc, text, spans, n in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, spans, n in zip(*(c.to_pylist() for c in b.columns)):
                 raw = text.encode("utf-8", "surrogatepass")
                 cut = merged([(s["lo"], s["hi"]) for s in spans or ()])
                 if n > 1 and len(raw) >= LENGTH:
                     cut = [(0, len(raw))]
                 edges = [0, *(x for s in cut for x in s), len(raw)]
-                ids.append(None if doc == -(1 << 63) else doc)
+                ids.append(doc_id)
                 sizes.append(len(raw))
                 gone.append([{"lo": lo, "hi": hi} for lo, hi in cut])
                 left.append(b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2])))
             kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return joined.select("doc", "text", "spans", "n").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
+    return joined.select("doc_id", "text", "spans", "n").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
 
 
 def whole_characters(text: str, cut: list[tuple[int, int]]) -> str:
@@ -457,7 +440,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cleaned(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else whole_characters(t, merged(list(zip(a.tolist(), z.tolist())))) for t, a, z in zip(text, lo, hi)], dtype=object)
 
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("__m.doc"), (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if clash else F.lit(0)) == F.col("__m.rid")]
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("__m.doc"), (F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull()) if clash else F.lit(0)) == F.col("__m.rid")]
     marks = marks.select(F.struct("doc", "rid", F.transform("spans", lambda s: s["lo"]).alias("lo"), F.transform("spans", lambda s: s["hi"]).alias("hi")).alias("__m"))
     out = docs.join(marks, key[0] & key[1] if clash else key[0], "left")
     new = F.when(F.col("__m").isNull(), F.col(text_col)).otherwise(cleaned(F.coalesce(F.col(text_col), F.lit("")), F.col("__m.lo"), F.col("__m.hi")))
