@@ -537,17 +537,7 @@ def test_packed_hashes():
 # --- nearest neighbours ---
 
 
-def test_ann(spark, sf):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    data = e.select("vec_id", "embedding").collect()
-    x = np.array([r.embedding for r in data], dtype=float)
-    ids = np.array([r.vec_id for r in data])
-    old = ann.PILOT
-    ann.PILOT = 200  # else all rows here would be pilots
-    try:
-        got = ann.nearest_neighbours(e, F.col("id") % 20 == 0).collect()
-    finally:
-        ann.PILOT = old
+def recall(spark, x, ids, got, k=20):
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append(r)
@@ -555,14 +545,39 @@ def test_ann(spark, sf):
     for q in ids[ids % 20 == 0].tolist():
         s = x @ x[ids == q][0]
         s[ids == q] = -9
-        best = ids[np.lexsort((ids, -s))[:20]].tolist()
+        best = ids[np.lexsort((ids, -s))[:k]].tolist()
         own = sorted(by[q], key=lambda r: r.rank)
-        assert [r.rank for r in own] == list(range(1, 21)) and len({r.vec_id for r in own}) == 20
+        assert [r.rank for r in own] == list(range(1, k + 1)) and len({r.vec_id for r in own}) == k
         assert all(r.score == pytest.approx(s[ids == r.vec_id][0], abs=1e-12) for r in own)
         assert own == sorted(own, key=lambda r: (-r.score, r.vec_id))
         hits += len(set(best) & {r.vec_id for r in own})
-        total += 20
-    assert hits / total >= 0.9
+        total += k
+    return hits / total
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_ann(spark, sf, table):
+    e = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    data = e.select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in data], dtype=float)
+    ids = np.array([r.vec_id for r in data])
+    assert recall(spark, x, ids, ann.nearest_neighbours(e, F.col("id") % 20 == 0).collect()) >= 0.9
+
+
+def test_ann_in_many_cells(spark, monkeypatch):
+    """Clustered vectors of differing length; lists in parts, several blocks of queries, few lists probed."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 24)) * 2
+    x = centres[rng.integers(0, 30, 6_000)] + rng.standard_normal((6_000, 24)) * 0.6
+    x[:1_500] = centres[0] + rng.standard_normal((1_500, 24)) * 0.05
+    ids = rng.permutation(6_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(8)
+    monkeypatch.setattr(ann, "GROUP_VECTORS", 1_024)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 100)
+    assert recall(spark, x, ids, ann.nearest_neighbours(df, F.col("id") % 20 == 0, least_probes=4).collect()) >= 0.9
+    # lists that hold fewer than k: such a query looks through all of them
+    got = ann.nearest_neighbours(df.where("vec_id < 90"), F.col("id") % 20 == 0, k=60, target=0.0, least_probes=1).collect()
+    assert recall(spark, x[ids < 90], ids[ids < 90], got, 60) >= 0.9
 
 
 def test_ann_edges(spark):
@@ -577,13 +592,80 @@ def test_ann_edges(spark):
 # --- I-Match ---
 
 
-def test_imatch(spark, docs, edge, empty):
-    got = imatch.imatch_fingerprints(docs).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.text, set()).add(tuple(r.fp))
-    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) >= 0.95 * len(by)
-    assert imatch.imatch_fingerprints(edge).count() == edge.count() and imatch.imatch_fingerprints(empty).count() == 0
+def slow_imatch(texts, common=imatch.COMMON, rare=imatch.RARE):
+    """Fingerprints of texts, by document frequencies in a counter and sets of terms."""
+    import struct
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def terms(t):
+        return {signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", t.lower()) if w}
+
+    def digest(hs):
+        h = 42
+        for x in sorted(hs):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=h)
+        return signed(h) ^ 42
+
+    sets = [terms(t) for t in texts]
+    df = Counter(h for s in sets for h in s)
+    n = len(texts)
+    band = {h for h, k in df.items() if max(2, rare * n) <= k <= max(2, common * n)}
+    bits = min(max(imatch.BITS[0], len(band).bit_length() + imatch.SLACK), imatch.BITS[1])
+    slots = {h & ((1 << bits) - 1) for h in band}
+    out = []
+    for s in sets:
+        lex = {h for h in s if h & ((1 << bits) - 1) in slots}
+        out.append([digest(lex or s), *(digest({h for h in lex if h & m == m}) & 0xFFFFFF for m in imatch.masks()[1:])])
+    return out, band, df
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    best, at = 0.0, 0
+    for _, n in imatch.DENSITIES:
+        filled = [(x, y) for x, y in zip(a[at : at + n], b[at : at + n]) if x or y]
+        if len(filled) >= imatch.LEAST_FILLED:
+            best = max(best, sum(x == y for x, y in filled) / len(filled))
+        at += n
+    return best
+
+
+def test_imatch(spark, docs, rows, edge, empty):
+    want, band, df = slow_imatch([t or "" for _, t in rows])
+    assert 0 < len(band) < len(df)
+    got = {r.doc_id: list(r.fp) for r in imatch.imatch_fingerprints(docs).collect()}
+    assert got == {i: fp for (i, _), fp in zip(rows, want)}
+    texts = [r.text or "" for r in edge.collect()]
+    want, _, _ = slow_imatch(texts)
+    got = imatch.imatch_fingerprints(edge).collect()
+    assert sorted((r.text, list(r.fp)) for r in got) == sorted((t, fp) for t, fp in zip(texts, want)) and imatch.imatch_fingerprints(empty).count() == 0
+    assert all(not any(r.fp) for r in got if not r.text.strip())
+
+
+def test_likeness(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(200):
+        a = [rng.randrange(3) for _ in range(sum(n for _, n in imatch.DENSITIES))]
+        pairs.append((a, [x if rng.random() < 0.6 else rng.randrange(3) for x in a]))
+    pairs.append((pairs[0][0], pairs[0][0]))
+    got = [r[0] for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").coalesce(1).select(imatch.likeness(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([slow_likeness(a, b) for a, b in pairs])
+
+
+def test_ranges(spark, monkeypatch):
+    ids = sorted(random.Random(1).sample(range(-(10**12), 10**12), 3_000))
+    rows = spark.createDataFrame([(i,) for i in ids], "__id long").repartition(5)
+    monkeypatch.setattr(imatch, "COARSE", 8)
+    cuts = imatch._cuts(rows, 60)
+    assert 40 <= len(cuts) <= 64
+    got = {r["__id"]: r.k for r in rows.select("__id", imatch._range_of(F.col("__id"), cuts).alias("k")).collect()}
+    assert got == {i: sum(c < i for c in cuts) for i in ids} and max(Counter(got.values()).values()) < 150
 
 
 def test_next_rows(spark, edge):
@@ -593,6 +675,7 @@ def test_next_rows(spark, edge):
     try:
         got = {r.doc_id: r.next_text for r in imatch.with_next(df, ["text"]).collect()}
         ties = imatch.with_next(edge.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
+        assert imatch.with_next(df.limit(0), ["text"]).count() == 0
     finally:
         imatch.RANGE_DOCS = old
     assert got == {i: f"t{(i + 3) % 900}" for i, _ in rows}
@@ -602,10 +685,15 @@ def test_next_rows(spark, edge):
 
 def test_imatch_query(spark, sf, rows):
     got = {r.doc_id: r for r in imatch.op6_imatch_fingerprints(spark, sf).collect()}
+    texts = [t or "" for _, t in rows]
+    fps, band, _ = slow_imatch(texts)
+    show = lambda fp: f"{fp[0] & 0xFFFFFFFFFFFFFFFF:016x}" + "".join(f"{x:06x}" for x in fp[1:])
     for k, (i, t) in enumerate(rows):
-        nxt = rows[(k + 1) % len(rows)][1]
+        nxt = (k + 1) % len(rows)
         h = len(t) // 2
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - h] + texts[nxt][:h]).encode()).hexdigest()
+        assert got[i].fingerprint == show(fps[k]) and got[i].near_next == pytest.approx(slow_likeness(fps[k], fps[nxt]))
+        assert got[i].near_edited == 1.0 or got[i].fingerprint != got[i].edited_fingerprint
     assert np.mean([r.near_edited for r in got.values()]) > 10 * np.mean([r.near_next for r in got.values()])
 
 
