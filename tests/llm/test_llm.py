@@ -121,8 +121,10 @@ def test_bitsliced_distances(radius):
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
-@pytest.mark.parametrize("cap", [4096, 16])
-def test_near_duplicate_texts(spark, cap):
+@pytest.mark.parametrize("cap, small", [(4096, 256), (4096, 4), (16, 256), (16, 4)])
+def test_near_duplicate_texts(spark, cap, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    monkeypatch.setattr(simhash, "LEADERS", 3)
     rng = random.Random(1)
     words = [f"w{i}" for i in range(3000)]
     texts = []
@@ -169,6 +171,38 @@ def test_near_duplicates_with_heavily_repeated_lines(spark):
     assert [i for i in pairs if got[i + 1] != i] == []
 
 
+def test_null_ids_take_part(spark):
+    """A text whose rows have no id at all links the texts on both sides of it."""
+    words = [f"w{i}" for i in range(110)]
+    texts = [" ".join(words), " ".join(words[:-12] + ["x"] * 12), " ".join(words[:-18] + ["y"] * 6 + ["x"] * 12)]
+    df = spark.createDataFrame([(7, texts[0]), (None, texts[1]), (None, texts[1]), (9, texts[2]), (None, "alone in its group with no id")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id) for r in simhash.near_duplicate_texts(df).collect()), key=str)
+    assert got == sorted([(7, 7), (0, 7), (0, 7), (9, 7), (0, None)], key=str)
+
+
+def test_similarity_of_large_sets(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, 300, dtype=np.uint64)) for _ in range(20)]
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(20), np.arange(20)))
+    want = [len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert simhash.Sets(sets).similarity(a, b).tolist() == pytest.approx(want)
+    monkeypatch.setattr(simhash.Sets, "MOST_WORDS", 1)
+    assert simhash.Sets(sets).similarity(a, b).tolist() == pytest.approx(want)
+
+
+def test_a_chain_in_a_crowded_bucket(spark):
+    """Texts that differ step by step, each like the next alone, in buckets that are dealt in parts: one group."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([f"c{k}x{i}" if i < 4 * (k % 25) + 4 and i >= 4 * (k % 25) - 4 else base[i] for i in range(200)]) for k in range(50)]
+    data = list(enumerate(texts))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in data}
+    links = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    root = graph.local_roots(50, np.array([i for i, _ in links], int), np.array([j for _, j in links], int))
+    for cap in (4096, 6):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicate_texts(spark.createDataFrame(data, "doc_id long, text string"), cap=cap).collect()}
+        assert got == {i: int(root[i]) for i in sets}
+
+
 def test_simhash_edges(edge, empty):
     got = simhash.near_duplicates(edge).collect()
     assert len(got) == edge.count() and {r.component_id for r in got if r.doc_id in (3, 4, 5)} == {3}
@@ -449,6 +483,37 @@ def test_quality_held_out(spark, edge, empty):
     assert {r.score for r in quality.quality_scores(edge, none).collect()} == {0.5}
 
 
+def test_quality_query(spark, sf, docs, rows):
+    """The query's rows by one document after another; the model by plain descent on the pairs' logistic loss."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    own = [(i, t) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([quality.features(t) for _, t in own]), np.array([labels[i] for i, _ in own])
+    order = np.lexsort((*x.T, y))
+    model = quality.fit_pairs(x[order], y[order])
+    got = {r.doc_id: r for r in quality.op4_quality_classifier(spark, sf).collect()}
+    for i, t in rows:
+        score = float(model.score(np.array([quality.features(t)]))[0])
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].predicted == (score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    good, bad = np.flatnonzero(y[order] == 1), np.flatnonzero(y[order] == 0)
+    z = (x[order] - model.mean) / model.scale
+    rng = np.random.default_rng(7)
+    diff = z[rng.choice(good, quality.PAIRS)] - z[rng.choice(bad, quality.PAIRS)]
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).mean() + 0.5e-3 * w @ w
+    best = loss(model.weights)
+    for k in range(len(model.weights)):
+        for step in (-1e-3, 1e-3):
+            assert loss(model.weights + step * np.eye(len(model.weights))[k]) >= best
+    below = np.mean(z @ model.weights < model.threshold)
+    assert below == pytest.approx(np.mean(y == 0), abs=1 / len(y))
+
+
+def test_training_takes_one_text_for_an_id(spark):
+    docs = spark.createDataFrame([(1, f"many words of one id {k}") for k in range(50)] + [(2, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, 5), (1, 1)], "doc_id long, quality int")
+    a, b = quality.train(docs, labels), quality.train(docs.repartition(7), labels)
+    assert (a.weights == b.weights).all() and a.threshold == b.threshold and (a.mean == b.mean).all()
+
+
 def test_bradley_terry_orders():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 3))
@@ -525,6 +590,15 @@ def test_lm_edges(edge, empty):
     assert {r.train_tokens for r in alone} == {0} and all(math.isfinite(r.score) for r in alone)
 
 
+def test_large_slices_are_added_up_in_ranges(monkeypatch):
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 63, 500, dtype=np.uint64)[rng.integers(0, 500, 3_000)]
+    monkeypatch.setattr(deleted_lm, "RANGE", 400)
+    parts = [np.arange(len(h))[own] for own in deleted_lm._ranges(h)]
+    assert len(parts) == 8 and sorted(np.concatenate(parts).tolist()) == list(range(3_000))
+    assert sum(len(set(h[p].tolist())) for p in parts) == len(set(h.tolist()))
+
+
 def test_packed_hashes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 8, 300):

@@ -52,9 +52,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in slices(batches):
         coded = bytebpe.cut(texts)[0].dictionary_encode()
         n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-        often = n > 1
-        seen.update(dict(zip(coded.dictionary.filter(pa.array(often)).to_pylist(), n[often].tolist())))
-        least = 2
+        seen.update(dict(zip(coded.dictionary.to_pylist(), n.tolist())))
+        least = 1
         while len(seen) > COUNT_WORDS:
             least *= 2
             seen = Counter({w: n for w, n in seen.items() if n >= least})
@@ -115,8 +114,8 @@ def _round_trip(path: str, lexicon: str | None, decode: bool):
 
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS, decode: bool = False) -> DataFrame:
     """(doc_id, ids array<int>[, decoded string]): one row per input row, ids as the tokenizers library gives
-    them without special tokens added. Null text is empty and has no ids; repeated rows stay repeated;
-    a special token's string in a text is that token. Empty in, empty out.
+    them without special tokens added. Null text is empty and has no ids; null ids stay null, repeated rows stay
+    repeated; a special token's string in a text is that token. Empty in, empty out.
     """
     path = path or default_path()
     lexicon = build_lexicon(docs, path, id_col, text_col, words)

@@ -29,12 +29,17 @@ BUCKETS = 40
 #: Half powers of two that probabilities are binned by for the weights; 0 has a bin of its own.
 BINS = 96
 ROUNDS = 60
+#: Hashes that a slice has about; least and most slices are 2**SLICE_BITS. Beyond 2**36 pairs (of about a terabyte of
+#: text) slices grow with the input, as a block's slices would hold no more than a pair each.
+SLICE, SLICE_BITS = 1 << 18, (8, 18)
+#: Hashes that are added up at once.
+RANGE = 1 << 21
 #: The end of a text. No word has a space.
 END = b" "
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PART = "block long, kind int, slice int, data binary"
-_BLOCK = "block long, ids binary, null_ids binary, sizes binary, learn binary, tokens binary, words binary"
+_BLOCK = "block long, n_pairs long, ids binary, null_ids binary, sizes binary, learn binary, tokens binary, words binary"
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,7 +135,7 @@ def _store():
             null = np.array([i is None for i in block.ids])
             ids = np.array([i or 0 for i in block.ids], dtype=np.int64)
             row = [ids.tobytes(), null.tobytes(), block.sizes.tobytes(), block.learn.tobytes(), _squeeze(block.tokens), block.words.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([len(block.pair_keys)], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     return run
 
@@ -186,13 +191,18 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = [len(h) for h, _ in parts]
         h = np.concatenate([h for h, _ in parts])
         c = np.concatenate([c for _, c in parts])
-        _, at = np.unique(h, return_inverse=True)
-        total = np.bincount(at, weights=c).astype(np.int64)
-        back = total[at].astype("<i8")
+        back = np.empty(len(h), dtype="<i8")
+        distinct = tokens = 0
+        # a slice of very many hashes is added up range by range
+        for own in _ranges(h):
+            _, at = np.unique(h[own], return_inverse=True)
+            total = np.bincount(at, weights=c[own]).astype(np.int64)
+            back[own] = total[at]
+            distinct, tokens = distinct + int((total > 0).sum()), tokens + int(total.sum())
         cuts = np.cumsum([0, *size])
         out = [(r[0], r[1], r[2], _narrow(back[a:b])) for r, a, b in zip(rows, cuts, cuts[1:])]
         if rows[0][1] == 0:
-            out.append((-1, 0, rows[0][2], np.array([(total > 0).sum(), total.sum()], dtype="<i8").tobytes()))
+            out.append((-1, 0, rows[0][2], np.array([distinct, tokens], dtype="<i8").tobytes()))
         cols = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["block", "kind", "slice", "data"])
 
@@ -207,6 +217,18 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
+def _ranges(h: np.ndarray) -> Iterator[np.ndarray | slice]:
+    """Where a slice's hashes lie, of which all equal ones come together, about RANGE at a time."""
+    n = -(-len(h) // RANGE)
+    if n <= 1:
+        yield slice(None)
+        return
+    # low bits: the high ones number the slice and are its own
+    of = (h & np.uint64(0xFFFFFFFF)) % np.uint64(n)
+    order = np.argsort(of, kind="stable")
+    yield from np.split(order, np.cumsum(np.bincount(of.astype(np.int64), minlength=n))[:-1])
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Counts in as few bytes as their largest needs; the first byte tells how many."""
     top = int(x.max(initial=0))
@@ -232,7 +254,7 @@ def _assemble(bits: int):
                 c[order] = got
                 out.append(_narrow(c))
             names = [x.split()[0] for x in _BLOCK.split(", ")][:-1]
-            return pa.RecordBatch.from_arrays([pa.array([rows[0][k]], pa.int64() if k == "block" else pa.binary()) for k in names] + [pa.array([len(block.words)], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=[*names, "n_words", "word_counts", "pair_counts"])
+            return pa.RecordBatch.from_arrays([pa.array([rows[0][k]], pa.int64() if k in ("block", "n_pairs") else pa.binary()) for k in names] + [pa.array([len(block.words)], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=[*names, "n_words", "word_counts", "pair_counts"])
 
         held: list[dict] = []
         for b in batches:
@@ -247,7 +269,7 @@ def _assemble(bits: int):
     return run
 
 
-_COUNTED = "block long, ids binary, null_ids binary, sizes binary, learn binary, tokens binary, n_words long, word_counts binary, pair_counts binary"
+_COUNTED = "block long, n_pairs long, ids binary, null_ids binary, sizes binary, learn binary, tokens binary, n_words long, word_counts binary, pair_counts binary"
 
 
 def _counted(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
@@ -331,21 +353,24 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     learn: a Boolean Column over docs; null is false. Texts are lower-cased (A-Z) words and an end; a
-    null or empty text is an end alone. base_score: of add-half word frequencies; score: of the
+    null or empty text is an end alone. Null ids stay null, and each of repeated rows counts as a document. base_score: of add-half word frequencies; score: of the
     interpolated model; both log10. Without training rows every token is unknown.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()) / 1000)), 8, 16))
     blocks = Stored(rows.mapInArrow(_store(), _BLOCK), "lm-blocks")
+    pairs = blocks.df.agg(F.sum("n_pairs")).first()[0] or 1
+    bits = int(np.clip(np.ceil(np.log2(pairs / SLICE)), *SLICE_BITS))
     asked = blocks.df.mapInArrow(_requests(bits), _PART)
-    answers = Stored(asked.repartition("kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_add_up, _PART), "lm-answers")
+    # a task for every few slices, however many partitions shuffles have by default
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (2 << bits) // 16)
+    answers = Stored(asked.repartition(tasks, "kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_add_up, _PART), "lm-answers")
     release_shuffles(spark)
     sums = answers.df.where("block = -1").select("data").collect()
     v, n = (int(x) for x in np.sum([np.frombuffer(r.data, "<i8") for r in sums], axis=0)) if sums else (0, 0)
     names = [x.split()[0] for x in _BLOCK.split(", ")]
     stored = blocks.df.withColumns({"kind": F.lit(-1), "slice": F.lit(0), "data": F.lit(None).cast("binary")})
-    got = answers.df.where("block >= 0").select("block", *(F.lit(None).cast("binary").alias(k) for k in names[1:]), "kind", "slice", "data")
+    got = answers.df.where("block >= 0").select("block", F.lit(None).cast("long").alias("n_pairs"), *(F.lit(None).cast("binary").alias(k) for k in names[2:]), "kind", "slice", "data")
     both = stored.select(*names, "kind", "slice", "data").union(got)
     counted = Stored(both.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(_assemble(bits), _COUNTED), "lm-counted")
     for t in (blocks, answers):

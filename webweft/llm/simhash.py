@@ -24,7 +24,7 @@ from webweft.llm.graph import components, local_roots
 #: Most fingerprints of a bucket that one task compares.
 CAP = 4096
 #: Query-block pairs that are compared together.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -47,6 +47,13 @@ def links_in_runs(fp: np.ndarray, starts: np.ndarray, radius: int, skip: int = 0
 
     starts: first index of each run. skip: mask of bits known to be equal within each run.
     """
+    found = list(hits(fp, starts, radius, skip))
+    empty = np.zeros(0, dtype=np.int64)
+    return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (empty, empty)
+
+
+def hits(fp: np.ndarray, starts: np.ndarray, radius: int, skip: int = 0, ask: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """links_in_runs() some at a time. ask: indices whose links alone are wanted, each (asked, any other of its run)."""
     n = len(fp)
     length = np.diff(np.append(starts, n))
     n_blocks = (length + 63) // 64
@@ -60,21 +67,20 @@ def links_in_runs(fp: np.ndarray, starts: np.ndarray, radius: int, skip: int = 0
     valid = np.where(lanes == 64, _ALL, (np.uint64(1) << (lanes % np.uint64(64))) - np.uint64(1))
     order = [p for p in range(64) if not skip >> p & 1]
     planes = {p: np.bitwise_or.reduceat(((fp >> np.uint64(p)) & np.uint64(1)) << lane, first) for p in order}
-    # each query meets the blocks of its run from its own on
-    reach = (block0 + n_blocks)[run_of] - block
+    # each query meets the blocks of its run: all of them, or those from its own on
+    who = np.arange(n) if ask is None else ask
+    begin = block if ask is None else block0[run_of[who]]
+    reach = (block0 + n_blocks)[run_of[who]] - begin
     upto = np.cumsum(reach)
-    out_a, out_b = [], []
     lo = 0
-    while lo < n:
+    while lo < len(who):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
-        q = np.repeat(np.arange(lo, hi), reach[lo:hi])
-        blk = np.arange(len(q)) - np.repeat(np.cumsum(reach[lo:hi]) - reach[lo:hi], reach[lo:hi]) + block[q]
+        q = np.repeat(who[lo:hi], reach[lo:hi])
+        blk = np.arange(len(q)) - np.repeat(np.cumsum(reach[lo:hi]) - reach[lo:hi], reach[lo:hi]) + np.repeat(begin[lo:hi], reach[lo:hi])
         for a, b in _compare(fp, planes, order, valid, first, q, blk, radius):
-            out_a.append(a)
-            out_b.append(b)
+            keep = b > a if ask is None else b != a
+            yield a[keep], b[keep]
         lo = hi
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (empty, empty)
 
 
 def _compare(fp, planes, order, valid, first, q, blk, radius):
@@ -106,9 +112,7 @@ def _compare(fp, planes, order, valid, first, q, blk, radius):
                 return
     hit = np.unpackbits(within().astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, lane = np.nonzero(hit)
-    a, b = q[row], first[blk[row]] + lane
-    keep = b > a
-    yield a[keep], b[keep]
+    yield q[row], first[blk[row]] + lane
 
 
 def _bucket_links(radius: int):
@@ -277,15 +281,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield held
 
 
+#: Columns of what meets in a cell: side 0 is compared with all of the cell, side 1 with side 0 alone. comp is the
+#: group that a node is known to be in; nodes of one group are not compared.
+_CELL = "cell long, side int, node long, fp long, comp long"
+
+
 def _close(radius: int):
-    """Bucket members that a bucket-mate's SimHash is close to: (bucket, node)."""
+    """Members of a cell that another group's SimHash is close to, one of the two being of side 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp in _runs(batches):
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            a, b = links_in_runs(fp.view(np.uint64), starts, radius)
-            at = np.unique(np.concatenate([a, b]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[at]), pa.array(fp[at])], names=["bucket", "node", "fp"])
+        for cols in _runs(batches):
+            cell, side, _, fp, comp = cols
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            near = np.zeros(len(cell), dtype=bool)
+            for a, b in hits(fp.view(np.uint64), starts, radius, ask=np.flatnonzero(side == 0)):
+                other = comp[a] != comp[b]
+                near[a[other]] = near[b[other]] = True
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in cols], names=[x.split()[0] for x in _CELL.split(", ")])
 
     return run
 
@@ -303,44 +316,82 @@ def _sets(shingle: int):
     return run
 
 
-def jaccard(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity of the sets a[i] and b[i], by bit sets over the elements that several sets share."""
-    size = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    of = np.repeat(np.arange(len(sets)), size)
-    keep = shared[element]
-    bit, of = number[element[keep]], of[keep]
-    bits = np.zeros((len(sets), shared.sum() // 64 + 1), dtype=np.uint64)
-    np.bitwise_or.at(bits, (of, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-    both = np.empty(len(a), dtype=np.int64)
-    step = max(1, 2_000_000 // bits.shape[1])
-    for i in range(0, len(a), step):
-        both[i : i + step] = np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1, dtype=np.int64)
-    return both / np.maximum(size[a] + size[b] - both, 1)
-
-
-def _verified(radius: int, similarity: float):
-    """Links of texts in a bucket, close by SimHash and similar by their shingles, as stars."""
+class Sets:
+    """Sets of which many pairs are compared, as bit sets over the elements that several of them share.
+
+    Where those would be very large, pairs are compared one by one.
+    """
+
+    MOST_WORDS = 1 << 24
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.size = sets, np.array([len(x) for x in sets])
+        _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1
+        words = int(shared.sum()) // 64 + 1
+        self.bits = None
+        if words * len(sets) <= self.MOST_WORDS:
+            keep = shared[element]
+            bit = (np.cumsum(shared) - 1)[element[keep]]
+            self.bits = np.zeros((len(sets), words), dtype=np.uint64)
+            np.bitwise_or.at(self.bits, (np.repeat(np.arange(len(sets)), self.size)[keep], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of the sets a[i] and b[i]."""
+        both = np.empty(len(a), dtype=np.int64)
+        if self.bits is None:
+            both[:] = [len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())]
+        else:
+            step = max(1, 2_000_000 // self.bits.shape[1])
+            for i in range(0, len(a), step):
+                both[i : i + step] = np.bitwise_count(self.bits[a[i : i + step]] & self.bits[b[i : i + step]]).sum(1, dtype=np.int64)
+        return both / np.maximum(self.size[a] + self.size[b] - both, 1)
+
+
+#: Cells of more members are compared with one of them first: what is linked by that needs no more comparisons.
+SMALL_CELL = 256
+
+
+def _cell_links(fp: np.ndarray, side: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (comp, comp) between the groups of a cell, as stars. No pair of differing groups is left out, but those that
+    links found before already join."""
+    groups, at = np.unique(comp, return_inverse=True)
+    root = np.arange(len(groups))
+    all_sets = Sets(sets)
+    start = np.zeros(1, dtype=np.int64)
+
+    def take(ask: np.ndarray) -> None:
+        nonlocal root
+        for a, b in hits(fp, start, radius, ask=ask):
+            # a pair is asked for from either side; one of them must be side 0
+            open_ = (root[at[a]] != root[at[b]]) & ((side[a] == 0) | (side[b] == 0))
+            a, b = a[open_], b[open_]
+            good = all_sets.similarity(a, b) >= similarity - 1e-12 if len(a) else np.zeros(0, bool)
+            if good.any():
+                root = local_roots(len(groups), np.append(np.arange(len(groups)), at[a[good]]), np.append(root, at[b[good]]))
+
+    if len(fp) > small:
+        take(np.flatnonzero(side == 0)[:1])
+        most = np.bincount(root[at]).argmax()
+        take(np.flatnonzero(root[at] != most))
+    else:
+        take(np.flatnonzero(side == 0))
+    off = np.flatnonzero(root != np.arange(len(groups)))
+    return groups[off], groups[root[off]]
+
+
+def _verified(radius: int, similarity: float, small: int):
+    """Links of groups in a cell: of texts that are close by SimHash and similar by their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp, raw in _runs(batches):
-            sets = [np.frombuffer(x, np.uint64) for x in raw]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            a, b = links_in_runs(fp.view(np.uint64), starts, radius)
-            # one bucket's sets at a time
-            run_of = np.searchsorted(starts, a, side="right") - 1
-            good = np.zeros(len(a), dtype=bool)
-            for r in np.unique(run_of):
-                own = run_of == r
-                lo = starts[r]
-                hi = starts[r + 1] if r + 1 < len(starts) else len(key)
-                good[own] = jaccard(sets[lo:hi], a[own] - lo, b[own] - lo) >= similarity - 1e-12
-            root = local_roots(len(node), a[good], b[good])
-            off = np.flatnonzero(root != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[off]), pa.array(node[root[off]])], names=["u", "v"])
+        for cell, side, _, fp, comp, raw in _runs(batches):
+            starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            out = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
+                if hi - lo > 1:
+                    out.append(_cell_links(fp[lo:hi].view(np.uint64), side[lo:hi], comp[lo:hi], [np.frombuffer(x, np.uint64) for x in raw[lo:hi]], radius, similarity, small))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v"])
 
     return run
 
@@ -350,37 +401,72 @@ def near_duplicate_texts(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Texts of equal words are one node. Nodes that share a band of two shingle minima are compared bit-sliced
     by SimHash; those within radius are held against each other's shingles. A bucket of more than cap
-    texts is dealt out as a grid of its parts, so that each pair still meets once.
+    texts is first compared with a few of its own, in parts; then what is not in its largest group by that is
+    compared with all of it, part by part, so that no pair of texts that are in different groups is left out.
     component_id is the smallest doc_id reachable; texts without words form one group. Repeated rows
-    stay repeated. A null id takes part but is never the smallest. Empty in, empty out.
+    stay repeated. A null id takes part but is never the smallest; a group without ids has none. Empty in, empty out.
     """
     return _grouped(keyed_text(docs, id_col, text_col), shingle, similarity, radius, cap).select("doc_id", "component_id")
 
 
+#: Members of a crowded bucket, on average, that all others are compared with first.
+LEADERS = 32
+
+
 def _grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, cap: int = CAP) -> DataFrame:
     """near_duplicate_texts() of rows (doc_id, text), with the hash of each row's text: (doc_id, text_hash, component_id)."""
+    no_id = F.lit(-(1 << 63))
     own = Stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(shingle), "doc_id long, text_hash long, node long, fp long, keys array<long>"), "sketches")
-    first = own.df.groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = own.df.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("first")).where("first is not null")
-    member = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "fp")
+    # of each node one row that its text is taken from, and the smallest id
+    nodes = Stored(own.df.groupBy("node", "fp", "keys").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("at"), "text_hash")).alias("row"), F.min("doc_id").alias("first")), "nodes")
+    member = nodes.df.select("node", "fp", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "fp")
     buckets = Stored(member, "bands")
     many = buckets.df.groupBy("bucket").count().where("count > 1")
-    hot = many.where(F.col("count") > cap).select("bucket", F.ceil(F.col("count") * 2 / cap).cast("int").alias("parts"))
-    member = buckets.df.join(many.select("bucket"), "bucket", "left_semi")
-    if not hot.isEmpty():
-        mine = F.pmod(F.xxhash64("node"), "parts").cast("int")
-        grid = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.xxhash64(F.least(x, mine), F.greatest(x, mine))))
-        member = member.join(hot, "bucket", "left").withColumn("cell", F.explode(grid)).select(F.xxhash64("bucket", "cell").alias("bucket"), "node", "fp")
-    close = Stored(member.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_close(radius), "bucket long, node long, fp long"), "close")
-    wanted = close.df.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", F.col("first").alias("doc_id"))
-    sets = rows.join(wanted, "doc_id").select("text", "node").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
-    links = close.df.join(sets, "node").select("bucket", "node", "fp", "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verified(radius, similarity), "u long, v long")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+
+    def links_of(cells: DataFrame) -> Stored:
+        """(u, v) of _CELL rows: those that are close by SimHash, verified by their shingles."""
+        close = Stored(cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_close(radius), _CELL), "close")
+        texts = rows.select(F.coalesce("doc_id", no_id).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
+        wanted = close.df.select("node").distinct().join(nodes.df.select("node", "row.*"), "node")
+        sets = texts.join(wanted, ["at", "text_hash"]).select("text", "node").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
+        ready = close.df.join(sets, "node").select("cell", "side", "node", "fp", "comp", "shingles")
+        out = Stored(ready.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_verified(radius, similarity, SMALL_CELL), "u long, v long"), "links")
+        close.drop()
+        return out
+
+    crowded = many.where(F.col("count") > cap).select("bucket", F.col("count").alias("n"), F.ceil(F.col("count") / cap).cast("int").alias("parts"))
+    crowded = Stored(crowded, "crowded")
+    plain = buckets.df.join(many.where(F.col("count") <= cap).select("bucket"), "bucket", "left_semi")
+    found = [links_of(plain.select(F.col("bucket").alias("cell"), F.lit(0).alias("side"), "node", "fp", F.col("node").alias("comp")))]
+    if not crowded.df.isEmpty():
+        inside = buckets.df.join(crowded.df, "bucket")
+        cell = lambda *of: F.xxhash64("bucket", *of).alias("cell")
+        # each part of a crowded bucket with its leaders: as many in any bucket, chosen by hash
+        leads = inside.where(F.pmod(F.xxhash64("node", F.lit(1)), "n") < LEADERS).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        stars = leads.select(cell("p"), F.lit(0).alias("side"), "node", "fp", F.col("node").alias("comp")).union(inside.select(cell(part("parts")), F.lit(1), "node", "fp", "node"))
+        found.append(links_of(stars))
+        # what is not in a bucket's largest group by now meets all of it
+        known = Stored(components(found[0].df.union(found[1].df)), "known")
+        inside = inside.join(known.df, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        largest = inside.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.sum("count").alias("all"), F.max("count").alias("most"))
+        rest = largest.where("most < all").select("bucket", "largest", F.ceil((F.col("all") - F.col("most")) / cap).cast("int").alias("rest_parts"))
+        inside = Stored(inside.join(rest, "bucket").select("bucket", "node", "fp", "comp", "parts", "largest", "rest_parts"), "inside")
+        left = inside.df.where("comp <> largest").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        every = inside.df.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+        found.append(links_of(left.select(cell(part("rest_parts"), "p"), F.lit(0).alias("side"), "node", "fp", "comp").union(every.select(cell("r", part("parts")), F.lit(1), "node", "fp", "comp"))))
+        known.drop()
+        inside.drop()
+    links = found[0].df
+    for more in found[1:]:
+        links = links.union(more.df)
     roots = components(links)
-    label = Stored(first.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "groups").df
-    group = label.groupBy("root").agg(F.min("first").alias("component_id"))
-    for t in (buckets, close):
+    label = Stored(nodes.df.groupBy("node").agg(F.min("first").alias("first")).join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "groups")
+    group = label.df.groupBy("root").agg(F.min("first").alias("component_id"))
+    done = Stored(own.df.select("doc_id", "text_hash", "node").join(label.df.join(group, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id"), "near")
+    for t in (own, nodes, buckets, crowded, label, *found):
         t.drop()
-    return own.df.select("doc_id", "text_hash", "node").join(label.join(group, "root").select("node", "component_id"), "node").select("doc_id", "text_hash", "component_id")
+    return done.df
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

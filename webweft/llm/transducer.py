@@ -98,5 +98,6 @@ class Transducer:
 
     def lookup(self, words: list[bytes]) -> list[bytes | None]:
         ranks = self.ranks(words).tolist()
-        flat, start = np.asarray(self.ids).tobytes(), self.start
-        return [flat[4 * int(start[r]) : 4 * int(start[r + 1])] if r >= 0 else None for r in ranks]
+        # a view of the mapped file: only the ids that are asked for are copied
+        flat, start = memoryview(self.ids).cast("B"), self.start
+        return [bytes(flat[4 * int(start[r]) : 4 * int(start[r + 1])]) if r >= 0 else None for r in ranks]
