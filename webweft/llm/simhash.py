@@ -380,16 +380,46 @@ def _cell_links(fp: np.ndarray, side: np.ndarray, comp: np.ndarray, sets: list[n
     return groups[off], groups[root[off]]
 
 
+def _small_cells(fp: np.ndarray, comp: np.ndarray, starts: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """_cell_links() of many small cells together, all of side 0."""
+    a, b = links_in_runs(fp, starts, radius)
+    a, b = (x[comp[a] != comp[b]] for x in (a, b))
+    cell = np.searchsorted(starts, a, side="right")
+    by = np.argsort(cell, kind="stable")
+    a, b, cell = a[by], b[by], cell[by]
+    cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(a)]
+    good = np.zeros(len(a), dtype=bool)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi - lo <= 3:
+            near = [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a[lo:hi].tolist(), b[lo:hi].tolist())]
+            either = [len(sets[i]) + len(sets[j]) - n for i, j, n in zip(a[lo:hi].tolist(), b[lo:hi].tolist(), near)]
+            good[lo:hi] = np.array(near) / np.maximum(either, 1) >= similarity - 1e-12
+        elif hi > lo:
+            own, at = np.unique(np.concatenate([a[lo:hi], b[lo:hi]]), return_inverse=True)
+            good[lo:hi] = Sets([sets[i] for i in own.tolist()]).similarity(at[: hi - lo], at[hi - lo :]) >= similarity - 1e-12
+    root = local_roots(len(fp), a[good], b[good])
+    off = np.flatnonzero(root != np.arange(len(fp)))
+    return comp[off], comp[root[off]]
+
+
 def _verified(radius: int, similarity: float, small: int):
     """Links of groups in a cell: of texts that are close by SimHash and similar by their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, side, _, fp, comp, raw in _runs(batches):
             starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            length = np.diff(np.append(starts, len(cell)))
+            fp, sets = fp.view(np.uint64), [np.frombuffer(x, np.uint64) for x in raw]
+            plain = (length <= small) & (np.maximum.reduceat(side, starts) == 0)
             out = []
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
-                if hi - lo > 1:
-                    out.append(_cell_links(fp[lo:hi].view(np.uint64), side[lo:hi], comp[lo:hi], [np.frombuffer(x, np.uint64) for x in raw[lo:hi]], radius, similarity, small))
+            if plain.any():
+                own = np.flatnonzero(np.repeat(plain, length))
+                size = length[plain]
+                out.append(_small_cells(fp[own], comp[own], np.cumsum(size) - size, [sets[i] for i in own.tolist()], radius, similarity))
+            for lo, n in zip(starts[~plain].tolist(), length[~plain].tolist()):
+                if n > 1:
+                    s = slice(lo, lo + n)
+                    out.append(_cell_links(fp[s], side[s], comp[s], sets[s], radius, similarity, small))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["u", "v"])
 
