@@ -525,61 +525,96 @@ def test_bradley_terry_orders():
 # --- language model ---
 
 
-def slow_lm(rows):
+def slow_lm(rows, learns):
+    """Counts of words, pairs and triples, and weights by EM without binning, each training document under the others."""
     tok = {i: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for i, t in rows}
-    learn = {i: zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows}
-    c, c2 = Counter(), Counter()
-    for i, _ in rows:
-        if learn[i]:
-            c.update(tok[i])
-            c2.update(zip([None, *tok[i]], tok[i]))
-    return tok, learn, c, c2
-
-
-def test_language_model(docs, rows):
-    got = {r.doc_id: r for r in deleted_lm.lm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).collect()}
-    tok, learn, c, c2 = slow_lm(rows)
+    chain = {i: list(zip(["start", (None, x[0]), *zip(x, x[1:])], [None, *x], x)) for i, x in tok.items()}
+    c, c2, c3, ctx = Counter(), Counter(), Counter(), Counter()
+    for i in tok:
+        if learns(i):
+            for g, h, w in chain[i]:
+                c[w] += 1
+                c2[h, w] += 1
+                c3[g, w] += 1
+                ctx[g] += 1
     n, v = sum(c.values()), len(c)
-    # held-out sums of each training document under the others, and their weights by EM without binning
-    cells = {}
-    for i, _ in rows:
-        if learn[i]:
-            own, own2 = Counter(tok[i]), Counter(zip([None, *tok[i]], tok[i]))
-            for h, w in zip([None, *tok[i]], tok[i]):
-                ch = c[h] - own[h]
-                cells.setdefault(int(deleted_lm._bucket(np.array([ch]))[0]), []).append(((c2[h, w] - own2[h, w]) / ch if ch else 0.0, (c[w] - own[w]) / (n - len(tok[i])), 1 / (v + 1)))
-    weights = {}
-    for k, p in cells.items():
-        p, w = np.array(p), np.array([0.4, 0.4, 0.2]) if k else np.array([0.0, 0.8, 0.2])
+    bucket = lambda x: int(deleted_lm._bucket(np.array([x]))[0])
+    share = lambda a, b: a / b if b else 0.0
+    seen = []
+    for i in tok:
+        if learns(i):
+            own = [Counter(x) for x in (tok[i], [(h, w) for _, h, w in chain[i]], [(g, w) for g, _, w in chain[i]], [g for g, _, _ in chain[i]])]
+            rest = n - len(tok[i])
+            seen += [(c[h] - own[0][h], c2[h, w] - own[1][h, w], (c[w] - own[0][w]) / max(rest, 1), ctx[g] - own[3][g], c3[g, w] - own[2][g, w]) for g, h, w in chain[i]]
+    weights, shares = {}, {}
+    for k in {bucket(x[0]) for x in seen}:
+        p = np.array([(share(x[1], x[0]), x[2], 1 / (v + 1)) for x in seen if bucket(x[0]) == k])
+        w = np.array([0.4, 0.4, 0.2]) if k else np.array([0.0, 0.8, 0.2])
         for _ in range(deleted_lm.ROUNDS):
             post = p * w
             w = (post / post.sum(1, keepdims=True)).mean(0)
         weights[k] = w
+    for k in {bucket(x[3]) for x in seen} - {0}:
+        own = [x for x in seen if bucket(x[3]) == k]
+        high = np.array([share(x[4], x[3]) for x in own])
+        low = np.array([weights[bucket(x[0])] @ [share(x[1], x[0]), x[2], 1 / (v + 1)] for x in own])
+        y = 0.5
+        for _ in range(deleted_lm.ROUNDS):
+            y = (y * high / (y * high + (1 - y) * low)).mean()
+        shares[k] = y
+
+    def p(g, h, w):
+        if bucket(c[h]) not in weights or (bucket(ctx[g]) not in shares and ctx[g]):
+            return None
+        low = weights[bucket(c[h])] @ [share(c2[h, w], c[h]), share(c[w], n), 1 / (v + 1)]
+        y = shares.get(bucket(ctx[g]), 0.0)
+        return y * share(c3[g, w], ctx[g]) + (1 - y) * low
+
+    return tok, chain, c, n, v, p
+
+
+def test_language_model(docs, rows):
+    learns = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
+    got = {r.doc_id: r for r in deleted_lm.lm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1).collect()}
+    tok, chain, c, n, v, p = slow_lm(rows, learns)
+    told = 0
     for i, _ in rows:
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tok[i]), sum(c[w] > 0 for w in tok[i]), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tok[i]), rel=1e-9)
-        score = 0.0
-        for h, w in zip([None, *tok[i]], tok[i]):
-            x = weights.get(int(deleted_lm._bucket(np.array([c[h]]))[0]))
-            if x is None:
-                break
-            score += math.log10(x @ [c2[h, w] / c[h] if c[h] else 0.0, c[w] / n, 1 / (v + 1)])
-        else:
-            assert r.score == pytest.approx(score, rel=0.02)
-    held = [r for i, r in got.items() if not learn[i]]
+        each = [p(*x) for x in chain[i]]
+        if None not in each:
+            assert r.score == pytest.approx(sum(map(math.log10, each)), rel=0.02)
+            told += 1
+    assert told > 0.9 * len(rows)
+    held = [r for i, r in got.items() if not learns(i)]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_probabilities_sum_to_one(spark):
-    rows = [(1, "a b a c"), (2, "a b b"), (3, "c a")]
-    learn = spark.createDataFrame(rows, "doc_id long, text string")
-    c = Counter(w for _, t in rows for w in [*t.split(), None])
-    asked = [(100 + k, f"{w}") for k, w in enumerate(["a", "b", "c", "unknown"])]
-    df = learn.union(spark.createDataFrame(asked, "doc_id long, text string"))
-    got = {r.doc_id: r for r in deleted_lm.lm_scores(df, F.col("doc_id") < 100).collect()}
-    assert got[1].train_tokens == sum(c.values()) and got[103].n_known == 1
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got.values())
+    """Of all words that may follow one context, the end and one unknown word among them."""
+    rows = [(1, "a b a c"), (2, "a b b"), (3, "c a"), (4, "a b a"), (5, "b c")]
+    words = ["a", "b", "c", "unknown"]
+    before = ["", "a ", "a b ", "b c "]
+    asked = [(100 + 10 * k + j, f"{h}{w}") for k, h in enumerate(before) for j, w in enumerate(words)] + [(100 + 10 * k + 9, h) for k, h in enumerate(before)]
+    got = {r.doc_id: r.score for r in deleted_lm.lm_scores(spark.createDataFrame(rows + asked, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    assert all(x < 0 and math.isfinite(x) for x in got.values())
+    _, _, c, n, v, p = slow_lm(rows, lambda i: True)
+    assert n == sum(len(t.split()) + 1 for _, t in rows) and v == 4
+    for g, h in (("start", None), ((None, "a"), "a"), (("a", "b"), "b"), (("b", "c"), "c")):
+        assert sum(p(g, h, w) for w in [*words, None]) == pytest.approx(1.0)
+
+
+def test_a_text_that_occurs_twice_is_told_apart(spark):
+    """Words that are frequent everywhere, in an order that two documents share."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(150)]
+    twin = " ".join(rng.choice(words) for _ in range(60))
+    rows = list(enumerate([*texts, twin, twin]))
+    got = {r.doc_id: r.score / r.n_tokens for r in deleted_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 != 0).collect()}
+    held = [got[i] for i in range(150) if i % 5 == 0]
+    assert got[150] > max(held) and got[150] > np.mean(held) + 4 * np.std(held)
 
 
 def test_lm_edges(edge, empty):

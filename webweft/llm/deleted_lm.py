@@ -1,17 +1,20 @@
-"""Word bigram model with deleted interpolation.
+"""Word trigram model with deleted interpolation.
 
 Documents are taken in blocks. A block sends its distinct words and word pairs, as sorted slices of
 64-bit hashes with its own training counts, to the slices' tasks; these add up the counts of all
 blocks and send them back in the same order. So a block knows the corpus counts of all it holds,
-and no token is ever a row. Mixture weights are learnt by expectation-maximisation, a set for each
-bucket of context frequency, on held-out counts: each training document is left out of the
-counts that predict it.
+and no token is ever a row. Triples go the same way in a second exchange, when the first one's files are gone.
+
+Estimates are mixed by buckets of context frequency: pairs, words and a uniform share first, and triples with that
+mixture. The weights are learnt by expectation-maximisation on held-out counts: each training document is left out
+of the counts that predict it.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,24 @@ RANGE = 1 << 21
 END = b" "
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Stands for the hash of the pair before a text's first word.
+_START = np.uint64(0x94D049BB133111EB)
 _PART = "block long, kind int, slice int, data binary"
 _BLOCK = "block long, n_pairs long, ids binary, null_ids binary, sizes binary, learn binary, tokens binary, words binary"
+#: Blocks with corpus counts: of words and pairs, and of triples too, when hashes are no longer needed.
+_COUNTED = _BLOCK + ", n_words long, word_counts binary, pair_counts binary"
+_CHAINED = _COUNTED.replace(" words binary,", "") + ", triple_counts binary"
+#: Parts of the blocks that are put together one after another, so that no more of them are on disk twice.
+PARTS = 2
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows), schema.split(", "))], names=_names(schema))
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,7 +78,8 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 class Block:
     """Token stream of some documents: tokens are numbers of the block's words, the most frequent first.
 
-    A pair is a token and the one before it in the stream; the one before a text's first is END.
+    A pair is a token and the one before it in the stream; the one before a text's first is END. A triple is a token and
+    its context, the pair before it; a text's first has the context START, which is numbered after all pairs.
     """
 
     def __init__(self, ids, sizes: np.ndarray, learn: np.ndarray, tokens: np.ndarray, words: np.ndarray):
@@ -84,14 +104,38 @@ class Block:
         rank[order] = np.arange(len(order), dtype=np.int32)
         return cls(ids, np.array(sizes, dtype=np.int64), learn, rank[coded.indices.to_numpy()], words[order])
 
-    def pair_hashes(self) -> np.ndarray:
+    @cached_property
+    def context(self) -> np.ndarray:
+        out = np.append(len(self.pair_keys), self.pairs[:-1]).astype(np.int64) if len(self.pairs) else self.pairs
+        out[np.cumsum(self.sizes) - self.sizes] = len(self.pair_keys)
+        return out
+
+    @cached_property
+    def _triples(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.context * len(self.words) + self.tokens, return_inverse=True)
+
+    @property
+    def triple_keys(self) -> np.ndarray:
+        return self._triples[0]
+
+    @property
+    def triples(self) -> np.ndarray:
+        return self._triples[1]
+
+    def hashes(self, kind: int) -> np.ndarray:
+        """Of distinct words (0), pairs (1) or triples (2)."""
+        if kind == 0:
+            return self.words
         n = len(self.words)
-        return _pair_hash(self.words[self.pair_keys // n], self.words[self.pair_keys % n])
+        pairs = _pair_hash(self.words[self.pair_keys // n], self.words[self.pair_keys % n])
+        if kind == 1:
+            return pairs
+        return _pair_hash(np.append(pairs, _START)[self.triple_keys // n], self.words[self.triple_keys % n])
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the block's words and pairs."""
-        own = self.learn[self.doc]
-        return np.bincount(self.tokens[own], minlength=len(self.words)), np.bincount(self.pairs[own], minlength=len(self.pair_keys))
+    def counts(self, kind: int) -> np.ndarray:
+        """Training counts of the block's words, pairs or triples."""
+        of, n = ((self.tokens, len(self.words)), (self.pairs, len(self.pair_keys)), (self.triples, len(self.triple_keys)) if kind == 2 else None)[kind]
+        return np.bincount(of[self.learn[self.doc]], minlength=n)
 
 
 def _slices(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +178,7 @@ def _store():
         for n, block in enumerate(blocks(batches)):
             null = np.array([i is None for i in block.ids])
             ids = np.array([i or 0 for i in block.ids], dtype=np.int64)
-            row = [ids.tobytes(), null.tobytes(), block.sizes.tobytes(), block.learn.tobytes(), _squeeze(block.tokens), block.words.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([len(block.pair_keys)], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+            yield _batch(_BLOCK, [(base + n, len(block.pair_keys), ids.tobytes(), null.tobytes(), block.sizes.tobytes(), block.learn.tobytes(), _squeeze(block.tokens), block.words.tobytes())])
 
     return run
 
@@ -161,24 +204,21 @@ def _block(row: dict) -> Block:
     return Block(ids, get("sizes", np.int64), get("learn", bool), _unsqueeze(row["tokens"]), get("words", np.uint64))
 
 
-def _requests(bits: int):
-    """Of each stored block: its hashes and training counts, a row for each kind (0 words, 1 pairs) and slice."""
+def _requests(bits: int, kinds: tuple[int, ...]):
+    """Of each stored block: its hashes and training counts, a row for each kind (0 words, 1 pairs, 2 triples) and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 block = _block(row)
-                out: list[tuple] = []
-                for kind, (h, c) in enumerate(zip((block.words, block.pair_hashes()), block.counts())):
+                for kind in kinds:
+                    h, c = block.hashes(kind), block.counts(kind)
                     order, ends = _slices(h, bits)
                     h, c = h[order], c[order]
-                    lo = 0
-                    for s, hi in enumerate(ends.tolist()):
-                        if hi > lo:
-                            out.append((row["block"], kind, s, _pack(h[lo:hi], c[lo:hi])))
-                        lo = hi
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["block", "kind", "slice", "data"])
+                    edges = [0, *ends.tolist()]
+                    out = [(row["block"], kind, s, _pack(h[lo:hi], c[lo:hi])) for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+                    for k in range(0, len(out), 10_000):
+                        yield _batch(_PART, out[k : k + 10_000])
 
     return run
 
@@ -203,8 +243,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(r[0], r[1], r[2], _narrow(back[a:b])) for r, a, b in zip(rows, cuts, cuts[1:])]
         if rows[0][1] == 0:
             out.append((-1, 0, rows[0][2], np.array([distinct, tokens], dtype="<i8").tobytes()))
-        cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=["block", "kind", "slice", "data"])
+        return _batch(_PART, out)
 
     held: list[tuple] = []
     for b in batches:
@@ -240,21 +279,19 @@ def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def _assemble(bits: int):
-    """Blocks with the counts of their words and pairs, from a block's stored row (kind -1) and its answers."""
+def _assemble(bits: int, kinds: tuple[int, ...], before: str, after: str):
+    """Blocks with the corpus counts of what they hold, from a block's stored row (kind -1) and its answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[dict]) -> pa.RecordBatch:
             block = _block(rows[0])
-            out = []
-            for kind, h in enumerate((block.words, block.pair_hashes())):
-                order, _ = _slices(h, bits)
-                got = np.concatenate([_wide(r["data"]) for r in rows[1:] if r["kind"] == kind])
-                c = np.empty(len(h), dtype=np.int64)
-                c[order] = got
-                out.append(_narrow(c))
-            names = [x.split()[0] for x in _BLOCK.split(", ")][:-1]
-            return pa.RecordBatch.from_arrays([pa.array([rows[0][k]], pa.int64() if k in ("block", "n_pairs") else pa.binary()) for k in names] + [pa.array([len(block.words)], pa.int64()), *(pa.array([x], pa.binary()) for x in out)], names=[*names, "n_words", "word_counts", "pair_counts"])
+            known = {k: rows[0][k] for k in _names(before)} | {"n_words": len(block.words)}
+            for kind in kinds:
+                order, _ = _slices(block.hashes(kind), bits)
+                c = np.empty(len(order), dtype=np.int64)
+                c[order] = np.concatenate([_wide(r["data"]) for r in rows[1:] if r["kind"] == kind])
+                known[("word_counts", "pair_counts", "triple_counts")[kind]] = _narrow(c)
+            return _batch(after, [tuple(known[k] for k in _names(after))])
 
         held: list[dict] = []
         for b in batches:
@@ -269,51 +306,77 @@ def _assemble(bits: int):
     return run
 
 
-_COUNTED = "block long, n_pairs long, ids binary, null_ids binary, sizes binary, learn binary, tokens binary, n_words long, word_counts binary, pair_counts binary"
+class Counted:
+    """A block with the corpus counts of its words, pairs and, if there are any, triples, by token."""
+
+    def __init__(self, row: dict):
+        self.block = block = _block(row | {"words": np.zeros(row["n_words"], np.uint64).tobytes()})
+        words, pairs = _wide(row["word_counts"]), _wide(row["pair_counts"])
+        self.words, self.before, self.pairs = words[block.tokens], words[block.before], pairs[block.pairs]
+        if "triple_counts" in row:
+            # START is the context of as many tokens as there are texts
+            self.context = np.append(pairs, words[block.tokens[-1]])[block.context]
+            self.triples = _wide(row["triple_counts"])[block.triples]
+
+    def without_own(self) -> dict[str, np.ndarray]:
+        """The counts at training tokens, their own documents left out."""
+        block = self.block
+        own = block.learn[block.doc]
+        doc = block.doc[own].astype(np.int64)
+        width = len(block.tokens) + len(block.words) + 2
+
+        def within(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """How often each of `of` stands in its document's x."""
+            keys, c = np.unique(doc * width + x, return_counts=True)
+            return c[np.searchsorted(keys, doc * width + of)]
+
+        tokens, before = block.tokens[own].astype(np.int64), block.before[own].astype(np.int64)
+        out = {"words": self.words[own] - within(tokens, tokens), "before": self.before[own] - within(tokens, before), "pairs": self.pairs[own] - within(p := block.pairs[own].astype(np.int64), p), "sizes": block.sizes[doc]}
+        if hasattr(self, "triples"):
+            out |= {"context": self.context[own] - within(c := block.context[own], c), "triples": self.triples[own] - within(t := block.triples[own].astype(np.int64), t)}
+        return out
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.where(whole > 0, part / np.maximum(whole, 1), 0.0)
 
 
-def _counted(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
-    block = _block(row | {"words": np.zeros(row["n_words"], np.uint64).tobytes()})
-    return block, _wide(row["word_counts"]), _wide(row["pair_counts"])
+def _mixed(words: np.ndarray, before: np.ndarray, pairs: np.ndarray, n: np.ndarray | int, v: int, weights: np.ndarray) -> np.ndarray:
+    """Probabilities by pairs, words and the uniform share."""
+    w = weights[_bucket(before)]
+    return w[:, 0] * _share(pairs, before) + w[:, 1] * (words / np.maximum(n, 1)) + w[:, 2] / (v + 1)
 
 
-def _held_out(n: int):
-    """Sums over the training documents' tokens, each predicted without its document, binned."""
+def _held_out(n: int, v: int = 0, weights: np.ndarray | None = None):
+    """Sums over the training documents' tokens, each predicted without its document, binned by two estimates: of pairs
+    and words or, with the weights of those, of triples and the mixture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                block, words, pairs = _counted(row)
-                own = block.learn[block.doc]
-                if not own.any():
+                at = Counted(row).without_own()
+                if not len(at["words"]):
                     continue
-                doc, tok, before, pair = block.doc[own].astype(np.int64), block.tokens[own].astype(np.int64), block.before[own].astype(np.int64), block.pairs[own].astype(np.int64)
-                # each token's, context's and pair's count within its own document
-                def within(x: np.ndarray, width: int, of: np.ndarray) -> np.ndarray:
-                    keys, c = np.unique(doc * width + x, return_counts=True)
-                    return c[np.searchsorted(keys, doc * width + of)]
-
-                width = max(len(words), len(pairs)) + 1
-                c_w = words[tok] - within(tok, width, tok)
-                c_h = words[before] - within(before, width, before)
-                c_hw = pairs[pair] - within(pair, width, pair)
-                rest = np.maximum(n - block.sizes[doc], 1)
-                p2, p1 = np.where(c_h > 0, c_hw / np.maximum(c_h, 1), 0.0), c_w / rest
-                cell = (_bucket(c_h) * BINS + _bin(p2)) * BINS + _bin(p1)
-                cells, at = np.unique(cell, return_inverse=True)
-                sums = [np.bincount(at, weights=x) for x in (np.ones(len(at)), p2, p1)]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), *map(pa.array, sums)], names=["cell", "n", "p2", "p1"])
+                rest = np.maximum(n - at["sizes"], 1)
+                if weights is None:
+                    context, high, low = at["before"], _share(at["pairs"], at["before"]), at["words"] / rest
+                else:
+                    context, high, low = at["context"], _share(at["triples"], at["context"]), _mixed(at["words"], at["before"], at["pairs"], rest, v, weights)
+                cell = (_bucket(context) * BINS + _bin(high)) * BINS + _bin(low)
+                cells, of = np.unique(cell, return_inverse=True)
+                sums = [np.bincount(of, weights=x) for x in (np.ones(len(of)), high, low)]
+                yield pa.RecordBatch.from_arrays([pa.array(cells), *map(pa.array, sums)], names=["cell", "n", "high", "low"])
 
     return run
 
 
 def learn_weights(cells, v: int) -> np.ndarray:
-    """BUCKETS x 3 weights (pair, word, uniform) from binned sums (rows of cell, n, p2, p1)."""
+    """BUCKETS x 3 weights (pair, word, uniform) from binned sums (rows of cell, n, high, low)."""
     out = np.tile([0.0, 0.9, 0.1], (BUCKETS, 1))
     if not len(cells):
         return out
     cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
-    p = np.stack([cells["p2"].to_numpy() / n, cells["p1"].to_numpy() / n, np.full(len(n), 1.0 / (v + 1))], axis=1)
+    p = np.stack([cells["high"].to_numpy() / n, cells["low"].to_numpy() / n, np.full(len(n), 1.0 / (v + 1))], axis=1)
     bucket = cell // (BINS * BINS)
     for k in range(BUCKETS):
         own = bucket == k
@@ -332,23 +395,77 @@ def learn_weights(cells, v: int) -> np.ndarray:
     return out
 
 
-def _score(n: int, v: int, weights: np.ndarray):
+def learn_shares(cells) -> np.ndarray:
+    """The triples' share for each bucket, the rest being the mixture's, from binned sums (rows of cell, n, high, low)."""
+    out = np.zeros(BUCKETS)
+    if not len(cells):
+        return out
+    cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
+    high, low = cells["high"].to_numpy() / n, cells["low"].to_numpy() / n
+    bucket = cell // (BINS * BINS)
+    for k in range(1, BUCKETS):
+        own = bucket == k
+        share = 0.5
+        if own.any():
+            for _ in range(ROUNDS):
+                got = share * high[own]
+                share = float((n[own] * got / np.maximum(got + (1 - share) * low[own], 1e-300)).sum() / n[own].sum())
+                share = min(share, 1 - 1e-9)
+            out[k] = share
+        elif k > 1:
+            out[k] = out[k - 1]
+    return out
+
+
+def _score(n: int, v: int, weights: np.ndarray, shares: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                block, words, pairs = _counted(row)
+                at = Counted(row)
+                block = at.block
                 docs = len(block.sizes)
-                c_w, c_h, c_hw = words[block.tokens], words[block.before], pairs[block.pairs]
-                w = weights[_bucket(c_h)]
-                p = w[:, 0] * (c_hw / np.maximum(c_h, 1)) + w[:, 1] * (c_w / max(n, 1)) + w[:, 2] / (v + 1)
-                base = np.log10((c_w + 0.5) / (n + 0.5 * (v + 1)))
-                known = np.bincount(block.doc[c_w > 0], minlength=docs)
+                share = shares[_bucket(at.context)]
+                p = share * _share(at.triples, at.context) + (1 - share) * _mixed(at.words, at.before, at.pairs, n, v, weights)
+                base = np.log10((at.words + 0.5) / (n + 0.5 * (v + 1)))
+                known = np.bincount(block.doc[at.words > 0], minlength=docs)
                 add = lambda x: np.bincount(block.doc, weights=x, minlength=docs)
                 yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.sizes), pa.array(known.astype(np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
+def _exchanged(blocks: DataFrame, bits: int, kinds: tuple[int, ...]) -> Stored:
+    """The answers (_PART) to what blocks ask for of these kinds."""
+    spark = blocks.sparkSession
+    # a task for every few slices, however many partitions shuffles have by default
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (len(kinds) << bits) // 16)
+    asked = blocks.mapInArrow(_requests(bits, kinds), _PART)
+    answers = Stored(asked.repartition(tasks, "kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_add_up, _PART), "lm-answers")
+    release_shuffles(spark)
+    return answers
+
+
+def _put_together(blocks: DataFrame, answers: DataFrame, bits: int, kinds: tuple[int, ...], before: str, after: str) -> list[Stored]:
+    """Blocks of schema `after`, in PARTS tables."""
+    types = dict(x.split() for x in before.split(", "))
+    lost = [F.lit(None).cast(t.replace("long", "bigint")).alias(k) for k, t in types.items() if k != "block"]
+    stored = blocks.select(*types, F.lit(-1).alias("kind"), F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("data"))
+    both = stored.union(answers.where("block >= 0").select("block", *lost, "kind", "slice", "data"))
+    out = []
+    for k in range(PARTS):
+        own = both.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == k)
+        out.append(Stored(own.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(_assemble(bits, kinds, before, after), after), "lm-counted"))
+        release_shuffles(blocks.sparkSession)
+    return out
+
+
+def _all(tables: list[Stored]) -> DataFrame:
+    out = tables[0].df
+    for t in tables[1:]:
+        out = out.union(t.df)
+    return out
+
+
 def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
@@ -361,24 +478,25 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     blocks = Stored(rows.mapInArrow(_store(), _BLOCK), "lm-blocks")
     pairs = blocks.df.agg(F.sum("n_pairs")).first()[0] or 1
     bits = int(np.clip(np.ceil(np.log2(pairs / SLICE)), *SLICE_BITS))
-    asked = blocks.df.mapInArrow(_requests(bits), _PART)
-    # a task for every few slices, however many partitions shuffles have by default
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (2 << bits) // 16)
-    answers = Stored(asked.repartition(tasks, "kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_add_up, _PART), "lm-answers")
-    release_shuffles(spark)
-    sums = answers.df.where("block = -1").select("data").collect()
-    v, n = (int(x) for x in np.sum([np.frombuffer(r.data, "<i8") for r in sums], axis=0)) if sums else (0, 0)
-    names = [x.split()[0] for x in _BLOCK.split(", ")]
-    stored = blocks.df.withColumns({"kind": F.lit(-1), "slice": F.lit(0), "data": F.lit(None).cast("binary")})
-    got = answers.df.where("block >= 0").select("block", F.lit(None).cast("long").alias("n_pairs"), *(F.lit(None).cast("binary").alias(k) for k in names[2:]), "kind", "slice", "data")
-    both = stored.select(*names, "kind", "slice", "data").union(got)
-    counted = Stored(both.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(_assemble(bits), _COUNTED), "lm-counted")
+    sums = "cell long, n double, high double, low double"
+
+    def binned(df: DataFrame, run):
+        cells = df.mapInArrow(run, sums).groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "high", "low"))).toPandas()
+        return cells.sort_values("cell")
+
+    answers = _exchanged(blocks.df, bits, (0, 1))
+    totals = answers.df.where("block = -1").select("data").collect()
+    v, n = (int(x) for x in np.sum([np.frombuffer(r.data, "<i8") for r in totals], axis=0)) if totals else (0, 0)
+    counted = _put_together(blocks.df, answers.df, bits, (0, 1), _BLOCK, _COUNTED)
     for t in (blocks, answers):
         t.drop()
-    release_shuffles(spark)
-    cells = counted.df.mapInArrow(_held_out(n), "cell long, n double, p2 double, p1 double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "p2", "p1"))).toPandas()
-    weights = learn_weights(cells.sort_values("cell"), v)
-    scored = counted.df.mapInArrow(_score(n, v, weights), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    weights = learn_weights(binned(_all(counted), _held_out(n)), v)
+    answers = _exchanged(_all(counted), bits, (2,))
+    chained = _put_together(_all(counted), answers.df, bits, (2,), _COUNTED, _CHAINED)
+    for t in (*counted, answers):
+        t.drop()
+    shares = learn_shares(binned(_all(chained), _held_out(n, v, weights)))
+    scored = _all(chained).mapInArrow(_score(n, v, weights, shares), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
