@@ -49,7 +49,7 @@ _BLOCK = "block long, n_pairs long, ids binary, null_ids binary, sizes binary, l
 _COUNTED = _BLOCK + ", n_words long, word_counts binary, pair_counts binary"
 _CHAINED = _COUNTED.replace(" words binary,", "") + ", triple_counts binary"
 #: Parts of the blocks that are put together one after another, so that no more of them are on disk twice.
-PARTS = 2
+PARTS = 4
 
 
 def _names(schema: str) -> list[str]:
@@ -323,17 +323,21 @@ class Counted:
         block = self.block
         own = block.learn[block.doc]
         doc = block.doc[own].astype(np.int64)
-        width = len(block.tokens) + len(block.words) + 2
+        first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
 
-        def within(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-            """How often each of `of` stands in its document's x."""
-            keys, c = np.unique(doc * width + x, return_counts=True)
-            return c[np.searchsorted(keys, doc * width + of)]
+        def within(x: np.ndarray) -> np.ndarray:
+            """How often each token's x stands in its document."""
+            _, at, c = np.unique(doc * (len(block.tokens) + len(block.words) + 2) + x[own], return_inverse=True, return_counts=True)
+            return c[at]
 
-        tokens, before = block.tokens[own].astype(np.int64), block.before[own].astype(np.int64)
-        out = {"words": self.words[own] - within(tokens, tokens), "before": self.before[own] - within(tokens, before), "pairs": self.pairs[own] - within(p := block.pairs[own].astype(np.int64), p), "sizes": block.sizes[doc]}
+        def before(c: np.ndarray) -> np.ndarray:
+            """Each token's predecessor's; what stands before a text counts once in it."""
+            return np.where(first, 1, np.append(1, c[:-1])[: len(c)])
+
+        words, pairs = within(block.tokens), within(block.pairs)
+        out = {"words": self.words[own] - words, "before": self.before[own] - before(words), "pairs": self.pairs[own] - pairs, "sizes": block.sizes[doc]}
         if hasattr(self, "triples"):
-            out |= {"context": self.context[own] - within(c := block.context[own], c), "triples": self.triples[own] - within(t := block.triples[own].astype(np.int64), t)}
+            out |= {"context": self.context[own] - before(pairs), "triples": self.triples[own] - within(block.triples)}
         return out
 
 
@@ -445,17 +449,21 @@ def _exchanged(blocks: DataFrame, bits: int, kinds: tuple[int, ...]) -> Stored:
     return answers
 
 
-def _put_together(blocks: DataFrame, answers: DataFrame, bits: int, kinds: tuple[int, ...], before: str, after: str) -> list[Stored]:
-    """Blocks of schema `after`, in PARTS tables."""
+def _part(k: int):
+    return F.pmod(F.xxhash64("block"), F.lit(PARTS)) == k
+
+
+def _put_together(parts: list[DataFrame], answers: DataFrame, bits: int, kinds: tuple[int, ...], before: str, after: str, done=lambda k: None) -> list[Stored]:
+    """Blocks of schema `after`, a table for each of the PARTS; done is told when a part is there."""
     types = dict(x.split() for x in before.split(", "))
     lost = [F.lit(None).cast(t.replace("long", "bigint")).alias(k) for k, t in types.items() if k != "block"]
-    stored = blocks.select(*types, F.lit(-1).alias("kind"), F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("data"))
-    both = stored.union(answers.where("block >= 0").select("block", *lost, "kind", "slice", "data"))
     out = []
-    for k in range(PARTS):
-        own = both.where(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == k)
-        out.append(Stored(own.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(_assemble(bits, kinds, before, after), after), "lm-counted"))
-        release_shuffles(blocks.sparkSession)
+    for k, blocks in enumerate(parts):
+        stored = blocks.select(*types, F.lit(-1).alias("kind"), F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("data"))
+        both = stored.union(answers.where("block >= 0").where(_part(k)).select("block", *lost, "kind", "slice", "data"))
+        out.append(Stored(both.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(_assemble(bits, kinds, before, after), after), "lm-counted"))
+        done(k)
+        release_shuffles(answers.sparkSession)
     return out
 
 
@@ -487,14 +495,13 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     answers = _exchanged(blocks.df, bits, (0, 1))
     totals = answers.df.where("block = -1").select("data").collect()
     v, n = (int(x) for x in np.sum([np.frombuffer(r.data, "<i8") for r in totals], axis=0)) if totals else (0, 0)
-    counted = _put_together(blocks.df, answers.df, bits, (0, 1), _BLOCK, _COUNTED)
+    counted = _put_together([blocks.df.where(_part(k)) for k in range(PARTS)], answers.df, bits, (0, 1), _BLOCK, _COUNTED)
     for t in (blocks, answers):
         t.drop()
     weights = learn_weights(binned(_all(counted), _held_out(n)), v)
     answers = _exchanged(_all(counted), bits, (2,))
-    chained = _put_together(_all(counted), answers.df, bits, (2,), _COUNTED, _CHAINED)
-    for t in (*counted, answers):
-        t.drop()
+    chained = _put_together([t.df for t in counted], answers.df, bits, (2,), _COUNTED, _CHAINED, done=lambda k: counted[k].drop())
+    answers.drop()
     shares = learn_shares(binned(_all(chained), _held_out(n, v, weights)))
     scored = _all(chained).mapInArrow(_score(n, v, weights, shares), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
