@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from webweft.llm.common import Stored, fold, read, release_shuffles
 
 #: Characters of text in a block.
-BLOCK_CHARS = 2_500_000
+BLOCK_CHARS = 2_000_000
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, and so on.
 BUCKETS = 40
 #: Half powers of two that probabilities are binned by for the weights; 0 has a bin of its own.
@@ -75,6 +75,19 @@ def _bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the number of each key among them. A block has fewer than 2**31."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, at.astype(np.int32)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a block's row is large."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {k: b.column(j)[i].as_py() for j, k in enumerate(b.schema.names)}
+
+
 class Block:
     """Token stream of some documents: tokens are numbers of the block's words, the most frequent first.
 
@@ -86,8 +99,8 @@ class Block:
         self.ids, self.sizes, self.learn, self.tokens, self.words = ids, sizes, learn, tokens, words
         end = tokens[-1]
         self.before = np.append(end, tokens[:-1]) if len(tokens) else tokens
-        self.pair_keys, self.pairs = np.unique(self.before.astype(np.int64) * len(words) + tokens, return_inverse=True)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.pair_keys, self.pairs = _numbered(self.before.astype(np.int64) * len(words) + tokens)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     @classmethod
     def of(cls, ids, texts: list[str], learn: np.ndarray) -> Block:
@@ -106,13 +119,13 @@ class Block:
 
     @cached_property
     def context(self) -> np.ndarray:
-        out = np.append(len(self.pair_keys), self.pairs[:-1]).astype(np.int64) if len(self.pairs) else self.pairs
+        out = np.append(np.int32(len(self.pair_keys)), self.pairs[:-1]) if len(self.pairs) else self.pairs
         out[np.cumsum(self.sizes) - self.sizes] = len(self.pair_keys)
         return out
 
     @cached_property
     def _triples(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.context * len(self.words) + self.tokens, return_inverse=True)
+        return _numbered(self.context.astype(np.int64) * len(self.words) + self.tokens)
 
     @property
     def triple_keys(self) -> np.ndarray:
@@ -208,17 +221,16 @@ def _requests(bits: int, kinds: tuple[int, ...]):
     """Of each stored block: its hashes and training counts, a row for each kind (0 words, 1 pairs, 2 triples) and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                block = _block(row)
-                for kind in kinds:
-                    h, c = block.hashes(kind), block.counts(kind)
-                    order, ends = _slices(h, bits)
-                    h, c = h[order], c[order]
-                    edges = [0, *ends.tolist()]
-                    out = [(row["block"], kind, s, _pack(h[lo:hi], c[lo:hi])) for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
-                    for k in range(0, len(out), 10_000):
-                        yield _batch(_PART, out[k : k + 10_000])
+        for row in _rows(batches):
+            block = _block(row)
+            for kind in kinds:
+                h, c = block.hashes(kind), block.counts(kind)
+                order, ends = _slices(h, bits)
+                h, c = h[order], c[order]
+                edges = [0, *ends.tolist()]
+                out = [(row["block"], kind, s, _pack(h[lo:hi], c[lo:hi])) for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+                for k in range(0, len(out), 10_000):
+                    yield _batch(_PART, out[k : k + 10_000])
 
     return run
 
@@ -294,12 +306,11 @@ def _assemble(bits: int, kinds: tuple[int, ...], before: str, after: str):
             return _batch(after, [tuple(known[k] for k in _names(after))])
 
         held: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if held and held[0]["block"] != row["block"]:
-                    yield solve(held)
-                    held = []
-                held.append(row)
+        for row in _rows(batches):
+            if held and held[0]["block"] != row["block"]:
+                yield solve(held)
+                held = []
+            held.append(row)
         if held:
             yield solve(held)
 
@@ -356,20 +367,20 @@ def _held_out(n: int, v: int = 0, weights: np.ndarray | None = None):
     and words or, with the weights of those, of triples and the mixture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                at = Counted(row).without_own()
-                if not len(at["words"]):
-                    continue
-                rest = np.maximum(n - at["sizes"], 1)
-                if weights is None:
-                    context, high, low = at["before"], _share(at["pairs"], at["before"]), at["words"] / rest
-                else:
-                    context, high, low = at["context"], _share(at["triples"], at["context"]), _mixed(at["words"], at["before"], at["pairs"], rest, v, weights)
-                cell = (_bucket(context) * BINS + _bin(high)) * BINS + _bin(low)
-                cells, of = np.unique(cell, return_inverse=True)
-                sums = [np.bincount(of, weights=x) for x in (np.ones(len(of)), high, low)]
-                yield pa.RecordBatch.from_arrays([pa.array(cells), *map(pa.array, sums)], names=["cell", "n", "high", "low"])
+        for row in _rows(batches):
+            at = Counted(row).without_own()
+            if not len(at["words"]):
+                continue
+            rest = np.maximum(n - at["sizes"], 1)
+            if weights is None:
+                context, high, low = at["before"], _share(at["pairs"], at["before"]), at["words"] / rest
+            else:
+                context, high, low = at["context"], _share(at["triples"], at["context"]), _mixed(at["words"], at["before"], at["pairs"], rest, v, weights)
+            cell = (_bucket(context) * BINS + _bin(high)) * BINS + _bin(low)
+            # a cell's sums by one count over all cells, of which there are a few hundred thousand
+            size = np.bincount(cell)
+            cells = np.flatnonzero(size)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cells, size[cells].astype(np.float64), np.bincount(cell, weights=high)[cells], np.bincount(cell, weights=low)[cells])], names=["cell", "n", "high", "low"])
 
     return run
 
@@ -423,17 +434,16 @@ def learn_shares(cells) -> np.ndarray:
 
 def _score(n: int, v: int, weights: np.ndarray, shares: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                at = Counted(row)
-                block = at.block
-                docs = len(block.sizes)
-                share = shares[_bucket(at.context)]
-                p = share * _share(at.triples, at.context) + (1 - share) * _mixed(at.words, at.before, at.pairs, n, v, weights)
-                base = np.log10((at.words + 0.5) / (n + 0.5 * (v + 1)))
-                known = np.bincount(block.doc[at.words > 0], minlength=docs)
-                add = lambda x: np.bincount(block.doc, weights=x, minlength=docs)
-                yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.sizes), pa.array(known.astype(np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        for row in _rows(batches):
+            at = Counted(row)
+            block = at.block
+            docs = len(block.sizes)
+            share = shares[_bucket(at.context)]
+            p = share * _share(at.triples, at.context) + (1 - share) * _mixed(at.words, at.before, at.pairs, n, v, weights)
+            base = np.log10((at.words + 0.5) / (n + 0.5 * (v + 1)))
+            known = np.bincount(block.doc[at.words > 0], minlength=docs)
+            add = lambda x: np.bincount(block.doc, weights=x, minlength=docs)
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.sizes), pa.array(known.astype(np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
