@@ -128,6 +128,13 @@ def test_job_and_robots(spark, garden, tmp_path):
     assert nobody.visited.where("ok").count() == 0
 
 
+def test_progress_of_a_job(spark, garden, tmp_path):
+    lines = []
+    CrawlJob(spark, settings(tmp_path, storage={"type": "none"}), progress=lines.append).run(garden)
+    assert [x.split()[2] for x in lines] == ["1/30", "3/30", "6/30", "7/30", "8/30"] or len(lines) >= 4
+    assert lines[-1].endswith("failed 2")
+
+
 def test_job_with_its_own_sink(spark, garden, tmp_path):
     from webweft.sources import sinks
 

@@ -64,6 +64,17 @@ def test_slots_and_pushback(spark):
             want[i] = max(us, held.get(d, 0))
             held[d] = want[i] + gap
         assert {r.id: r.slot_us for r in politeness.limiter_slots(df, gap).collect()} == want
+        for span in (900_000, 30_000_000, 10**9):
+            got = politeness.limiter_slots(df, gap, span_us=span)
+            assert {r.id: (r.slot_us, r.wait_us) for r in got.collect()} == {i: (want[i], want[i] - us) for i, _, us, _, _ in rows} and got.columns == [*df.columns, "slot_us", "wait_us"]
+    # a pause that differs by row
+    want, held = {}, {}
+    for i, d, us, _, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = max(us, held.get(d, 0))
+        held[d] = want[i] + 100_000 * (i % 7)
+    pause = F.col("id") % 7 * 100_000
+    for span in (None, 3_000_000):
+        assert {r.id: r.slot_us for r in politeness.limiter_slots(df, pause, span_us=span).collect()} == want
     want, held = {}, {}
     for i, d, us, _, push in sorted(rows, key=lambda r: (r[2], r[0])):
         want[i] = max(us, held.get(d, 0))
@@ -94,6 +105,15 @@ def test_caps_know_durations(spark, lanes):
         politeness.admitted(df, 0)
 
 
+def test_rolling_rates(spark):
+    rows, df = log_of(spark, 300)
+    for span in (1_000_000, 40_000_000):
+        got = {r.id: r.rps for r in politeness.rolling_rps(df, span_us=span).collect()}
+        for i, d, us, _, _ in rows:
+            seen = [r[2] for r in rows if r[1] == d and us - span <= r[2] <= us]
+            assert got[i] == pytest.approx((len(seen) - 1) * 1e6 / (us - min(seen)) if us > min(seen) else 0.0)
+
+
 def test_peak_over_all_domains(spark):
     rng = random.Random(9)
     rows = [(f"d{i % 4}", s, s + rng.randrange(1, 90_000)) for i in range(2_000) for s in [rng.randrange(10**6)]]

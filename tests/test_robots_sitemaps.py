@@ -126,7 +126,8 @@ def test_queries_over_all_ids(spark, sf, tmp_path):
     want = {f"https://a.test/{i}" for i in ids}
     assert {r.url for r in catalog.QUERIES["url_prefix_pushdown"](spark, str(tmp_path)).collect()} == want
     got = catalog.QUERIES["sitemap_tree"](spark, str(tmp_path)).collect()
-    assert {r.url for r in got} == want and len(got) == len(ids)
+    packed = {f"http://gz.test/{i}" for i in range(3)}
+    assert {r.url for r in got} == want | packed and len(got) == len(ids) + 3
     log = catalog.request_log(spark, sf)
     calls = sum(-(-r["count"] // 4) for r in log.groupBy("domain").count().collect())
     assert catalog.QUERIES["retry_stats"](spark, sf).collect()[0].calls == calls

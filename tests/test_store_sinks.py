@@ -332,7 +332,7 @@ def test_live_job(spark, server):
         rows = {r.url.removeprefix(base): r for r in got.visited.collect()}
         assert {u for u, r in rows.items() if r.ok} == {"/", "/a", "/late"} and rows["/a"].page.title == "A"
         assert (rows["/hidden"].error, rows["/lost"].status_code, rows["/lost"].kind) == (BARRED, 404, "PermanentError")
-        assert got.stats()["sitemaps"] == {"fetched": 1, "failed": 0}
+        assert got.stats()["sitemaps"] == {"fetched": 1, "failed": 0} and got.stats()["retries"] == 1
     # nothing is asked for twice, save for what failed once; what is forbidden is not asked for
     assert sorted(seen) == ["/", "/a", "/late", "/late", "/lost", "/m.xml", "/robots.txt"]
 
@@ -343,3 +343,40 @@ def test_live_edges(spark):
     bad = spark.createDataFrame([("nonsense",), ("http://[x/",), ("ftp://127.0.0.1:9/x",)], "url string")
     got = live.fetch_live(bad, live.Manners(retries=0)).collect()
     assert len(got) == 3 and all(r.kind in ("PermanentError", "NetworkError") and r.html is None for r in got)
+
+
+def test_robots_cache(spark, tmp_path):
+    """Files are asked for again when their time is over: an hour for an answer, a minute for none."""
+    asked = []
+
+    def ask(at):
+        def run(origins):
+            got = sorted(r.origin for r in origins.select("origin").collect())
+            asked.append(got)
+            rows = [(o, 503 if "down" in o else 200, "User-agent: *\nDisallow: /x\n", at) for o in got]
+            return spark.createDataFrame(rows, "origin string, status int, body string, fetched_at timestamp")
+
+        return run
+
+    origins = spark.createDataFrame([("http://up",), ("http://down",), (None,), ("http://up",)], "origin string")
+    t0 = dt.datetime(2026, 1, 1, 12)
+    for minutes in (0, 0.5, 2, 59, 61):
+        now = t0 + dt.timedelta(minutes=minutes)
+        cache = live.RobotsCache(spark, str(tmp_path / "robots"), ask(now))
+        table = {r.origin: r.state for r in cache.get(origins, F.lit(now)).collect()}
+        assert table == {"http://up": "rules", "http://down": "disallow_all"}
+    assert asked == [["http://down", "http://up"], [], ["http://down"], ["http://down"], ["http://down", "http://up"]]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from webweft import stored
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Cluster:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stored.shared_dir(Cluster)

@@ -106,6 +106,12 @@ def test_native_links_of_all_forms(spark):
     assert each(spark, ["leek?a=1"], lambda c: urls.resolve(F.lit(BASE), c)) == [urldefrag(urljoin(BASE, "leek?a=1"))[0]]
 
 
+def test_a_tag_that_never_ends(spark):
+    endless = "<a " + "word " * 100_000
+    rows = spark.createDataFrame([(1, BASE, endless), (2, BASE, "<a " + " ".join(f"k{i}=v" for i in range(40)) + " href=/x>y</a>")], "page_id int, url string, html string")
+    assert [(r.page_id, r.link) for r in html_native.links(rows).collect()] == [(2, "http://shop.example:8080/x")]
+
+
 def test_native_equals_tree(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     native = {r.page_id: (r.title, r.text) for r in pages.select("page_id", html_native.title(F.col("html")).alias("title"), html_native.text(F.col("html")).alias("text")).collect()}

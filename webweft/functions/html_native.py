@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from webweft.functions import urls
 
-#: The value of an anchor's href: quoted either way, or bare. Other attributes and their values are stepped over.
-HREF = r"""(?is)<a(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: The value of an anchor's href: quoted either way, or bare. Attributes before it and their values are stepped over, 64 at
+#: most: each is a call deep in Java's matcher, and text behind a tag that never ends looks like attributes.
+HREF = r"""(?is)<a(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?){0,64}?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TAG = r"(?s)<!--.*?-->|<[^>]*>"
 
 
@@ -62,10 +63,15 @@ def hrefs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(visible(html), F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
 
 
-def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, pos, link): distinct valid links of each page in order of their first place. Null pages have none."""
+def links(pages: DataFrame, key: str = "page_id", same_domain_only: bool = False) -> DataFrame:
+    """(key, pos, link): distinct valid links of each page in order of their first place. Null pages have none.
+
+    same_domain_only: those whose authority is the page's, as written.
+    """
     rows = pages.select(key, "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href")).where(~urls.skipped_href(F.col("href")))
     rows = rows.withColumn("link", urls.resolve(F.col("url"), unescape(F.col("href")))).where(urls.is_valid(F.col("link")))
+    if same_domain_only:
+        rows = rows.where(urls.netloc(F.col("link")) == urls.netloc(F.col("url")))
     return rows.groupBy(key, "link").agg(F.min("pos").alias("pos"))
 
 

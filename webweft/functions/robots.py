@@ -102,8 +102,14 @@ def ttl(status: Column) -> Column:
 
 
 def robots_table(files: DataFrame) -> DataFrame:
-    """(origin, status, state, ttl, parsed) from files (origin, status, body)."""
-    return files.select("origin", "status", state(F.col("status")).alias("state"), ttl(F.col("status")).alias("ttl"), parsed(F.when(F.col("status") == 200, F.col("body")).otherwise("")).alias("parsed"))
+    """(origin, status, state, ttl, parsed[, fetched_at]) from files (origin, status, body[, fetched_at])."""
+    return files.select(*[c for c in ("fetched_at",) if c in files.columns], "origin", "status", state(F.col("status")).alias("state"), ttl(F.col("status")).alias("ttl"), parsed(F.when(F.col("status") == 200, F.col("body")).otherwise("")).alias("parsed"))
+
+
+def current(robots: DataFrame, now: Column) -> DataFrame:
+    """Of each origin the file that was fetched last, if its time is not over; rows without a time of fetching hold for ever."""
+    last = robots.groupBy("origin").agg(F.max_by(F.struct(*[c for c in robots.columns if c != "origin"]), F.coalesce("fetched_at", F.lit("9999-12-31").cast("timestamp"))).alias("r")).select("origin", "r.*")
+    return last.where(F.col("fetched_at").isNull() | (F.unix_micros("fetched_at") + F.col("ttl") * 1_000_000 > F.unix_micros(now)))
 
 
 def _group(rules: Column, agent: str) -> Column:

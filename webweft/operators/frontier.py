@@ -127,10 +127,10 @@ def traverse_edges(edges: DataFrame, seeds: DataFrame, max_depth: int = 2, max_n
 
 
 def crawl(answer: Callable[[DataFrame], DataFrame], seeds: DataFrame, max_pages: int = 100, max_depth: int = 2, same_domain_only: bool = False, allowed_domains: list[str] | None = None, exclude: list[str] | None = None, include: list[str] | None = None, page_callback: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """(url, depth, rank, ok, status_code, content_type, kind, error, page): the pages that a crawl visits, parsed once.
+    """(url, depth, rank, ok, status_code, content_type, kind, error, attempts, page): the pages that a crawl visits, parsed once.
 
-    answer: from (url) to (url, html, status_code, content_type, kind, error), as fetch.fetch gives it for a snapshot
-    and live.fetch_live for the Web. seeds: (url, pos). With same_domain_only the domains of the seeds and
+    answer: from (url) to (url, html, status_code, content_type, kind, error[, attempts]), as fetch.fetch gives it for a
+    snapshot and live.fetch_live for the Web. seeds: (url, pos). With same_domain_only the domains of the seeds and
     allowed_domains bound the crawl. A URL that is not answered, or with a status of 400 or more, fails: it counts,
     but leads nowhere. page_callback is handed each level's rows, which are stored by then.
     """
@@ -149,9 +149,11 @@ def crawl(answer: Callable[[DataFrame], DataFrame], seeds: DataFrame, max_pages:
 
     def visit(level: DataFrame) -> DataFrame:
         asked = level.select(F.col("node").alias("url"), "depth", "rank")
-        got = answer(asked.select("url")).select("url", "html", "status_code", "content_type", "kind", "error").join(asked, "url")
-        parsed = fetch.parse_answers(got, ("depth", "rank", "status_code", "content_type"))
-        done = Stored(parsed.select("url", "depth", "rank", F.col("kind").isNull().alias("ok"), "status_code", "content_type", "kind", "error", "page"), "visits").df
+        got = answer(asked.select("url"))
+        tries = F.col("attempts") if "attempts" in got.columns else F.lit(1)
+        got = got.select("url", "html", "status_code", "content_type", "kind", "error", tries.cast("int").alias("attempts")).join(asked, "url")
+        parsed = fetch.parse_answers(got, ("depth", "rank", "status_code", "content_type", "attempts"))
+        done = Stored(parsed.select("url", "depth", "rank", F.col("kind").isNull().alias("ok"), "status_code", "content_type", "kind", "error", "attempts", "page"), "visits").df
         visits.append(done)
         if page_callback:
             try:

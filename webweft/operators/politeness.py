@@ -15,21 +15,35 @@ from pyspark.sql import functions as F
 from webweft.operators.fold import fold
 
 
-def _order(key: str, order: list[str]) -> Window:
-    return Window.partitionBy(key).orderBy(*order)
-
-
-def limiter_slots(log: DataFrame, pause_us: Column | int, key: str = "domain", at: str = "us", order: tuple[str, ...] = ("us", "id")) -> DataFrame:
+def limiter_slots(log: DataFrame, pause_us: Column | int, key: str = "domain", at: str = "us", order: tuple[str, ...] = ("us", "id"), span_us: int | None = None) -> DataFrame:
     """log with slot_us and wait_us: each request starts at its arrival or when the pause after the one before ends.
 
-    pause_us may differ by row: it is the pause after that row's request.
+    pause_us may differ by row: it is the pause after that row's request. Without span_us a domain is one task's window.
+    With it a domain's log is cut into spans of time, which are windows of their own: of each span two numbers, its
+    pauses and its peak, go on to those after it, so a domain that holds a large share of all requests is many tasks.
     """
-    w = _order(key, list(order))
     pause = F.lit(pause_us) if isinstance(pause_us, int) else pause_us
+    out = log.withColumn("__pause", pause)
+    keys = [key]
+    if span_us is not None:
+        out = out.withColumn("__span", F.floor(F.col(at) / span_us))
+        keys.append("__span")
+    w = Window.partitionBy(*keys).orderBy(*order)
     before = F.coalesce(F.sum("__pause").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = log.withColumn("__pause", pause).withColumn("__before", before)
-    slot = F.max(F.col(at) - F.col("__before")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
-    return out.withColumn("slot_us", slot).withColumn("wait_us", F.col("slot_us") - F.col(at)).drop("__pause", "__before")
+    out = out.withColumn("__before", before)
+    peak = F.max(F.col(at) - F.col("__before")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if span_us is None:
+        slot = peak + F.col("__before")
+    else:
+        out = out.withColumn("__peak", peak)
+        spans = out.groupBy(*keys).agg(F.sum("__pause").alias("all"), F.max("__peak").alias("peak"))
+        earlier = Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("base", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
+        spans = spans.withColumn("held", F.max(F.col("peak") - F.col("base")).over(earlier))
+        spans = spans.select(F.col(key).alias("__key"), F.col("__span").alias("__of"), F.col("base").alias("__base"), F.col("held").alias("__held"))
+        out = out.join(spans, out[key].eqNullSafe(F.col("__key")) & out["__span"].eqNullSafe(F.col("__of")))
+        slot = F.greatest(F.col("__peak") - F.col("__base"), F.col("__held")) + F.col("__base") + F.col("__before")
+    return out.withColumn("slot_us", slot).withColumn("wait_us", F.col("slot_us") - F.col(at)).select(*log.columns, "slot_us", "wait_us")
 
 
 def pause_us(rps: float = 1.0, min_delay: float = 0.0, crawl_delay: Column | None = None) -> Column:
@@ -67,10 +81,18 @@ def limiter_gaps(slots: DataFrame, key: str = "domain") -> DataFrame:
 
 
 def rolling_rps(log: DataFrame, key: str = "domain", at: str = "us", span_us: int = 5_000_000) -> DataFrame:
-    """log with rps: (requests - 1) / time between first and last, of those in the span up to each; 0 for one."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-span_us, 0)
+    """log with rps: (requests - 1) / time between first and last, of those in the span up to each; 0 for one.
+
+    A domain's log is cut into stretches as long as the span. A row counts in its own, and as a guest in the next, so
+    a stretch has all that its rows look back on, and a domain's stretches are windows of their own.
+    """
+    here = F.floor(F.col(at) / span_us)
+    rows = log.withColumn("__of", F.explode(F.array(F.struct(here.alias("span"), F.lit(0).alias("guest")), F.struct((here + 1).alias("span"), F.lit(1).alias("guest")))))
+    rows = rows.withColumn("__span", F.col("__of.span")).withColumn("__guest", F.col("__of.guest"))
+    w = Window.partitionBy(key, "__span").orderBy(at).rangeBetween(-span_us, 0)
     n, first = F.count("*").over(w), F.min(at).over(w)
-    return log.withColumn("rps", F.coalesce(F.try_divide((n - 1) * 1_000_000.0, F.col(at) - first), F.lit(0.0)))
+    rows = rows.withColumn("rps", F.coalesce(F.try_divide((n - 1) * 1_000_000.0, F.col(at) - first), F.lit(0.0)))
+    return rows.where("__guest = 0").select(*log.columns, "rps")
 
 
 def concurrency(log: DataFrame, key: str | None = "domain", start: str = "start_us", end: str = "end_us") -> DataFrame:

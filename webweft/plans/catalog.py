@@ -5,6 +5,8 @@ events stands for a request log: a domain for each user, a status for each event
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,19 @@ def html_links(spark, d):
     return html_native.links(pages(spark, d))
 
 
+@query(f"WITH {LINKS} SELECT l.page_id, l.link FROM l JOIN pages p USING (page_id) WHERE regexp_extract(l.link, '{R}', 2) = regexp_extract(p.url, '{R}', 2)")
+def html_same_domain_links(spark, d):
+    return html_native.links(pages(spark, d), same_domain_only=True).select("page_id", "link")
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'h' || page_id END AS link FROM pages")
+def link_unwrap(spark, d):
+    """Links that are given as a struct with url or href."""
+    i = F.col("page_id")
+    as_struct = F.struct(F.when(i % 3 == 0, F.col("url")).alias("url"), F.when(i % 3 < 2, F.concat(F.lit("h"), i)).alias("href"))
+    return pages(spark, d).select("page_id", urls.unwrap_link(as_struct).alias("link"))
+
+
 @query(f"WITH {LINKS} SELECT lower(regexp_extract(link, '{R}', 2)) AS domain, count(*) AS links FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def html_link_domains_topk(spark, d):
     return html_native.link_count_by_domain(pages(spark, d)).orderBy(F.desc("links"), "domain").limit(10)
@@ -316,6 +331,14 @@ def err_classify_exception(spark, d):
     return e.select(F.col("event_id").alias("id"), errors.classify_exception(name).alias("kind"))
 
 
+@query("SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'TransientError' ELSE event_type END AS name FROM events")
+def err_failure_name(spark, d):
+    """What a failure is counted as: its class, else its reason up to the first colon."""
+    e = _t(spark, d, "events")
+    reason = F.concat("event_type", F.lit(": at "), F.col("event_id").cast("string"))
+    return e.select(F.col("event_id").alias("id"), errors.failure_name(F.when(F.col("event_type") == "error", "TransientError"), reason).alias("name"))
+
+
 @query("SELECT event_id AS id, CASE event_type WHEN 'error' THEN 2 WHEN 'view' THEN 5 ELSE 3 END AS tries FROM events")
 def retry_limit(spark, d):
     e = _t(spark, d, "events")
@@ -366,7 +389,8 @@ def retry_after_header(spark, d):
 
 @query(f"WITH x AS (SELECT *, row_number() OVER w - 1 AS i FROM ({LOG}) WINDOW w AS (PARTITION BY domain ORDER BY us, id)), s AS (SELECT *, max(us - i * {HOUR_US}) OVER (PARTITION BY domain ORDER BY us, id ROWS UNBOUNDED PRECEDING) + i * {HOUR_US} AS slot FROM x) SELECT id, slot AS slot_us, slot - us AS wait_us FROM s")
 def limiter_slots(spark, d):
-    return politeness.limiter_slots(request_log(spark, d), HOUR_US).select("id", "slot_us", "wait_us")
+    """Each domain's log in spans of a day."""
+    return politeness.limiter_slots(request_log(spark, d), HOUR_US, span_us=24 * HOUR_US).select("id", "slot_us", "wait_us")
 
 
 @query(f"WITH x AS (SELECT *, row_number() OVER w - 1 AS i FROM ({LOG}) WINDOW w AS (PARTITION BY domain ORDER BY us, id)), s AS (SELECT *, max(us - i * {HOUR_US}) OVER (PARTITION BY domain ORDER BY us, id ROWS UNBOUNDED PRECEDING) + i * {HOUR_US} AS slot FROM x), q AS (SELECT *, slot - lag(slot) OVER (PARTITION BY domain ORDER BY slot, id) AS gap FROM s) SELECT domain, count(*) AS requests, coalesce(avg(gap), 0) AS avg_gap_us, avg(slot - us) AS avg_wait_us FROM q GROUP BY 1")
@@ -637,13 +661,23 @@ def robots_describe(spark, d):
 
 @query(f"SELECT {DOMAIN} AS domain, {NORM} AS loc FROM pages GROUP BY ALL")
 def sitemap_locs(spark, d):
-    p = pages(spark, d).select(urls.domain(F.col("url")).alias("domain"), urls.normalize_url(F.col("url")).alias("url")).distinct()
+    """Sites' sitemaps, in files of at most SITEMAP_IDS pages each."""
+    p = pages(spark, d).groupBy(urls.domain(F.col("url")).alias("domain"), urls.normalize_url(F.col("url")).alias("url")).agg(F.floor(F.min("page_id") / SITEMAP_IDS).alias("file"))
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
-    files = p.groupBy("domain").agg(xml.alias("xml"))
+    files = p.groupBy("domain", "file").agg(xml.alias("xml"))
     got = files.select("domain", sitemap.parsed(F.encode("xml", "utf-8"), F.concat(F.lit("http://"), "domain", F.lit("/sitemap.xml"))).alias("s"))
     return got.select("domain", F.explode("s.locs").alias("loc"))
 
 
+@query(f"SELECT page_id, {NORM} AS loc FROM pages")
+def sitemap_function(spark, d):
+    """Locations of a sitemap a page, by the table function."""
+    sitemap.SitemapLocations.register(spark)
+    xml = F.concat(F.lit("<urlset><url><loc>"), F.replace(urls.normalize_url(F.col("url")), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
+    pages(spark, d).select("page_id", F.encode(xml, "utf-8").alias("payload"), "url").createOrReplaceTempView("page_sitemaps")
+    return spark.sql("SELECT page_id, loc FROM page_sitemaps, LATERAL sitemap_locations(payload, url)")
+
+
 # --- the relational forms that the above are made of ---
 
 
@@ -744,6 +778,61 @@ def record_validate(spark, d):
     return bad.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT {NORM} AS url, CAST(max(page_id) AS BIGINT) AS at, 1 AS n FROM pages GROUP BY 1")
+def store_decode(spark, d):
+    """Stored metadata as a variant."""
+    s = store.PageStore(spark, _at(spark, "store"))
+    s.save(_records(spark, d))
+    return store.decoded(s.read()).select("url", (F.unix_seconds("crawled_at") - 1_700_000_000).alias("at"), F.expr("variant_get(metadata, '$.n', 'int')").alias("n"))
+
+
+@query(f"SELECT url FROM (SELECT {NORM} AS url, {DOMAIN} AS domain, min(page_id) AS i FROM pages GROUP BY 1, 2) WHERE domain = (SELECT min({DOMAIN}) FROM pages)")
+def store_domain_search(spark, d):
+    """The store's rows of one domain, after two saves of every page."""
+    s = store.PageStore(spark, _at(spark, "store"), most_deltas=1)
+    for _ in range(2):
+        s.save(_records(spark, d))
+    first = pages(spark, d).agg(F.min(urls.domain(F.col("url")))).first()[0]
+    return store.find(s.read(), domain=first, limit=1 << 30).select("url")
+
+
+@query(f"SELECT CAST(count(DISTINCT {NORM}) AS BIGINT) AS saved, 0::BIGINT AS failed, 2::BIGINT AS retries, 0::BIGINT AS pending FROM pages")
+def sink_saver(spark, d):
+    """What a saver accounts for, over a store that fails twice at first."""
+
+    class Failing(sinks.StoreSink):
+        left = 2
+
+        def write(self, records):
+            if self.left:
+                self.left -= 1
+                raise sinks.StorageError("not yet")
+            return super().write(records)
+
+    with sinks.Saver(Failing(spark, _at(spark, "saver")), delay=0.01) as saver:
+        saver.save(_records(spark, d))
+    s = saver.stats()
+    return spark.createDataFrame([tuple(s[k] for k in ("saved", "failed", "retries", "pending"))], "saved long, failed long, retries long, pending long")
+
+
+@query(f"WITH {LINKS}, x AS (SELECT page_id, count(*) AS n FROM l GROUP BY 1) SELECT p.url, CAST(length({TEXT}) AS INTEGER) AS text_chars, CAST(coalesce(x.n, 0) AS INTEGER) AS n_links, array_to_string({PIECES(chr(39).join(['regexp_extract(html, ', '(?is)<title\\b[^>]*>(.*?)</title', ', 1)']))}, '') AS title, 200 AS status_code, 'text/html' AS content_type FROM pages p LEFT JOIN x USING (page_id)")
+def record_make(spark, d):
+    """Standard records of parsed pages."""
+    p = html_tree.parse_pages(pages(spark, d).withColumns({"status_code": F.lit(200), "content_type": F.lit("text/html")}), keep=("status_code", "content_type"))
+    r = store.make_record(p, F.timestamp_seconds(F.lit(0)))
+    return r.select("url", F.length("text").alias("text_chars"), F.size("links").alias("n_links"), "title", "status_code", "content_type")
+
+
+@query("SELECT * FROM (VALUES ('crawler.max_depth', '7'), ('crawler.max_pages', '3'), ('crawler.max_retries', '2'), ('logging.level', 'WARNING'), ('storage.type', 'none')) v(name, value)")
+def config_layers(spark, d):
+    """Settings of two layers over the defaults."""
+    from webweft.plans import config
+
+    cfg = config.settings({"crawler": {"max_depth": 7, "max_pages": 9}}, {"crawler": {"max_pages": 3}, "logging": {"level": "warning"}})
+    names = ("crawler.max_depth", "crawler.max_pages", "crawler.max_retries", "logging.level", "storage.type")
+    return spark.createDataFrame([(n, str(cfg[n.split(".")[0]][n.split(".")[1]])) for n in names], "name string, value string")
+
+
 # --- monitoring ---
 
 
@@ -784,13 +873,13 @@ def fetch_and_parse(spark, d):
     return fetch.fetch_and_parse(*_asked(spark, d)).select("url", F.array_join("page.errors", "; ").alias("errors"))
 
 
-@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages)")
+@query(f"SELECT url, CAST(length(url) AS BIGINT) AS n FROM (SELECT DISTINCT {NORM} AS url FROM pages UNION SELECT 'http://gz.test/' || i FROM range(3) t(i))")
 def sitemap_tree(spark, d):
     found, _ = _sitemap_tree(spark, d)
     return found.select("url", F.length("url").cast("long").alias("n"))
 
 
-@query("SELECT 2 * count(DISTINCT page_id // 20000) + 1 AS fetched, 2::BIGINT AS failed FROM pages")
+@query("SELECT 2 * count(DISTINCT page_id // 20000) + 2 AS fetched, 2::BIGINT AS failed FROM pages")
 def sitemap_stats(spark, d):
     return sitemaps.sitemap_stats(_sitemap_tree(spark, d)[1])
 
@@ -800,7 +889,7 @@ SITEMAP_IDS = 20_000
 
 
 def _sitemap_tree(spark, d) -> tuple[DataFrame, DataFrame]:
-    """An index of two series of sitemaps that overlap, a broken one, one that is lacking and itself.
+    """An index of two series of sitemaps that overlap, a packed one, a broken one, one that is lacking and itself.
 
     The index is one file by nature; it has a line for each SITEMAP_IDS pages.
     """
@@ -811,10 +900,11 @@ def _sitemap_tree(spark, d) -> tuple[DataFrame, DataFrame]:
     one, two = (u.where(w).select(named(n).alias("file"), "url") for n, w in (("a", "page_id % 2 = 0"), ("b", "page_id % 2 <> 0 or page_id % 4 = 0")))
     files = one.union(two).groupBy(F.col("file").alias("url")).agg(F.encode(xml(F.col("url")), "utf-8").alias("payload"))
     files = Stored(files, "sitemap-files").df
-    listed = F.array_union(F.array_sort(F.collect_set("url")), F.array(*[F.lit(f"{b}/{n}.xml") for n in ("broken", "lost", "index")]))
+    listed = F.array_union(F.array_sort(F.collect_set("url")), F.array(*[F.lit(f"{b}/{n}.xml") for n in ("broken", "lost", "index", "packed")]))
     entries = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))), "")
     index = files.agg(F.encode(F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")), "utf-8").alias("payload")).select(F.lit(f"{b}/index.xml").alias("url"), "payload")
-    broken = spark.createDataFrame([(f"{b}/broken.xml", b"<urlset>")], "url string, payload binary")
+    packed = gzip.compress("\n".join(f"http://gz.test/{i}" for i in range(3)).encode())
+    broken = spark.createDataFrame([(f"{b}/broken.xml", b"<urlset>"), (f"{b}/packed.xml", packed)], "url string, payload binary")
     return sitemaps.sitemap_tree(files.union(index).union(broken), spark.createDataFrame([(f"{b}/index.xml", 0)], "url string, pos int"), max_urls=None)
 
 

@@ -46,6 +46,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--snapshot", help="Parquet table of url, html[, status_code, content_type]; without one, pages are fetched live")
     p.add_argument("--robots-files", help="Parquet table of origin, status, body")
     p.add_argument("--sitemap-files", help="Parquet table of url, payload")
+    p.add_argument("--progress", action="store_true", help="a line after each level")
     p.add_argument("--errors", help="text file for the error report")
     p.add_argument("--sitemap", action="append", default=[], help="sitemap URL, once for each")
     for name, field in config.SCHEMA.items():
@@ -84,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         spark = spark or SparkSession.builder.appName("webweft").getOrCreate()
         tables = (spark.read.parquet(path) if path else None for path in (a.snapshot, a.sitemap_files, a.robots_files))
-        with CrawlJob(spark, cfg).run(*tables) as result:
+        with CrawlJob(spark, cfg, progress=print if a.progress else None).run(*tables) as result:
             figures = result.stats()
             if a.errors:
                 report.save_error_text(a.errors, error_stats(result.attempts(), result.failed()), result.saved)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webweft.functions import robots, urls
 from webweft.operators import fetch, frontier, stats, store
-from webweft.plans import config, report
+from webweft.plans import config, progress, report
 from webweft.sources import live, sinks
 from webweft.sources.sitemaps import sitemap_stats, sitemap_tree
 from webweft.stored import Stored
@@ -34,9 +34,10 @@ class Result:
     tables: list[Stored] = field(default_factory=list)
 
     def stats(self, top_n: int = 10) -> dict:
-        """Figures of the pages, the crawl, sitemaps, robots and storage."""
+        """Figures of the pages, the crawl, retries, sitemaps, robots and storage."""
         out = stats.as_dict(self.events, top_n, F.lit(self.elapsed))
         out["crawl"] = stats.crawl_stats(self.visited, self.elapsed).first().asDict()
+        out["retries"] = self.visited.agg(F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0))).first()[0]
         out["sitemaps"] = sitemap_stats(self.sitemap_files).first().asDict() if self.sitemap_files is not None else {"fetched": 0, "failed": 0}
         out["blocked"] = self.blocked.count() if self.blocked is not None else 0
         out["storage"] = self.saved
@@ -47,7 +48,7 @@ class Result:
 
     def attempts(self) -> DataFrame:
         """Each page's last attempt as retry.attempt_log() has it, for the error report."""
-        return self.visited.select("url", F.lit(0).alias("n"), "kind", F.col("status_code").alias("status"), F.lit(True).alias("last"), F.lit(None).cast("double").alias("delay"))
+        return self.visited.select("url", F.greatest(F.col("attempts") - 1, F.lit(0)).alias("n"), "kind", F.col("status_code").alias("status"), F.lit(True).alias("last"), F.lit(None).cast("double").alias("delay"))
 
     def close(self) -> None:
         """Deletes the run's tables; its DataFrames can't be read any more. A second call does nothing."""
@@ -67,11 +68,11 @@ class CrawlJob:
 
     sink: another than the settings name. manners: for live fetching, another than the settings give (other retries, a
     breaker of one's own). page_callback gets each level's pages as a DataFrame, on_retry(url, attempt, kind, pause)
-    each new try of a live request; it runs on the executors.
+    each new try of a live request; it runs on the executors. progress gets a line of text after each level.
     """
 
-    def __init__(self, spark: SparkSession, settings: dict | None = None, sink: sinks.Sink | None = None, manners: live.Manners | None = None, page_callback: Callable[[DataFrame], None] | None = None, on_retry: Callable | None = None):
-        self.spark, self.sink, self.page_callback, self.on_retry = spark, sink, page_callback, on_retry
+    def __init__(self, spark: SparkSession, settings: dict | None = None, sink: sinks.Sink | None = None, manners: live.Manners | None = None, page_callback: Callable[[DataFrame], None] | None = None, on_retry: Callable | None = None, progress: Callable[[str], None] | None = None):
+        self.spark, self.sink, self.page_callback, self.on_retry, self.progress = spark, sink, page_callback, on_retry, progress
         self.cfg = config.settings(settings or {})
         self.own_manners = manners
 
@@ -122,7 +123,7 @@ class CrawlJob:
         seeds = kept(frontier.seed_union(*parts).orderBy("part", "pos").select("url", F.monotonically_increasing_id().alias("pos")), "seeds")
 
         answer = self._answer(snapshot, robots_files, kept)
-        visited = frontier.crawl(answer, seeds, c["max_pages"], c["max_depth"], c["same_domain_only"], None, f["exclude_patterns"], f["include_patterns"], self.page_callback)
+        visited = frontier.crawl(answer, seeds, c["max_pages"], c["max_depth"], c["same_domain_only"], None, f["exclude_patterns"], f["include_patterns"], self._level_seen(began))
         records = kept(store.make_record(visited.where("ok").select("page", "status_code", "content_type")), "records")
         size = F.when(F.col("ok"), F.length("page.text")).otherwise(F.lit(0)).cast("long")
         events = visited.select("url", "ok", F.col("status_code").alias("status"), F.col("kind").alias("error"), size.alias("size"), F.lit(None).cast("timestamp").alias("ts"))
@@ -142,6 +143,21 @@ class CrawlJob:
                 report.save_html(figures, wanted["html"])
         return result
 
+    def _level_seen(self, began: float) -> Callable[[DataFrame], None]:
+        """What is told of each level: its pages to page_callback, and how far the crawl is to progress."""
+        so_far = {"done": 0, "failed": 0}
+
+        def tell(level: DataFrame) -> None:
+            if self.progress is not None:
+                n, failed = level.agg(F.count("*"), F.count_if(~F.col("ok"))).first()
+                so_far["done"] += n
+                so_far["failed"] += failed
+                self.progress(progress.line(total=self.cfg["crawler"]["max_pages"], elapsed=time.monotonic() - began, **so_far))
+            if self.page_callback is not None:
+                self.page_callback(level)
+
+        return tell
+
     def _answer(self, snapshot: DataFrame | None, robots_files: DataFrame | None, kept: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         """What a level's URLs are answered with: by the snapshot or live, those that robots.txt forbids failing unasked."""
         c = self.cfg["crawler"]
@@ -180,6 +196,8 @@ class CrawlJob:
             free = seen.where("allowed").join(delay, urls.origin(F.col("url")) == F.col("__origin"), "left").select("url", F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"))
             none = F.lit(None).cast("string")
             barred = seen.where("not allowed").select("url", none.alias("html"), F.lit(None).cast("int").alias("status_code"), F.lit("").alias("content_type"), F.lit("PermanentError").alias("kind"), F.lit(BARRED).alias("error"))
-            return ask(free).select(*barred.columns).union(barred)
+            got = ask(free)
+            tries = F.col("attempts") if "attempts" in got.columns else F.lit(1)
+            return got.select(*barred.columns, tries.cast("int").alias("attempts")).union(barred.withColumn("attempts", F.lit(0)))
 
         return obedient

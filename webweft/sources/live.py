@@ -18,20 +18,22 @@ from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
-from functools import partial
+from functools import lru_cache, partial
 from http.client import HTTPConnection, HTTPException, HTTPSConnection
 from urllib.error import HTTPError, URLError
 from urllib.parse import urlsplit
 from urllib.request import HTTPHandler, HTTPSHandler, Request, build_opener
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from webweft.functions import robots
 from webweft.functions import urls as url_functions
 from webweft.functions.errors import DELAY_BY_STATUS, RETRIES_BY_STATUS, TRANSIENT
 from webweft.operators.breaker import Breaker, Machine
+from webweft.stored import Stored
 
 SCHEMA = "url string, html string, payload binary, status_code int, content_type string, kind string, error string, attempts int, fetched_at timestamp"
 #: Bytes of an answer that are read; a longer one is a failure.
@@ -117,11 +119,16 @@ class _Safe(HTTPSHandler):
         return self.do_open(partial(_OpenedSafely, read_timeout=self.read_timeout), req)
 
 
-def open_url(request: Request, connect_timeout: float, read_timeout: float):
+@lru_cache(maxsize=64)
+def _opener(read_timeout: float):
     handlers = _Plain(), _Safe()
     for h in handlers:
         h.read_timeout = read_timeout
-    return build_opener(*handlers).open(request, timeout=connect_timeout)
+    return build_opener(*handlers)
+
+
+def open_url(request: Request, connect_timeout: float, read_timeout: float):
+    return _opener(read_timeout).open(request, timeout=connect_timeout)
 
 
 class _Domain:
@@ -309,6 +316,33 @@ def robots_files(origins: DataFrame, manners: Manners = Manners(), partitions: i
     return got.select(F.regexp_replace("url", "/robots\\.txt$", "").alias("origin"), F.col("status_code").alias("status"), F.col("html").alias("body"), "fetched_at")
 
 
+class RobotsCache:
+    """robots.txt files under a path, each fetched again when its time is over (functions.robots.TTL, ERROR_TTL).
+
+    ask: what fetches the files of origins, robots_files() by default.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ask: Callable[[DataFrame], DataFrame] = robots_files):
+        self.spark, self.path, self.ask = spark, path.rstrip("/"), ask
+
+    def _files(self) -> DataFrame | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            return None
+        return self.spark.read.schema("origin string, status int, body string, fetched_at timestamp").parquet(self.path)
+
+    def get(self, origins: DataFrame, now: Column | None = None) -> DataFrame:
+        """robots.robots_table() rows of the distinct origins, none older than its time."""
+        now = F.current_timestamp() if now is None else now
+        wanted = origins.select("origin").where("origin is not null").distinct()
+        files = self._files()
+        due = wanted if files is None else wanted.join(robots.current(robots.robots_table(files), now).select("origin"), "origin", "left_anti")
+        new = Stored(self.ask(due).select("origin", "status", "body", "fetched_at"), "robots")
+        new.df.write.mode("append").parquet(self.path)
+        new.drop()
+        return robots.current(robots.robots_table(self._files()), now).join(wanted, "origin", "left_semi")
+
+
 class _Part(InputPartition):
     def __init__(self, urls: list[str]):
         self.urls = urls
