@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webweft.llm.common import Stored, read
+from webweft.llm.common import Stored, lean, read
 
 #: Most vectors that lists are fitted on, by a hash of their id. Every vector is indexed.
 SAMPLE = 20_000
@@ -293,7 +293,7 @@ def _meet(index: Index, k: int, lists: DataFrame, groups: DataFrame, asked: Data
     goes = goes.groupBy("id", "group").agg(F.collect_set("list").alias("lists"))
     queries = goes.join(asked.select("id", "x", "bound"), "id").select("group", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), "id", "x", "bound", "lists")
     cells = vectors.union(queries).select((F.col("group").cast("long") * blocks + F.col("block")).alias("cell"), "kind", "id", "x", "bound", "lists")
-    return cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(_search(index, k), _FOUND)
+    return cells.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(lean(_search(index, k)), _FOUND)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -323,8 +323,8 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 20, id_col: s
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     index = fit(np.array([r.x for r in sample]), np.array([r.id for r in sample]), stats.length, stats.n, k, target, least_probes)
-    lists = Stored(rows.mapInArrow(_assign(index), _VECTOR), "lists")
-    asked = Stored(rows.where(query).mapInArrow(_probe(index, k), _QUERY), "probes")
+    lists = Stored(rows.mapInArrow(lean(_assign(index)), _VECTOR), "lists")
+    asked = Stored(rows.where(query).mapInArrow(lean(_probe(index, k)), _QUERY), "probes")
     groups = F.broadcast(spark.createDataFrame(_groups(lists.df), "list int, first int, parts int"))
     meet = partial(_meet, index, k, lists.df, groups, blocks=max(1, -(-stats.asked // GROUP_QUERIES)))
     near = Stored(meet(asked.df, "near"), "found")
@@ -335,7 +335,7 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 20, id_col: s
     enough = found.df.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).where(F.col("n") >= min(k, stats.n - 1))
     lacking = asked.df.select("id", "x").join(enough, F.col("id") == F.col("query_id"), "left_anti")
     if not lacking.isEmpty():
-        again = lacking.mapInArrow(_probe(index, k, every=True), _QUERY)
+        again = lacking.mapInArrow(lean(_probe(index, k, every=True)), _QUERY)
         every = Stored(found.df.join(enough, "query_id", "left_semi").union(meet(again, "near")).union(meet(again, "far")), "found")
         found.drop()
         found = every

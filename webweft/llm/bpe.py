@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.llm import bytebpe, transducer
-from webweft.llm.common import Stored, keyed_text, read, shared_dir
+from webweft.llm.common import Stored, keyed_text, lean, read, shared_dir
 
 #: Words in the lexicon; bounds what the driver collects and the automaton's size.
 LEXICON_WORDS = 65_536
@@ -63,7 +63,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_lexicon(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Name of the shipped automaton file (SparkFiles) for the most frequent words of all docs."""
     spark = docs.sparkSession
-    counts = keyed_text(docs, id_col, text_col).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = keyed_text(docs, id_col, text_col).mapInArrow(lean(_count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = Stored(counts, "words")
     # the least count that at most `words` words reach, by a histogram of quarter powers of two
     level = F.floor(4 * F.log2("n")).cast("int").alias("level")
@@ -119,7 +119,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     """
     path = path or default_path()
     lexicon = build_lexicon(docs, path, id_col, text_col, words)
-    return keyed_text(docs, id_col, text_col).mapInArrow(_round_trip(path, lexicon, decode), "doc_id long, ids array<int>" + ", decoded string" * decode)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(_round_trip(path, lexicon, decode)), "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def bpe_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -132,7 +132,7 @@ def bpe_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", i
             text = [b"".join(get(i, b"") for i in x or ()).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>")).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import Stored, fold, read, release_shuffles
+from webweft.llm.common import Stored, fold, lean, read, release_shuffles
 
 #: Characters of text in a block.
 BLOCK_CHARS = 2_000_000
@@ -453,8 +453,8 @@ def _exchanged(blocks: DataFrame, bits: int, kinds: tuple[int, ...]) -> Stored:
     spark = blocks.sparkSession
     # a task for every few slices, however many partitions shuffles have by default
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (len(kinds) << bits) // 16)
-    asked = blocks.mapInArrow(_requests(bits, kinds), _PART)
-    answers = Stored(asked.repartition(tasks, "kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(_add_up, _PART), "lm-answers")
+    asked = blocks.mapInArrow(lean(_requests(bits, kinds)), _PART)
+    answers = Stored(asked.repartition(tasks, "kind", "slice").sortWithinPartitions("kind", "slice").mapInArrow(lean(_add_up), _PART), "lm-answers")
     release_shuffles(spark)
     return answers
 
@@ -471,7 +471,7 @@ def _put_together(parts: list[DataFrame], answers: DataFrame, bits: int, kinds:
     for k, blocks in enumerate(parts):
         stored = blocks.select(*types, F.lit(-1).alias("kind"), F.lit(0).alias("slice"), F.lit(None).cast("binary").alias("data"))
         both = stored.union(answers.where("block >= 0").where(_part(k)).select("block", *lost, "kind", "slice", "data"))
-        out.append(Stored(both.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(_assemble(bits, kinds, before, after), after), "lm-counted"))
+        out.append(Stored(both.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInArrow(lean(_assemble(bits, kinds, before, after)), after), "lm-counted"))
         done(k)
         release_shuffles(answers.sparkSession)
     return out
@@ -493,13 +493,13 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = Stored(rows.mapInArrow(_store(), _BLOCK), "lm-blocks")
+    blocks = Stored(rows.mapInArrow(lean(_store()), _BLOCK), "lm-blocks")
     pairs = blocks.df.agg(F.sum("n_pairs")).first()[0] or 1
     bits = int(np.clip(np.ceil(np.log2(pairs / SLICE)), *SLICE_BITS))
     sums = "cell long, n double, high double, low double"
 
     def binned(df: DataFrame, run):
-        cells = df.mapInArrow(run, sums).groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "high", "low"))).toPandas()
+        cells = df.mapInArrow(lean(run), sums).groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "high", "low"))).toPandas()
         return cells.sort_values("cell")
 
     answers = _exchanged(blocks.df, bits, (0, 1))
@@ -513,7 +513,7 @@ def lm_scores(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "t
     chained = _put_together([t.df for t in counted], answers.df, bits, (2,), _COUNTED, _CHAINED, done=lambda k: counted[k].drop())
     answers.drop()
     shares = learn_shares(binned(_all(chained), _held_out(n, v, weights)))
-    scored = _all(chained).mapInArrow(_score(n, v, weights, shares), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = _all(chained).mapInArrow(lean(_score(n, v, weights, shares)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

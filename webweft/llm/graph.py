@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webweft.llm.common import Stored
+from webweft.llm.common import Stored, lean
 
 #: With this many edges left, one task can finish the job; more edges go on in distributed rounds.
 ONE_TASK_EDGES = 16_384
@@ -53,12 +53,12 @@ def components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFr
     gathered: minima are partial aggregates and joins may be split by AQE.
     """
     edges = edges.toDF("u", "v").where("u is not null and v is not null and u <> v")
-    now = Stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().mapInArrow(_stars, "u long, v long"), "edges")
+    now = Stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().mapInArrow(lean(_stars), "u long, v long"), "edges")
     while True:
         e = now.df
         n = e.count()
         if n <= one_task_edges:
-            done = Stored(e.coalesce(1).mapInArrow(_stars, "u long, v long"), "stars")
+            done = Stored(e.coalesce(1).mapInArrow(lean(_stars), "u long, v long"), "stars")
             now.drop()
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

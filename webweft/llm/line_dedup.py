@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import Stored, keyed_text, read, release_shuffles
+from webweft.llm.common import Stored, keyed_text, lean, read, release_shuffles
 
 #: Units with fewer words than this are left alone: of lines and paragraphs, and of passages.
 LEAST_WORDS = {"line": 5, "paragraph": 5, "passage": 25}
@@ -126,7 +126,7 @@ def line_dedup(docs: DataFrame, by: str = "line", least_words: int | None = None
     """
     least_words = LEAST_WORDS[by] if least_words is None else least_words
     rows = keyed_text(docs, id_col, text_col).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("rid", F.xxhash64("text"))
-    own = rows.select("doc", "rid", "text").mapInArrow(_units(by, least_words), _UNIT)
+    own = rows.select("doc", "rid", "text").mapInArrow(lean(_units(by, least_words)), _UNIT)
     place = F.struct("doc", "rid", "start")
     first = own.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # stored, so that the join stands on its own shuffle and a line that very many share may be split there
@@ -136,7 +136,7 @@ def line_dedup(docs: DataFrame, by: str = "line", least_words: int | None = None
     gone = Stored(late.groupBy("doc", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("gone")), "late")
     first.drop()
     release_shuffles(docs.sparkSession)
-    return rows.join(gone.df, ["doc", "rid"], "left").select("doc_id", "text", "gone").mapInArrow(_cut(by), "doc_id long, n_units long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
+    return rows.join(gone.df, ["doc", "rid"], "left").select("doc_id", "text", "gone").mapInArrow(lean(_cut(by)), "doc_id long, n_units long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
 
 
 def _in_figures(done: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from webweft.llm.bpe import default_path, encoder, slices
-from webweft.llm.common import keyed_text, read
+from webweft.llm.common import keyed_text, lean, read
 
 #: Windows of these lengths are full in themselves.
 TIERS = (2048, 1024, 512, 256)
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, tiers: tuple
     partition has left over, of a smaller power of two. Empty in, empty out.
     """
     run = _pack(path or default_path(), end_id, tuple(tiers), with_ids)
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return keyed_text(docs, id_col, text_col).mapInArrow(lean(run), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm.common import Stored, keyed_text, read
+from webweft.llm.common import Stored, keyed_text, lean, read
 from webweft.llm.graph import components, local_roots
 
 #: Most fingerprints of a bucket that one task compares.
@@ -186,7 +186,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, cap: int = CAP) -> DataFr
         rest = [free for _, free in split]
         any_hot = min(map(len, rest)) > cap.bit_length() and not hot.isEmpty()
         small = table.df.join(hot, ["tbl", "key"], "left_anti") if any_hot else table.df
-        links = small.repartition("tbl", "key").sortWithinPartitions("tbl", "key").select("tbl", "key", "fp").mapInArrow(_bucket_links(radius), "u long, v long")
+        links = small.repartition("tbl", "key").sortWithinPartitions("tbl", "key").select("tbl", "key", "fp").mapInArrow(lean(_bucket_links(radius)), "u long, v long")
         out = links if out is None else out.union(links)
         if not any_hot:
             break
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay
     repeated. A null id takes part but is never a component's smallest. Empty in, empty out.
     """
-    own = Stored(keyed_text(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+    own = Stored(keyed_text(docs, id_col, text_col).mapInArrow(lean(_fingerprints(shingle)), "doc_id long, fp long"), "fingerprints")
     first = own.df.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(first.select("fp"), radius, cap))
     label = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -446,7 +446,7 @@ LEADERS = 32
 def _grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = NEAR_BITS, cap: int = CAP) -> DataFrame:
     """near_duplicate_texts() of rows (doc_id, text), with the hash of each row's text: (doc_id, text_hash, component_id)."""
     no_id = F.lit(-(1 << 63))
-    own = Stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(shingle), "doc_id long, text_hash long, node long, fp long, keys array<long>"), "sketches")
+    own = Stored(rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lean(_sketch(shingle)), "doc_id long, text_hash long, node long, fp long, keys array<long>"), "sketches")
     # of each node one row that its text is taken from, and the smallest id
     nodes = Stored(own.df.groupBy("node", "fp", "keys").agg(F.min(F.struct(F.coalesce("doc_id", no_id).alias("at"), "text_hash")).alias("row"), F.min("doc_id").alias("first")), "nodes")
     member = nodes.df.select("node", "fp", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "fp")
@@ -456,12 +456,12 @@ def _grouped(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
 
     def links_of(cells: DataFrame) -> Stored:
         """(u, v) of _CELL rows: those that are close by SimHash, verified by their shingles."""
-        close = Stored(cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_close(radius), _CELL), "close")
+        close = Stored(cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(lean(_close(radius)), _CELL), "close")
         texts = rows.select(F.coalesce("doc_id", no_id).alias("at"), F.xxhash64("text").alias("text_hash"), "text")
         wanted = close.df.select("node").distinct().join(nodes.df.select("node", "row.*"), "node")
-        sets = texts.join(wanted, ["at", "text_hash"]).select("text", "node").mapInArrow(_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
+        sets = texts.join(wanted, ["at", "text_hash"]).select("text", "node").mapInArrow(lean(_sets(shingle)), "node long, shingles binary").dropDuplicates(["node"])
         ready = close.df.join(sets, "node").select("cell", "side", "node", "fp", "comp", "shingles")
-        out = Stored(ready.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_verified(radius, similarity, SMALL_CELL), "u long, v long"), "links")
+        out = Stored(ready.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(lean(_verified(radius, similarity, SMALL_CELL)), "u long, v long"), "links")
         close.drop()
         return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.llm import bwt
-from webweft.llm.common import Stored, keyed_text, read, release_shuffles
+from webweft.llm.common import Stored, keyed_text, lean, read, release_shuffles
 
 LENGTH = 100
 #: Bytes of an anchor. Contexts of an anchor that has more than MANY go by longer anchors within them; with the last,
@@ -328,8 +328,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchored(rows: DataFrame, piece: int) -> Stored:
     """Anchors of rows (doc, rid, lo, text) that meet: repeats (kind 1), and first contexts that differ (kind 0)."""
-    found = rows.select("doc", "rid", "lo", "text").mapInArrow(_find(piece), _ANCHOR)
-    met = found.repartition("h").sortWithinPartitions("h", "c", "c2", "doc", "rid", "place").mapInArrow(_meet, _ROW)
+    found = rows.select("doc", "rid", "lo", "text").mapInArrow(lean(_find(piece)), _ANCHOR)
+    met = found.repartition("h").sortWithinPartitions("h", "c", "c2", "doc", "rid", "place").mapInArrow(lean(_meet), _ROW)
     met = Stored(met, "met")
     release_shuffles(rows.sparkSession)
     return met
@@ -340,7 +340,7 @@ def _crowded(met: Stored, many: int) -> DataFrame:
 
 
 def _merged(contexts: DataFrame) -> Stored:
-    return Stored(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge, _ROW), "spans")
+    return Stored(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_merge), _ROW), "spans")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> tuple[DataFrame, DataFrame]:
@@ -356,7 +356,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
             break
         crowded = _crowded(met, many)
         places = met.df.where("kind = 0").groupBy("doc", "rid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("places"))
-        contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(_cut_contexts, _CONTEXT)
+        contexts = rows.join(places, ["doc", "rid"]).select("doc", "rid", "text", "places").mapInArrow(lean(_cut_contexts), _CONTEXT)
         if crowded.isEmpty():
             done.append(_merged(contexts))
             break
@@ -410,7 +410,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, kind), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return joined.select("doc_id", "text", "spans", "n").mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
+    return joined.select("doc_id", "text", "spans", "n").mapInArrow(lean(run), "doc_id long, n_bytes long, removed array<struct<lo:int,hi:int>>, kept binary")
 
 
 def whole_characters(text: str, cut: list[tuple[int, int]]) -> str:
