@@ -92,38 +92,58 @@ def _without_dots(segments: Column) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
+def _let(body, **values: Column) -> Column:
+    """body of a struct of values, each of which is evaluated once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute URL of any form of reference, without its fragment (RFC 3986, as the standard library joins).
 
     base is an absolute URL of a site. A reference to another scheme without // stays as it is; null where either is null.
     """
-    h = _stripped(href)
-    scheme, authority = F.lower(_part(base, 1)), _part(base, 2)
-    own = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    # a reference that names the base's scheme and no authority is a relative one
-    after = F.substring(h, F.length(own) + 2, F.length(h))
-    rest = F.when((own == scheme) & ~after.rlike("^//[^/?]"), after).otherwise(h)
-    other = rest.rlike("^//[^/?]")
-    # an authority that is empty is none, nor is a query
-    rest = F.when(other, rest).otherwise(F.regexp_replace(F.regexp_replace(rest, r"^//(?=[/?]|$)", ""), r"^\?$", ""))
-    path, query = F.regexp_extract(rest, r"(?s)^([^?]*)", 1), F.regexp_extract(rest, r"(?s)^[^?]*(\?.+)$", 1)
-    root = F.concat(scheme, F.lit("://"), authority)
-    parent = F.split(F.when(_part(base, 3) == "", F.lit("/")).otherwise(_part(base, 3)), "/")
-    folder = F.slice(parent, 1, F.greatest(F.size(parent) - 1, F.lit(1)))
-    steps = F.concat(folder, F.split(path, "/"))
-    # empty steps within a joined path are dropped, at its ends they stay
-    steps = F.concat(F.slice(steps, 1, 1), F.filter(F.slice(steps, 2, F.greatest(F.size(steps) - 2, F.lit(0))), lambda x: x != ""), F.slice(steps, -1, 1))
-    whole = F.when(own == scheme, F.concat(own, F.lit(":"), after)).otherwise(h)
-    return (
-        F.when(base.isNull() | href.isNull(), F.lit(None))
-        .when((own != "") & ((own != scheme) | after.rlike("^//[^/?]")), F.when(own == scheme, F.regexp_replace(whole, r"\?$", "")).otherwise(whole))
-        .when(F.regexp_replace(href, r"\s", "").eqNullSafe("") & ~base.contains("#"), base)
-        .when(rest == "", F.regexp_replace(F.concat(root, F.regexp_replace(F.substring(base, F.length(root) + 1, F.length(base)), r"(?s)#.*$", "")), r"\?$", ""))
-        .when(other, F.concat(scheme, F.lit(":"), F.regexp_replace(rest, r"\?$", "")))
-        .when(path == "", F.concat(root, _part(base, 3), query))
-        .when(path.startswith("/"), F.concat(root, _without_dots(F.split(path, "/")), query))
-        .otherwise(F.concat(root, _without_dots(steps), query))
-    )
+    no_query = lambda x: F.regexp_replace(x, r"\?$", "")
+
+    def split(s: Column) -> Column:
+        own = F.lower(F.regexp_extract(s["h"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+        return _let(relative, own=own, after=F.substring(s["h"], F.length(own) + 2, F.length(s["h"])), **{k: s[k] for k in ("h", "scheme", "root", "folder", "base", "empty")})
+
+    def relative(s: Column) -> Column:
+        # a reference that names the base's scheme and no authority is a relative one
+        named = s["after"].rlike("^//[^/?]")
+        rest = F.when((s["own"] == s["scheme"]) & ~named, s["after"]).otherwise(s["h"])
+        absolute = (s["own"] != "") & ((s["own"] != s["scheme"]) | named)
+        return _let(bare, rest=rest, absolute=absolute, **{k: s[k] for k in ("own", "after", "h", "scheme", "root", "folder", "base", "empty")})
+
+    def bare(s: Column) -> Column:
+        other = s["rest"].rlike("^//[^/?]")
+        # an authority that is empty is none, nor is a query
+        rest = F.when(other, s["rest"]).otherwise(F.regexp_replace(F.regexp_replace(s["rest"], r"^//(?=[/?]|$)", ""), r"^\?$", ""))
+        return _let(parted, other=other, rest=rest, **{k: s[k] for k in ("absolute", "own", "after", "h", "scheme", "root", "folder", "base", "empty")})
+
+    def parted(s: Column) -> Column:
+        path, query = F.regexp_extract(s["rest"], r"(?s)^([^?]*)", 1), F.regexp_extract(s["rest"], r"(?s)^[^?]*(\?.+)$", 1)
+        return _let(joined, path=path, query=query, **{k: s[k] for k in ("other", "rest", "absolute", "own", "after", "h", "scheme", "root", "folder", "base", "empty")})
+
+    def joined(s: Column) -> Column:
+        parent = F.split(F.when(s["folder"] == "", F.lit("/")).otherwise(s["folder"]), "/")
+        steps = F.concat(F.slice(parent, 1, F.greatest(F.size(parent) - 1, F.lit(1))), F.split(s["path"], "/"))
+        # empty steps within a joined path are dropped, at its ends they stay
+        steps = F.concat(F.slice(steps, 1, 1), F.filter(F.slice(steps, 2, F.greatest(F.size(steps) - 2, F.lit(0))), lambda x: x != ""), F.slice(steps, -1, 1))
+        page = F.regexp_replace(F.substring(s["base"], F.length(s["root"]) + 1, F.length(s["base"])), r"(?s)#.*$", "")
+        return (
+            F.when(s["absolute"], F.when(s["own"] == s["scheme"], no_query(F.concat(s["own"], F.lit(":"), s["after"]))).otherwise(s["h"]))
+            .when(s["empty"] & ~s["base"].contains("#"), s["base"])
+            .when(s["rest"] == "", no_query(F.concat(s["root"], page)))
+            .when(s["other"], F.concat(s["scheme"], F.lit(":"), no_query(s["rest"])))
+            .when(s["path"] == "", F.concat(s["root"], s["folder"], s["query"]))
+            .when(s["path"].startswith("/"), F.concat(s["root"], _without_dots(F.split(s["path"], "/")), s["query"]))
+            .otherwise(F.concat(s["root"], _without_dots(steps), s["query"]))
+        )
+
+    empty = F.regexp_replace(href, r"\s", "").eqNullSafe("")
+    whole = _let(split, h=_stripped(href), scheme=F.lower(_part(base, 1)), root=F.concat(F.lower(_part(base, 1)), F.lit("://"), _part(base, 2)), folder=_part(base, 3), base=base, empty=empty)
+    return F.when(base.isNotNull() & href.isNotNull(), whole)
 
 
 def join_url(base: str | None, href: str | None) -> str | None:
