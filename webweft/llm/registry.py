@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webweft.llm import ann, bpe, decontaminate, deleted_lm, hard_negatives, imatch, license_scan, line_dedup, packing, quality, simhash, suffix_dedup
+from webweft.llm import ann, bpe, collocations, decontaminate, deleted_lm, hard_negatives, imatch, license_scan, line_dedup, packing, quality, simhash, suffix_dedup
 
-MODULES = (simhash, suffix_dedup, bpe, packing, quality, deleted_lm, ann, imatch, line_dedup, license_scan, hard_negatives, decontaminate)
+MODULES = (simhash, suffix_dedup, bpe, packing, quality, deleted_lm, ann, imatch, line_dedup, license_scan, hard_negatives, collocations, decontaminate)
 
 
 def queries() -> dict:
