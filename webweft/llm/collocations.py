@@ -28,7 +28,7 @@ from webweft.llm.wordhash import LOWER_CASE, UPPER_CASE, Filter, counted, hashes
 #: Words of a phrase, its least count, and how many phrases of a language are reported.
 LONGEST, LEAST, TOP = 5, 100, 2_000
 #: Bytes of text in a shard, hashes that a task counts before it sends them, and rows that it sends together.
-SHARD, COMBINE, ROWS = 8 << 20, 2_000_000, 100_000
+SHARD, COMBINE, ROWS = 2 << 20, 500_000, 50_000
 #: Parts in which a language's phrases are ranked first.
 SALTS = 64
 

@@ -42,17 +42,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def texts(batch: pa.RecordBatch, column: int, most: int = CHUNK) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, bytes in lower case, each row's end): texts laid end to end with a line break after each; a null is empty."""
-    joined = pc.binary_join_element_wise(pc.fill_null(batch.column(column).cast(pa.large_string()), ""), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
-    if isinstance(joined, pa.ChunkedArray):
-        joined = joined.combine_chunks()
-    if not len(joined):
-        return
-    offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
-    data = np.frombuffer(joined.buffers()[2], np.uint8)
+    column_ = pc.fill_null(batch.column(column), "")
+    size = np.append(0, np.cumsum(pc.binary_length(column_).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
     lo = 0
-    while lo < len(joined):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
-        yield slice(lo, hi), LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo + 1 : hi + 1] - offsets[lo]
+    while lo < len(column_):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, side="right")) - 1)
+        # only what is taken together is copied
+        joined = pc.binary_join_element_wise(column_.slice(lo, hi - lo).cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        data = np.frombuffer(joined.buffers()[2], np.uint8)[: size[hi] - size[lo]]
+        yield slice(lo, hi), LOWER[data], size[lo + 1 : hi + 1] - size[lo]
         lo = hi
 
 
