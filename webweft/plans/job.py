@@ -32,6 +32,7 @@ class Result:
     saved: dict | None
     elapsed: float = 0.0
     tables: list[Stored] = field(default_factory=list)
+    session: live.LiveSession | None = None  # of a live crawl: what it knows of its domains
 
     def stats(self, top_n: int = 10) -> dict:
         """Figures of the pages, the crawl, retries, sitemaps, robots and storage."""
@@ -50,11 +51,17 @@ class Result:
         """Each page's last attempt as retry.attempt_log() has it, for the error report."""
         return self.visited.select("url", F.greatest(F.col("attempts") - 1, F.lit(0)).alias("n"), "kind", F.col("status_code").alias("status"), F.lit(True).alias("last"), F.lit(None).cast("double").alias("delay"))
 
+    def breakers(self) -> DataFrame | None:
+        """State of each domain's breaker at the end of a live crawl, as breaker.breaker_states() has it of a log."""
+        return self.session.breaker_states() if self.session is not None and self.session.manners.breaker else None
+
     def close(self) -> None:
         """Deletes the run's tables; its DataFrames can't be read any more. A second call does nothing."""
         for t in self.tables:
             t.drop()
         self.tables = []
+        if self.session is not None:
+            self.session.close()
 
     def __enter__(self) -> Result:
         return self
@@ -115,14 +122,16 @@ class CrawlJob:
             tables.append(Stored(df, tag))
             return tables[-1].df
 
+        # one session for the whole crawl: breakers, slots and pauses hold from its sitemaps to its last level
+        session = live.LiveSession(self.spark, self.manners, on_retry=self.on_retry) if snapshot is None else None
         parts, files_read = [self._listed(self.cfg["start_urls"])], None
         if self.cfg["sitemaps"]:
-            payloads = sitemap_files if sitemap_files is not None else lambda asked: live.fetch_live(asked, self.manners).select("url", "payload")
+            payloads = sitemap_files if sitemap_files is not None else lambda asked: session.fetch(asked).select("url", "payload")
             found, files_read = sitemap_tree(payloads, self._listed(self.cfg["sitemaps"]))
             parts.append(found.orderBy("depth", "parent", "pos").select("url", F.monotonically_increasing_id().alias("pos")))
         seeds = kept(frontier.seed_union(*parts).orderBy("part", "pos").select("url", F.monotonically_increasing_id().alias("pos")), "seeds")
 
-        answer = self._answer(snapshot, robots_files, kept)
+        answer = self._answer(snapshot, robots_files, kept, session)
         visited = frontier.crawl(answer, seeds, c["max_pages"], c["max_depth"], c["same_domain_only"], None, f["exclude_patterns"], f["include_patterns"], self._level_seen(began))
         records = kept(store.make_record(visited.where("ok").select("page", "status_code", "content_type")), "records")
         size = F.when(F.col("ok"), F.length("page.text")).otherwise(F.lit(0)).cast("long")
@@ -133,7 +142,7 @@ class CrawlJob:
                 saver.save(records)
             saved = saver.stats()
         blocked = visited.where(F.col("error") == BARRED).select("url") if c["respect_robots"] else None
-        result = Result(visited, records, events, files_read, blocked, saved, time.monotonic() - began, tables)
+        result = Result(visited, records, events, files_read, blocked, saved, time.monotonic() - began, tables, session)
         wanted = self.cfg["report"]
         if wanted["json"] or wanted["html"]:
             figures = result.stats()
@@ -158,11 +167,11 @@ class CrawlJob:
 
         return tell
 
-    def _answer(self, snapshot: DataFrame | None, robots_files: DataFrame | None, kept: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def _answer(self, snapshot: DataFrame | None, robots_files: DataFrame | None, kept: Callable[[DataFrame, str], DataFrame], session: live.LiveSession | None) -> Callable[[DataFrame], DataFrame]:
         """What a level's URLs are answered with: by the snapshot or live, those that robots.txt forbids failing unasked."""
         c = self.cfg["crawler"]
         if snapshot is None:
-            ask = lambda asked: live.fetch_live(asked, self.manners, on_retry=self.on_retry)
+            ask = session.fetch
         else:
             has = set(snapshot.columns)
             status = (F.col("status_code") if "status_code" in has else F.lit(200)).cast("int")

@@ -1,7 +1,10 @@
 """Live HTTP: URLs are dealt out by domain, and a task fetches its domains' URLs with manners.
 
-In a task, at most max_concurrent requests are under way, max_per_domain of a domain; a domain's requests keep their
+Over all tasks at most max_concurrent requests are under way, max_per_domain of a domain: domains are dealt to lanes,
+one task each, and the lanes share max_concurrent out by what they have to do. A domain's requests keep their
 pauses and pass its breaker; failures that another try may mend are tried again. Rows come as they end.
+A LiveSession fetches one level of a crawl after another: what is known of a domain (its breaker, its next slot, its
+Crawl-delay) is a table, of which a level reads what it needs and to which it adds what it has changed.
 As a data source: spark.dataSource.register(HttpSource); spark.read.format("webweft_http").option("urls", json list).load()
 """
 
@@ -18,11 +21,11 @@ from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
-from functools import lru_cache, partial
-from http.client import HTTPConnection, HTTPException, HTTPSConnection
+from itertools import chain
+from http.client import HTTPConnection, HTTPException, HTTPSConnection, InvalidURL
 from urllib.error import HTTPError, URLError
-from urllib.parse import urlsplit
-from urllib.request import HTTPHandler, HTTPSHandler, Request, build_opener
+from urllib.parse import urljoin, urlsplit
+from urllib.request import Request
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,9 +95,7 @@ def pause(m: Manners, retry: int, status: int | None, asked: float | None) -> fl
 class _Opened(HTTPConnection):
     """Connects within one time and reads within another."""
 
-    def __init__(self, *args, read_timeout: float, **kw):
-        super().__init__(*args, **kw)
-        self.read_timeout = read_timeout
+    read_timeout = 10.0
 
     def connect(self) -> None:
         super().connect()
@@ -105,54 +106,141 @@ class _OpenedSafely(_Opened, HTTPSConnection):
     pass
 
 
-class _Plain(HTTPHandler):
-    read_timeout = 10.0
+#: Answers that lead elsewhere, and how often one URL may.
+REDIRECTS, MOST_REDIRECTS = (301, 302, 303, 307, 308), 10
+#: Bytes of an answer without use that are read so that its connection can serve again.
+DRAIN = 64 * 1024
 
-    def http_open(self, req):
-        return self.do_open(partial(_Opened, read_timeout=self.read_timeout), req)
 
+class _Answer:
+    """An answer whose connection goes back to its keeper once it was read whole."""
 
-class _Safe(HTTPSHandler):
-    read_timeout = 10.0
+    def __init__(self, response, give_back: Callable[[bool], None]):
+        self.response, self.give_back = response, give_back
+        self.status, self.headers = response.status, response.headers
 
-    def https_open(self, req):
-        return self.do_open(partial(_OpenedSafely, read_timeout=self.read_timeout), req)
+    def read(self, n: int) -> bytes:
+        return self.response.read(n)
 
+    def __enter__(self) -> _Answer:
+        return self
 
-@lru_cache(maxsize=64)
-def _opener(read_timeout: float):
-    handlers = _Plain(), _Safe()
-    for h in handlers:
-        h.read_timeout = read_timeout
-    return build_opener(*handlers)
+    def __exit__(self, *exc) -> None:
+        whole = exc[0] is None and self.response.isclosed()
+        self.response.close()
+        self.give_back(whole)
 
 
-def open_url(request: Request, connect_timeout: float, read_timeout: float):
-    return _opener(read_timeout).open(request, timeout=connect_timeout)
+class Connections:
+    """Opens requests, over connections that are kept open between them: one thread's at a time."""
+
+    def __init__(self):
+        self.lock, self.idle = threading.Lock(), {}
+
+    def _send(self, scheme: str, host: str, target: str, headers: dict, connect_timeout: float, read_timeout: float):
+        with self.lock:
+            kept = self.idle.get((scheme, host))
+            c = kept.pop() if kept else None
+        for again in (c is not None, False):
+            if c is None:
+                c = (_OpenedSafely if scheme == "https" else _Opened)(host, timeout=connect_timeout)
+            c.read_timeout = read_timeout
+            if c.sock is not None:
+                c.sock.settimeout(read_timeout)
+            try:
+                c.request("GET", target, headers=headers)
+                return c, c.getresponse()
+            except (ConnectionError, HTTPException) as e:
+                c.close()
+                if not again or isinstance(e, InvalidURL):
+                    raise
+                c = None  # the site closed it meanwhile
+            except BaseException:
+                c.close()
+                raise
+        raise AssertionError
+
+    def __call__(self, request: Request, connect_timeout: float, read_timeout: float) -> _Answer:
+        url = request.full_url
+        for _ in range(MOST_REDIRECTS + 1):
+            parts = urlsplit(url)
+            scheme, host = parts.scheme.lower(), parts.netloc.rpartition("@")[2]
+            if scheme not in ("http", "https") or not host:
+                raise ValueError(f"no site in {url!r}")
+            target = (parts.path or "/") + ("?" + parts.query if parts.query else "")
+            c, r = self._send(scheme, host, target, dict(request.header_items()), connect_timeout, read_timeout)
+
+            def give_back(whole: bool, c=c, r=r, key=(scheme, host)) -> None:
+                if whole and not r.will_close:
+                    with self.lock:
+                        self.idle.setdefault(key, []).append(c)
+                else:
+                    c.close()
+
+            to = r.headers.get("Location") if r.status in REDIRECTS else None
+            if to is None and r.status < 400:
+                return _Answer(r, give_back)
+            with _Answer(r, give_back) as left:
+                left.read(DRAIN)
+                left.read(1)
+            if to is None:
+                break
+            url = urljoin(url, to)
+        raise HTTPError(url, r.status, r.reason, r.headers, None)
+
+    def close(self) -> None:
+        with self.lock:
+            for kept in self.idle.values():
+                for c in kept:
+                    c.close()
+            self.idle.clear()
+
+
+@dataclass(frozen=True)
+class Known:
+    """What is known of a domain from earlier requests."""
+
+    state: str = "closed"
+    results: tuple[bool, ...] = ()
+    opened_at: int = 0
+    opened: int = 0
+    rejected: int = 0
+    free_us: int = 0  # when its next slot is
+    floor: float = 0.0  # the longest Crawl-delay so far
 
 
 class _Domain:
-    def __init__(self, m: Manners, free: float):
-        self.lock, self.places, self.free = threading.Lock(), threading.Semaphore(m.max_per_domain), free
-        self.breaker = Machine(m.breaker) if m.breaker else None
-        self.floor = 0.0
+    def __init__(self, m: Manners, known: Known):
+        self.lock, self.places, self.free, self.floor = threading.Lock(), threading.Semaphore(m.max_per_domain), known.free_us / 1e6, known.floor
+        self.breaker = Machine(m.breaker, known.state, known.results, known.opened_at, known.opened, known.rejected) if m.breaker else None
+
+    def known(self) -> Known:
+        b = self.breaker
+        of = (b.state, tuple(b.results), b.opened_at, b.opened, b.rejected) if b else ("closed", (), 0, 0, 0)
+        return Known(*of, int(self.free * 1e6), self.floor)
 
 
 class Fetcher:
     """Fetches URLs of one task. Clock, sleep, opener and random numbers can be given, for tests.
 
-    on_retry(url, attempt, kind, pause) is called before each new try.
+    places: requests that may be under way here, where it is not all of max_concurrent. known: of some domains what
+    earlier requests have shown. on_retry(url, attempt, kind, pause) is called before each new try.
     """
 
-    def __init__(self, m: Manners, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep, opener=open_url, rand: Callable[[], float] = random.random, on_retry: Callable | None = None):
-        self.m, self.clock, self.sleep, self.opener, self.rand, self.on_retry = m, clock, sleep, opener, rand, on_retry
+    def __init__(self, m: Manners, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep, opener: Callable | None = None, rand: Callable[[], float] = random.random, on_retry: Callable | None = None, places: int | None = None, known: dict[str, Known] | None = None):
+        self.m, self.clock, self.sleep, self.opener, self.rand, self.on_retry = m, clock, sleep, opener or Connections(), rand, on_retry
         self.domains: dict[str, _Domain] = {}
+        self.places, self.known = places or m.max_concurrent, known if known is not None else {}
         self.lock, self.turn, self.active, self.peak = threading.Lock(), 0, 0, 0
 
     def _domain(self, url: str) -> _Domain:
         with self.lock:
-            # the requests of an earlier job may just have ended, so the first keeps its pause too
-            return self.domains.setdefault(domain_of(url), _Domain(self.m, self.clock() + self.m.gap if self.m.gap else 0.0))
+            name = domain_of(url)
+            if name not in self.domains:
+                # of a domain of which nothing is known requests of another job may just have ended, so the first keeps its pause too
+                first = Known(free_us=int((self.clock() + self.m.gap) * 1e6) if self.m.gap else 0)
+                self.domains[name] = _Domain(self.m, self.known.get(name, first))
+            return self.domains[name]
 
     def _slot(self, d: _Domain) -> None:
         """Waits for the domain's next slot and takes it."""
@@ -249,8 +337,8 @@ class Fetcher:
         asked, parked = iter(asked), {}
         running: dict = {}
         busy: dict[str, int] = {}
-        room = 16 * self.m.max_concurrent  # URLs that wait here for a place of their domain
-        with ThreadPoolExecutor(self.m.max_concurrent) as pool:
+        room = 16 * self.places  # URLs that wait here for a place of their domain
+        with ThreadPoolExecutor(self.places) as pool:
             more, held = True, 0
 
             def begin(url: str, delay: float) -> None:
@@ -259,7 +347,7 @@ class Fetcher:
                 running[pool.submit(self.fetch, url, delay)] = name
 
             while more or running or held:
-                while len(running) < self.m.max_concurrent:
+                while len(running) < self.places:
                     ready = next((d for d, q in parked.items() if q and busy.get(d, 0) < self.m.max_per_domain), None)
                     if ready is not None:
                         begin(*parked[ready].popleft())
@@ -289,24 +377,151 @@ class Fetcher:
 
 _KINDS = (pa.string(), pa.string(), pa.binary(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.timestamp("us", tz="UTC"))
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: What is known of a domain, as a row.
+KNOWN = "domain string, state string, results array<boolean>, opened_at long, opened int, rejected int, free_us long, floor double"
+_KNOWN_KINDS = (pa.string(), pa.string(), pa.list_(pa.bool_()), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+_KNOWN_NAMES = [x.split()[0] for x in KNOWN.split(", ")]
+#: Rows that a task hands on together, and the longest that a row waits for others, in seconds.
+ROWS, LINGER = 100, 0.5
+#: Domains with most URLs that are dealt to lanes one by one, for each lane; others are dealt by hash.
+HEAVY = 16
+
+
+def shares(total: int, loads: list[int]) -> list[int]:
+    """total shared out in proportion to the loads; what has a load gets 1 at least, if there are no more of those than total."""
+    out = [int(n > 0) for n in loads]
+    left, all_ = total - sum(out), max(1, sum(loads))
+    exact = [left * n / all_ for n in loads]
+    out = [a + int(x) for a, x in zip(out, exact)]
+    for k in sorted(range(len(loads)), key=lambda k: (int(exact[k]) - exact[k], k))[: total - sum(out)]:
+        out[k] += loads[k] > 0
+    return out
+
+
+def _lanes(rows: DataFrame, most: int) -> tuple[DataFrame, list[int]]:
+    """rows with a column lane, by domain, and each lane's load. The domains with most rows go where least is."""
+    counts = rows.groupBy("domain").agg(F.count("*").alias("n"))
+    heavy = [(r["domain"], r.n) for r in counts.orderBy(F.desc("n"), "domain").limit(HEAVY * most).collect()]
+    rest = counts.join(F.broadcast(rows.sparkSession.createDataFrame(heavy, "domain string, n long").select("domain")), "domain", "left_anti") if len(heavy) == HEAVY * most else None
+    by_hash = F.pmod(F.xxhash64("domain"), F.lit(most)).cast("int")
+    loads = [0] * most
+    for r in rest.groupBy(by_hash.alias("lane")).agg(F.sum("n").alias("n")).collect() if rest is not None else ():
+        loads[r.lane] = r.n
+    dealt = []
+    for domain, n in heavy:
+        lane = loads.index(min(loads))
+        loads[lane] += n
+        dealt.append((domain, lane))
+    dealt = rows.sparkSession.createDataFrame(dealt, "domain string, __lane int")
+    out = rows.join(F.broadcast(dealt), "domain", "left").withColumn("lane", F.coalesce("__lane", by_hash)).drop("__lane")
+    return out, loads
+
+
+def _fetched(asked: DataFrame, manners: Manners, partitions: int, on_retry: Callable | None, known: DataFrame | None) -> DataFrame:
+    """Rows of SCHEMA and, after a lane's pages, of KNOWN, what is known of its domains then."""
+    delay = F.coalesce(F.max("crawl_delay"), F.lit(0.0)) if "crawl_delay" in asked.columns else F.lit(0.0)
+    rows = asked.where("url is not null").groupBy("url").agg(delay.cast("double").alias("crawl_delay")).withColumn("domain", F.coalesce(url_functions.domain(F.col("url")), F.lit("")))
+    rows = Stored(rows, "asked").df  # links of a level may come from afar
+    most = max(1, min(partitions, manners.max_concurrent))
+    rows, loads = _lanes(rows, most)
+    places = shares(manners.max_concurrent, loads)
+    if known is not None:
+        of = known.select("domain", F.struct(*_KNOWN_NAMES[1:]).alias("known"))
+        rows = rows.join(of, "domain", "left")
+    else:
+        rows = rows.withColumn("known", F.lit(None))
+    rows = rows.select("url", "crawl_delay", "lane", "known").repartitionById(most, F.col("lane"))
+
+    def batch(pages: list[tuple], ends: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array([r[k] for r in pages] + [None] * len(ends), t) for k, t in enumerate(_KINDS)]
+        after = [pa.array([None] * len(pages) + [r[k] for r in ends], t) for k, t in enumerate(_KNOWN_KINDS)]
+        return pa.RecordBatch.from_arrays([*own, *after], names=[*_NAMES, *_KNOWN_NAMES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
+        if first is None:
+            return
+        seen: dict[str, Known] = {}
+        fetcher = Fetcher(manners, on_retry=on_retry, places=places[first.column(2)[0].as_py()], known=seen)
+
+        def pairs() -> Iterator[tuple[str, float]]:
+            for b in chain([first], batches):
+                for url, delay, has in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
+                    if has is not None:
+                        seen.setdefault(domain_of(url), Known(**{**has, "results": tuple(has["results"])}))
+                    yield url, delay
+
+        pages: list[tuple] = []
+        since = time.monotonic()
+        for row in fetcher.all(pairs()):
+            pages.append(row)
+            if len(pages) >= ROWS or time.monotonic() - since > LINGER:
+                yield batch(pages, [])
+                pages, since = [], time.monotonic()
+        ends = []
+        for name, d in fetcher.domains.items():
+            k = d.known()
+            ends.append((name, k.state, list(k.results), k.opened_at, k.opened, k.rejected, k.free_us, k.floor))
+        yield batch(pages, ends)
+
+    return rows.mapInArrow(run, f"{SCHEMA}, {KNOWN}")
 
 
 def fetch_live(asked: DataFrame, manners: Manners = Manners(), partitions: int = 8, on_retry: Callable | None = None) -> DataFrame:
     """Rows of SCHEMA for the distinct URLs of asked (url[, crawl_delay]); null URLs take no part.
 
-    Domains are dealt to partitions, so one task alone keeps a domain's pauses and breaker; a lost task is fetched
+    Domains are dealt to at most `partitions` lanes, so one task alone keeps a domain's pauses and breaker, and all of them
+    together have no more than max_concurrent requests under way; a lost task is fetched
     again from its start. Store the result before it is read twice. on_retry runs on the executors.
     """
-    delay = F.coalesce(F.max("crawl_delay"), F.lit(0.0)) if "crawl_delay" in asked.columns else F.lit(0.0)
-    rows = asked.where("url is not null").groupBy("url").agg(delay.cast("double").alias("crawl_delay"))
-    rows = rows.repartition(partitions, url_functions.domain(F.col("url")))
+    return _fetched(asked, manners, partitions, on_retry, None).where("url is not null").select(*_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for row in Fetcher(manners, on_retry=on_retry).all(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], names=_NAMES)
 
-    return rows.mapInArrow(run, SCHEMA)
+class LiveSession:
+    """fetch_live() time after time, each going on with what those before have shown of a domain: its breaker, its next
+    slot and its longest Crawl-delay.
+
+    Each fetch stores its pages, and what it has changed of its domains; after MOST_CHANGES these become one table.
+    """
+
+    MOST_CHANGES = 16
+
+    def __init__(self, spark: SparkSession, manners: Manners = Manners(), partitions: int = 8, on_retry: Callable | None = None):
+        self.spark, self.manners, self.partitions, self.on_retry = spark, manners, partitions, on_retry
+        self.tables: list[Stored] = []
+        self.changes: list[DataFrame] = []
+
+    def fetch(self, asked: DataFrame) -> DataFrame:
+        """Rows of SCHEMA, fetched once."""
+        got = Stored(_fetched(asked, self.manners, self.partitions, self.on_retry, self.known() if self.changes else None), "fetched")
+        self.tables.append(got)
+        self.changes.append(got.df.where("domain is not null").select(*_KNOWN_NAMES))
+        if len(self.changes) > self.MOST_CHANGES:
+            whole = Stored(self.known(), "known")
+            self.tables.append(whole)
+            self.changes = [whole.df]
+        return got.df.where("url is not null").select(*_NAMES)
+
+    def known(self) -> DataFrame:
+        """Rows of KNOWN: of each domain what its last fetch has left."""
+        rows = self.spark.createDataFrame([], KNOWN).withColumn("turn", F.lit(-1))
+        for k, change in enumerate(self.changes):
+            rows = rows.union(change.withColumn("turn", F.lit(k)))
+        last = rows.groupBy("domain").agg(F.max_by(F.struct(*_KNOWN_NAMES[1:]), "turn").alias("k"))
+        return last.select("domain", "k.*")
+
+    def breaker_states(self, now_us: int | None = None) -> DataFrame:
+        """(domain, state, opened_times, rejected, failure_rate), as breaker.breaker_states() gives them of a log."""
+        now = F.lit(now_us if now_us is not None else int(time.time() * 1_000_000))
+        due = (F.col("state") == "open") & (now - F.col("opened_at") >= (self.manners.breaker or Breaker()).recovery_us)
+        rate = F.coalesce(F.try_divide(F.size(F.filter("results", lambda ok: ~ok)), F.size("results")), F.lit(0.0))
+        return self.known().select("domain", F.when(due, "half_open").otherwise(F.col("state")).alias("state"), F.col("opened").alias("opened_times"), "rejected", rate.alias("failure_rate"))
+
+    def close(self) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables, self.changes = [], []
 
 
 def robots_files(origins: DataFrame, manners: Manners = Manners(), partitions: int = 8) -> DataFrame:
@@ -344,28 +559,29 @@ class RobotsCache:
 
 
 class _Part(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
+    def __init__(self, urls: list[str], places: int):
+        self.urls, self.places = urls, places
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         o = dict(options)
-        self.urls, self.n = list(dict.fromkeys(json.loads(o.get("urls", "[]")))), int(o.get("partitions", 8))
-        self.manners = Manners((o.get("agent", "webweft/1.0"),), rps=float(o["rps"]) if "rps" in o else None, read_timeout=float(o.get("timeout", 10)), retries=int(o.get("retries", 2)))
+        self.manners = Manners((o.get("agent", "webweft/1.0"),), int(o.get("max_concurrent", 10)), rps=float(o["rps"]) if "rps" in o else None, read_timeout=float(o.get("timeout", 10)), retries=int(o.get("retries", 2)))
+        self.urls, self.n = list(dict.fromkeys(json.loads(o.get("urls", "[]")))), min(int(o.get("partitions", 8)), self.manners.max_concurrent)
 
     def partitions(self) -> list[InputPartition]:
         by: dict[int, list[str]] = {}
         for u in self.urls:
             by.setdefault(zlib.crc32(domain_of(u).encode()) % self.n, []).append(u)
-        return [_Part(v) for v in by.values()] or [_Part([])]
+        places = shares(self.manners.max_concurrent, [len(v) for v in by.values()])
+        return [_Part(v, n) for v, n in zip(by.values(), places)] or [_Part([], 1)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        return Fetcher(self.manners).all((u, 0.0) for u in partition.urls)
+        return Fetcher(self.manners, places=partition.places).all((u, 0.0) for u in partition.urls)
 
 
 class HttpSource(DataSource):
-    """Options: urls (JSON list; for long ones use fetch_live), agent, rps (a domain), timeout, retries, partitions."""
+    """Options: urls (JSON list; for long ones use fetch_live), agent, rps (a domain), max_concurrent, timeout, retries, partitions."""
 
     @classmethod
     def name(cls) -> str:
