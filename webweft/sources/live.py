@@ -421,10 +421,12 @@ def _fetched(asked: DataFrame, manners: Manners, partitions: int, on_retry: Call
     """Rows of SCHEMA and, after a lane's pages, of KNOWN, what is known of its domains then."""
     delay = F.coalesce(F.max("crawl_delay"), F.lit(0.0)) if "crawl_delay" in asked.columns else F.lit(0.0)
     rows = asked.where("url is not null").groupBy("url").agg(delay.cast("double").alias("crawl_delay")).withColumn("domain", F.coalesce(url_functions.domain(F.col("url")), F.lit("")))
-    rows = Stored(rows, "asked").df  # links of a level may come from afar
     most = max(1, min(partitions, manners.max_concurrent))
-    rows, loads = _lanes(rows, most)
-    places = shares(manners.max_concurrent, loads)
+    if most == 1:
+        rows, places = rows.withColumn("lane", F.lit(0)), [manners.max_concurrent]
+    else:
+        rows, loads = _lanes(Stored(rows, "asked").df, most)  # stored, as links of a level may come from afar
+        places = shares(manners.max_concurrent, loads)
     if known is not None:
         of = known.select("domain", F.struct(*_KNOWN_NAMES[1:]).alias("known"))
         rows = rows.join(of, "domain", "left")
