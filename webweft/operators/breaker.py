@@ -1,6 +1,7 @@
 """Circuit breakers: each domain's requests in order, taken through the states of a breaker.
 
-One machine, Machine, stands behind the batch log, the stream and the live source.
+One machine, Machine, stands behind the batch log, the stream and the live source. A log is cut evenly, whatever its
+domains, and what its spans do to a breaker is composed (breaker_spans); only where requests overlap does one task fold a domain.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webweft.operators import breaker_spans
 from webweft.operators.fold import fold
 
 
@@ -113,27 +115,33 @@ def breaker_states(log: DataFrame, breaker: Breaker = Breaker(), key: str = "dom
     without one, each ends before the next. With now_us, an open breaker whose time is over shows as half_open. A
     null time takes no part; a null domain is one; an empty log gives no rows.
     """
-    kind = log.schema[key].dataType.simpleString()
+    schema = f"{key} {log.schema[key].dataType.simpleString()}, state string, opened_times int, rejected int, failure_rate double"
 
     def finish(m: Machine, name) -> tuple:
         m.end()
         return name, m.shown(now_us), m.opened, m.rejected, m.rate
 
+    if end is None:
+        return breaker_spans.final_states(_timed(log, None), breaker, key, finish, schema)
+
     def step(m: Machine, name, us, i, ok, *ended) -> None:
         m.request(us, ok, *ended)
 
-    return fold(_timed(log, end), key, ("us", "id"), ("ok", *([end] if end else [])), lambda: Machine(breaker), step, finish, f"{key} {kind}, state string, opened_times int, rejected int, failure_rate double")
+    return fold(_timed(log, end), key, ("us", "id"), ("ok", *([end] if end else [])), lambda: Machine(breaker), step, finish, schema)
 
 
 def breaker_verdicts(log: DataFrame, breaker: Breaker = Breaker(), key: str = "domain", end: str | None = None) -> DataFrame:
     """(key, id, allowed, retry_after_us): what the breaker says to each request; retry_after_us is null if it may go."""
     kinds = {c: log.schema[c].dataType.simpleString() for c in (key, "id")}
+    schema = f"{key} {kinds[key]}, id {kinds['id']}, allowed boolean, retry_after_us long"
+    if end is None:
+        return breaker_spans.verdicts(_timed(log, None), breaker, key, schema)
 
     def step(m: Machine, name, us, i, ok, *ended) -> tuple:
         left = m.request(us, ok, *ended)
         return name, i, left is None, left
 
-    return fold(_timed(log, end), key, ("us", "id"), ("ok", *([end] if end else [])), lambda: Machine(breaker), step, lambda m, name: None, f"{key} {kinds[key]}, id {kinds['id']}, allowed boolean, retry_after_us long")
+    return fold(_timed(log, end), key, ("us", "id"), ("ok", *([end] if end else [])), lambda: Machine(breaker), step, lambda m, name: None, schema)
 
 
 def _timed(log: DataFrame, end: str | None) -> DataFrame:

@@ -18,13 +18,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH = 10_000
 
 
-def fold(log: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], start: Callable[[], Any], step: Callable[..., tuple | None], finish: Callable[[Any, Any], tuple | None], schema: str) -> DataFrame:
+def fold(log: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...], start: Callable[[], Any], step: Callable[..., tuple | None], finish: Callable[[Any, Any], tuple | None], schema: str, dealt: bool = False) -> DataFrame:
     """Rows of schema from step(state, key, *order, *columns) for each row and finish(state, key) after each key's last.
 
     start gives a new state, which step changes in place; either may give no row. Rows of equal order are taken as
-    they come. A null key is a key; a null in order comes first. An empty log gives no rows.
+    they come. A null key is a key; a null in order comes first. An empty log gives no rows. dealt: the log lies by key
+    and in order already, and a partition's rows of a key are folded by themselves.
     """
-    rows = log.select(key, *order, *columns).repartition(key).sortWithinPartitions(key, *order)
+    rows = log.select(key, *order, *columns)
+    rows = rows if dealt else rows.repartition(key).sortWithinPartitions(key, *order)
     types = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,22 +55,17 @@ def pause_us(rps: float = 1.0, min_delay: float = 0.0, crawl_delay: Column | Non
     return F.round(longest * 1_000_000).cast("long")
 
 
-def slots_with_pushback(log: DataFrame, rps: float = 1.0, key: str = "domain", at: str = "us", push: str = "push_us", jitter: str | None = None) -> DataFrame:
+def slots_with_pushback(log: DataFrame, rps: float = 1.0, key: str = "domain", at: str = "us", push: str = "push_us", jitter: str | None = None, span_us: int | None = None) -> DataFrame:
     """(key, id, slot_us): slots where a request may also hold back its domain: no later slot before its own + push.
 
     jitter names a column that is added to the pause after a request. Null push and jitter are 0; a request without a
-    time takes no part; a null domain is one.
+    time takes no part; a null domain is one. To hold back a domain is a longer pause after the request, so this is limiter_slots(),
+    with span_us in many tasks a domain.
     """
     gap = int(round(1_000_000 / rps))
-    kinds = {c: log.schema[c].dataType.simpleString() for c in (key, "id")}
-    rows = log.where(F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias("us"), "id", F.coalesce(F.col(push), F.lit(0)).cast("long").alias("push"), F.coalesce(F.col(jitter) if jitter else F.lit(0), F.lit(0)).cast("long").alias("extra"))
-
-    def step(free: list, name, us: int, i, push: int, extra: int) -> tuple:
-        slot = max(us, free[0]) if free else us
-        free[:] = [max(slot + gap + extra, slot + push)]
-        return name, i, slot
-
-    return fold(rows, key, ("us", "id"), ("push", "extra"), list, step, lambda s, name: None, f"{key} {kinds[key]}, id {kinds['id']}, slot_us long")
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c else F.lit(0)
+    rows = log.where(F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias("us"), "id", F.greatest(F.lit(gap) + whole(jitter), whole(push)).alias("pause"))
+    return limiter_slots(rows, F.col("pause"), key, span_us=span_us).select(key, "id", "slot_us")
 
 
 def limiter_gaps(slots: DataFrame, key: str = "domain") -> DataFrame:

@@ -434,7 +434,7 @@ SELECT domain, id, slot AS slot_us FROM s"""
 def limiter_pushback(spark, d):
     """Slots where a 503 holds back its domain for an hour."""
     log = request_log(spark, d).withColumn("push_us", F.when(F.col("status") == 503, F.lit(HOUR_US)))
-    return politeness.slots_with_pushback(log, rps=1 / 600).select("domain", "id", "slot_us")
+    return politeness.slots_with_pushback(log, rps=1 / 600, span_us=24 * HOUR_US).select("domain", "id", "slot_us")
 
 
 @query(f"SELECT id, 5000000::BIGINT AS pause_us FROM ({LOG}) WHERE id % 2 = 0 UNION ALL SELECT id, 2000000 FROM ({LOG}) WHERE id % 2 = 1")
