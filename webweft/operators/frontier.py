@@ -2,7 +2,8 @@
 
 Order is that of one worker: by depth, then the parent's rank, then the link's place; the first discovery
 of a node wins. With a small budget what is known stays on the driver and is broadcast, a level being one
-top-k; else a level is a table in the shared folder, of which the driver sees the row count alone.
+top-k; else what is known is a set of bucketed tables (seen.py), so that a level shuffles what it has found and nothing that
+was found before, and the driver sees row counts alone.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.functions import urls
 from webweft.operators import fetch
+from webweft.operators.seen import SeenSet
 from webweft.stored import Stored
 
 log = logging.getLogger("webweft.frontier")
@@ -27,47 +30,47 @@ class _OnDriver:
     """Levels of at most SMALL nodes in all."""
 
     def __init__(self, spark: SparkSession, budget: int):
-        self.spark, self.left, self.rows = spark, budget, []
+        self.spark, self.left, self.rows, self.known = spark, budget, [], set()
 
     def take(self, found: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        if self.rows:
-            found = unseen(found, F.broadcast(self.all()))
-        got = _in_order(found).limit(self.left).collect()
+        # a level's best, be they known or not: no more than twice SMALL
+        first = _in_order(found).limit(self.left + len(self.rows)).select("node").collect()
+        got = [r for r in first if r["node"] not in self.known][: self.left]
+        self.known.update(r["node"] for r in got)
         level = [(r["node"], depth, k) for k, r in enumerate(got)]
         self.rows += level
         self.left -= len(level)
-        return F.broadcast(self.spark.createDataFrame(level, _LEVEL)), len(level)
+        return F.broadcast(self._table(level)), len(level)
+
+    def _table(self, rows: list[tuple]) -> DataFrame:
+        kinds = (pa.string(), pa.int32(), pa.int64())
+        cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return self.spark.createDataFrame(pa.table(cols, names=["node", "depth", "rank"]))  # a local relation: no task reads it
 
     def all(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, _LEVEL)
+        return self._table(self.rows)
 
 
 class _InTables:
     """Levels of any size."""
 
     def __init__(self, spark: SparkSession, budget: int):
-        self.spark, self.left, self.tables = spark, budget, []
+        self.left, self.seen = budget, SeenSet(spark)
 
     def take(self, found: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        if self.tables:
-            found = unseen(found, self.all())
-        seen = Observation()
-        level = _in_order(found).select("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"))
-        level = Stored(level.observe(seen, F.count(F.lit(1)).alias("n")), "level")
-        n = seen.get["n"]
-        if n > self.left:  # only the last level is cut
-            cut = Stored(level.df.orderBy("rank").limit(self.left), "level")
-            level.drop()
-            level, n = cut, self.left
-        self.tables.append(level)
-        self.left -= n
-        return level.df, n
+        first = self.seen.unseen(_first_places(found)).orderBy("at", "node")
+        level = first.select("node", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank"))
+        table = self.seen.add(level)
+        if table.rows > self.left:  # only the last level is cut
+            self.seen.tables.remove(table)
+            cut = self.seen.add(table.df.orderBy("rank").limit(self.left))
+            table.drop()
+            table = cut
+        self.left -= table.rows
+        return table.df, table.rows
 
     def all(self) -> DataFrame:
-        out = self.tables[0].df
-        for t in self.tables[1:]:
-            out = out.union(t.df)
-        return out
+        return self.seen.all()
 
 
 def unseen(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -81,9 +84,14 @@ def within(rows: DataFrame, domains: DataFrame, url: str = "node") -> DataFrame:
     return rows.join(own, urls.normalize_domain(F.col(url)) == F.col("__domain"), "left_semi")
 
 
+def _first_places(rows: DataFrame) -> DataFrame:
+    """(node, at) of the distinct nodes of (node, parent, pos): where each was discovered first."""
+    return rows.groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at"))
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """Distinct nodes of (node, parent, pos), first discovered first."""
-    return rows.groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at")).orderBy("at", "node")
+    return _first_places(rows).orderBy("at", "node")
 
 
 def traverse(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], max_depth: int = 2, max_nodes: int = 100, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

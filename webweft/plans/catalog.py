@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webweft.functions import errors, html_native, html_tree, monitor, robots, sitemap, urls
-from webweft.operators import breaker, fetch, frontier, politeness, retry, stats, store
+from webweft.operators import breaker, fetch, frontier, politeness, retry, seen, stats, store
 from webweft.sources import readers, sinks, sitemaps
 from webweft.stored import Stored, shared_dir
 from webweft.streaming import events as streaming
@@ -558,6 +558,33 @@ def queue_order(spark, d):
     return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "seq")).cast("long")).select("item", "priority", "place")
 
 
+#: Rounds of offers, and items that are popped after each; after the last, all that is left.
+ROUNDS, POPPED = 4, 300
+
+
+def _rounds_sql() -> str:
+    parts = [f"o AS (SELECT o_custkey AS item, CAST(o_orderkey % 5 AS INTEGER) AS priority, o_orderkey AS seq, o_orderkey % {ROUNDS} AS turn FROM orders)"]
+    for r in range(ROUNDS):
+        earlier = f"WHERE turn = {r} AND item NOT IN (SELECT item FROM o WHERE turn < {r})"
+        parts.append(f"n{r} AS (SELECT item, arg_min(priority, seq) AS priority, min(seq) AS seq, {r + 1} AS turn FROM o {earlier} GROUP BY 1)")
+        parts.append(f"q{r} AS (SELECT * FROM n{r}" + (f" UNION ALL SELECT * FROM q{r - 1} WHERE item NOT IN (SELECT item FROM p{r - 1})" if r else "") + ")")
+        limit = f" LIMIT {POPPED}" if r < ROUNDS - 1 else ""
+        parts.append(f"p{r} AS (SELECT *, {r} AS round FROM q{r} ORDER BY priority DESC, turn, seq, item{limit})")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT item, priority, turn, round FROM p{r}" for r in range(ROUNDS))
+
+
+@query(_rounds_sql())
+def queue_rounds(spark, d):
+    """A queue of customers, offered by their orders in four rounds; after each some are given out, though better ones may come."""
+    o = _t(spark, d, "orders")
+    queue, out = seen.PriorityQueue(spark), None
+    for r in range(ROUNDS):
+        queue.offer(o.where(F.col("o_orderkey") % ROUNDS == r).select(F.col("o_custkey").alias("item"), (F.col("o_orderkey") % 5).alias("priority"), F.col("o_orderkey").alias("seq")))
+        got = queue.pop(POPPED if r < ROUNDS - 1 else queue.queued).select("item", "priority", "turn", F.lit(r).alias("round"))
+        out = got if out is None else out.union(got)
+    return out
+
+
 #: A site of sixty pages: each links to two further on, every seventh is lost, every eleventh answers 503.
 SITE_PAGES = 60
 

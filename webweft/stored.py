@@ -36,10 +36,10 @@ class Stored:
     unread DataFrame depends on them; those that a result is read from go when the application ends.
     """
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, partition_by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(self.path)
         delete_at_end(self.spark, self.path)
         self.schema = df.schema
 
