@@ -1,6 +1,7 @@
-"""HTML fields by native regular expressions: for well-formed pages, all inside whole-stage plans.
+"""HTML fields by native regular expressions: for plain pages, all inside whole-stage plans.
 
-html_tree.py parses pages that are not, and knows images, tables and nested lists too.
+Links of pages that are not plain, and entities beyond a few, go through the tokenizer (html_tokens.py), in Arrow batches.
+html_tree.py parses whole pages, and knows images, tables and nested lists too.
 """
 
 from __future__ import annotations
@@ -8,11 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webweft.functions import urls
+from webweft.functions import html_tokens, urls
 
 #: The value of an anchor's href: quoted either way, or bare. Attributes before it and their values are stepped over, 64 at
-#: most: each is a call deep in Java's matcher, and text behind a tag that never ends looks like attributes.
+#: most, as each is a call deep in Java's matcher; an anchor with more makes its page one for the tokenizer.
 HREF = r"""(?is)<a(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?){0,64}?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: What HREF would misread, in markup without its comments and scripts: tags that hold < or > in quotes, or never end; comments,
+#: scripts and the like that do not end or hold text; declarations; anchors with a slash or nothing before an attribute, with a
+#: bare or empty href, with a quote in a bare one, or with very many attributes.
+ODD_TAGS = r"""(?i)<[a-z](?!(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+>)|<!--|<(?:script|style|textarea)\b|<[!?](?!doctype)|</[^a-z]"""
+ODD = (
+    ODD_TAGS
+    + r"""|<a/|<a\s[^>]*["'/]href|<a\s(?:[^>]*\s)?href(?:\s*=\s*>|(?=[\s>])(?!\s*=))|<a\s[^>]*=\s*[^\s"'>][^\s>]*["']|<a\s(?:[^\s>]*+\s++){64}"""
+)
+#: References whose ampersands are all entities of the few, or such as no entity begins with.
+#: In text, others than the few.
+OTHER = r"&(?!(?:copy|middot|quot|lt|gt);|amp)[#A-Za-z]"
+FEW = r"&(?!(?:copy|middot|quot|lt|gt|nbsp|amp);|[A-Za-z0-9]*=)"
 TAG = r"(?s)<!--.*?-->|<[^>]*>"
 
 
@@ -37,7 +50,9 @@ def without_code(html: Column) -> Column:
 def text(html: Column) -> Column:
     """The body's texts joined by one blank; scripts, styles and noscript left out."""
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1)
-    return F.array_join(pieces(without_code(F.when(html.rlike("(?i)<body[ >]"), body).otherwise(html))), " ")
+    own = F.array_join(pieces(without_code(F.when(html.rlike("(?i)<body[ >]"), body).otherwise(html))), " ")
+    odd = html.rlike(OTHER) | visible(html).rlike(ODD_TAGS)
+    return F.when(odd, html_tokens.text_of(F.when(odd, html))).otherwise(own)
 
 
 def title(html: Column) -> Column:
@@ -59,17 +74,42 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
 
 
-def hrefs(html: Column) -> Column:
+def plain(html: Column) -> Column:
+    """Whether HREF finds just a page's anchors: seldom false for markup that a program has written."""
+    return ~visible(html).rlike(ODD)
+
+
+def plain_hrefs(html: Column) -> Column:
+    """A plain page's references, entities as they are written."""
     return F.transform(F.regexp_extract_all(visible(html), F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
 
 
+def hrefs(html: Column) -> Column:
+    """References of a page's anchors, in order, decoded; of plain pages by the few entities alone."""
+    return F.when(plain(html), F.transform(plain_hrefs(html), unescape_few)).otherwise(html_tokens.hrefs_of(F.when(~plain(html), html)))
+
+
+def unescape_few(text: Column) -> Column:
+    """The few entities, where they end as entities do; the ampersand last, so that nothing is decoded twice."""
+    for entity, sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
 def links(pages: DataFrame, key: str = "page_id", same_domain_only: bool = False) -> DataFrame:
     """(key, pos, link): distinct valid links of each page in order of their first place. Null pages have none.
 
     same_domain_only: those whose authority is the page's, as written.
     """
-    rows = pages.select(key, "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href")).where(~urls.skipped_href(F.col("href")))
-    rows = rows.withColumn("link", urls.resolve(F.col("url"), unescape(F.col("href")))).where(urls.is_valid(F.col("link")))
+    odd = F.when(~plain(F.col("html")), F.col("html"))
+    rows = pages.select(key, "url", "html", odd.alias("odd"))
+    both = F.when(F.col("odd").isNull(), plain_hrefs(F.col("html"))).otherwise(html_tokens.hrefs_of(F.col("odd")))
+    rows = rows.select(key, "url", F.posexplode(both).alias("pos", "href"), F.col("odd").isNotNull().alias("decoded"))
+    # only what the few do not cover leaves the JVM
+    more = F.when(~F.col("decoded") & F.col("href").rlike(FEW), F.col("href"))
+    href = F.when(F.col("decoded"), F.col("href")).when(more.isNotNull(), html_tokens.decoded(more)).otherwise(unescape_few(F.col("href")))
+    rows = rows.withColumn("href", href).where(~urls.skipped_href(F.col("href")))
+    rows = rows.withColumn("link", urls.resolve(F.col("url"), F.col("href"))).where(urls.is_valid(F.col("link")))
     if same_domain_only:
         rows = rows.where(urls.netloc(F.col("link")) == urls.netloc(F.col("url")))
     return rows.groupBy(key, "link").agg(F.min("pos").alias("pos"))

@@ -7,6 +7,7 @@ Arrow batches, one parse a page for all fields.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from webweft.functions import html_tokens
 from webweft.functions.urls import SKIPPED
 
 #: Elements without an end tag, and those whose start tag ends an open one.
@@ -81,10 +83,14 @@ class _Builder(HTMLParser):
         if tag in CLOSES:
             scope = SCOPE.get(tag, ("td", "th", "li", "table"))
             self._leave(CLOSES[tag], scope)
+        if attrs and "&" in (written := self.get_starttag_text() or ""):
+            attrs = html_tokens.attributes(written)  # an entity without its end is none before =
         node = Node(tag, {k: v if v is not None else "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+        if tag == "textarea":
+            self.set_cdata_mode(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -100,7 +106,8 @@ class _Builder(HTMLParser):
             n = n.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        # in a text area only entities are markup; newer tokenizers decode them themselves
+        self.at.children.append(unescape(data) if self.cdata_elem == "textarea" and not getattr(self, "_escapable", False) else data)
 
 
 def tree(html: str | None) -> Node:

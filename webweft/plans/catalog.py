@@ -235,6 +235,45 @@ def page_link_forms(spark, d):
     return spark.sql("SELECT page_id, link FROM formed_pages, LATERAL page_links(html, url)")
 
 
+#: Anchors whose reference needs more than plain markup, and where each leads to; 0 stands for the page's number.
+ODD_ANCHORS = (
+    ("<a href='/a?x=1&#38;y=0'>", "/a?x=1&y=0"), ("<a href='/caf&eacute;/0'>", "/café/0"), ("<a href='/q?lt=1&copy=0&ltb=2'>", "/q?lt=1&copy=0&ltb=2"), ("<a href=/h&#x2F;0&#x23;in>", "/h/0"),
+    ("<a " + " ".join(f"k{i}=v" for i in range(70)) + " href=/many0>", "/many0"), ("<textarea><a href=/area0></textarea>", None), ("<b title='<a href=/no0>'>", None), ("<b title='x > y'><a title='>'\nhref=/gt0>", "/gt0"),
+    ("<!-- <a href=/c0> --><script>'<a href=/s0>'</script>", None), ("<a/href=/slash0><A href='' HREF=/two0>", "/slash0"), ("<![CDATA[<a href=/cd0>]]>", None), ("<a title=\"x\"href=/tight0>", "/tight0"), ("<a href='/multi&quot;0'>", '/multi"0'),
+)
+
+
+def _odd_pages(spark, d) -> DataFrame:
+    """pages with anchors that are hard to read: one of ODD_ANCHORS, all of them, or, of each fourth page, in markup that never ends."""
+    quoted = lambda s: F.replace(F.lit(s), F.lit("0"), F.col("page_id").cast("string"))
+    one = F.element_at(F.array(*[quoted(a) for a, _ in ODD_ANCHORS]), F.pmod(F.col("page_id"), F.lit(len(ODD_ANCHORS))).cast("int") + 1)
+    every = F.concat(*[quoted(a) for a, _ in ODD_ANCHORS])
+    body = F.when(F.col("page_id") % 4 == 0, F.concat(one, F.lit("<a href='/never"))).when(F.col("page_id") % 4 == 1, every).otherwise(one)
+    return pages(spark, d).select("page_id", F.concat(F.lit("http://odd.test/p?"), "page_id").alias("url"), F.concat(F.lit("<html><body>"), body).alias("html"))
+
+
+def _odd_sql() -> str:
+    n = len(ODD_ANCHORS)
+    text = lambda s: "NULL" if s is None else "replace('" + s.replace("'", "''") + "', '0', CAST(page_id AS VARCHAR))"
+    rows = [f"SELECT page_id, {k} AS k, 'http://odd.test' || {text(to)} AS link FROM pages WHERE page_id % 4 = 1 OR page_id % {n} = {k}" for k, (_, to) in enumerate(ODD_ANCHORS) if to is not None]
+    # the page itself, by an empty reference
+    own = next(k for k, (a, _) in enumerate(ODD_ANCHORS) if "HREF=/two" in a)
+    rows.append(f"SELECT page_id, {own}, 'http://odd.test/p?' || page_id FROM pages WHERE page_id % 4 = 1 OR page_id % {n} = {own}")
+    return f"SELECT page_id, link FROM ({' UNION ALL '.join(rows)})"
+
+
+@query(_odd_sql())
+def html_links_odd(spark, d):
+    """Links of pages that are not plain: entities of all kinds, quotes, comments, text areas, very many attributes; what they are is known from how they were made."""
+    return html_native.links(_odd_pages(spark, d)).select("page_id", "link")
+
+
+@query(_odd_sql())
+def page_links_odd(spark, d):
+    """The same by the tree parser."""
+    return html_tree.parse_pages(_odd_pages(spark, d), keep=("page_id",)).select("page_id", F.explode("page.links").alias("link"))
+
+
 # --- store ---
 
 PAGE_ROWS = f"SELECT page_id AS id, {NORM} AS url, {DOMAIN} AS domain, CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END AS status_code FROM pages"
