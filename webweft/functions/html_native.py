@@ -14,16 +14,17 @@ from webweft.functions import html_tokens, urls
 #: The value of an anchor's href: quoted either way, or bare. Attributes before it and their values are stepped over, 64 at
 #: most, as each is a call deep in Java's matcher; an anchor with more makes its page one for the tokenizer.
 HREF = r"""(?is)<a(?:\s+[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?){0,64}?\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-#: What HREF would misread, in markup without its comments and scripts: tags that hold < or > in quotes, or never end; comments,
-#: scripts and the like that do not end or hold text; declarations; anchors with a slash or nothing before an attribute, with a
-#: bare or empty href, with a quote in a bare one, or with very many attributes.
-ODD_TAGS = r"""(?i)<[a-z](?!(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+>)|<!--|<(?:script|style|textarea)\b|<[!?](?!doctype)|</[^a-z]"""
+#: An attribute with < or > in its quotes, or quotes that do not end; in scripts, too, where it says nothing.
+QUOTED = r"""=\s*+(?:"[^"<>]*+(?:[<>]|\z)|'[^'<>]*+(?:[<>]|\z))"""
+#: What HREF would misread: such attributes; tags that never end; comments, scripts, styles and text areas; declarations;
+#: anchors with a slash or nothing before an attribute, with a bare or empty href, with a quote in a bare one, or with very many
+#: attributes. It is found early in most pages that have any of these.
 ODD = (
-    ODD_TAGS
-    + r"""|<a/|<a\s[^>]*["'/]href|<a\s(?:[^>]*\s)?href(?:\s*=\s*>|(?=[\s>])(?!\s*=))|<a\s[^>]*=\s*[^\s"'>][^\s>]*["']|<a\s(?:[^\s>]*+\s++){64}"""
+    rf"""(?i){QUOTED}|<(?:"""
+    r"""[a-z][^<>]*+(?:<|\z)|!--|(?:script|style|textarea)\b|[!?](?!doctype)|/[^a-z]|a/"""
+    r"""|a\s(?:[^<>]*["'/]href|(?:[^<>]*\s)?href(?:\s*=\s*>|(?=[\s>])(?!\s*=))|[^<>]*=\s*[^\s"'<>][^\s<>]*["']|(?:[^\s<>]*+\s++){64}))"""
 )
-#: References whose ampersands are all entities of the few, or such as no entity begins with.
-#: In text, others than the few.
+#: Entities in text other than the few; and in references, where what goes on after a name is none.
 OTHER = r"&(?!(?:copy|middot|quot|lt|gt);|amp)[#A-Za-z]"
 FEW = r"&(?!(?:copy|middot|quot|lt|gt|nbsp|amp);|[A-Za-z0-9]*=)"
 TAG = r"(?s)<!--.*?-->|<[^>]*>"
@@ -51,7 +52,7 @@ def text(html: Column) -> Column:
     """The body's texts joined by one blank; scripts, styles and noscript left out."""
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1)
     own = F.array_join(pieces(without_code(F.when(html.rlike("(?i)<body[ >]"), body).otherwise(html))), " ")
-    odd = html.rlike(OTHER) | visible(html).rlike(ODD_TAGS)
+    odd = html.rlike(OTHER) | html.rlike(QUOTED)
     return F.when(odd, html_tokens.text_of(F.when(odd, html))).otherwise(own)
 
 
@@ -69,19 +70,15 @@ def inside(html: Column, tag: str, between: str) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"), F.lit(1)), lambda x: F.array_join(pieces(x), between))
 
 
-def visible(html: Column) -> Column:
-    """html without comments and scripts, whose anchors are none."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-
-
 def plain(html: Column) -> Column:
-    """Whether HREF finds just a page's anchors: seldom false for markup that a program has written."""
-    return ~visible(html).rlike(ODD)
+    """Whether HREF finds just a page's anchors, as it does in simple markup without scripts. The tokenizer is about as fast,
+    so nothing is taken out of a page first to make it plain."""
+    return ~html.rlike(ODD)
 
 
 def plain_hrefs(html: Column) -> Column:
     """A plain page's references, entities as they are written."""
-    return F.transform(F.regexp_extract_all(visible(html), F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
 
 
 def hrefs(html: Column) -> Column:
@@ -105,11 +102,13 @@ def links(pages: DataFrame, key: str = "page_id", same_domain_only: bool = False
     rows = pages.select(key, "url", "html", odd.alias("odd"))
     both = F.when(F.col("odd").isNull(), plain_hrefs(F.col("html"))).otherwise(html_tokens.hrefs_of(F.col("odd")))
     rows = rows.select(key, "url", F.posexplode(both).alias("pos", "href"), F.col("odd").isNotNull().alias("decoded"))
-    # only what the few do not cover leaves the JVM
-    more = F.when(~F.col("decoded") & F.col("href").rlike(FEW), F.col("href"))
-    href = F.when(F.col("decoded"), F.col("href")).when(more.isNotNull(), html_tokens.decoded(more)).otherwise(unescape_few(F.col("href")))
-    rows = rows.withColumn("href", href).where(~urls.skipped_href(F.col("href")))
-    rows = rows.withColumn("link", urls.resolve(F.col("url"), F.col("href"))).where(urls.is_valid(F.col("link")))
+    # most references are simple; what is not, and entities that the few do not cover, is left to the standard library
+    few = F.when(F.col("decoded"), F.col("href")).otherwise(unescape_few(F.col("href")))
+    rows = rows.withColumn("few", few).withColumn("simple", urls.resolve_simple(F.col("url"), F.when(F.col("decoded") | ~F.col("href").rlike(FEW), F.col("few"))))
+    hard = F.when(F.col("simple").isNull(), F.col("href"))
+    link = F.coalesce(F.col("simple"), html_tokens.link_of(F.col("url"), hard, F.col("decoded")))
+    # a filter within a generator: as a plain one it would be pushed down, and all be evaluated twice
+    rows = rows.select(key, "url", "pos", F.explode(F.filter(F.array(link), urls.is_valid)).alias("link"))
     if same_domain_only:
         rows = rows.where(urls.netloc(F.col("link")) == urls.netloc(F.col("url")))
     return rows.groupBy(key, "link").agg(F.min("pos").alias("pos"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webweft.functions.urls import SKIPPED, join_url
+
 #: Elements whose content is no markup, and white space.
 RAW = frozenset(("script", "style"))
 TEXT_ONLY = RAW | {"textarea"}
@@ -201,11 +203,18 @@ def hrefs_of(html: Column) -> Column:
     return take(html)
 
 
-def decoded(value: Column) -> Column:
-    """Attributes' values with every entity decoded, in Arrow batches; null for null."""
+def link_of(base: Column, href: Column, decoded: Column) -> Column:
+    """Where a reference leads, as the standard library joins it; null for null, for a malformed one, and for one that leads to no page.
 
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else attribute_text(v) for v in values], dtype=object)
+    decoded: whether its entities are decoded already. In Arrow batches.
+    """
 
-    return decode(value)
+    @F.pandas_udf("string")
+    def join(bases: pd.Series, refs: pd.Series, done: pd.Series) -> pd.Series:
+        out = []
+        for b, h, d in zip(bases, refs, done):
+            h = h if h is None or d else attribute_text(h)
+            out.append(None if h is None or h.strip().startswith(SKIPPED) else join_url(b, h))
+        return pd.Series(out, dtype=object)
+
+    return join(base, href, decoded)

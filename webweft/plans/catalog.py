@@ -223,10 +223,19 @@ FORMED = f"b AS (SELECT page_id AS i, lower({g(1)}) AS s, lower({g(1)}) || '://'
 
 @query(f"WITH {FORMED} SELECT page_id, link, CAST(min(pos) AS INTEGER) AS pos FROM f GROUP BY ALL")
 def html_link_forms(spark, d):
-    """Links of every form of reference, by native expressions."""
+    """Links of every form of reference."""
     return html_native.links(_formed(spark, d))
 
 
+@query(f"WITH {FORMED} SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM f WHERE starts_with(link, 'http')")
+def url_resolve_forms(spark, d):
+    """The references themselves, resolved by native expressions."""
+    href = F.col("ref.href")
+    refs = F.array(*[F.struct(F.lit(k).alias("pos"), F.trim(F.replace(F.replace(F.lit(form.strip("'\"")), F.lit("{i}"), F.col("page_id").cast("string")), F.lit("&amp;"), F.lit("&"))).alias("href")) for k, (form, want) in enumerate(FORMS) if want])
+    got = pages(spark, d).select("page_id", "url", F.explode(refs).alias("ref")).select("page_id", "ref.pos", urls.resolve(F.col("url"), href).alias("link"))
+    return got.where(F.col("link").startswith("http"))
+
+
 @query(f"WITH {FORMED} SELECT page_id, link FROM f GROUP BY ALL")
 def page_link_forms(spark, d):
     """The same links by the table function on the tree parser."""
