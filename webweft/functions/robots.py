@@ -19,6 +19,8 @@ from webweft.functions import urls
 
 #: Characters of a file that are read, and seconds for which a result holds.
 MOST_CHARS, TTL, ERROR_TTL = 512 * 1024, 3600.0, 60.0
+#: A rule's prefix that starts no path.
+NOTHING = "\x01"
 
 RULES = "array<struct<grp:int,agents:array<string>,ord:int,allow:boolean,prefix:string>>"
 PARSED = f"struct<rules:{RULES},delays:array<struct<grp:int,agents:array<string>,delay:double>>,sitemaps:array<string>>"
@@ -73,7 +75,7 @@ def parse_robots(body: str | None) -> dict:
             ruled = True
         elif name == "crawl-delay" and agents:
             # a rule that matches nothing, so that the group is known by its rules alone
-            rules.append({"grp": group, "agents": agents, "ord": len(rules), "allow": True, "prefix": "\x01"})
+            rules.append({"grp": group, "agents": agents, "ord": len(rules), "allow": True, "prefix": NOTHING})
             if value.isdigit():
                 delays.append({"grp": group, "agents": agents, "delay": float(value)})
             ruled = True
@@ -133,20 +135,72 @@ def path_of(url: Column) -> Column:
     return F.coalesce(easy, cleaned(F.when(easy.isNull(), url)))
 
 
+#: Rules of one agent as a tree of prefixes: in byte order, each with the longest one that it begins with (-1 for none), and what the
+#: first rule says among those that it begins with, itself included. depth: steps from the deepest to the root.
+TREE = "struct<prefix:array<string>,parent:array<int>,allow:array<boolean>,depth:int>"
+
+
+def prefix_tree(rules: list[dict]) -> dict:
+    """TREE of rules (ord, allow, prefix). An empty prefix and * are all paths' beginning."""
+    first: dict[bytes, tuple[int, bool]] = {}
+    for r in sorted(rules, key=lambda r: r["ord"]):
+        if r["prefix"] != NOTHING:
+            first.setdefault(b"" if r["prefix"] == "*" else r["prefix"].encode("utf-8", "surrogatepass"), (r["ord"], bool(r["allow"])))
+    order = sorted(first)
+    parent, best, depth, open_ = [], [], [], []
+    for k, p in enumerate(order):
+        while open_ and not p.startswith(order[open_[-1]]):
+            open_.pop()
+        up = open_[-1] if open_ else -1
+        parent.append(up)
+        best.append(min(first[p], best[up]) if up >= 0 else first[p])
+        depth.append(depth[up] + 1 if up >= 0 else 1)
+        open_.append(k)
+    return {"prefix": [p.decode("utf-8", "surrogatepass") for p in order], "parent": parent, "allow": [ok for _, ok in best], "depth": max(depth, default=0)}
+
+
+def tree_of(rules: Column, group: Column) -> Column:
+    """prefix_tree() of a group's rules, in Arrow batches: a row for each origin."""
+
+    @F.pandas_udf(TREE)
+    def build(rules: pd.Series, group: pd.Series) -> pd.DataFrame:
+        own = [[x for x in r if x["grp"] == g] if r is not None else [] for r, g in zip(rules, group)]
+        return pd.DataFrame([prefix_tree(r) for r in own], columns=["prefix", "parent", "allow", "depth"])
+
+    return build(rules, group)
+
+
+def tree_allows(tree: Column, path: Column) -> Column:
+    """What the first rule says whose prefix starts the path; true if there is none.
+
+    The last prefix that is not behind the path is found by halving. What starts the path starts that prefix, too, so
+    the longest such one is among its parents. That is as many steps as a path has folders, however many rules there are.
+    """
+    n = F.size(tree["prefix"])
+    span = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        before = F.get(tree["prefix"], mid) <= path
+        return F.when(s["lo"] >= s["hi"], s).when(before, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+    last = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), span, halve)["lo"] - 1
+    up = F.aggregate(F.sequence(F.lit(0), tree["depth"]), last, lambda k, _: F.when((k >= 0) & ~path.startswith(F.get(tree["prefix"], k)), F.get(tree["parent"], k)).otherwise(k))
+    return F.coalesce(F.get(tree["allow"], F.when(up >= 0, up)), F.lit(True))
+
+
 def can_fetch(pages: DataFrame, robots: DataFrame, agent: str = "*", url: str = "url") -> DataFrame:
     """pages with allowed: the first rule of the agent's group whose prefix starts the path, else true.
 
     Origins without a row are not allowed: their rules are unknown; nor are URLs that are null or malformed.
     robots has one row an origin, so the join keeps the rows of pages, null URLs and repeated ones among them.
     """
-    own = robots.select(F.col("origin").alias("__origin"), F.col("state").alias("__state"), F.filter("parsed.rules", lambda r: r["grp"] == _group(F.col("parsed.rules"), agent)).alias("__rules"))
+    rules = F.col("parsed.rules")
+    own = robots.select(F.col("origin").alias("__origin"), F.col("state").alias("__state"), tree_of(rules, _group(rules, agent)).alias("__tree"))
     joined = pages.withColumn("__path", path_of(F.col(url))).join(own, urls.origin(F.col(url)) == F.col("__origin"), "left")
-    path = F.col("__path")
-    hit = F.filter("__rules", lambda r: (r["prefix"] == "") | path.startswith(r["prefix"]) | (r["prefix"] == "*"))
-    first = F.array_min(F.transform(hit, lambda r: F.struct(r["ord"].alias("ord"), r["allow"].alias("allow"))))
-    ruled = F.col("__path").isNotNull() & F.coalesce(first["allow"], F.lit(True))
+    ruled = F.col("__path").isNotNull() & tree_allows(F.col("__tree"), F.col("__path"))
     allowed = F.when(F.col("__state") == "allow_all", F.lit(True)).when(F.col("__state") == "rules", ruled).otherwise(F.lit(False))
-    return joined.withColumn("allowed", allowed).drop("__origin", "__state", "__rules", "__path")
+    return joined.withColumn("allowed", F.coalesce(allowed, F.lit(False))).drop("__origin", "__state", "__tree", "__path")
 
 
 class RobotsRules:
