@@ -11,6 +11,8 @@ from webweft.functions import urls
 RECORD = "url string, title string, text string, links array<string>, metadata string, crawled_at timestamp, status_code int, content_type string"
 FIELDS = tuple(x.split()[0] for x in RECORD.split(", "))
 MOST_FOUND = 100
+#: Marks a save in which a URL may have several rows.
+RAW = "_RAW"
 #: What the store keeps.
 STORED = f"id long, seq long, domain string, {RECORD}"
 
@@ -135,6 +137,10 @@ class PageStore:
             return self.spark.createDataFrame([], STORED)
         return self.spark.read.schema(STORED).parquet(*[f"{self.path}/{kind}={k}" for k, kind in folders])
 
+    def _raw(self, folder: tuple[int, str]) -> bool:
+        fs, p = self._fs(f"{self.path}/{folder[1]}={folder[0]}/{RAW}")
+        return fs.exists(p)
+
     def read(self) -> DataFrame:
         """(id, domain, seq and the record's columns): of each URL its latest row, and id, the first seq it had.
 
@@ -142,7 +148,7 @@ class PageStore:
         """
         folders = self._current()
         rows = self._parts(folders)
-        if len(folders) < 2:
+        if not folders or len(folders) == 1 and not self._raw(folders[0]):
             return rows
         rest = [c for c in rows.columns if c not in ("url", "domain", "id")]
         got = rows.groupBy("url", "domain").agg(F.min("id").alias("id"), F.max_by(F.struct(*rest), "seq").alias("r"))
