@@ -30,7 +30,7 @@ from urllib.request import Request
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from webweft.functions import robots
 from webweft.functions import urls as url_functions
@@ -489,10 +489,11 @@ class LiveSession:
 
     MOST_CHANGES = 16
 
-    def __init__(self, spark: SparkSession, manners: Manners = Manners(), partitions: int = 8, on_retry: Callable | None = None):
+    def __init__(self, spark: SparkSession, manners: Manners = Manners(), partitions: int = 8, on_retry: Callable | None = None, known: DataFrame | None = None):
+        """known: rows of KNOWN from an earlier session, one for a domain."""
         self.spark, self.manners, self.partitions, self.on_retry = spark, manners, partitions, on_retry
         self.tables: list[Stored] = []
-        self.changes: list[DataFrame] = []
+        self.changes: list[DataFrame] = [] if known is None else [known.select(*_KNOWN_NAMES)]
 
     def fetch(self, asked: DataFrame) -> DataFrame:
         """Rows of SCHEMA, fetched once."""
@@ -565,15 +566,17 @@ class _Part(InputPartition):
         self.urls, self.places = urls, places
 
 
-class _Reader(DataSourceReader):
+class _Urls:
+    """URLs of the options, dealt to partitions by domain, with what each may have under way."""
+
     def __init__(self, options: dict):
         o = dict(options)
         self.manners = Manners((o.get("agent", "webweft/1.0"),), int(o.get("max_concurrent", 10)), rps=float(o["rps"]) if "rps" in o else None, read_timeout=float(o.get("timeout", 10)), retries=int(o.get("retries", 2)))
         self.urls, self.n = list(dict.fromkeys(json.loads(o.get("urls", "[]")))), min(int(o.get("partitions", 8)), self.manners.max_concurrent)
 
-    def partitions(self) -> list[InputPartition]:
+    def dealt(self, urls: list[str]) -> list[InputPartition]:
         by: dict[int, list[str]] = {}
-        for u in self.urls:
+        for u in urls:
             by.setdefault(zlib.crc32(domain_of(u).encode()) % self.n, []).append(u)
         places = shares(self.manners.max_concurrent, [len(v) for v in by.values()])
         return [_Part(v, n) for v, n in zip(by.values(), places)] or [_Part([], 1)]
@@ -582,8 +585,37 @@ class _Reader(DataSourceReader):
         return Fetcher(self.manners, places=partition.places).all((u, 0.0) for u in partition.urls)
 
 
+class _Reader(_Urls, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.dealt(self.urls)
+
+
+class _StreamReader(_Urls, DataSourceStreamReader):
+    """The offset is the number of URLs that were fetched, so a query that goes on from its checkpoint fetches none again."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.per_batch, self.at = int(options.get("per_batch", 1_000)), None
+
+    def initialOffset(self) -> dict:
+        return {"urls": 0}
+
+    def latestOffset(self) -> dict:
+        # a batch's worth beyond the last one that was planned
+        self.at = len(self.urls) if self.at is None and self.per_batch >= len(self.urls) else min(len(self.urls), (self.at or 0) + self.per_batch)
+        return {"urls": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = max(self.at or 0, end["urls"])
+        return self.dealt(self.urls[start["urls"] : end["urls"]])
+
+    def commit(self, end: dict) -> None:
+        self.at = max(self.at or 0, end["urls"])
+
+
 class HttpSource(DataSource):
-    """Options: urls (JSON list; for long ones use fetch_live), agent, rps (a domain), max_concurrent, timeout, retries, partitions."""
+    """Options: urls (JSON list; for long ones use fetch_live), agent, rps (a domain), max_concurrent, timeout, retries, partitions; as a
+    stream also per_batch, the URLs of a micro-batch."""
 
     @classmethod
     def name(cls) -> str:
@@ -594,3 +626,6 @@ class HttpSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(dict(self.options))
