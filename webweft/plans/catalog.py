@@ -552,12 +552,14 @@ def breaker_outcome(spark, d):
 # --- traversal ---
 
 
-@query("WITH RECURSIVE t(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 3 * n + k, depth + 1 FROM t, (VALUES (1), (2), (3)) v(k) WHERE 3 * n + k < 1000) SELECT '/p/' || n AS node, depth FROM t")
+@query("WITH RECURSIVE t(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 3 * n + k, depth + 1 FROM t, (VALUES (1), (2), (3)) v(k) WHERE 3 * n + k IN (SELECT page_id FROM pages)) SELECT '/p/' || n AS node, depth FROM t ORDER BY depth, n LIMIT 1000")
 def frontier_tree(spark, d):
-    n = spark.range(1000)
-    edges = n.select(F.concat(F.lit("/p/"), "id").alias("src"), F.posexplode(F.array(*[F.concat(F.lit("/p/"), F.col("id") * 3 + k) for k in (1, 2, 3)])).alias("pos", "dst"), F.col("id")).where((F.col("id") * 3 + F.col("pos") + 1) < 1000)
+    """The pages' numbers as a tree, each with three further on; the first thousand are admitted."""
+    n = pages(spark, d).select("page_id")
+    child = F.posexplode(F.array(*[F.col("page_id") * 3 + k for k in (1, 2, 3)])).alias("pos", "child")
+    edges = n.select(F.concat(F.lit("/p/"), "page_id").alias("src"), child).join(n.withColumnRenamed("page_id", "child"), "child", "left_semi")
     seeds = spark.createDataFrame([("/p/0", 0)], "node string, pos int")
-    return frontier.traverse_edges(edges.select("src", "dst", "pos"), seeds, max_depth=20, max_nodes=1000, stored=False).select("node", "depth")
+    return frontier.traverse_edges(edges.select("src", F.concat(F.lit("/p/"), "child").alias("dst"), "pos"), seeds, max_depth=20, max_nodes=1000).select("node", "depth")
 
 
 def _page_graph(spark, d) -> DataFrame:
@@ -633,42 +635,40 @@ def queue_rounds(spark, d):
     return out
 
 
-#: A site of sixty pages: each links to two further on, every seventh is lost, every eleventh answers 503.
-SITE_PAGES = 60
-
-
-def _site(spark) -> DataFrame:
-    n = F.col("id")
-    link = lambda k: F.concat(F.lit("<a href='/n"), (n * 2 + k).cast("string"), F.lit("'>x</a>"))
-    body = F.concat(link(1), link(2), F.lit("<a href='/n0'>home</a><a href='http://else.test/'>else</a>"))
+def _site(spark, d) -> DataFrame:
+    """A site of the pages' numbers: each links to eight further on; every seventh is lost, every eleventh answers 503."""
+    n = F.col("page_id")
+    link = F.array_join(F.transform(F.sequence(n * 8 + 1, n * 8 + 8), lambda k: F.concat(F.lit("<a href='/n"), k.cast("string"), F.lit("'>x</a>"))), "")
+    body = F.concat(link, F.lit("<a href='/n0'>home</a><a href='http://else.test/'>else</a>"))
     status = F.when(n % 11 == 10, 503).otherwise(200)
-    return spark.range(SITE_PAGES).where(n % 7 != 6).select(F.concat(F.lit("http://site.test/n"), n).alias("url"), body.alias("html"), status.alias("status_code"))
+    return pages(spark, d).where(n % 7 != 6).select(F.concat(F.lit("http://site.test/n"), n).alias("url"), body.alias("html"), status.alias("status_code"))
 
 
-WALK = f"WITH RECURSIVE w(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 2 * n + k, depth + 1 FROM w, (VALUES (1), (2)) v(k) WHERE n < {SITE_PAGES} AND n % 7 <> 6 AND n % 11 <> 10 AND depth < 4), c AS (SELECT *, CASE WHEN n >= {SITE_PAGES} OR n % 7 = 6 THEN NULL WHEN n % 11 = 10 THEN 503 ELSE 200 END AS status FROM w)"
+THERE = "n IN (SELECT page_id FROM pages) AND n % 7 <> 6"
+WALK = f"WITH RECURSIVE w(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 8 * n + k, depth + 1 FROM w, range(1, 9) v(k) WHERE {THERE} AND n % 11 <> 10 AND depth < 4), c AS (SELECT *, CASE WHEN NOT ({THERE}) THEN NULL WHEN n % 11 = 10 THEN 503 ELSE 200 END AS status FROM w)"
 
 
 @query(f"{WALK} SELECT 'http://site.test/n' || n AS url, depth, coalesce(status = 200, false) AS ok, status AS status_code, CASE WHEN status IS NULL THEN 'NetworkError' WHEN status = 503 THEN 'TransientError' END AS kind FROM c")
 def crawl_site(spark, d):
     """A whole crawl within one domain, with pages that are lost and pages that fail."""
-    return _crawled(spark).visited.select("url", "depth", "ok", "status_code", "kind")
+    return _crawled(spark, d).visited.select("url", "depth", "ok", "status_code", "kind")
 
 
-def _crawled(spark):
+def _crawled(spark, d):
     from webweft.plans.job import CrawlJob
 
-    cfg = {"start_urls": ["http://site.test/n0"], "crawler": {"max_depth": 4, "max_pages": 500, "same_domain_only": True}}
-    return CrawlJob(spark, cfg).run(_site(spark))
+    cfg = {"start_urls": ["http://site.test/n0"], "crawler": {"max_depth": 4, "max_pages": 20_000, "same_domain_only": True}}
+    return CrawlJob(spark, cfg).run(_site(spark, d))
 
 
 @query(f"{WALK} SELECT count(*) FILTER (status = 200) AS processed, count(*) FILTER (status IS NULL OR status <> 200) AS failed, 0::BIGINT AS queued, 0::BIGINT AS in_progress, CAST(max(depth) AS INTEGER) AS depth FROM c")
 def crawl_stats(spark, d):
-    return stats.crawl_stats(_crawled(spark).visited).drop("elapsed_seconds", "pages_per_second")
+    return stats.crawl_stats(_crawled(spark, d).visited).drop("elapsed_seconds", "pages_per_second")
 
 
 @query(f"{WALK} SELECT 'http://site.test/n' || n AS url, CASE WHEN status = 503 THEN 'TransientError' ELSE 'NetworkError' END AS kind, CASE WHEN status = 503 THEN 'HTTP 503' ELSE 'no answer' END AS error FROM c WHERE status IS NULL OR status = 503")
 def crawl_failed_urls(spark, d):
-    return _crawled(spark).failed().select("url", "kind", "error")
+    return _crawled(spark, d).failed().select("url", "kind", "error")
 
 
 # --- robots and sitemaps ---
@@ -898,24 +898,33 @@ def record_make(spark, d):
     return r.select("url", F.length("text").alias("text_chars"), F.size("links").alias("n_links"), "title", "status_code", "content_type")
 
 
-@query("SELECT * FROM (VALUES ('crawler.max_depth', '7'), ('crawler.max_pages', '3'), ('crawler.max_retries', '2'), ('logging.level', 'WARNING'), ('storage.type', 'none')) v(name, value)")
+#: Settings by default, of a region and of a nation, as SQL over nation; null where a layer says nothing.
+SETTINGS = (
+    ("crawler.max_depth", "2", "CASE WHEN n_regionkey % 2 = 0 THEN CAST(n_regionkey + 3 AS VARCHAR) END", "NULL"), ("crawler.max_pages", "100", "CAST(50 * (n_regionkey + 1) AS VARCHAR)", "CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey + 1 AS VARCHAR) END"),
+    ("crawler.user_agent", "bot", "NULL", "lower(n_name)"), ("storage.type", "none", "NULL", "NULL"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(n_nationkey AS BIGINT) AS nation, '{k}' AS name, coalesce({own}, {region}, '{default}') AS value FROM nation" for k, default, region, own in SETTINGS))
 def config_layers(spark, d):
-    """Settings of two layers over the defaults."""
+    """Settings of each nation's crawl: its own over its region's over the defaults, as maps."""
     from webweft.plans import config
 
-    cfg = config.settings({"crawler": {"max_depth": 7, "max_pages": 9}}, {"crawler": {"max_pages": 3}, "logging": {"level": "warning"}})
-    names = ("crawler.max_depth", "crawler.max_pages", "crawler.max_retries", "logging.level", "storage.type")
-    return spark.createDataFrame([(n, str(cfg[n.split(".")[0]][n.split(".")[1]])) for n in names], "name string, value string")
+    n = _t(spark, d, "nation")
+    layer = lambda k: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(s[0]).alias("key"), F.expr(s[k].replace("VARCHAR", "STRING")).cast("string").alias("value")) for s in SETTINGS]), lambda e: e["value"].isNotNull()))
+    defaults = F.create_map(*[F.lit(x) for name, default, _, _ in SETTINGS for x in (name, default)])
+    merged = n.select(F.col("n_nationkey").cast("long").alias("nation"), config.merged(defaults, layer(2), layer(3)).alias("m"))
+    return merged.select("nation", F.explode("m").alias("name", "value"))
 
 
 # --- monitoring ---
 
 
-@query("SELECT i AS id, CASE WHEN i < 60 THEN i || 'с' WHEN i < 3600 THEN (i // 60) || 'м ' || lpad((i % 60)::VARCHAR, 2, '0') || 'с' ELSE (i // 3600) || 'ч ' || lpad((i % 3600 // 60)::VARCHAR, 2, '0') || 'м' END AS duration, CASE WHEN i = 0 THEN NULL WHEN i >= 4000 THEN 0.0 ELSE (4000 - i) * 10.0 / i END AS eta, repeat('#', CAST(round_even(least(1.0, i / 4000) * 20, 0) AS INTEGER)) AS filled FROM range(0, 5000) t(i)")
+@query("SELECT o_orderkey AS id, CASE WHEN i < 60 THEN i || 'с' WHEN i < 3600 THEN (i // 60) || 'м ' || lpad((i % 60)::VARCHAR, 2, '0') || 'с' ELSE (i // 3600) || 'ч ' || lpad((i % 3600 // 60)::VARCHAR, 2, '0') || 'м' END AS duration, CASE WHEN i = 0 THEN NULL WHEN i >= 4000 THEN 0.0 ELSE (4000 - i) * 10.0 / i END AS eta, repeat('#', CAST(round_even(least(1.0, i / 4000) * 20, 0) AS INTEGER)) AS filled FROM (SELECT o_orderkey % 5000 AS i, o_orderkey FROM orders)")
 def monitor_format(spark, d):
-    i = F.col("id")
+    i = F.col("o_orderkey") % 5000
     bar = monitor.make_bar(i, F.lit(4000))
-    return spark.range(5000).select("id", monitor.format_duration(i.cast("double")).alias("duration"), monitor.estimate_eta(i, F.lit(4000), F.lit(10.0)).alias("eta"), F.regexp_extract(bar, r"^\[(#*)", 1).alias("filled"))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), monitor.format_duration(i.cast("double")).alias("duration"), monitor.estimate_eta(i, F.lit(4000), F.lit(10.0)).alias("eta"), F.regexp_extract(bar, r"^\[(#*)", 1).alias("filled"))
 
 
 # --- fetching ---
