@@ -293,3 +293,36 @@ def test_decontamination_query(spark, sf):
     read = lambda t, key: [(r[key], r.text) for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()]
     got = [tuple(r) for r in registry.queries()["op13_prefix_filtered_decontamination"](spark, sf).collect()]
     assert sorted(got, key=str) == brute_hits(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+# --- packing ---
+
+
+def test_waiting_documents_are_held_in_part(spark, monkeypatch):
+    """Long documents whose last pieces wait leave no more than those in memory, and their pieces are right when they come."""
+    import zlib
+
+    from webweft.llm import packing
+
+    held = []
+    rest = packing.Packer.full
+
+    def full(self):
+        held.append(self.n)
+        yield from rest(self)
+
+    monkeypatch.setattr(packing.Packer, "full", full)
+    monkeypatch.setattr(packing, "WAITING", 8)
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 200, 5000])))) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs).collect()
+    ids = {}
+    for r in rows:
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+        ids.setdefault(r.doc_id, []).append((r.start, r.ids, r.doc_tokens))
+    enc = packing.encoder(packing.default_path())
+    for i, t in texts:
+        parts = sorted(ids[i])
+        flat, _ = enc.encode([t])
+        assert [x for _, p, _ in parts for x in p] == [*flat.tolist(), 1] and {n for *_, n in parts} == {len(flat) + 1}

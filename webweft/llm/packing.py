@@ -111,7 +111,7 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], with_ids: bool):
         enc, packer = encoder(path), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         end = int(end_id).to_bytes(4, "little")
-        held: dict[int, tuple[int | None, bytes]] = {}
+        held: dict[int, tuple[int | None, bytes, int, int]] = {}  # of a document that waits: its id, its ids from a place on, that place, all its tokens
         seq = doc = made = 0
         groups: list[tuple[int, int]] = []  # open ones, of steps, as a heap: tokens, number
 
@@ -129,9 +129,9 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], with_ids: bool):
                     heappush(groups, (tokens + size, g))
                 at = 0
                 for d, s, n in window:
-                    key, raw = held[d]
-                    part = raw[4 * s : 4 * (s + n)]
-                    out.append((key, s, n, zlib.crc32(part), len(raw) // 4, base + seq, at, size, g))
+                    key, raw, lo, tokens_ = held[d]
+                    part = raw[4 * (s - lo) : 4 * (s - lo + n)]
+                    out.append((key, s, n, zlib.crc32(part), tokens_, base + seq, at, size, g))
                     at += n
                     if with_ids:
                         ids.append(part)
@@ -144,15 +144,23 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], with_ids: bool):
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         def forget() -> None:
-            waits = {d for row in packer.wait.values() for _, d, _ in row}
-            for d in [d for d in held if d not in waits]:
-                del held[d]
+            """Keeps of each document what still waits: less than the longest tier, however long it is."""
+            first: dict[int, int] = {}
+            for row in packer.wait.values():
+                for _, d, s in row:
+                    first[d] = min(first.get(d, s), s)
+            for d in list(held):
+                key, raw, lo, tokens_ = held[d]
+                if d not in first:
+                    del held[d]
+                elif first[d] > lo:
+                    held[d] = key, raw[4 * (first[d] - lo) :], first[d], tokens_
 
         for keys, texts in slices(batches):
             windows: list[tuple[int, list]] = []
             flat, begins = enc.encode(texts)
             for key, a, b in zip(keys.to_pylist(), begins.tolist(), begins[1:].tolist()):
-                held[doc] = (key, flat[a:b].tobytes() + end)
+                held[doc] = (key, flat[a:b].tobytes() + end, 0, b - a + 1)
                 windows += packer.add(doc, b - a + 1)
                 doc += 1
             if packer.n >= WAITING:
@@ -170,6 +178,7 @@ def _pack(path: str, end_id: int, tiers: tuple[int, ...], with_ids: bool):
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of SCHEMA[, ids array<int>]: one per piece. Each id of each row's text, end_id after it, lies in one piece.
 
+    A text may be of any length: of what waits a task holds less than the longest tier's tokens a document.
     A null or empty text is its end_id alone. Repeated rows are packed each on its own; a null
     doc_id stays null. Every window is full: of a tier's length, or, for the few pieces that a
     partition has left over, of a smaller power of two. Empty in, empty out.
