@@ -105,3 +105,13 @@ def test_paths():
     for bad in ("", None, "s3://b/x"):
         with pytest.raises(ValueError):
             writers.local(bad)
+
+
+def test_the_memory_sink_is_bounded(spark, records):
+    from webweft.sources import sinks
+
+    small = sinks.MemorySink(most=30)
+    assert small.write(records) == 23
+    with pytest.raises(sinks.StorageError, match="more than 30"):
+        small.write(records)
+    assert len(small.rows) == 23

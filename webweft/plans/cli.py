@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         with CrawlJob(spark, cfg, progress=print if a.progress else None).run(*tables) as result:
             figures = result.stats()
             if a.errors:
-                report.save_error_text(a.errors, error_stats(result.attempts(), result.failed()), result.saved)
+                report.save_error_text(a.errors, error_stats(result.attempts(), result.failed(), result.breakers()), result.saved)
         log.info("visited %d pages, %d failed", figures["total_pages"], figures["failed"])
         print(f"pages {figures['total_pages']}, ok {figures['successful']}, failed {figures['failed']}")
         return 0

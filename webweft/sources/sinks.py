@@ -55,18 +55,21 @@ class Sink:
 
 
 class MemorySink(Sink):
-    """Rows on the driver, for tests and small results. The first fail_times writes fail."""
+    """Rows on the driver, for tests and small results: no more than `most`, else a write fails. The first fail_times writes fail."""
 
-    def __init__(self, fail_times: int = 0):
+    def __init__(self, fail_times: int = 0, most: int = 100_000):
         self.rows: list = []
-        self.fail_times = fail_times
+        self.fail_times, self.most = fail_times, most
 
     def write(self, records: DataFrame) -> int:
         if self.fail_times > 0:
             self.fail_times -= 1
             raise StorageError("failure asked for")
+        room = self.most - len(self.rows)
         with storage_errors():
-            got = records.collect()
+            got = records.limit(room + 1).collect()
+        if len(got) > room:
+            raise StorageError(f"more than {self.most} rows")
         self.rows += got
         return len(got)
 

@@ -12,6 +12,7 @@ import io
 import json
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -73,6 +74,11 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.schema, self.overwrite, self.options = path, schema, overwrite, options
         self.staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
 
+    def begin(self) -> _Writer:
+        """Makes the staging folder, here and not in a task: one that is late finds none and fails, rather than leave its part."""
+        os.makedirs(self.staging)
+        return self
+
     def write_part(self, at: str, batches: Iterator[pa.RecordBatch], number: int) -> int:
         raise NotImplementedError
 
@@ -82,19 +88,25 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         number = TaskContext.get().partitionId()
         name = f"part-{number:05d}-{uuid.uuid4().hex}{self.suffix}"
-        os.makedirs(self.staging, exist_ok=True)
         return Part(number, name, self.write_part(f"{self.staging}/{name}", iterator, number))
 
     def commit(self, messages: list[Part | None]) -> None:
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        os.makedirs(self.staging, exist_ok=True)
         try:
             self.put(parts)
         finally:
-            shutil.rmtree(self.staging, ignore_errors=True)
+            self._clear()
 
     def abort(self, messages: list[Part | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Removes the staging folder, though tasks that are about to end may yet put a file into it."""
+        for _ in range(100):
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.exists(self.staging):
+                return
+            time.sleep(0.05)
 
     def _folder(self, parts: list[Part]) -> None:
         """The parts that count become the folder, or join it."""
@@ -245,7 +257,7 @@ def _source(title: str, made: type[_Writer]) -> type[DataSource]:
             return title
 
         def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-            return made(local(self.options.get("path")), schema, overwrite, dict(self.options))
+            return made(local(self.options.get("path")), schema, overwrite, dict(self.options)).begin()
 
     return Source
 
