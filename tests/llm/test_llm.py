@@ -963,7 +963,7 @@ def test_registry():
     from webweft.llm import registry
 
     names = list(registry.queries())
-    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in names}) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in names}) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
 
 
 def test_pipeline(spark, sf, tok):
