@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from webweft.llm import ann, bpe, bwt, bytebpe, deleted_lm, graph, imatch, license_scan, line_dedup, packing, quality, simhash, suffix_dedup, transducer
@@ -643,6 +645,44 @@ def test_packed_hashes():
         assert (a == h).all() and (b == c).all()
 
 
+def test_keys_are_sorted_with_their_places():
+    rng = np.random.default_rng(1)
+    for keys in (np.zeros(0, np.int64), rng.integers(0, 50, 400), rng.integers(0, 1 << 40, 400).repeat(3), rng.integers(0, 1 << 62, 400).repeat(2)):
+        distinct, at = deleted_lm._numbered(keys)
+        want, places = np.unique(keys, return_inverse=True)
+        assert (distinct == want).all() and (at == places).all()
+    # a slice's hashes, of which some differ in the bits that their places take
+    h = rng.integers(0, 1 << 44, 500, dtype=np.uint64)[rng.integers(0, 500, 3_000)] + rng.integers(0, 4, 3_000, dtype=np.uint64)
+    order, first = deleted_lm._grouped(h)
+    assert sorted(order.tolist()) == list(range(3_000)) and first.sum() == len(set(h.tolist()))
+    assert all((h[order[a:b]] == h[order[a]]).all() for a, b in zip(np.flatnonzero(first), [*np.flatnonzero(first)[1:], 3_000]))
+
+
+def test_keys_are_numbered_faster_than_by_argsort():
+    keys = np.random.default_rng(1).integers(0, 1 << 34, 400_000)
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(lambda: deleted_lm._numbered(keys)) < 0.8 * least(lambda: np.unique(keys, return_inverse=True))
+
+
+def test_blocks_of_odd_texts():
+    texts = ["", " \t\n", " B a\x0bA\x0c", "a\u00a0B \x1c\u00c9 \u00e9", "x" * 300 + "\r\nx"]
+    block = deleted_lm.Block.of(list(range(5)), pa.array(texts), np.ones(5, dtype=bool))
+    want = [[*t.encode().lower().split(), b" "] for t in texts]
+    hashes = [xxhash.xxh64_intdigest(w) for ws in want for w in ws]
+    assert block.sizes.tolist() == [len(ws) for ws in want] and block.words[block.tokens].tolist() == hashes
+    assert (deleted_lm._unsqueeze(deleted_lm._squeeze(block.tokens)) == block.tokens).all()
+    big = np.array([0, 1 << 24, (1 << 31) - 1], dtype=np.int32)
+    assert (deleted_lm._unsqueeze(deleted_lm._squeeze(big)) == big).all()
+
+
 # --- nearest neighbours ---
 
 

@@ -12,12 +12,12 @@ of the counts that predict it.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +32,10 @@ BUCKETS = 40
 #: Half powers of two that probabilities are binned by for the weights; 0 has a bin of its own.
 BINS = 96
 ROUNDS = 60
-#: Hashes that a slice has about; least and most slices are 2**SLICE_BITS. Beyond 2**36 pairs (of about a terabyte of
-#: text) slices grow with the input, as a block's slices would hold no more than a pair each.
-SLICE, SLICE_BITS = 1 << 18, (8, 18)
+#: Hashes that a slice has about; least and most slices are 2**SLICE_BITS. A block sends a row for each slice, so that many
+#: small ones cost more than their hashes. Beyond 2**38 pairs (of about four terabytes of text) slices grow with the
+#: input, as a block's slices would hold no more than a pair each.
+SLICE, SLICE_BITS = 1 << 20, (8, 18)
 #: Hashes that are added up at once.
 RANGE = 1 << 21
 #: The end of a text. No word has a space.
@@ -75,17 +76,45 @@ def _bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
+def _places(n: int) -> int:
+    """Bits that number n places."""
+    return max(n - 1, 1).bit_length()
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (not negative) in ascending order and their places. Keys are sorted with their places in the low bits, which
+    takes a fraction of an argsort's time, wherever both have room."""
+    bits = _places(len(keys))
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = (keys << bits) | np.arange(len(keys))
+    both.sort()
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where keys in order differ from the one before."""
+    out = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=out[1:])
+    return out
+
+
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the number of each key among them. A block has fewer than 2**31."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, at.astype(np.int32)
+    ordered, order = _sorted(keys)
+    first = _starts(ordered)
+    at = np.empty(len(keys), dtype=np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return ordered[first], at
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one by one: a block's row is large."""
     for b in batches:
+        columns = list(zip(b.schema.names, b.columns))
         for i in range(b.num_rows):
-            yield {k: b.column(j)[i].as_py() for j, k in enumerate(b.schema.names)}
+            yield {k: c[i].as_py() for k, c in columns}
 
 
 class Block:
@@ -103,19 +132,26 @@ class Block:
         self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     @classmethod
-    def of(cls, ids, texts: list[str], learn: np.ndarray) -> Block:
-        stream, sizes = [], []
-        for t in texts:
-            w = t.encode("utf-8", "surrogatepass").lower().split()
-            stream += w
-            stream.append(END)
-            sizes.append(len(w) + 1)
-        coded = pa.array(stream, pa.binary()).dictionary_encode()
-        words = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], dtype=np.uint64)
-        order = np.argsort(-np.bincount(coded.indices.to_numpy(), minlength=len(words)), kind="stable")
+    def of(cls, ids, texts: pa.Array, learn: np.ndarray) -> Block:
+        """Of texts as an Arrow array of strings without nulls."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        # blanks around a text leave empty words
+        real = np.asarray(pc.binary_length(split.flatten())) > 0
+        sizes = np.diff(np.append(0, np.cumsum(real))[split.offsets.to_numpy()]) + 1
+        coded = split.flatten().filter(pa.array(real)).dictionary_encode()
+        end = len(coded.dictionary)
+        tokens = np.full(int(sizes.sum()), end, dtype=np.int32)
+        within = np.ones(len(tokens), dtype=bool)
+        within[np.cumsum(sizes) - 1] = False
+        tokens[within] = coded.indices.to_numpy()
+        # the dictionary's words lie one after another; as single scalars they would take longer than their hashes
+        ends = np.cumsum(np.asarray(pc.binary_length(coded.dictionary), dtype=np.int64)).tolist()
+        own = b"".join([pc.binary_join(pa.ListArray.from_arrays([0, end], coded.dictionary), "")[0].as_py().encode(), END])
+        words = np.fromiter((xxhash.xxh64_intdigest(own[a:b]) for a, b in zip([0, *ends], [*ends, len(own)])), np.uint64, end + 1)
+        _, order = _sorted(len(tokens) - np.bincount(tokens, minlength=len(words)))
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        return cls(ids, np.array(sizes, dtype=np.int64), learn, rank[coded.indices.to_numpy()], words[order])
+        return cls(ids, sizes.astype(np.int64), learn, rank[tokens], words[order])
 
     @cached_property
     def context(self) -> np.ndarray:
@@ -152,16 +188,27 @@ class Block:
 
 
 def _slices(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which hashes are sent, ascending, and each slice's end in it."""
+    """The order in which hashes are sent, by their high bits, and each slice's end in it."""
     s = (h >> np.uint64(64 - bits)).astype(np.int64)
-    return np.argsort(h), np.cumsum(np.bincount(s, minlength=1 << bits))
+    low = np.uint64((1 << _places(len(h))) - 1)
+    both = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    both.sort()
+    return (both & low).astype(np.int64), np.cumsum(np.bincount(s, minlength=1 << bits))
 
 
-def _pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Ascending hashes of a slice and their counts. The first byte of a hash is the slice's; the others go byte by
-    byte, so that those that change slowly lie together."""
+def _planes(h: np.ndarray) -> np.ndarray:
+    """Hashes byte by byte, so that those that change slowly lie together. The first byte of a hash is its slice's and stays out."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 6::-1].T)
+
+
+def _joined(planes: np.ndarray, c: np.ndarray) -> bytes:
+    """Hashes of a slice, by their planes, and their counts."""
     counts = _narrow(c)
-    return counts[:1] + np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 6::-1].T).tobytes() + counts[1:]
+    return counts[:1] + planes.tobytes() + counts[1:]
+
+
+def _pack(h: np.ndarray, c: np.ndarray) -> bytes:
+    return _joined(_planes(h), c)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -173,18 +220,23 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _store():
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-        ids, texts, learn, size = [], [], [], 0
+        def block() -> Block:
+            ids, texts, learn = (pa.concat_arrays([b.column(k) for b in held]) for k in range(3))
+            return Block.of(ids.to_pylist(), texts, np.array(learn.to_pylist(), dtype=bool))
+
+        held, size = [], 0
         for b in batches:
-            for i, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                learn.append(bool(f))
-                size += len(t) + 1
+            start = 0
+            for i, chars in enumerate(pc.utf8_length(b.column(1)).to_pylist()):
+                size += chars + 1
                 if size >= BLOCK_CHARS:
-                    yield Block.of(ids, texts, np.array(learn))
-                    ids, texts, learn, size = [], [], [], 0
-        if ids:
-            yield Block.of(ids, texts, np.array(learn))
+                    held.append(b.slice(start, i + 1 - start))
+                    yield block()
+                    held, size, start = [], 0, i + 1
+            if start < b.num_rows:
+                held.append(b.slice(start))
+        if held:
+            yield block()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -197,17 +249,19 @@ def _store():
 
 
 def _squeeze(tokens: np.ndarray) -> bytes:
-    """Token numbers byte by byte, compressed: small numbers are frequent."""
-    return zlib.compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 1) if tokens.max(initial=0) < 1 << 24 else b"\0" + tokens.astype("<u4").tobytes()
+    """Token numbers byte by byte, compressed: small numbers are frequent. Before them, how many bytes a number has, and how many there are."""
+    size = 3 if tokens.max(initial=0) < 1 << 24 else 4
+    planes = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T)
+    return bytes([size]) + len(tokens).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
-    if data[:1] == b"\0":
-        return np.frombuffer(data, "<u4", offset=1).astype(np.int32)
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, -1)
-    out = np.zeros((planes.shape[1], 4), dtype=np.uint8)
-    out[:, :3] = planes.T
-    return out.view("<i4").reshape(-1)
+    size, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(memoryview(data)[9:], size * n, "zstd"), np.uint8).reshape(size, n)
+    out = planes[0].astype(np.int32)
+    for k in range(1, size):
+        out |= planes[k].astype(np.int32) << (8 * k)
+    return out
 
 
 def _block(row: dict) -> Block:
@@ -226,9 +280,9 @@ def _requests(bits: int, kinds: tuple[int, ...]):
             for kind in kinds:
                 h, c = block.hashes(kind), block.counts(kind)
                 order, ends = _slices(h, bits)
-                h, c = h[order], c[order]
+                planes, c = _planes(h[order]), c[order]
                 edges = [0, *ends.tolist()]
-                out = [(row["block"], kind, s, _pack(h[lo:hi], c[lo:hi])) for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+                out = [(row["block"], kind, s, _joined(planes[:, lo:hi], c[lo:hi])) for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
                 for k in range(0, len(out), 10_000):
                     yield _batch(_PART, out[k : k + 10_000])
 
@@ -247,9 +301,11 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = tokens = 0
         # a slice of very many hashes is added up range by range
         for own in _ranges(h):
-            _, at = np.unique(h[own], return_inverse=True)
-            total = np.bincount(at, weights=c[own]).astype(np.int64)
-            back[own] = total[at]
+            order, first = _grouped(h[own])
+            total = np.add.reduceat(c[own][order], np.flatnonzero(first))
+            sums = np.empty(len(order), dtype=np.int64)
+            sums[order] = total[np.cumsum(first) - 1]
+            back[own] = sums
             distinct, tokens = distinct + int((total > 0).sum()), tokens + int(total.sum())
         cuts = np.cumsum([0, *size])
         out = [(r[0], r[1], r[2], _narrow(back[a:b])) for r, a, b in zip(rows, cuts, cuts[1:])]
@@ -268,6 +324,25 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
+def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal hashes of a slice together, and where in it another begins.
+
+    They are sorted by what their places leave of their bits; where that puts two of them in the wrong order, by all.
+    """
+    bits = _places(len(h))
+    low = np.uint64((1 << bits) - 1)
+    both = h << np.uint64(8)  # the first byte is the slice's
+    both &= ~low
+    both |= np.arange(len(h), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    ordered = h[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        order = np.argsort(h)
+        ordered = h[order]
+    return order, _starts(ordered)
+
+
 def _ranges(h: np.ndarray) -> Iterator[np.ndarray | slice]:
     """Where a slice's hashes lie, of which all equal ones come together, about RANGE at a time."""
     n = -(-len(h) // RANGE)
@@ -338,8 +413,11 @@ class Counted:
 
         def within(x: np.ndarray) -> np.ndarray:
             """How often each token's x stands in its document."""
-            _, at, c = np.unique(doc * (len(block.tokens) + len(block.words) + 2) + x[own], return_inverse=True, return_counts=True)
-            return c[at]
+            ordered, order = _sorted(doc * (len(block.tokens) + len(block.words) + 2) + x[own])
+            runs = np.diff(np.append(np.flatnonzero(_starts(ordered)), len(ordered)))
+            c = np.empty(len(order), dtype=np.int64)
+            c[order] = np.repeat(runs, runs)
+            return c
 
         def before(c: np.ndarray) -> np.ndarray:
             """Each token's predecessor's; what stands before a text counts once in it."""
@@ -358,8 +436,9 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 def _mixed(words: np.ndarray, before: np.ndarray, pairs: np.ndarray, n: np.ndarray | int, v: int, weights: np.ndarray) -> np.ndarray:
     """Probabilities by pairs, words and the uniform share."""
-    w = weights[_bucket(before)]
-    return w[:, 0] * _share(pairs, before) + w[:, 1] * (words / np.maximum(n, 1)) + w[:, 2] / (v + 1)
+    bucket = _bucket(before)
+    pair, word, rest = (np.ascontiguousarray(w)[bucket] for w in weights.T)
+    return pair * _share(pairs, before) + word * (words / np.maximum(n, 1)) + rest / (v + 1)
 
 
 def _held_out(n: int, v: int = 0, weights: np.ndarray | None = None):
