@@ -5,7 +5,7 @@ import tracemalloc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from webweft.functions import batches, html_tree
+from webweft.functions import batches, html_tokens, html_tree
 from webweft.operators import store
 
 
@@ -26,3 +26,10 @@ def test_records_parse_each_page_once(spark):
     assert [(r.url, r.title, r.links) for r in records.collect()] == [("http://a.test/", "t", ["http://a.test/b"])]
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_links_of_many_pages(spark):
+    n = 3 * batches.ROWS + 1
+    pages = spark.range(n).coalesce(1).select(F.lit("http://a.test/").alias("base"), F.concat(F.lit("b"), "id", F.lit("&amp;c")).alias("href"), (F.col("id") % 2 == 0).alias("done"))
+    got = [r[0] for r in pages.select(html_tokens.link_of(F.col("base"), F.col("href"), F.col("done"))).collect()]
+    assert got == [f"http://a.test/b{i}&{'amp;' * (i % 2 == 0)}c" for i in range(n)]
