@@ -100,13 +100,21 @@ def links(pages: DataFrame, key: str = "page_id", same_domain_only: bool = False
     """
     odd = F.when(~plain(F.col("html")), F.col("html"))
     rows = pages.select(key, "url", "html", odd.alias("odd"))
-    both = F.when(F.col("odd").isNull(), plain_hrefs(F.col("html"))).otherwise(html_tokens.hrefs_of(F.col("odd")))
-    rows = rows.select(key, "url", F.posexplode(both).alias("pos", "href"), F.col("odd").isNotNull().alias("decoded"))
     # most references are simple; what is not, and entities that the few do not cover, is left to the standard library
-    few = F.when(F.col("decoded"), F.col("href")).otherwise(unescape_few(F.col("href")))
-    rows = rows.withColumn("few", few).withColumn("simple", urls.resolve_simple(F.col("url"), F.when(F.col("decoded") | ~F.col("href").rlike(FEW), F.col("few"))))
-    hard = F.when(F.col("simple").isNull(), F.col("href"))
-    link = F.coalesce(F.col("simple"), html_tokens.link_of(F.col("url"), hard, F.col("decoded")))
+    simple = lambda h: urls.resolve_simple(F.col("url"), F.when(~h.rlike(FEW), unescape_few(h)))
+    own = F.transform(F.when(F.col("odd").isNull(), plain_hrefs(F.col("html"))), lambda h: F.struct(h.alias("href"), simple(h).alias("simple")))
+    rows = rows.select(key, "url", "odd", own.alias("own"))
+    # one call of Python for a page, whatever it needs: each such step of a plan has a worker of its own in every task
+    hard = F.when(F.exists("own", lambda r: r["simple"].isNull()), F.transform("own", lambda r: F.when(r["simple"].isNull(), r["href"])))
+    rows = rows.select(key, "url", "odd", "own", hard.alias("hard"))
+    asked = F.col("odd").isNotNull() | F.col("hard").isNotNull()
+    rows = rows.select(key, "url", "odd", "own", html_tokens.page_links_of(F.when(asked, F.col("url")), F.col("odd"), F.col("hard")).alias("found"))
+    ref = lambda href, simple, link: F.struct(href.alias("href"), simple.alias("simple"), link.alias("link"))
+    none = F.lit(None).cast("string")
+    read = F.transform("found", lambda f: ref(f["href"], none, f["link"]))
+    known = F.zip_with("own", F.coalesce("found", F.array().cast("array<struct<href: string, link: string>>")), lambda r, f: ref(none, r["simple"], f["link"]))
+    rows = rows.select(key, "url", F.posexplode(F.when(F.col("odd").isNotNull(), read).otherwise(known)).alias("pos", "ref"))
+    link = F.coalesce("ref.simple", urls.resolve_simple(F.col("url"), F.col("ref.href")), "ref.link")
     # a filter within a generator: as a plain one it would be pushed down, and all be evaluated twice
     rows = rows.select(key, "url", "pos", F.explode(F.filter(F.array(link), urls.is_valid)).alias("link"))
     if same_domain_only:
