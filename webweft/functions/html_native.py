@@ -27,6 +27,8 @@ ODD = (
 #: Entities in text other than the few; and in references, where what goes on after a name is none.
 OTHER = r"&(?!(?:copy|middot|quot|lt|gt);|amp)[#A-Za-z]"
 FEW = r"&(?!(?:copy|middot|quot|lt|gt|nbsp|amp);|[A-Za-z0-9]*=)"
+#: The same where a name is an entity by its semicolon alone.
+OTHER_ENDED = r"&(?!(?:copy|middot|quot|lt|gt);|amp)(?:#|[A-Za-z][A-Za-z0-9]*+;)"
 TAG = r"(?s)<!--.*?-->|<[^>]*>"
 
 
@@ -48,12 +50,16 @@ def without_code(html: Column) -> Column:
     return html
 
 
-def text(html: Column) -> Column:
-    """The body's texts joined by one blank; scripts, styles and noscript left out."""
+def text(html: Column, ended: bool = False) -> Column:
+    """The body's texts joined by one blank; scripts, styles and noscript left out.
+
+    ended: whether names are entities by their semicolon alone, but for &amp. The standard has `&quot<` as a quote; text that was
+    cut within an entity and then put into markup has it as what is left.
+    """
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1)
     own = F.array_join(pieces(without_code(F.when(html.rlike("(?i)<body[ >]"), body).otherwise(html))), " ")
-    odd = html.rlike(OTHER) | html.rlike(QUOTED)
-    return F.when(odd, html_tokens.text_of(F.when(odd, html))).otherwise(own)
+    odd = html.rlike(OTHER_ENDED if ended else OTHER) | html.rlike(QUOTED)
+    return F.when(odd, html_tokens.text_of(F.when(odd, html), ended)).otherwise(own)
 
 
 def title(html: Column) -> Column:
