@@ -30,7 +30,7 @@ def same_as_sql(spark, name, at):
     assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, at).select(*order).collect()) == want
 
 
-QUERIES = ("html_text", "html_summary", "page_parse", "record_make", "sink_csv_roundtrip", "sink_json_roundtrip")
+QUERIES = ("html_text", "html_summary", "page_parse", "record_make", "sink_csv_roundtrip", "sink_json_roundtrip", "sink_store_upsert")
 
 
 @pytest.mark.parametrize("name", QUERIES)
